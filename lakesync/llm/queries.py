@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakesync.llm import bytebpe, media, tokencount
-from lakesync.llm.common import crc_bucket, table
+from lakesync.llm import bytebpe, decontam, media, pii, sharding, tokencount
+from lakesync.llm.common import table
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +20,19 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = pii.find_spans(table(spark, sf_dir, "documents"))
+    of_kind = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    counts = [of_kind(kind).alias(f"n_{kind}") for kind in pii.KINDS]
+    base, all_spans = pii.spans_text(F.col("spans")), pii.spans_text(F.concat("spans", "terms"))
+    return spans.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), all_spans.alias("spans"))
+
+
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = table(spark, sf_dir, "documents").select(
         "doc_id", media.declare(F.lit("documents")).alias("declared"), media.to_wav(media.pad_payload(F.col("text"))).alias("media"), F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes")
@@ -42,8 +55,13 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 4096)
 
 
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shard(table(spark, sf_dir, "documents"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_byte_bpe, op7_media, op8_token_counts)}
+    return {f.__name__: f for f in (op2_byte_bpe, op4_decontamination, op5_pii, op7_media, op8_token_counts, op9_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
