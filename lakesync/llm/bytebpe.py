@@ -3,7 +3,7 @@
 Texts up to `chunk` characters are encoded where they are read. Longer ones are cut into chunks that overlap, the
 chunks are pre-tokenised in parallel, neighbours are stitched at the first boundary on which both agree (from there on
 the pattern yields the same pre-tokens, as it looks back at nothing), and the pieces between the stitches are encoded in
-parallel again. Decoding joins the raw bytes of the ids.
+parallel again. Only the boundaries in the overlaps are shuffled for that, never text. Decoding joins the raw bytes of the ids.
 
 Null texts count as empty (no ids, empty bytes). Empty texts have no ids. Rows are independent: repeated rows and ids
 give repeated results. Columns other than the id and the text are ignored, whatever their names.
@@ -12,17 +12,24 @@ give repeated results. Columns other than the id and the text are ignored, whate
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+import heapq
+import re
+from array import array
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lakesync.llm.common import broadcast_if_small, store
+
 CHUNK, OVERLAP = 32_768, 1_024
 #: Pre-tokens whose ids a worker remembers; longer ones than this many characters are never kept.
-CACHE_ENTRIES, CACHE_CHARS = 300_000, 48
+CACHE_ENTRIES, CACHE_CHARS = 600_000, 48
+#: Texts whose characters all lie below this are split by a plain pattern with their letters, numbers and spaces listed.
+PLAIN = 0x250
 
 
 @lru_cache(maxsize=4)
@@ -31,34 +38,43 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
+def splitter(pattern: str) -> Callable[[str], list[str]]:
+    """A function that splits a text by the pattern. Where all characters are of the first blocks, the classes are spelled out for the faster engine."""
+    import regex
+
+    full = regex.compile(pattern)
+    listed = lambda kind: "".join(re.escape(chr(c)) for c in range(PLAIN) if regex.match(kind, chr(c)))
+    letters, numbers, spaces = listed(r"\p{L}"), listed(r"\p{N}"), listed(r"\s")
+    # inside a class \p{L} stands for its members, outside for a class of them
+    inside = re.sub(r"\[\^[^\]]*\]", lambda m: m[0].replace(r"\s", spaces).replace(r"\p{L}", letters).replace(r"\p{N}", numbers), pattern)
+    plain = re.compile(inside.replace(r"\p{L}", f"[{letters}]").replace(r"\p{N}", f"[{numbers}]").replace(r"\S", f"[^{spaces}]").replace(r"\s", f"[{spaces}]"))
+    other = re.compile(f"[^\x00-{chr(PLAIN - 1)}]")
+    return lambda text: full.findall(text) if other.search(text) else plain.findall(text)
+
+
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Ids of one pre-token: join the adjacent pair of the lowest rank, leftmost first, until no pair has a rank."""
-    whole = ranks.get(piece)
+    get, none = ranks.get, 1 << 40
+    whole = get(piece)
     if whole is not None:
         return [whole]
     if len(piece) > 200:
         return _merge_long(piece, ranks)
     parts = [piece[i : i + 1] for i in range(len(piece))]
-    none = len(ranks) + 1
-    pair = [ranks.get(a + b, none) for a, b in zip(parts, parts[1:])]
-    while pair:
-        low = min(pair)
-        if low == none:
-            break
+    pair = [get(piece[i : i + 2], none) for i in range(len(piece) - 1)]
+    while pair and (low := min(pair)) != none:
         i = pair.index(low)
-        parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        del pair[i]
+        joined = parts[i] = parts[i] + parts[i + 1]
+        del parts[i + 1], pair[i]
         if i:
-            pair[i - 1] = ranks.get(parts[i - 1] + parts[i], none)
+            pair[i - 1] = get(parts[i - 1] + joined, none)
         if i < len(pair):
-            pair[i] = ranks.get(parts[i] + parts[i + 1], none)
+            pair[i] = get(joined + parts[i + 1], none)
     return [ranks[p] for p in parts]
 
 
 def _merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """The same for long pre-tokens, with a heap and a linked list instead of scans."""
-    import heapq
-
     n = len(piece)
     end = list(range(1, n + 1))  # symbol at i spans piece[i:end[i]]; end[i] == 0: gone
     before = list(range(-1, n - 1))
@@ -87,14 +103,12 @@ class Encoder(dict):
     """Pre-token -> its ids as little-endian int32 bytes; a worker keeps one of bounded size between tasks."""
 
     def __init__(self, path: str, pattern: str):
-        import regex
-
         self.ranks = read_ranks(path)
-        self.pieces = regex.compile(pattern)
+        self.split = splitter(pattern)
         self.raw = {rank: token for token, rank in self.ranks.items()}
 
     def __missing__(self, token: str) -> bytes:
-        ids = np.array(merge(token.encode(), self.ranks), "<i4").tobytes()
+        ids = array("i", merge(token.encode(), self.ranks)).tobytes()
         if len(token) <= CACHE_CHARS:
             if len(self) >= CACHE_ENTRIES:
                 self.clear()
@@ -102,7 +116,7 @@ class Encoder(dict):
         return ids
 
     def encode(self, text: str) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self.__getitem__, self.pieces.findall(text))), "<i4")
+        return np.frombuffer(b"".join(map(self.__getitem__, self.split(text))), "<i4")
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.raw.__getitem__, ids.tolist()))
@@ -134,72 +148,37 @@ def _encode_batches(path: str, pattern: str):
     return run
 
 
-def _boundaries(pattern: str):
-    """Chunks -> the offsets, from the text's start, at which their pre-tokens begin. Those that the cut may have changed are left out."""
+def _edges(pattern: str, chunk: int):
+    """Chunks -> where their pre-tokens begin, as offsets in the text, within the parts that they share with their neighbours."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import regex
-
-        pieces = regex.compile(pattern)
+        split = splitter(pattern)
         for batch in batches:
-            found = []
-            for at, text, last in zip(batch.column("at").to_pylist(), batch.column("text").to_pylist(), batch.column("is_last").to_pylist()):
-                spans = [m.span() for m in pieces.finditer(text)]
-                # a pre-token that reaches the cut may go on beyond it, and the one before a final run of spaces looks ahead into it
-                sure = [a for a, b in spans if last or b < len(text) - 1]
-                found.append(np.array(sure, np.int32) + at)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in batch.schema.names), _list_array(found)], names=[*batch.schema.names, "starts"])
+            heads, tails = [], []
+            for at, text, shared in zip(batch.column("at").to_pylist(), batch.column("text").to_pylist(), batch.column("shared").to_pylist()):
+                tokens = split(text)
+                ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)))
+                starts = np.concatenate([[0], ends[:-1]])
+                # what reaches the cut may go on beyond it, and a run of spaces looks one character ahead
+                sure = starts[ends < len(text) - 1]
+                heads.append((sure[(sure > 0) & (sure < shared)] + at).astype(np.int32))
+                tails.append((sure[sure >= chunk] + at).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("at"), _list_array(heads), _list_array(tails)], names=["row", "at", "head", "tail"])
 
     return run
 
 
-def _stitch(pattern: str):
-    """All chunks of one text -> the pieces between the offsets where neighbouring chunks agree."""
-
-    def run(key: tuple[pa.Scalar, ...], chunks: pa.Table) -> pa.Table:
-        import regex
-
-        pieces = regex.compile(pattern)
-        chunks = chunks.sort_by("at")
-        at, texts = chunks.column("at").to_pylist(), chunks.column("text").to_pylist()
-        starts = [np.asarray(s, np.int64) for s in chunks.column("starts").to_pylist()]
-        text = texts[0]
-        for a, t in zip(at[1:], texts[1:]):
-            text += t[len(text) - a :]
-        cuts, trusted = [0], starts[0]
-        for nxt in starts[1:]:
-            both = np.intersect1d(trusted, nxt, assume_unique=True)
-            both = both[both > cuts[-1]]
-            if len(both):
-                cuts.append(int(both[0]))
-                trusted = nxt
-                continue
-            # the overlap held no common boundary: go on from the last sure one until the next chunk agrees
-            known, sure = set(nxt.tolist()), int(trusted[-1]) if len(trusted) else cuts[-1]
-            meets, walked = None, []
-            for m in pieces.finditer(text, sure):
-                walked.append(m.start())
-                if m.start() in known and m.start() > cuts[-1]:
-                    meets = m.start()
-                    break
-            if meets is None:
-                trusted = np.array(walked, np.int64)
-            else:
-                cuts.append(meets)
-                trusted = nxt
-        cuts.append(len(text))
-        n = len(cuts) - 1
-        head = chunks.slice(0, 1)
-        return pa.table(
-            {
-                "row": pa.concat_arrays([head.column("row").combine_chunks()] * n) if n > 1 else head.column("row"),
-                "doc_id": pa.concat_arrays([head.column("doc_id").combine_chunks()] * n) if n > 1 else head.column("doc_id"),
-                "piece": pa.array(range(n), pa.int32()),
-                "text": pa.array([text[a:b] for a, b in zip(cuts, cuts[1:])], pa.string()),
-            }
-        )
+def cut_points(chunks: DataFrame, pattern: str, chunk: int) -> DataFrame:
+    """row, cuts: for each long text the boundaries, one for a pair of neighbouring chunks, from which both agree.
 
-    return run
+    A chunk counts only if all before it have met their neighbours; where two do not meet, no cut is made and the piece goes on.
+    """
+    edges = chunks.mapInArrow(_edges(pattern, chunk), "row long, at int, head array<int>, tail array<int>")
+    order = Window.partitionBy("row").orderBy("at")
+    # a boundary at the very start of the overlap is shared by construction, not by agreement
+    met = edges.withColumn("cut", F.array_min(F.array_intersect("head", F.lag("tail").over(order))))
+    reached = met.withColumn("reached", F.min((F.col("cut").isNotNull() | (F.col("at") == 0)).cast("int")).over(order))
+    return reached.groupBy("row").agg(F.array_sort(F.collect_list(F.when(F.col("reached") == 1, F.col("cut")))).alias("cuts"))
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
@@ -208,27 +187,17 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, chunk: int = CHUNK, o
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     size = F.length("text")
     short = rows.where(size <= chunk).mapInArrow(_encode_batches(ranks_path, pattern), f"doc_id {kind}, ids array<int>, decoded binary")
-    # A long text is keyed by its content beside its id, so that ids that repeat (or are null) don't mix texts.
-    long = rows.where(size > chunk).withColumn("row", F.struct(F.xxhash64("text"), F.sha2("text", 256)).cast("string"))
-    copies = long.groupBy("row", "doc_id").agg(F.count("*").alias("n_rows"))
-    cut = (
-        long.withColumn("at", F.explode(F.sequence(F.lit(0), size - 1, F.lit(chunk))))
-        .dropDuplicates(["row", "doc_id", "at"])
-        .select("row", "doc_id", "at", F.substring("text", F.col("at") + 1, F.lit(chunk + overlap)).alias("text"), (F.col("at") + chunk >= size).alias("is_last"))
+    long = rows.where(size > chunk).select("doc_id", "text", F.xxhash64(F.monotonically_increasing_id()).alias("row"))
+    chunks = long.withColumn("at", F.explode(F.sequence(F.lit(0), size - 1, F.lit(chunk)))).select(
+        "row", "at", F.substring("text", F.col("at") + 1, F.lit(chunk + overlap)).alias("text"), F.lit(overlap).alias("shared")
     )
-    seen = cut.mapInArrow(_boundaries(pattern), f"row string, doc_id {kind}, at int, text string, is_last boolean, starts array<int>")
-    pieces = seen.groupBy("row", "doc_id").applyInArrow(_stitch(pattern), f"row string, doc_id {kind}, piece int, text string")
-    coded = pieces.mapInArrow(_encode_batches(ranks_path, pattern), f"row string, doc_id {kind}, piece int, ids array<int>, decoded binary")
+    cuts = store(cut_points(chunks, pattern, chunk), "cuts")
+    bounded = long.join(broadcast_if_small(cuts, limit=50_000), "row").withColumn("cuts", F.concat(F.array(F.lit(0)), "cuts"))
+    piece = F.substring("text", F.get("cuts", F.col("piece")) + 1, F.coalesce(F.get("cuts", F.col("piece") + 1), size) - F.get("cuts", F.col("piece")))
+    pieces = bounded.withColumn("piece", F.explode(F.sequence(F.lit(0), F.size("cuts") - 1))).select("row", "doc_id", "piece", piece.alias("text"))
+    coded = pieces.mapInArrow(_encode_batches(ranks_path, pattern), f"row long, doc_id {kind}, piece int, ids array<int>, decoded binary")
     whole = (
-        coded.groupBy("row", "doc_id")
-        .agg(F.array_sort(F.collect_list(F.struct("piece", "ids", "decoded"))).alias("p"))
-        .select("row", "doc_id", F.flatten("p.ids").alias("ids"), F.aggregate("p.decoded", F.lit(b""), lambda acc, x: F.concat(acc, x)).alias("decoded"))
-    )
-    again = (F.col("w.row") == F.col("c.row")) & F.col("w.doc_id").eqNullSafe(F.col("c.doc_id"))
-    stitched = (
-        whole.alias("w")
-        .join(copies.alias("c"), again)
-        .select("w.doc_id", "w.ids", "w.decoded", F.explode(F.array_repeat(F.lit(1), F.col("n_rows").cast("int"))).alias("_"))
-        .drop("_")
+        coded.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.struct("piece", "ids", "decoded"))).alias("p"))
+        .select("doc_id", F.flatten("p.ids").alias("ids"), F.aggregate("p.decoded", F.lit(b""), lambda acc, x: F.concat(acc, x)).alias("decoded"))
     )
-    return short.unionByName(stitched)
+    return short.unionByName(whole)

@@ -1,9 +1,9 @@
 """Benchmark decontamination by a positional inverted index over the training documents.
 
 `build_index` stores the postings (document, position, term) of the benchmark's terms, and a first row for each document.
-`phrase_matches` takes for each benchmark window its rarest terms by collection frequency, shifts their postings by the
-terms' offsets so that an occurrence of the window gives one common start, and intersects them; the starts that remain
-are confirmed word by word. `proximity_matches` intersects the same lists but allows the starts to differ.
+`phrase_matches` takes for each benchmark window its two rarest terms by collection frequency, shifts their postings by the
+terms' places in the item, so that an occurrence of the window gives both the same shift, and intersects them; the alignments
+that remain are compared word by word. `proximity_matches` intersects the same lists but allows the shifts to differ.
 
 Words are runs of ASCII letters and digits and of all non-ASCII characters, A-Z lower-cased. A window is `width`
 consecutive words of an item; an item with fewer words, but not none, is one window. Null and empty texts have no words and
@@ -13,21 +13,18 @@ are matched each by its own text. Other columns are ignored, whatever their name
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakesync.llm.common import broadcast_if_small, store, words
 
 WIDTH = 10
-#: Postings of so many of a window's rarest terms are intersected before its words are compared.
-ANCHORS = 3
 
 
-def benchmark_windows(benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
-    """item_id, terms: the distinct windows of each item."""
-    items = benchmark.select("item_id", words(F.col("text")).alias("w")).where(F.size("w") > 0)
-    starts = F.sequence(F.lit(1), F.greatest(F.size("w") - width + 1, F.lit(1)))
-    return items.select("item_id", F.explode(F.transform(starts, lambda i: F.slice("w", i, width))).alias("terms")).distinct()
+def benchmark_items(benchmark: DataFrame) -> DataFrame:
+    """item_key, w (words), ids (sorted item ids as strings): one row for each distinct word sequence that is not empty."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("id"), words(F.col("text")).alias("w")).where(F.size("w") > 0)
+    return items.groupBy("w").agg(F.array_sort(F.collect_set("id")).alias("ids")).select(F.xxhash64(F.array_join("w", " ")).alias("item_key"), "w", "ids")
 
 
 def build_index(docs: DataFrame, terms: DataFrame) -> DataFrame:
@@ -39,75 +36,87 @@ def build_index(docs: DataFrame, terms: DataFrame) -> DataFrame:
     return postings.where(first | F.col("term").isNotNull()).select("doc_id", "doc_key", "n_words", F.coalesce("pos", F.lit(0)).alias("pos"), "term", first.alias("first"))
 
 
-def _anchors(windows: DataFrame, frequency: DataFrame, anchors: int) -> DataFrame:
-    """window, term, shift: the rarest terms of each window that has postings for all of its terms, with their offsets."""
-    placed = windows.select("window", F.size("terms").alias("n"), F.posexplode("terms").alias("shift", "term"))
-    counted = placed.join(frequency, "term")
-    ranked = counted.withColumn("place", F.row_number().over(Window.partitionBy("window").orderBy("cf", "shift"))).withColumn("present", F.count("*").over(Window.partitionBy("window")))
-    return ranked.where((F.col("present") == F.col("n")) & (F.col("place") <= anchors)).select("window", "term", "shift", F.least("n", F.lit(anchors)).alias("need"))
+def rarest_pairs(items: DataFrame, frequency: DataFrame, width: int) -> DataFrame:
+    """item_key, a, b: for each window whose terms all have postings, the places in the item of its two rarest terms."""
+    n, starts = F.size("w"), lambda p: F.sequence(F.greatest(p - width + 1, F.lit(0)), F.least(p, F.greatest(F.size("w") - width, F.lit(0))))
+    placed = items.select("item_key", "w", F.posexplode("w").alias("p", "term")).withColumn("n", n).withColumn("k", F.explode(starts(F.col("p")))).drop("w")
+    rare = placed.join(frequency, "term").groupBy("item_key", "k", "n").agg(F.array_sort(F.collect_list(F.struct("cf", "p", "term"))).alias("l"))
+    whole = rare.where(F.size("l") == F.least("n", F.lit(width)))
+    return whole.select("item_key", F.col("l")[0].alias("a"), F.coalesce(F.get("l", F.lit(1)), F.col("l")[0]).alias("b")).distinct()
 
 
-def _starts(index: DataFrame, anchors: DataFrame) -> DataFrame:
-    """Offset-adjusted postings of the anchor terms: doc_id, doc_key, window, start, shift, need."""
-    hits = index.where(F.col("term").isNotNull()).select("doc_id", "doc_key", "pos", "term").join(broadcast_if_small(anchors), "term")
-    return hits.select("doc_id", "doc_key", "window", (F.col("pos") - F.col("shift")).alias("start"), "shift", "need")
+def shifted_postings(index: DataFrame, pairs: DataFrame) -> DataFrame:
+    """doc_id, doc_key, item_key, p, shift: postings of the rarest terms, as the distance between the document's and the item's place."""
+    places = pairs.select("item_key", F.explode(F.array("a", "b")).alias("t")).select("item_key", "t.p", "t.term").distinct()
+    hits = index.where(F.col("term").isNotNull()).select("doc_id", "doc_key", "pos", "term").join(broadcast_if_small(places), "term")
+    return hits.select("doc_id", "doc_key", "item_key", "p", (F.col("pos") - F.col("p")).alias("shift"))
 
 
-def _prepare(index: DataFrame, windows: DataFrame, anchors: int) -> tuple[DataFrame, DataFrame]:
-    distinct = windows.select("terms").distinct().withColumn("window", F.sha2(F.array_join("terms", " "), 256))
-    frequency = index.where(F.col("term").isNotNull()).groupBy("term").agg(F.count("*").alias("cf"))
-    # written once: the index is counted for it, and each later step reads it
-    return distinct, store(_anchors(distinct, frequency, anchors), "anchors")
+def _bit(place: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), place % 64)
 
 
-def phrase_matches(docs: DataFrame, index: DataFrame, windows: DataFrame, anchors: int = ANCHORS) -> DataFrame:
-    """doc_id, doc_key, start, window, terms: each occurrence of a window in a document's words, exactly."""
-    distinct, rare = _prepare(index, windows, anchors)
-    starts = _starts(index, rare).where(F.col("start") >= 0)
-    met = starts.groupBy("doc_id", "doc_key", "window", "start").agg(F.count_distinct("shift").alias("got"), F.first("need").alias("need")).where(F.col("got") == F.col("need"))
-    candidates = store(met.select("doc_id", "doc_key", "window", "start"), "candidates")
-    ids = broadcast_if_small(candidates.select("doc_id", "doc_key").distinct())
-    same = lambda a, b: a.doc_id.eqNullSafe(b.doc_id) & (a.doc_key == b.doc_key)
-    held = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("doc_key"), "text")
-    texts = held.join(ids, same(held, ids), "left_semi").dropDuplicates(["doc_id", "doc_key"])
-    full = candidates.join(broadcast_if_small(distinct), "window")
-    listed = full.groupBy("doc_id", "doc_key").agg(F.collect_list(F.struct("start", "window", "terms")).alias("c"))
-    checked = texts.withColumn("w", words(F.col("text"))).drop("text").join(listed, same(texts, listed)).select(
-        texts.doc_id, texts.doc_key, F.filter("c", lambda c: F.slice("w", c["start"] + 1, F.size(c["terms"])) == c["terms"]).alias("c")
-    )
-    return checked.select("doc_id", "doc_key", F.explode("c").alias("c")).select("doc_id", "doc_key", "c.start", "c.window", "c.terms")
+def alignments(index: DataFrame, pairs: DataFrame) -> DataFrame:
+    """doc_id, doc_key, item_key, shift: where the lists of a window's two rarest terms meet.
 
+    Places are folded into 64 bits, so a few alignments too many may stay; none is lost, and each is compared word by word later.
+    """
+    met = shifted_postings(index, pairs).groupBy("doc_id", "doc_key", "item_key", "shift").agg(F.bit_or(_bit(F.col("p"))).alias("got"))
+    need = pairs.select("item_key", _bit(F.col("a.p")).bitwiseOR(_bit(F.col("b.p"))).alias("need")).groupBy("item_key").agg(F.collect_set("need").alias("needs"))
+    full = met.join(broadcast_if_small(need), "item_key").where(F.exists("needs", lambda m: F.col("got").bitwiseAND(m) == m))
+    return full.select("doc_id", "doc_key", "item_key", "shift")
 
-def proximity_matches(index: DataFrame, windows: DataFrame, slack: int = 5, anchors: int = ANCHORS) -> DataFrame:
-    """doc_id, doc_key, window, start: where all of a window's rarest terms lie within `slack` words of their places in it."""
-    _, rare = _prepare(index, windows, anchors)
-    starts = _starts(index, rare)
-    # a start falls in its own stretch of `slack` + 1 words and reaches into the next one, so any two that are close share a stretch
-    stretch = F.floor(F.col("start") / (slack + 1))
-    spread = starts.withColumn("stretch", F.explode(F.array(stretch, stretch + 1)))
-    near = spread.groupBy("doc_id", "doc_key", "window", "stretch").agg(F.collect_set(F.struct("start", "shift")).alias("s"), F.first("need").alias("need"))
-    fits = lambda a: F.size(F.array_distinct(F.transform(F.filter("s", lambda b: b["start"].between(a["start"], a["start"] + slack)), lambda b: b["shift"]))) == F.col("need")
-    return near.select("doc_id", "doc_key", "window", F.explode(F.filter("s", fits)).alias("f")).select("doc_id", "doc_key", "window", F.col("f.start").alias("start")).distinct()
 
+def term_frequency(index: DataFrame) -> DataFrame:
+    return index.where(F.col("term").isNotNull()).groupBy("term").agg(F.count("*").alias("cf"))
 
-def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, anchors: int = ANCHORS) -> DataFrame:
-    """Each row's doc_id, n_words, n_hit (words inside occurrences), items (sorted ids as strings), contaminated."""
-    windows = store(benchmark_windows(benchmark, width), "windows")
-    terms = windows.select(F.explode("terms").alias("term")).distinct()
-    index = store(build_index(docs, terms), "postings")
-    matches = store(phrase_matches(docs, index, windows, anchors), "matches")
-    hit = matches.groupBy("doc_id", "doc_key").agg(
-        F.collect_set(F.struct("start", F.size("terms").alias("n"))).alias("spans")
-    )
-    covered = F.size(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["start"] + s["n"] - 1)))))
-    of_item = windows.select(F.sha2(F.array_join("terms", " "), 256).alias("window"), F.col("item_id").cast("string").alias("item"))
+
+def phrase_matches(docs: DataFrame, index: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFrame:
+    """doc_id, doc_key, found: per document with occurrences of windows, the array of (start, n, ids), exact."""
+    pairs = store(rarest_pairs(items, term_frequency(index), width), "pairs")
+    candidates = store(alignments(index, pairs), "alignments")
+    ids = broadcast_if_small(candidates.select("doc_id", "doc_key").distinct())
+    held = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("doc_key"), "text")
+    texts = held.join(ids, held.doc_id.eqNullSafe(ids.doc_id) & (held.doc_key == ids.doc_key), "left_semi").dropDuplicates(["doc_id", "doc_key"])
     listed = (
-        matches.select("doc_id", "doc_key", "window").distinct().join(broadcast_if_small(of_item), "window")
-        .groupBy("doc_id", "doc_key").agg(F.array_sort(F.collect_set("item")).alias("items"))
-        .select(F.col("doc_id").alias("i_id"), F.col("doc_key").alias("i_key"), "items")
+        candidates.join(broadcast_if_small(items, limit=20_000), "item_key").groupBy("doc_id", "doc_key").agg(F.collect_list(F.struct("shift", "w", "ids")).alias("c"))
+        .withColumnsRenamed({"doc_id": "c_id", "doc_key": "c_key"})
+    )
+    joined = texts.withColumn("d", words(F.col("text"))).drop("text").join(listed, texts.doc_id.eqNullSafe(F.col("c_id")) & (texts.doc_key == F.col("c_key")))
+    size = lambda c: F.least(F.size(c["w"]), F.lit(width))
+    same = lambda c, k: (c["shift"] + k >= 0) & (F.slice("d", F.greatest(c["shift"] + k, F.lit(0)) + 1, size(c)) == F.slice(c["w"], k + 1, size(c)))
+    starts = lambda c: F.filter(F.sequence(F.lit(0), F.size(c["w"]) - size(c)), lambda k: same(c, k))
+    found = F.flatten(F.transform("c", lambda c: F.transform(starts(c), lambda k: F.struct((c["shift"] + k).alias("start"), size(c).alias("n"), c["ids"].alias("ids")))))
+    return joined.select("doc_id", "doc_key", found.alias("found")).where(F.size("found") > 0)
+
+
+def proximity_matches(index: DataFrame, items: DataFrame, width: int = WIDTH, slack: int = 5) -> DataFrame:
+    """doc_id, doc_key, item_key, shift: where a window's two rarest terms lie within `slack` words of their distance in it."""
+    pairs = store(rarest_pairs(items, term_frequency(index), width), "pairs")
+    hits = shifted_postings(index, pairs)
+    # a shift falls in its own stretch of `slack` + 1 places and reaches into the next one, so any two that are close share a stretch
+    stretch = F.floor(F.col("shift") / (slack + 1))
+    spread = hits.withColumn("stretch", F.explode(F.array(stretch, stretch + 1)))
+    near = spread.groupBy("doc_id", "doc_key", "item_key", "stretch").agg(F.collect_set(F.struct("p", "shift")).alias("s"))
+    of_item = pairs.groupBy("item_key").agg(F.collect_set(F.struct(F.col("a.p").alias("a"), F.col("b.p").alias("b"))).alias("pairs"))
+    both = lambda x, y: F.exists("pairs", lambda q: (q["a"] == x["p"]) & (q["b"] == y["p"]))
+    fits = lambda x: F.exists("s", lambda y: (F.abs(x["shift"] - y["shift"]) <= slack) & both(x, y))
+    kept = near.join(broadcast_if_small(of_item), "item_key").withColumn("f", F.explode(F.filter("s", fits)))
+    return kept.select("doc_id", "doc_key", "item_key", F.col("f.shift").alias("shift")).distinct()
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
+    """Each row's doc_id, n_words, n_hit (words inside occurrences), items (sorted ids as strings), contaminated."""
+    items = store(benchmark_items(benchmark), "items")
+    index = store(build_index(docs, items.select(F.explode("w").alias("term")).distinct()), "postings")
+    places = lambda f: F.sequence(f["start"], f["start"] + f["n"] - 1)
+    hits = phrase_matches(docs, index, items, width).select(
+        F.col("doc_id").alias("h_id"),
+        F.col("doc_key").alias("h_key"),
+        F.size(F.array_distinct(F.flatten(F.transform("found", places)))).alias("n_hit"),
+        F.array_sort(F.array_distinct(F.flatten(F.transform("found", lambda f: f["ids"])))).alias("items"),
     )
-    hits = hit.select(F.col("doc_id").alias("h_id"), F.col("doc_key").alias("h_key"), covered.alias("n_hit"))
     rows = index.where("first").select("doc_id", "doc_key", "n_words")
-    out = rows.join(hits, rows.doc_id.eqNullSafe(hits.h_id) & (rows.doc_key == hits.h_key), "left").join(listed, rows.doc_id.eqNullSafe(listed.i_id) & (rows.doc_key == listed.i_key), "left")
+    out = rows.join(hits, rows.doc_id.eqNullSafe(hits.h_id) & (rows.doc_key == hits.h_key), "left")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     return out.select("doc_id", F.col("n_words").cast("long").alias("n_words"), n_hit.alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), (n_hit > 0).alias("contaminated"))
