@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakesync.llm import bytebpe, decontam, media, pii, sharding, tokencount
+from lakesync.llm import bytebpe, decontam, langid, media, pii, sharding, tokencount
 from lakesync.llm.common import table
 
 
@@ -20,6 +20,12 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.learn(docs.where(~langid.held_out(F.col("doc_id"))))
+    return langid.predict(docs.drop("lang"), model).select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "bits")
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
@@ -61,7 +67,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_byte_bpe, op4_decontamination, op5_pii, op7_media, op8_token_counts, op9_sharding)}
+    return {f.__name__: f for f in (op2_byte_bpe, op3_language_id, op4_decontamination, op5_pii, op7_media, op8_token_counts, op9_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
