@@ -77,7 +77,7 @@ class Tree:
     """Code lengths and transitions by context and symbol. Symbols are the bytes that the sample shows, and one for all others."""
 
     def __init__(self, by_length: list[tuple[np.ndarray, np.ndarray]], order: int, contexts: int = CONTEXTS, least: int = LEAST):
-        seen = by_length[0][0]
+        seen = np.union1d(by_length[0][0], [ord("\n")])  # newlines precede every text, so they are contexts even where unseen
         self.symbol = np.full(256, len(seen), np.uint8 if len(seen) < 255 else np.int32)
         self.symbol[seen] = np.arange(len(seen))
         width = len(seen) + 1
