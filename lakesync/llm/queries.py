@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakesync.llm import bytebpe, decontam, langid, media, pii, sharding, tokencount
-from lakesync.llm.common import table
+from lakesync.llm import bytebpe, decontam, hmm, langid, media, pii, sharding, tokencount
+from lakesync.llm.common import crc_bucket, table
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,8 +66,14 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(crc_bucket(F.col("doc_id"), 7) == 2, F.lit(False))
+    scores = hmm.score(table(spark, sf_dir, "documents").select("doc_id", "text", (~held_out).alias("trains")))
+    return scores.select("doc_id", (~F.col("trains")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_byte_bpe, op3_language_id, op4_decontamination, op5_pii, op7_media, op8_token_counts, op9_sharding)}
+    return {f.__name__: f for f in (op2_byte_bpe, op3_language_id, op4_decontamination, op5_pii, op7_media, op8_token_counts, op9_sharding, op10_lm_scoring)}
 
 
 def oracle_sql() -> dict[str, str]:
