@@ -145,7 +145,7 @@ def encode(docs: DataFrame, words: Lexicon) -> DataFrame:
                 classes[known] = class_of[at[known]]
                 rare_tokens = [flat[i] for i in rare]
                 classes[rare] = np.fromiter((own[t] if t in own else shared_class(t) for t in rare_tokens), np.uint16, len(rare))
-                log_counts = np.bincount(doc[known], weights=log_of[at[known]], minlength=len(lists))
+                log_counts = np.bincount(doc[known], weights=log_of[at[known]], minlength=len(lists)).astype(np.float64)  # of no tokens it is whole numbers
                 ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
                 rare_ends = np.concatenate([[0], np.cumsum(np.bincount(doc[rare], minlength=len(lists)))]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
