@@ -6,10 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakesync.llm import bytebpe, decontam, hmm, langid, media, pii, sharding, tokencount
+from lakesync.llm import bytebpe, decontam, hmm, langid, media, pii, sharding, tokencount, toxicity
 from lakesync.llm.common import crc_bucket, table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(toxicity.labelled_sample(docs, table(spark, sf_dir, "labels")))
+    scores = toxicity.score(docs, model)
+    return scores.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bytebpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     return coded.select(
@@ -73,7 +80,7 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_byte_bpe, op3_language_id, op4_decontamination, op5_pii, op7_media, op8_token_counts, op9_sharding, op10_lm_scoring)}
+    return {f.__name__: f for f in (op1_toxicity, op2_byte_bpe, op3_language_id, op4_decontamination, op5_pii, op7_media, op8_token_counts, op9_sharding, op10_lm_scoring)}
 
 
 def oracle_sql() -> dict[str, str]:
