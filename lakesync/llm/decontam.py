@@ -120,3 +120,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) ->
     out = rows.join(hits, rows.doc_id.eqNullSafe(hits.h_id) & (rows.doc_key == hits.h_key), "left")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     return out.select("doc_id", F.col("n_words").cast("long").alias("n_words"), n_hit.alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), (n_hit > 0).alias("contaminated"))
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
+    """docs without the rows that hold a window of the benchmark."""
+    items = store(benchmark_items(benchmark), "items")
+    index = store(build_index(docs, items.select(F.explode("w").alias("term")).distinct()), "postings")
+    hits = store(phrase_matches(docs, index, items, width).select(F.col("doc_id").alias("__id"), F.col("doc_key").alias("__key")), "hits")
+    same = docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("__key"))
+    return docs.join(broadcast_if_small(hits), same, "left_anti")

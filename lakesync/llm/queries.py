@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakesync.llm import bytebpe, decontam, hmm, langid, media, pii, sharding, tokencount, toxicity
+import corpus_pipeline
+from lakesync.llm import bytebpe, decontam, hmm, jaccard, langid, media, pii, sharding, tokencount, toxicity
 from lakesync.llm.common import crc_bucket, table
 
 
@@ -46,6 +47,10 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), all_spans.alias("spans"))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join_classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_copies", "n_links", "n_texts")
+
+
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = table(spark, sf_dir, "documents").select(
         "doc_id", media.declare(F.lit("documents")).alias("declared"), media.to_wav(media.pad_payload(F.col("text"))).alias("media"), F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes")
@@ -80,8 +85,31 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_byte_bpe, op3_language_id, op4_decontamination, op5_pii, op7_media, op8_token_counts, op9_sharding, op10_lm_scoring)}
+    return {f.__name__: f for f in (op1_toxicity, op2_byte_bpe, op3_language_id, op4_decontamination, op5_pii, op6_jaccard_join, op7_media, op8_token_counts, op9_sharding, op10_lm_scoring)} | {"pipeline": corpus_pipeline.run}
+
+
+#: The same rows as op4_decontamination: windows of ten item words, or a whole shorter item, looked up among the documents' own runs.
+OP4_SQL = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), i AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), win AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[k : k + 9], ' ') AS g
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS k FROM i WHERE len(w) > 0)
+), run AS (
+  SELECT doc_id, k, n, array_to_string(w[k : k + n - 1], ' ') AS g
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM w, (SELECT DISTINCT n FROM win) WHERE len(w) >= n)
+), hit AS (SELECT doc_id, k, run.n, item_id FROM run JOIN win ON run.g = win.g AND run.n = win.n),
+items AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids FROM hit GROUP BY doc_id),
+places AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS p FROM hit) GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM w LEFT JOIN items ON items.doc_id = w.doc_id LEFT JOIN places ON places.doc_id = w.doc_id
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for the queries that it can express; the others are tested against brute force, round trips or held-out accuracy."""
+    known = {"op4_decontamination": OP4_SQL}
+    return known | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

@@ -339,21 +339,29 @@ def _calibrate(model: Network, docs: list[tuple[list[bytes], int]]) -> None:
 _models: dict[str, object] = {}
 
 
-def score(docs: DataFrame, model: Network | Constant, key: str = "doc_id") -> DataFrame:
-    """key, score of each row of docs (key, text)."""
-    shared, name = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
-    kind = docs.schema[key].dataType.simpleString()
+def score(docs: DataFrame, model: Network | Constant, keep: tuple[str, ...] = ("doc_id",), name: str = "score") -> DataFrame:
+    """The kept columns and the score, called `name`, of each row of docs."""
+    shared, run_id = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
+    kept = [f"c{i}" for i in range(len(keep))]
+    kinds = [f"{k} {docs.schema[c].dataType.simpleString()}" for k, c in zip(kept, keep)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if name not in _models:
+        if run_id not in _models:
             _models.clear()
-            _models[name] = shared.value
+            _models[run_id] = shared.value
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            scores = [_models[name].scores([words_of(t) for t in texts[low : low + _SLICE]]) for low in range(0, len(texts), _SLICE)]
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(np.concatenate([np.zeros(0), *scores]), pa.float64())], names=["key", "score"])
+            scores = [_models[run_id].scores([words_of(t) for t in texts[low : low + _SLICE]]) for low in range(0, len(texts), _SLICE)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), pa.array(np.concatenate([np.zeros(0), *scores]), pa.float64())], names=[*kept, "score"])
 
-    return docs.select(F.col(key).alias("key"), F.col("text")).mapInArrow(run, f"key {kind}, score double").withColumnRenamed("key", key)
+    rows = docs.select(*[F.col(c).alias(k) for k, c in zip(kept, keep)], F.col("text"))
+    return rows.mapInArrow(run, ", ".join([*kinds, "score double"])).toDF(*keep, name)
+
+
+def reject(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """docs without the rows whose score reaches the threshold, by a network trained on their labels."""
+    scored = score(docs, train(labelled_sample(docs, labels)), tuple(docs.columns), "__score")
+    return scored.where(F.col("__score") < threshold).drop("__score")
 
 
 def held_out(doc_id: Column) -> Column:
