@@ -1,4 +1,377 @@
-"""Queries by name, and the SQL that gives the same rows."""
+"""Queries by name, and the SQL that gives the same rows.
+
+A query takes (spark, sf_dir) and reads the table `events` as envelopes, or makes its own rows with the generator.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from lakesync.config import SyncConfig
+from lakesync.functions import paths
+from lakesync.functions.hashing import md5_mod
+from lakesync.functions.quantiles import at_ranks, median
+from lakesync.operators import catalog, commit, intents, inventory, metrics, replay, retries, sessions
+from lakesync.plans import sql
+from lakesync.plans.streamed import streamed_sessions
+from lakesync.scratch import store
+from lakesync.sources import envelopes, generator, log
+
+CONFIG = SyncConfig(window=3600, grace=10)
+TIGHT = SyncConfig(window=3600, grace=10, cap=7200)
+FRACTIONS = [0.001, 0.01, 0.05, 0.1]
+DROPS = [0.01, 0.05, 0.10, 0.25, 0.50, 1.00]
 
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(oracle: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return add
+
+
+def _intents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intents.candidate_intents(envelopes.read(spark, sf_dir))
+
+
+def _assigned(spark: SparkSession, sf_dir: str, config: SyncConfig = CONFIG) -> DataFrame:
+    return sessions.assign_sessions(_intents(spark, sf_dir), config)
+
+
+def _live(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inventory.live_inventory(intents.kept(envelopes.read(spark, sf_dir)))
+
+
+def _key() -> list:
+    return [F.col(c) for c in sessions.KEY]
+
+
+# --- envelopes, verdicts, paths ---------------------------------------------------------------------------------------
+
+
+@query(sql.EVENT_VERDICTS)
+def event_verdicts(spark, sf_dir):
+    return metrics.verdict_counts(envelopes.read(spark, sf_dir))
+
+
+@query(sql.FILTER_ACCOUNTING)
+def filter_accounting(spark, sf_dir):
+    return metrics.filter_accounting(envelopes.read(spark, sf_dir))
+
+
+@query(sql.CANDIDATE_INTENTS)
+def candidate_intents(spark, sf_dir):
+    return _intents(spark, sf_dir).drop("object_key")
+
+
+@query(sql.ROUTED_INTENTS)
+def routed_intents(spark, sf_dir):
+    routes = spark.createDataFrame([("warehouse/sales/", "warehouse.sales"), ("warehouse/other/", "warehouse.other"), ("warehouse/", "warehouse.rest")], "table_root string, table_fqn string")
+    return intents.routed_intents(envelopes.read(spark, sf_dir), routes).select("seq", "tenant_id", "table_fqn", "partition_key", "partition_prefix", "kind")
+
+
+@query(sql.OBJECT_PATHS)
+def object_paths(spark, sf_dir):
+    key = F.col("object_key")
+    rows = envelopes.read(spark, sf_dir).select("object_key").distinct()
+    return rows.select(key, paths.directory(key).alias("directory"), paths.partition_key(key).alias("partition_key"), paths.basename(key).alias("file_name"), paths.short(key, 24).alias("short"))
+
+
+# --- log --------------------------------------------------------------------------------------------------------------
+
+
+def _log(spark, sf_dir, partitions=2):
+    messages = envelopes.read(spark, sf_dir).select("seq", paths.directory(F.col("object_key")).alias("key"), F.col("object_key").alias("value"))
+    return log.produce(messages, partitions, span=1_000)
+
+
+@query(sql.ROUTE_OFFSETS)
+def route_offsets(spark, sf_dir):
+    return _log(spark, sf_dir).select("partition", "offset", "seq", "key")
+
+
+@query(sql.PARTITION_LAG)
+def partition_lag(spark, sf_dir):
+    rows, at = _log(spark, sf_dir, 3), spark.createDataFrame([], "partition int, position long")
+    for _ in range(3):
+        at = log.advance(rows, at, 500)
+    return log.lag(rows, at)
+
+
+@query(sql.POLLED_MESSAGES)
+def polled_messages(spark, sf_dir):
+    rows = _log(spark, sf_dir, 3)
+    first = log.advance(rows, spark.createDataFrame([], "partition int, position long"), 40)
+    return log.poll(rows, first, 25).select("partition", "offset", "value")
+
+
+@query(sql.RECENT_MESSAGES)
+def recent_messages(spark, sf_dir):
+    return log.recent(_log(spark, sf_dir), 20).select("partition", "offset", "value")
+
+
+@query(sql.EVENT_FEED)
+def event_feed(spark, sf_dir):
+    """The last 20 events with the number of events that their partition had before."""
+    rows = _intents(spark, sf_dir)
+    before = F.row_number().over(Window.partitionBy("partition_key").orderBy("seq")) - 1
+    return rows.withColumn("prev_count", before.cast("long")).orderBy(F.desc("seq")).limit(20).select("seq", "partition_key", "kind", "prev_count")
+
+
+# --- inventory and catalog --------------------------------------------------------------------------------------------
+
+
+@query(sql.LIVE_INVENTORY)
+def live_inventory(spark, sf_dir):
+    return _live(spark, sf_dir)
+
+
+@query(sql.CONVERGED_CATALOG)
+def converged_catalog(spark, sf_dir):
+    return catalog.converged(_live(spark, sf_dir))
+
+
+@query(sql.LIST_NONEMPTY)
+def list_nonempty(spark, sf_dir):
+    own = _intents(spark, sf_dir).select("tenant_id", "partition_prefix").distinct()
+    parents = own.select("tenant_id", F.regexp_replace("partition_prefix", "[^/]+/$", "").alias("partition_prefix")).distinct()
+    return inventory.list_prefixes(own.unionByName(parents), _live(spark, sf_dir))
+
+
+@query(sql.SCAN_REQUESTS)
+def scan_requests(spark, sf_dir):
+    return inventory.scan_requests(_live(spark, sf_dir))
+
+
+@query(sql.PURGED_INVENTORY)
+def purged_inventory(spark, sf_dir):
+    return inventory.purge_prefix(_live(spark, sf_dir), "warehouse/sales/dt=2024-01-0").groupBy("tenant_id").agg(F.count("*").alias("n"))
+
+
+def _stale_catalog(spark, sf_dir):
+    """A third of all partitions, whatever storage holds of them, and one that never was."""
+    known = _intents(spark, sf_dir).select("tenant_id", "table_fqn", "partition_key", F.col("partition_prefix").alias("location")).distinct()
+    ghost = spark.createDataFrame([("tenant-1", "warehouse.sales", "dt=1999-01-01/region=R000", "warehouse/sales/dt=1999-01-01/region=R000/")], known.schema)
+    return known.where(md5_mod(F.col("partition_key"), 3) == 0).unionByName(ghost)
+
+
+@query(sql.SCAN_REPAIR_DIFF)
+def scan_repair_diff(spark, sf_dir):
+    return catalog.repair_diff(_stale_catalog(spark, sf_dir), _live(spark, sf_dir))
+
+
+# --- sessions ---------------------------------------------------------------------------------------------------------
+
+
+@query(sql.QUIET_SESSIONS)
+def quiet_sessions(spark, sf_dir):
+    return sessions.quiet_sessions(_intents(spark, sf_dir), SyncConfig(window=900, grace=10))
+
+
+def _session_columns(rows: DataFrame) -> DataFrame:
+    return rows.select(*_key(), "sid", "kind", "n", "last_kind", "first_us", "last_us", "flush_us")
+
+
+@query(sql.capped_sessions(3600, 10, 18000))
+def capped_sessions(spark, sf_dir):
+    return _session_columns(sessions.effective_intents(_assigned(spark, sf_dir), CONFIG))
+
+
+@query(sql.capped_sessions(3600, 10, 7200))
+def tightly_capped_sessions(spark, sf_dir):
+    return _session_columns(sessions.effective_intents(_assigned(spark, sf_dir, TIGHT), TIGHT))
+
+
+@query(sql.EFFECTIVE_INTENTS)
+def effective_intents(spark, sf_dir):
+    rows = sessions.effective_intents(_assigned(spark, sf_dir), CONFIG)
+    return rows.select(*_key(), "sid", "partition_prefix", "kind", F.array_join("proof_keys", ",").alias("proofs"), F.size("proof_keys").cast("long").alias("n_proofs"))
+
+
+@query(sql.BUFFER_SNAPSHOT)
+def buffer_snapshot(spark, sf_dir):
+    rows = _assigned(spark, sf_dir)
+    now = envelopes.read(spark, sf_dir).agg(F.max("t_us")).first()[0]
+    return sessions.buffer_snapshot(rows, now, CONFIG)
+
+
+@query(sql.FLUSHED_BETWEEN)
+def flushed_between(spark, sf_dir):
+    """Keys that were buffered two hours before the end and have been flushed since."""
+    rows = _assigned(spark, sf_dir)
+    now = envelopes.read(spark, sf_dir).agg(F.max("t_us")).first()[0]
+    past, present = (sessions.buffer_snapshot(rows, t, CONFIG) for t in (now - 7_200_000_000, now))
+    return catalog.flushed_keys(past, present).select(*_key(), "count")
+
+
+@query(sql.COVERAGE)
+def coverage(spark, sf_dir):
+    return _intents(spark, sf_dir).groupBy("tenant_id").agg(F.count_distinct("partition_key").alias("partitions"), F.count_distinct("object_key").alias("objects"))
+
+
+@query(sql.capped_sessions(3600, 10, 18000))
+def streamed_sessions_query(spark, sf_dir):
+    return _session_columns(streamed_sessions(spark, sf_dir, CONFIG))
+
+
+QUERIES["streamed_sessions"], ORACLES["streamed_sessions"] = QUERIES.pop("streamed_sessions_query"), ORACLES.pop("streamed_sessions_query")
+
+
+# --- verified commit --------------------------------------------------------------------------------------------------
+
+
+def _flush(spark, sf_dir, enable_drop=True, faults=None):
+    effective = sessions.reconcile(_intents(spark, sf_dir), CONFIG)
+    # a share of the keys only deletes: the others would all be additions
+    only = F.when(md5_mod(F.concat("tenant_id", "partition_key"), 4) == 1, "DROP").otherwise(F.col("kind"))
+    effective = effective.withColumn("proof_keys", F.when(only == "DROP", F.array().cast("array<string>")).otherwise(F.col("proof_keys"))).withColumn("kind", only)
+    return commit.apply(effective, _stale_catalog(spark, sf_dir), _live(spark, sf_dir), enable_drop, faults)
+
+
+def _results(rows):
+    return rows.select(*_key(), "kind", "status", F.coalesce("reason", F.lit("")).alias("reason"), "heads", "lists", "in_catalog", "in_catalog_after")
+
+
+@query(sql.HEAD_PROOFS)
+def head_proofs(spark, sf_dir):
+    effective = sessions.reconcile(_intents(spark, sf_dir), CONFIG).where(F.col("kind") == "ADD")
+    return inventory.head_proofs(effective, _live(spark, sf_dir), sessions.KEY).withColumn("first_hit", F.coalesce("first_hit", F.lit(0)))
+
+
+@query(sql.commit_decisions(True))
+def commit_decisions(spark, sf_dir):
+    return _results(_flush(spark, sf_dir))
+
+
+@query(sql.commit_decisions(False))
+def commit_decisions_no_drop(spark, sf_dir):
+    return _results(_flush(spark, sf_dir, enable_drop=False))
+
+
+@query(sql.commit_decisions(True, faults=True))
+def commit_with_faults(spark, sf_dir):
+    keys = _intents(spark, sf_dir).select("partition_key").distinct()
+    pick = lambda names, salt: F.element_at(F.array(*map(F.lit, names)), md5_mod(F.concat(F.lit(salt), "partition_key"), len(names)) + 1)
+    faults = keys.where(md5_mod(F.concat(F.lit("any"), "partition_key"), 2) == 0).select("partition_key", pick(["head", "list", "create", "drop"], "call").alias("call"), pick(["transient", "fatal"], "error").alias("error"))
+    return _results(_flush(spark, sf_dir, faults=faults))
+
+
+@query(sql.outcome_counts())
+def outcome_counts(spark, sf_dir):
+    return commit.outcome_counts(_flush(spark, sf_dir)).withColumn("reason", F.coalesce("reason", F.lit("")))
+
+
+@query(sql.catalog_after())
+def catalog_after_flush(spark, sf_dir):
+    return commit.catalog_after(_stale_catalog(spark, sf_dir), _flush(spark, sf_dir))
+
+
+@query(sql.request_cost())
+def request_cost(spark, sf_dir):
+    rows = metrics.request_cost(_flush(spark, sf_dir))
+    return rows.select("buffered", "committed", "coalesced", "heads", "lists", *[F.round(c, 6).alias(c) for c in ("alpha_eff", "reduction", "daily_cost")])
+
+
+@query(sql.session_replay(900, 10, 4500))
+def session_replay(spark, sf_dir):
+    config = SyncConfig(window=900, grace=10)
+    rows = replay.replay(_assigned(spark, sf_dir, config), config)
+    return rows.select(*_key(), "sid", "kind", "status", F.coalesce("reason", F.lit("")).alias("reason"))
+
+
+@query(sql.session_replay(3600, 10, 7200, counts=True))
+def replay_counts(spark, sf_dir):
+    rows = replay.replay(_assigned(spark, sf_dir, TIGHT), TIGHT)
+    return rows.groupBy("kind", "status", F.coalesce("reason", F.lit("")).alias("reason")).agg(F.count("*").alias("n"))
+
+
+@query(sql.LATENCY_PERCENTILES)
+def latency_percentiles(spark, sf_dir):
+    own = _intents(spark, sf_dir)
+    lat = replay.latencies(replay.replay(sessions.assign_sessions(own, CONFIG), CONFIG), own, CONFIG).cache()
+    out = []
+    for name in ("latency_s", "session_s"):
+        got = at_ranks(lat, name, {"p95": 0.95, "p99": 0.99})
+        out.append((name, lat.count(), median(lat, name), got["p95"], got["p99"]))
+    lat.unpersist()
+    return spark.createDataFrame(out, "measure string, n long, median double, p95 double, p99 double").select("measure", "n", *[F.round(c, 3).alias(c) for c in ("median", "p95", "p99")])
+
+
+# --- retries ----------------------------------------------------------------------------------------------------------
+
+
+def _attempts(spark, sf_dir):
+    rows = _intents(spark, sf_dir).select(*_key()).distinct().withColumn("kind", F.lit("ADD")).withColumn("status", F.lit("RETRY")).withColumn("reason", F.lit("not_visible_yet"))
+    return rows.withColumn("visible_at", inventory.attempt_needed(F.col("partition_key"))), CONFIG
+
+
+@query(sql.RETRY_SCHEDULE)
+def retry_schedule(spark, sf_dir):
+    rows, config = _attempts(spark, sf_dir)
+    return retries.schedule(rows, config).select(*_key(), "attempt", F.round("wait_s", 4).alias("wait_s"), F.round("at_s", 4).alias("at_s"), "status")
+
+
+@query(sql.DEAD_LETTERS)
+def dead_letters(spark, sf_dir):
+    rows, config = _attempts(spark, sf_dir)
+    return retries.dead_letters(rows, retries.schedule(rows, config))
+
+
+# --- generator and experiments ----------------------------------------------------------------------------------------
+
+
+@query(sql.GENERATED_EVENTS)
+def generated_events(spark, sf_dir):
+    """Totals of the generated notifications, and a checksum of their paths."""
+    rows = generator.generate_events(spark, 0.01)
+    return rows.agg(F.count("*").alias("events"), F.count_distinct("object_key").alias("objects"), F.sum(F.col("t_us") - generator.BASE_US).alias("sum_t_us"), F.sum(md5_mod(F.col("object_key"), 1_000_003)).alias("checksum"))
+
+
+@query(sql.PARTITION_SPACE)
+def partition_space(spark, sf_dir):
+    rows = spark.range(generator.SPACE).select(paths.hive_partition(F.col("id")).alias("k"))
+    return rows.agg(F.count_distinct("k").alias("partitions"), F.min("k").alias("first"), F.max("k").alias("last")).withColumn("scan_requests", F.lit(generator.SCAN_REQUESTS).cast("long"))
+
+
+@query(sql.coalescing(FRACTIONS))
+def coalescing_ratio(spark, sf_dir):
+    rows = metrics.coalescing(spark, FRACTIONS)
+    return rows.select("f", "delta_p", "raw_events", "coalesced", "committed", "requests", *[F.round(c, 6).alias(c) for c in ("alpha_eff", "reduction", "daily_cost")])
+
+
+@query()
+def coalescing_ratio_jitter(spark, sf_dir):
+    rows = metrics.coalescing(spark, FRACTIONS[:3], miss_rate=0.5)
+    return rows.select("f", "delta_p", "raw_events", "committed", "requests", F.round("alpha_eff", 6).alias("alpha_eff"))
+
+
+@query(sql.CONVERGENCE)
+def convergence_latency(spark, sf_dir):
+    rows = metrics.convergence(spark, [1, 5, 10, 30, 60, 120])
+    return rows.select("window_s", "commits", *[F.round(c, 3).alias(c) for c in ("median", "p95", "p99")])
+
+
+@query(sql.drop_sweep(DROPS))
+def drop_sweep(spark, sf_dir):
+    return metrics.drop_sweep(spark, DROPS).withColumn("daily_cost", F.round("daily_cost", 6))
+
+
+@query()
+def scripted_epochs(spark, sf_dir):
+    """The catalog after each scripted epoch."""
+    rows = generator.scripted_epochs(spark)
+    known, out = metrics._no_catalog(spark), None
+    for epoch in range(4):
+        so_far = rows.where(F.col("epoch") <= epoch)
+        results = commit.apply(sessions.reconcile(intents.candidate_intents(rows.where(F.col("epoch") == epoch)), CONFIG), known, inventory.live_inventory(so_far))
+        known = store(commit.catalog_after(known, results), "catalog")
+        now = known.select(F.lit(epoch).alias("epoch"), "partition_key")
+        out = now if out is None else out.unionByName(now)
+    return out

@@ -1,0 +1,51 @@
+"""A partitioned log: routing by key, offsets, polls, lag. Messages have seq, key and whatever else they carry."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from lakesync.functions.hashing import md5_mod
+
+
+def produce(messages: DataFrame, partitions: int, span: int = 1_000_000) -> DataFrame:
+    """messages with partition (md5 of the key) and offset (1, 2, 3 ... by seq in each partition).
+
+    A partition's rows are numbered in spans of seq, and each span starts where those before it end, so a log with few
+    partitions is still numbered by many tasks.
+    """
+    routed = messages.withColumn("partition", md5_mod(F.col("key"), partitions)).withColumn("span", F.floor(F.col("seq") / span))
+    sizes = routed.groupBy("partition", "span").agg(F.count("*").alias("n"))
+    before = sizes.select("partition", "span", (F.sum("n").over(Window.partitionBy("partition").orderBy("span")) - F.col("n")).alias("before"))
+    numbered = routed.withColumn("r", F.row_number().over(Window.partitionBy("partition", "span").orderBy("seq")))
+    return numbered.join(before, ["partition", "span"]).withColumn("offset", F.col("before") + F.col("r")).drop("span", "before", "r")
+
+
+def poll(log: DataFrame, positions: DataFrame, max_records: int) -> DataFrame:
+    """The next at most `max_records` messages of each partition after its position (partition, position)."""
+    at = log.join(positions, "partition", "left").withColumn("position", F.coalesce("position", F.lit(0)))
+    return at.where((F.col("offset") > F.col("position")) & (F.col("offset") <= F.col("position") + max_records)).drop("position")
+
+
+def advance(log: DataFrame, positions: DataFrame, max_records: int) -> DataFrame:
+    """Positions after a poll."""
+    ends = log.groupBy("partition").agg(F.max("offset").alias("end"))
+    joined = ends.join(positions, "partition", "left")
+    return joined.select("partition", F.least(F.col("end"), F.coalesce("position", F.lit(0)) + max_records).alias("position"))
+
+
+def seek_to_end(log: DataFrame) -> DataFrame:
+    """Positions at the end of each partition: a reader that starts here sees only what is yet to come."""
+    return log.groupBy("partition").agg(F.max("offset").alias("position"))
+
+
+def lag(log: DataFrame, positions: DataFrame) -> DataFrame:
+    """partition, produced, position, lag."""
+    ends = log.groupBy("partition").agg(F.max("offset").alias("produced"))
+    joined = ends.join(positions, "partition", "left").withColumn("position", F.coalesce("position", F.lit(0)))
+    return joined.withColumn("lag", F.col("produced") - F.col("position"))
+
+
+def recent(log: DataFrame, n: int = 20) -> DataFrame:
+    """The n messages with the highest (partition, offset)."""
+    return log.orderBy(F.desc("partition"), F.desc("offset")).limit(n)
