@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -26,10 +28,10 @@ def ship(spark: SparkSession) -> None:
     if context.applicationId in _sent or str(ROOT) in (context._jvm.System.getenv("PYTHONPATH") or "").split(os.pathsep):
         return
     _sent.add(context.applicationId)
-    with tempfile.TemporaryDirectory() as folder:
-        path = os.path.join(folder, "lakesync.zip")
-        with zipfile.ZipFile(path, "w") as z:
-            for file in sorted((ROOT / "lakesync").rglob("*.py")):
-                z.write(file, file.relative_to(ROOT))
-        context.addPyFile(path)
-        spark.range(1).mapInArrow(lambda batches: batches, "id long").collect()  # every worker fetches it before the folder goes
+    folder = tempfile.mkdtemp(prefix="lakesync-")  # the driver serves it from here to every executor, later ones too
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = os.path.join(folder, "lakesync.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for file in sorted((ROOT / "lakesync").rglob("*.py")):
+            z.write(file, file.relative_to(ROOT))
+    context.addPyFile(path)
