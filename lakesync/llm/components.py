@@ -22,9 +22,11 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFr
     sign = _sign(now)
     while sign[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.min("u")).alias("m"))
+        # minima are written before they are joined: both sides of the join are then dealt for it alone, and Spark can split a node with many edges
+        least = store(both.groupBy("u").agg(F.least(F.min("v"), F.min("u")).alias("m")), "least")
         large = both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where(F.col("u") != F.col("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = store(large, "large")
+        low = store(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         small = large.join(low, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e")).select(F.col("e.v").alias("u"), F.col("e.m").alias("v"))
         now = store(small.where(F.col("u") != F.col("v")).distinct(), "edges")
         before, sign = sign, _sign(now)
