@@ -27,7 +27,7 @@ from lakesync.llm.common import broadcast_if_small, store
 
 CHUNK, OVERLAP = 32_768, 1_024
 #: Pre-tokens whose ids a worker remembers; longer ones than this many characters are never kept.
-CACHE_ENTRIES, CACHE_CHARS = 600_000, 48
+CACHE_ENTRIES, CACHE_CHARS = 450_000, 48
 #: Texts whose characters all lie below this are split by a plain pattern with their letters, numbers and spaces listed.
 PLAIN = 0x250
 
@@ -137,8 +137,8 @@ def _encode_batches(path: str, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path, pattern)
         for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                part = batch.slice(start, 500)
+            for start in range(0, batch.num_rows, 300):
+                part = batch.slice(start, 300)
                 ids = [own.encode(t) for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [*(part.column(c) for c in part.schema.names if c != "text"), _list_array(ids), pa.array([own.decode(i) for i in ids], pa.binary())],

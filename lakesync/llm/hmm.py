@@ -30,7 +30,7 @@ STATES, OWN, SHARED = 8, 256, 256
 ITERATIONS, PIECE = 6, 128
 #: Most entries of the broadcast table of frequent tokens.
 FREQUENT = 250_000
-_FLUSH, _SLICE = 1_000_000, 1_000
+_FLUSH, _SLICE = 500_000, 400
 END = b""
 
 

@@ -28,7 +28,7 @@ WIDTH, SIMILARITY = 5, 0.8
 TREES, DEPTH, RECALL = 20, 8, 0.9999
 #: Sets in a block: two blocks meet in one task.
 BLOCK = 128
-_SLICE = 1_000
+_SLICE = 300
 _NOT_WORD = bytes(range(0x30)) + bytes(range(0x3A, 0x61)) + bytes(range(0x7B, 0x80))
 _BLANKED = bytes(b + 32 if 65 <= b <= 90 else 32 if b in _NOT_WORD else b for b in range(256))
 

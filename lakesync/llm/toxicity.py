@@ -15,7 +15,6 @@ from __future__ import annotations
 import re
 import uuid
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -35,7 +34,7 @@ EPOCHS, BATCH, RATE, NEGATIVES = 3, 256, 0.01, 20_000
 THRESHOLD = 0.3
 #: What makes a word telling (root of the log-likelihood ratio, odds ratio), and in how many texts other words of the vocabulary stand.
 EVIDENCE, ODDS, FAMILIAR = 5.5, 12.0, 20
-_SLICE, _CHUNK = 1_000, 4_096
+_SLICE, _CHUNK = 300, 4_096
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
 
@@ -239,26 +238,44 @@ def without_near_copies(docs: list[list[bytes]], bands: int = 6, rows: int = 3,
 
 
 def parts(word: bytes) -> list[bytes]:
-    """A word, and with a mark before it its runs of 4 to 6 bytes."""
+    """A word, and with a mark before it its runs of 4 and 5 bytes."""
     marked = b"^" + word[:CHARS]
-    return [word, *(marked[k : k + n] for n in (4, 5, 6) for k in range(len(marked) - n + 1))]
-
-
-def hints(toxic: list[list[bytes]], clean: list[list[bytes]]) -> tuple[dict[bytes, float], Counter]:
-    """Words and parts of words -> root of the log-likelihood ratio against the labels' shares, where odds are ODDS times or more; texts that hold each."""
-    of_word: dict[bytes, list[bytes]] = {}
-    seen = []
-    for texts in (clean, toxic):
-        counts: Counter = Counter()
-        for words in texts:
-            counts.update({g for w in set(words) for g in of_word.setdefault(w, parts(w))})
-        seen.append(counts)
-    share, out = len(toxic) / (len(toxic) + len(clean)), {}
-    for g, t in seen[1].items():
-        c, n = seen[0][g], seen[0][g] + t
-        if (t + 0.5) * (len(clean) + 1) >= ODDS * (c + 0.5) * (len(toxic) + 1):
-            out[g] = float(np.sqrt(2 * (t * np.log(t / (n * share)) + (c * np.log(c / (n * (1 - share))) if c else 0))))
-    return out, seen[0] + seen[1]
+    return [word, *(marked[k : k + n] for n in (4, 5) for k in range(len(marked) - n + 1))]
+
+
+class Hints:
+    """Words and parts of words by number: how telling each is, and how many texts hold it.
+
+    Telling is the root of the log-likelihood ratio against the labels' shares, where the odds are ODDS times or more, else 0.
+    """
+
+    def __init__(self, toxic: list[list[bytes]], clean: list[list[bytes]]):
+        self.number: dict[bytes, int] = {}
+        self.of_word: dict[bytes, np.ndarray] = {}
+        held = []
+        for texts in (clean, toxic):
+            rows = [np.unique(np.concatenate([self._parts(w) for w in set(words)])) for words in texts if words]
+            held.append(np.concatenate(rows) if rows else np.zeros(0, np.int32))
+        c, t = (np.bincount(ids, minlength=len(self.number)).astype(float) for ids in held)
+        share, n = len(toxic) / (len(toxic) + len(clean)), c + t
+        with np.errstate(divide="ignore", invalid="ignore"):
+            ratio = np.where(t > 0, t * np.log(t / (n * share)), 0) + np.where(c > 0, c * np.log(c / (n * (1 - share))), 0)
+        odd = (t + 0.5) * (len(clean) + 1) >= ODDS * (c + 0.5) * (len(toxic) + 1)
+        self.telling, self.texts = np.where(odd, np.sqrt(np.maximum(2 * ratio, 0)), 0), n
+
+    def _parts(self, word: bytes) -> np.ndarray:
+        if word not in self.of_word:
+            self.of_word[word] = np.fromiter((self.number.setdefault(g, len(self.number)) for g in parts(word)), np.int32)
+        return self.of_word[word]
+
+    def strength(self, word: bytes) -> float:
+        """Of the most telling part of a word."""
+        return float(self.telling[self.of_word[word]].max())
+
+    def own(self, word: bytes) -> tuple[float, int]:
+        """How telling the word itself is, and in how many texts it stands."""
+        i = self.number[word]
+        return float(self.telling[i]), int(self.texts[i])
 
 
 def train(sample: list[tuple[str, int, int]], seed: int = 5) -> Network | Constant:
@@ -269,11 +286,12 @@ def train(sample: list[tuple[str, int, int]], seed: int = 5) -> Network | Consta
     n_toxic = sum(t for _, t in fit)
     if not 0 < n_toxic < len(fit):
         return Constant(sum(t for _, t, _ in once) / len(once) if once else 0.0)
-    hint, held = hints([w for w, t in fit if t], [w for w, t in fit if not t])
-    vocabulary = {w for words, _ in fit for w in words}
-    strength = {w: max((hint[g] for g in parts(w) if g in hint), default=0.0) for w in vocabulary}
-    telling = {w: hint[w] for w in vocabulary if hint.get(w, 0.0) >= EVIDENCE}
-    ranked = sorted((w for w in vocabulary if w in telling or held[w] >= FAMILIAR), key=lambda w: (-telling.get(w, 0.0), -held[w], w))[:VOCABULARY]
+    hint = Hints([w for w, t in fit if t], [w for w, t in fit if not t])
+    strength = {w: hint.strength(w) for w in hint.of_word}
+    own = {w: hint.own(w) for w in hint.of_word}
+    telling = {w: x for w, (x, _) in own.items() if x >= EVIDENCE}
+    ranked = sorted((w for w, (_, n) in own.items() if w in telling or n >= FAMILIAR), key=lambda w: (-telling.get(w, 0.0), -own[w][1], w))[:VOCABULARY]
+    del hint, own
     model = Network({w: i + 1 for i, w in enumerate(ranked)}, np.array([telling.get(w, 0.0) for w in ranked], np.float32))
     rng = np.random.default_rng(seed)
     positive, negative = [], []
@@ -350,8 +368,8 @@ def score(docs: DataFrame, model: Network | Constant, keep: tuple[str, ...] = ("
             _models.clear()
             _models[run_id] = shared.value
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            scores = [_models[run_id].scores([words_of(t) for t in texts[low : low + _SLICE]]) for low in range(0, len(texts), _SLICE)]
+            texts = batch.column("text")
+            scores = [_models[run_id].scores([words_of(t) for t in texts.slice(low, _SLICE).to_pylist()]) for low in range(0, len(texts), _SLICE)]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), pa.array(np.concatenate([np.zeros(0), *scores]), pa.float64())], names=[*kept, "score"])
 
     rows = docs.select(*[F.col(c).alias(k) for k, c in zip(kept, keep)], F.col("text"))
