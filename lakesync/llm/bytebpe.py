@@ -163,22 +163,21 @@ def _edges(pattern: str, chunk: int):
                 sure = starts[ends < len(text) - 1]
                 heads.append((sure[(sure > 0) & (sure < shared)] + at).astype(np.int32))
                 tails.append((sure[sure >= chunk] + at).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("at"), _list_array(heads), _list_array(tails)], names=["row", "at", "head", "tail"])
+            yield pa.RecordBatch.from_arrays([batch.column("name"), batch.column("at"), _list_array(heads), _list_array(tails)], names=["name", "at", "head", "tail"])
 
     return run
 
 
 def cut_points(chunks: DataFrame, pattern: str, chunk: int) -> DataFrame:
-    """row, cuts: for each long text the boundaries, one for a pair of neighbouring chunks, from which both agree.
+    """name, cuts: for each long text the boundaries, one for a pair of neighbouring chunks, from which both agree.
 
     A chunk counts only if all before it have met their neighbours; where two do not meet, no cut is made and the piece goes on.
     """
-    edges = chunks.mapInArrow(_edges(pattern, chunk), "row long, at int, head array<int>, tail array<int>")
-    order = Window.partitionBy("row").orderBy("at")
-    # a boundary at the very start of the overlap is shared by construction, not by agreement
+    edges = chunks.mapInArrow(_edges(pattern, chunk), "name string, at int, head array<int>, tail array<int>").dropDuplicates(["name", "at"])
+    order = Window.partitionBy("name").orderBy("at")
     met = edges.withColumn("cut", F.array_min(F.array_intersect("head", F.lag("tail").over(order))))
     reached = met.withColumn("reached", F.min((F.col("cut").isNotNull() | (F.col("at") == 0)).cast("int")).over(order))
-    return reached.groupBy("row").agg(F.array_sort(F.collect_list(F.when(F.col("reached") == 1, F.col("cut")))).alias("cuts"))
+    return reached.groupBy("name").agg(F.array_sort(F.collect_list(F.when(F.col("reached") == 1, F.col("cut")))).alias("cuts"))
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
@@ -187,12 +186,13 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, chunk: int = CHUNK, o
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     size = F.length("text")
     short = rows.where(size <= chunk).mapInArrow(_encode_batches(ranks_path, pattern), f"doc_id {kind}, ids array<int>, decoded binary")
-    long = rows.where(size > chunk).select("doc_id", "text", F.xxhash64(F.monotonically_increasing_id()).alias("row"))
+    # cuts depend on the text alone, so they are found once for each distinct text and named by its digest
+    long = rows.where(size > chunk).withColumn("name", F.sha2("text", 256))
     chunks = long.withColumn("at", F.explode(F.sequence(F.lit(0), size - 1, F.lit(chunk)))).select(
-        "row", "at", F.substring("text", F.col("at") + 1, F.lit(chunk + overlap)).alias("text"), F.lit(overlap).alias("shared")
+        "name", "at", F.substring("text", F.col("at") + 1, F.lit(chunk + overlap)).alias("text"), F.lit(overlap).alias("shared")
     )
     cuts = store(cut_points(chunks, pattern, chunk), "cuts")
-    bounded = long.join(broadcast_if_small(cuts, limit=50_000), "row").withColumn("cuts", F.concat(F.array(F.lit(0)), "cuts"))
+    bounded = long.join(broadcast_if_small(cuts, limit=50_000), "name").withColumn("cuts", F.concat(F.array(F.lit(0)), "cuts")).withColumn("row", F.monotonically_increasing_id())
     piece = F.substring("text", F.get("cuts", F.col("piece")) + 1, F.coalesce(F.get("cuts", F.col("piece") + 1), size) - F.get("cuts", F.col("piece")))
     pieces = bounded.withColumn("piece", F.explode(F.sequence(F.lit(0), F.size("cuts") - 1))).select("row", "doc_id", "piece", piece.alias("text"))
     coded = pieces.mapInArrow(_encode_batches(ranks_path, pattern), f"row long, doc_id {kind}, piece int, ids array<int>, decoded binary")

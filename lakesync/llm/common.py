@@ -1,14 +1,14 @@
-"""What the operators share: reading tables, scratch tables in the shared folder, size-checked broadcasts."""
+"""What the operators share: reading tables, size-checked broadcasts, words, folds."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lakesync.scratch import store
+
+__all__ = ["ascii_lower", "broadcast_if_small", "crc_bucket", "store", "table", "words"]
+
 #: A side is broadcast only if a count has shown that it has no more rows than this.
 BROADCAST_ROWS = 200_000
 
@@ -21,44 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if current.isDefined():
-            return current.get()
-        folder = tempfile.mkdtemp(prefix="lakesync-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
-
-
-_stored: list[tuple[SparkSession, str]] = []
-
-
-def _delete_stored() -> None:
-    for spark, path in _stored:
-        try:
-            jvm, jsc = spark.sparkContext._jvm, spark.sparkContext._jsc
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(jsc.hadoopConfiguration()).delete(target, True)
-        except Exception:  # the session has already ended; the shared folder's own cleaning applies
-            return
-
-
-def store(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: its lineage ends there, and a lost executor costs nothing."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    if not _stored:
-        atexit.register(_delete_stored)
-    _stored.append((spark, path))
-    schema = df.schema
-    writer = df.write.partitionBy(*partition_by) if partition_by else df.write
-    writer.parquet(path)
-    return spark.read.schema(schema).parquet(path)
-
-
 def broadcast_if_small(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it has at most `limit` rows, else as it is (Spark then shuffles the join)."""
     rows = df.count() if rows is None else rows

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakesync.llm.common import crc_bucket
+from lakesync.llm.common import broadcast_if_small, crc_bucket
 
 ORDER = 4
 #: Bounds of the sample and of the trees: documents (in expectation) and contexts per language.
@@ -58,7 +58,7 @@ def learn(docs: DataFrame, order: int = ORDER, sample_docs: int = SAMPLE_DOCS) -
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     sizes = docs.where(F.col("lang").isNotNull()).groupBy("lang").agg(F.count("*").alias("n"))
     chance = F.least(F.lit(float(sample_docs)) / F.col("n"), F.lit(1.0))
-    chosen = known.join(F.broadcast(sizes.limit(10_000)), "lang").where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < chance * (1 << 30))
+    chosen = known.join(broadcast_if_small(sizes), "lang").where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < chance * (1 << 30))
     grams = chosen.select("lang", "text").mapInArrow(_gram_counts(order), "lang string, length int, gram long, n long")
     # single sightings of long grams carry no context of their own, but count in their contexts' totals
     counted = grams.groupBy("lang", "length", "gram").agg(F.sum("n").alias("n")).where((F.col("length") <= 3) | (F.col("n") > 1))
