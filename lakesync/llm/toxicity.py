@@ -361,6 +361,7 @@ def score(docs: DataFrame, model: Network | Constant, keep: tuple[str, ...] = ("
     """The kept columns and the score, called `name`, of each row of docs."""
     shared, run_id = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
     kept = [f"c{i}" for i in range(len(keep))]
+    text = kept[keep.index("text")] if "text" in keep else "text"  # never sent twice
     kinds = [f"{k} {docs.schema[c].dataType.simpleString()}" for k, c in zip(kept, keep)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -368,11 +369,11 @@ def score(docs: DataFrame, model: Network | Constant, keep: tuple[str, ...] = ("
             _models.clear()
             _models[run_id] = shared.value
         for batch in batches:
-            texts = batch.column("text")
+            texts = batch.column(text)
             scores = [_models[run_id].scores([words_of(t) for t in texts.slice(low, _SLICE).to_pylist()]) for low in range(0, len(texts), _SLICE)]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), pa.array(np.concatenate([np.zeros(0), *scores]), pa.float64())], names=[*kept, "score"])
 
-    rows = docs.select(*[F.col(c).alias(k) for k, c in zip(kept, keep)], F.col("text"))
+    rows = docs.select(*[F.col(c).alias(k) for k, c in zip(kept, keep)], *([] if "text" in keep else ["text"]))
     return rows.mapInArrow(run, ", ".join([*kinds, "score double"])).toDF(*keep, name)
 
 
