@@ -86,6 +86,14 @@ def drop_sweep(spark: SparkSession, fractions: list[float], changed: float = 0.0
     return out.withColumn("alpha_drop", F.col("lists") / F.greatest(F.col("dropped"), F.lit(1))).withColumn("daily_cost", daily_cost(F.col("lists")))
 
 
+def report(result: DataFrame, folder: str, name: str) -> str:
+    """Print a small result and keep it as a CSV file under a name with the time in it; returns the path."""
+    stamp = result.sparkSession.sql("SELECT date_format(current_timestamp(), 'yyyyMMdd-HHmmss') AS t").first().t
+    result.show(200, truncate=False)
+    result.coalesce(1).write.option("header", True).csv(path := f"{folder.rstrip('/')}/{name}-{stamp}")
+    return path
+
+
 def request_cost(results: DataFrame) -> DataFrame:
     """Totals of a run: intents, what was committed and coalesced, requests per commit, reduction against a scan, cost."""
     requests = F.sum("heads") + F.sum("lists")

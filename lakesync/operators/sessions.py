@@ -99,6 +99,11 @@ def effective_intents(assigned: DataFrame, config: SyncConfig) -> DataFrame:
     return out.withColumn("flush_us", F.least(F.col("last_us") + config.window_us, F.col("first_us") + config.cap_us))
 
 
+def flush_order(effective: DataFrame) -> DataFrame:
+    """Sessions in the order in which a single buffer would flush them: by time, then key."""
+    return effective.orderBy("flush_us", *KEY, "sid")
+
+
 def reconcile(intents: DataFrame, config: SyncConfig) -> DataFrame:
     """All intents of a key as one session, as when a buffer is flushed by force."""
     place = F.row_number().over(Window.partitionBy(*KEY, "kind").orderBy("t_us", "seq"))

@@ -28,6 +28,16 @@ def read(spark: SparkSession, sf_dir: str) -> DataFrame:
     return from_events(spark.read.parquet(f"{sf_dir}/events.parquet"))
 
 
+def write_bursts(rows: DataFrame, folder: str, bursts: int) -> None:
+    """Envelopes as Parquet files for a stream, one burst after another in order of arrival."""
+    low, high = rows.agg(F.min("t_us"), F.max("t_us")).first()
+    if low is None:
+        return
+    step = (high - low) // bursts + 1
+    for i in range(bursts):
+        rows.where(F.col("t_us").between(low + i * step, low + (i + 1) * step - 1)).coalesce(1).write.mode("append").parquet(folder)
+
+
 def stream(spark: SparkSession, folder: str, files_per_batch: int = 1) -> DataFrame:
     """Envelopes as a stream of Parquet files of user events; any source with the same columns serves as well."""
     schema = "event_id long, ts timestamp_ntz, user_id long, event_type string"

@@ -58,14 +58,25 @@ def note_objects(tables: Tables, envelopes: DataFrame, version: int) -> DataFram
     return tables.write("inventory", folded, version)
 
 
+def one_intent(rows: DataFrame, proofs: int) -> DataFrame:
+    """The intents of each key as one: ADD if any adds, with the first proofs of those that do, newest sessions first."""
+    adds = F.col("kind") == "ADD"
+    of_adds = F.array_sort(F.collect_list(F.when(adds, F.struct("attempt", "proof_keys"))))
+    return rows.groupBy(*KEY).agg(
+        F.first("partition_prefix").alias("partition_prefix"), F.when(F.bool_or(adds), "ADD").otherwise(F.first("kind")).alias("kind"),
+        F.slice(F.flatten(F.transform(of_adds, lambda p: p["proof_keys"])), 1, proofs).alias("proof_keys"), F.sum("n").alias("n"), F.min("attempt").alias("attempt"),
+    )
+
+
 def commit_batch(tables: Tables, sessions: DataFrame, config: SyncConfig, version: int, now_s: float, faults: DataFrame | None = None) -> DataFrame:
     """Apply flushed sessions and the retries that are due: catalog, queue, dead letters and audit of this version."""
     columns = [*KEY, "partition_prefix", "kind", "proof_keys", "n"]
     queue = tables.latest("queue", version)
-    ready = retries.due(queue, now_s).select(*columns, "attempt")
     fresh = sessions.select(*columns).withColumn("attempt", F.lit(0))
-    # one intent for a key: a new session's takes the place of an older one's retry
-    both = fresh.unionByName(ready).groupBy(*KEY).agg(F.min_by(F.struct("partition_prefix", "kind", "proof_keys", "n", "attempt"), "attempt").alias("r")).select(*KEY, "r.*")
+    # one intent for a key: what waits for a retry, due or not, goes with the key's new sessions, and an addition dominates
+    early = queue.where(F.col("retry_at_s") > now_s).join(fresh.select(*KEY).distinct(), KEY, "left_semi")
+    ready = retries.due(queue, now_s).unionByName(early).select(*columns, "attempt")
+    both = one_intent(fresh.unionByName(ready), config.proofs)
     known = tables.latest("catalog", version)
     live = tables.latest("inventory").where("live")
     results = commit.apply(both, known, live, config.enable_drop, faults).cache()
