@@ -23,13 +23,15 @@ def at_ranks(df: DataFrame, value: str, quantiles: dict[str, float], buckets: in
         before[b], ends = ends, ends + sizes[b]
     places = {name: min(int(q * n), n - 1) for name, q in quantiles.items()}
     of = {name: max(b for b in before if before[b] <= place) for name, place in places.items()}
-    ranked = binned.where(F.col("b").isin(sorted(set(of.values())))).withColumn("r", F.row_number().over(Window.partitionBy("b").orderBy("x")))
-    wanted = sorted({(of[name], places[name] - before[of[name]] + 1) for name in places})
+    # equal values are one row with their number, so ties don't gather in a task
+    counted = binned.where(F.col("b").isin(sorted(set(of.values())))).groupBy("b", "x").agg(F.count("*").alias("c"))
+    ranked = counted.withColumn("end", F.sum("c").over(Window.partitionBy("b").orderBy("x")))
+    wanted = {name: (of[name], places[name] - before[of[name]] + 1) for name in places}
     match = F.lit(False)
-    for b, r in wanted:
-        match = match | ((F.col("b") == b) & (F.col("r") == r))
-    found = {(r.b, r.r): r.x for r in ranked.where(match).collect()}
-    return {name: found[of[name], places[name] - before[of[name]] + 1] for name in places}
+    for b, r in sorted(set(wanted.values())):
+        match = match | ((F.col("b") == b) & (F.col("end") >= r) & (F.col("end") - F.col("c") < r))
+    found = ranked.where(match).collect()
+    return {name: next(x.x for x in found if x.b == b and x.end >= r > x.end - x.c) for name, (b, r) in wanted.items()}
 
 
 def median(df: DataFrame, value: str) -> float | None:

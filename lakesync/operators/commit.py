@@ -77,8 +77,11 @@ def apply(effective: DataFrame, catalog: DataFrame, inventory: DataFrame, enable
     effective = store(effective, "flush")  # small next to what it comes from, and read by each of the lookups
     rows = effective.join(catalog.select(*KEY).distinct().withColumn("in_catalog", F.lit(True)), KEY, "left").withColumn("in_catalog", F.coalesce("in_catalog", F.lit(False)))
     rows = rows.join(head_proofs(effective.where(F.col("kind") == "ADD"), inventory, KEY), KEY, "left")
-    prefixes = effective.select("tenant_id", "partition_prefix").distinct()
-    rows = rows.join(list_prefixes(prefixes, inventory), ["tenant_id", "partition_prefix"])
+    rows = store(rows, "lookups")
+    # storage is listed only where a decision asks for it: known keys, drops, and additions without a proof that exists
+    asked = rows.where(F.col("in_catalog") | (F.col("kind") != "ADD") | F.col("first_hit").isNull()).select("tenant_id", "partition_prefix").distinct()
+    listed = list_prefixes(asked, inventory).where("non_empty")
+    rows = rows.join(listed, ["tenant_id", "partition_prefix"], "left").withColumn("non_empty", F.coalesce("non_empty", F.lit(False)))
     if faults is None:
         for call in _CALLS:
             rows = rows.withColumn(f"fault_{call}", F.lit(None).cast("string"))

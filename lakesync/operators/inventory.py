@@ -41,7 +41,8 @@ def list_prefixes(prefixes: DataFrame, inventory: DataFrame) -> DataFrame:
 
     Objects are joined by each directory above them, so the join is by equality and a prefix sees nested objects too.
     """
-    above = inventory.where(counts_for_listing(F.col("object_key"))).select("tenant_id", F.explode(paths.ancestor_prefixes(F.col("object_key"))).alias("partition_prefix"))
+    folders = inventory.where(counts_for_listing(F.col("object_key"))).select("tenant_id", paths.directory(F.col("object_key")).alias("d")).distinct()
+    above = folders.select("tenant_id", F.explode(paths.ancestor_prefixes(F.col("d"))).alias("partition_prefix"))
     there = above.join(prefixes.select("tenant_id", "partition_prefix").distinct(), ["tenant_id", "partition_prefix"], "left_semi").distinct()
     return prefixes.join(there.withColumn("non_empty", F.lit(True)), ["tenant_id", "partition_prefix"], "left").withColumn("non_empty", F.coalesce("non_empty", F.lit(False)))
 

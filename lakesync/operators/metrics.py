@@ -61,7 +61,7 @@ def coalescing(spark: SparkSession, fractions: list[float], miss_rate: float = 0
 def convergence(spark: SparkSession, windows: list[float], fraction: float = 0.01, grace: float = 1.0) -> DataFrame:
     """Median, p95 and p99 of the latency when all events arrive at once and the flush comes a millisecond after window and grace."""
     rows = []
-    changed = generator.changed_partitions(spark, fraction).withColumn("seen_us", F.lit(generator.BASE_US))
+    changed = store(generator.changed_partitions(spark, fraction), "partitions").withColumn("seen_us", F.lit(generator.BASE_US))
     for w in windows:
         flush = F.lit(generator.BASE_US + round((w + grace) * 1e6) + 1_000)
         lat = changed.select(((flush - F.col("seen_us")) / F.lit(1e6)).alias("latency_s"))

@@ -105,9 +105,21 @@ def flush_order(effective: DataFrame) -> DataFrame:
 
 
 def reconcile(intents: DataFrame, config: SyncConfig) -> DataFrame:
-    """All intents of a key as one session, as when a buffer is flushed by force."""
-    place = F.row_number().over(Window.partitionBy(*KEY, "kind").orderBy("t_us", "seq"))
-    return effective_intents(intents.withColumn("sid", F.lit(1).cast("long")).withColumn("place", place), config)
+    """All intents of a key as one session, as when a buffer is flushed by force.
+
+    Counts and times combine on the map side, in numbers only; the proofs are the first few additions of each key, which
+    every task cuts to that few before the shuffle.
+    """
+    names = [*KEY, "partition_prefix"]
+    whole = intents.groupBy(*names).agg(
+        F.count("*").alias("n"), F.count_if(F.col("kind") == ADD_CANDIDATE).alias("n_add"), F.min("t_us").alias("first_us"), F.max("t_us").alias("last_us"),
+    )
+    place = F.row_number().over(Window.partitionBy(*names).orderBy("t_us", "seq"))
+    first = intents.where(F.col("kind") == ADD_CANDIDATE).select(*names, "t_us", "seq", "proof").withColumn("place", place).where(F.col("place") <= config.proofs)
+    proofs = first.groupBy(*names).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "proof"))), lambda p: p["proof"]).alias("proof_keys"))
+    out = whole.join(proofs, names, "left").withColumn("kind", F.when(F.col("n_add") > 0, "ADD").otherwise("DROP"))
+    flush = F.least(F.col("last_us") + config.window_us, F.col("first_us") + config.cap_us)
+    return out.select(*KEY, "partition_prefix", "kind", F.coalesce("proof_keys", F.array().cast("array<string>")).alias("proof_keys"), "n", "first_us", "last_us", flush.alias("flush_us"))
 
 
 def buffer_snapshot(assigned: DataFrame, now_us: int, config: SyncConfig) -> DataFrame:

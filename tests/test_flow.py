@@ -32,7 +32,7 @@ def test_additions_coalesce_with_three_proofs_at_most(spark):
 
 def test_addition_dominates_and_repeats_are_kept(spark):
     (r,) = flush(spark, [(0, DROP_CANDIDATE, None), (1, ADD_CANDIDATE, "a"), (2, ADD_CANDIDATE, "a")])
-    assert r.kind == "ADD" and r.proof_keys == ["a", "a"] and r.last_kind == ADD_CANDIDATE
+    assert r.kind == "ADD" and r.proof_keys == ["a", "a"] and (r.n, r.first_us, r.last_us) == (3, 0, 2_000_000)
     (r,) = flush(spark, [(0, DROP_CANDIDATE, None)] * 2)
     assert r.kind == "DROP" and r.proof_keys == []
     assert flush(spark, []) == []
