@@ -207,15 +207,19 @@ class Constant:
         return np.full(len(texts), self.share)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clean_rows: int = CLEAN_ROWS) -> list[tuple[str, int, int]]:
-    """(text, toxic, fold) of about so many rows of each kind, chosen by a hash of the id; the bounds hold whatever the tables' size."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clean_rows: int = CLEAN_ROWS) -> list[tuple[str, int, int, float]]:
+    """(text, toxic, fold, weight) of about so many rows of each kind, chosen by a hash of the id; the bounds hold whatever the tables' size.
+
+    A row's weight is the number of labelled rows of its kind that it stands for.
+    """
     own = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(learns(F.col("doc_id")))
     sizes = dict(own.groupBy("toxic").agg(F.count("*")).collect())
-    chance = F.when(F.col("toxic") == 1, toxic_rows / max(sizes.get(1, 0), 1)).otherwise(clean_rows / max(sizes.get(0, 0), 1))
+    rate = {1: min(toxic_rows / max(sizes.get(1, 0), 1), 1.0), 0: min(clean_rows / max(sizes.get(0, 0), 1), 1.0)}
+    chance = F.when(F.col("toxic") == 1, rate[1]).otherwise(rate[0])
     chosen = own.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < chance * (1 << 30))
     texts = docs.select("doc_id", "text").where(F.length("text") <= TRAIN_CHARS).join(F.broadcast(chosen), "doc_id")
     rows = texts.select("doc_id", "text", "toxic", crc_bucket(F.col("doc_id"), 4).alias("fold")).collect()
-    return [(r.text, int(r.toxic), int(r.fold)) for r in sorted(rows, key=lambda r: (r.doc_id, r.text))]
+    return [(r.text, int(r.toxic), int(r.fold), 1 / rate[int(r.toxic == 1)]) for r in sorted(rows, key=lambda r: (r.doc_id, r.text))]
 
 
 def without_near_copies(docs: list[list[bytes]], bands: int = 6, rows: int = 3, seed: int = 3) -> list[int]:
@@ -278,14 +282,20 @@ class Hints:
         return float(self.telling[i]), int(self.texts[i])
 
 
-def train(sample: list[tuple[str, int, int]], seed: int = 5) -> Network | Constant:
-    """Fit on folds 0 and 1, calibrate on fold 3."""
-    once = list({(text, toxic): (words_of(text), toxic, fold) for text, toxic, fold in sample}.values())
+def toxic_share(sample: list[tuple[str, int, int, float]]) -> float:
+    """The share of toxic rows among all labelled rows that the sample stands for."""
+    weight = sum(w for *_, w in sample)
+    return sum(w for _, toxic, _, w in sample if toxic) / weight if weight else 0.0
+
+
+def train(sample: list[tuple[str, int, int, float]], seed: int = 5) -> Network | Constant:
+    """Fit on folds 0 and 1, calibrate on fold 3 to the share of toxic rows before sampling and without copies taken out."""
+    once = list({(text, toxic): (words_of(text), toxic, fold) for text, toxic, fold, _ in sample}.values())
     once = [once[i] for i in without_near_copies([w for w, _, _ in once])]
     fit, rest = [(w, t) for w, t, f in once if f != 3], [(w, t) for w, t, f in once if f == 3]
     n_toxic = sum(t for _, t in fit)
     if not 0 < n_toxic < len(fit):
-        return Constant(sum(t for _, t, _ in once) / len(once) if once else 0.0)
+        return Constant(toxic_share(sample))
     hint = Hints([w for w, t in fit if t], [w for w, t in fit if not t])
     strength = {w: hint.strength(w) for w in hint.of_word}
     own = {w: hint.own(w) for w in hint.of_word}
@@ -303,7 +313,7 @@ def train(sample: list[tuple[str, int, int]], seed: int = 5) -> Network | Consta
             elif max((strength[w] for w in window), default=0.0) >= EVIDENCE:
                 positive.append(window)
     if not positive or not negative:
-        return Constant(n_toxic / len(fit))
+        return Constant(toxic_share(sample))
     pick = lambda windows, n: [windows[i] for i in rng.permutation(len(windows))[:n]]
     positive = pick(positive, NEGATIVES)
     for _ in range(2):  # the second time with the clean windows that the first took for toxic
@@ -315,7 +325,7 @@ def train(sample: list[tuple[str, int, int]], seed: int = 5) -> Network | Consta
         truth = np.array([1] * len(positive) + [0] * len(chosen), np.float32)
         weight = np.where(truth > 0, 0.5 * len(truth) / len(positive), 0.5 * len(truth) / len(chosen)).astype(np.float32)
         _descend(model, positive + chosen, truth, weight, rng)
-    _calibrate(model, rest or fit)
+    _calibrate(model, rest or fit, toxic_share(sample))
     return model
 
 
@@ -339,16 +349,18 @@ def _descend(model: Network, windows: list[list[bytes]], truth: np.ndarray, weig
                 model.p[k] -= (rate * first[k] / (np.sqrt(second[k]) + 1e-8)).astype(np.float32)
 
 
-def _calibrate(model: Network, docs: list[tuple[list[bytes], int]]) -> None:
-    """Scale and shift of the top logit by logistic regression on texts that were not fitted."""
+def _calibrate(model: Network, docs: list[tuple[list[bytes], int]], share: float) -> None:
+    """Scale and shift of the top logit by logistic regression on texts that were not fitted, weighted to the given share of toxic ones."""
     model.scale, model.shift = 1.0, 0.0
     p = np.clip(model.scores([w for w, _ in docs]), 1e-9, 1 - 1e-9)
     x, y = np.log(p / (1 - p)), np.array([t for _, t in docs], float)
-    a, b = 1.0, 0.0
+    n_toxic, a, b = y.sum(), 1.0, 0.0
+    weight = np.where(y > 0, share * len(y) / max(n_toxic, 1), (1 - share) * len(y) / max(len(y) - n_toxic, 1)) if 0 < n_toxic < len(y) else np.ones(len(y))
     for _ in range(50):  # Newton's method with a weak pull to (1, 0)
         q = _sigmoid(a * x + b)
-        g = np.array([((q - y) * x).sum() + 0.1 * (a - 1), (q - y).sum() + 0.1 * b])
-        w = q * (1 - q)
+        e = weight * (q - y)
+        g = np.array([(e * x).sum() + 0.1 * (a - 1), e.sum() + 0.1 * b])
+        w = weight * q * (1 - q)
         h = np.array([[(w * x * x).sum() + 0.1, (w * x).sum()], [(w * x).sum(), w.sum() + 0.1]])
         a, b = np.array([a, b]) - np.clip(np.linalg.solve(h, g), -1, 1)
     model.scale, model.shift = float(max(a, 0.05)), float(b)

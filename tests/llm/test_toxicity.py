@@ -66,3 +66,22 @@ def test_no_labels_nulls_and_empty_tables(spark):
     assert [r.score for r in toxicity.score(docs, model).collect()] == [0.0] * 5
     assert toxicity.score(docs.limit(0), tiny()).count() == 0
     assert len(toxicity.score(docs, tiny()).collect()) == 5
+
+
+def test_sampling_rates_do_not_move_the_share(spark):
+    ids = range(1, 8001)
+    docs = spark.createDataFrame([(i, f"text number {i}") for i in ids], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 10 == 0)) for i in ids], "doc_id long, toxic int")
+    sample = toxicity.labelled_sample(docs, labels, 200, 200)
+    n_toxic = sum(t for _, t, *_ in sample)
+    assert 0.4 < n_toxic / len(sample) < 0.6 and abs(toxicity.toxic_share(sample) - 0.1) < 0.03
+    assert toxicity.toxic_share(toxicity.labelled_sample(docs, labels.where("toxic = 1"), 50, 50)) == 1
+
+
+def test_scores_are_calibrated_to_the_share_before_sampling():
+    docs = [([b"bad", b"good"] if i % 3 else [b"good"], i % 2) for i in range(600)]
+    for share in (0.5, 0.1):
+        model = tiny()
+        toxicity._calibrate(model, docs, share)
+        mean = [model.scores([w for w, t in docs if t == kind]).mean() for kind in (0, 1)]
+        assert abs((1 - share) * mean[0] + share * mean[1] - share) < 0.01
