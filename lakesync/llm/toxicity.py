@@ -4,10 +4,11 @@ A word's input is an embedding of the word, if it is in the vocabulary, plus the
 A text is cut into windows of `WINDOW` words that overlap by half (the last one ends with the text); the network reads each
 window in both directions, attention pools its states, and the text's score is the calibrated maximum over all of its windows.
 The network is trained in numpy on a bounded sample of labelled rows: windows of toxic texts count as positive if they hold a word
-that the labels single out, windows of clean texts as negative, others are left aside.
+that the labels single out, windows of clean texts as negative, others are left aside. Where no window holds such a word (few labels
+cannot single one out), the windows of each toxic text with the strongest evidence of it are the positives.
 
 Null texts and texts without words are scored as an empty window. Rows are independent; repeated rows repeat. Without labels
-of both kinds every score is the share of toxic labels (0 without labels). Only text enters a score.
+of both kinds on texts with words every score is the share of toxic labels (0 without labels). Only text enters a score.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ TOXIC_ROWS, CLEAN_ROWS, TRAIN_CHARS = 1_500, 3_000, 20_000
 WINDOW, STRIDE = 24, 12
 VOCABULARY, TRIGRAMS, CHARS = 8_192, 4_096, 16
 INPUTS, HIDDEN, ATTENTION = 16, 8, 8
-EPOCHS, BATCH, RATE, NEGATIVES = 3, 256, 0.01, 20_000
+EPOCHS, STEPS, BATCH, RATE, NEGATIVES = 3, 120, 256, 0.01, 20_000  # epochs go on until so many steps are made
 THRESHOLD = 0.3
 #: What makes a word telling (root of the log-likelihood ratio, odds ratio), and in how many texts other words of the vocabulary stand.
 EVIDENCE, ODDS, FAMILIAR = 5.5, 12.0, 20
@@ -293,27 +294,29 @@ def train(sample: list[tuple[str, int, int, float]], seed: int = 5) -> Network |
     once = list({(text, toxic): (words_of(text), toxic, fold) for text, toxic, fold, _ in sample}.values())
     once = [once[i] for i in without_near_copies([w for w, _, _ in once])]
     fit, rest = [(w, t) for w, t, f in once if f != 3], [(w, t) for w, t, f in once if f == 3]
-    n_toxic = sum(t for _, t in fit)
-    if not 0 < n_toxic < len(fit):
+    kinds = lambda rows: len({t > 0 for _, t in rows})
+    if kinds(fit) < 2 or kinds(rest) < 2:  # too few labels to part them
+        fit = rest = fit + rest
+    if kinds(fit) < 2:
         return Constant(toxic_share(sample))
     hint = Hints([w for w, t in fit if t], [w for w, t in fit if not t])
     strength = {w: hint.strength(w) for w in hint.of_word}
     own = {w: hint.own(w) for w in hint.of_word}
-    telling = {w: x for w, (x, _) in own.items() if x >= EVIDENCE}
+    strongest = [max((strength[w] for w in words), default=0.0) for words, _ in fit]
+    proven = max(x for x, (_, toxic) in zip(strongest, fit) if toxic) >= EVIDENCE
+    telling = {w: x for w, (x, _) in own.items() if x >= (EVIDENCE if proven else 1e-9)}
     ranked = sorted((w for w, (_, n) in own.items() if w in telling or n >= FAMILIAR), key=lambda w: (-telling.get(w, 0.0), -own[w][1], w))[:VOCABULARY]
     del hint, own
     model = Network({w: i + 1 for i, w in enumerate(ranked)}, np.array([telling.get(w, 0.0) for w in ranked], np.float32))
     rng = np.random.default_rng(seed)
     positive, negative = [], []
-    for words, toxic in fit:
+    for (words, toxic), most in zip(fit, strongest):
         for a in window_starts(len(words)):
             window = words[a : a + WINDOW]
             if not toxic:
                 negative.append(window)
-            elif max((strength[w] for w in window), default=0.0) >= EVIDENCE:
+            elif max(strength[w] for w in window) >= (EVIDENCE if proven else most):
                 positive.append(window)
-    if not positive or not negative:
-        return Constant(toxic_share(sample))
     pick = lambda windows, n: [windows[i] for i in rng.permutation(len(windows))[:n]]
     positive = pick(positive, NEGATIVES)
     for _ in range(2):  # the second time with the clean windows that the first took for toxic
@@ -325,14 +328,15 @@ def train(sample: list[tuple[str, int, int, float]], seed: int = 5) -> Network |
         truth = np.array([1] * len(positive) + [0] * len(chosen), np.float32)
         weight = np.where(truth > 0, 0.5 * len(truth) / len(positive), 0.5 * len(truth) / len(chosen)).astype(np.float32)
         _descend(model, positive + chosen, truth, weight, rng)
-    _calibrate(model, rest or fit, toxic_share(sample))
+    _calibrate(model, rest, toxic_share(sample))
     return model
 
 
 def _descend(model: Network, windows: list[list[bytes]], truth: np.ndarray, weight: np.ndarray, rng: np.random.Generator) -> None:
     """Adam over shuffled batches."""
     first, second, step = {k: np.zeros_like(v) for k, v in model.p.items()}, {k: np.zeros_like(v) for k, v in model.p.items()}, 0
-    for epoch in range(EPOCHS):
+    epochs = max(EPOCHS, -(-STEPS // -(-len(windows) // BATCH)))
+    for epoch in range(epochs):
         for low in range(0, len(order := rng.permutation(len(windows))), BATCH):
             own = order[low : low + BATCH]
             number = {w: i for i, w in enumerate(dict.fromkeys(w for i in own for w in windows[i]))}
@@ -342,7 +346,7 @@ def _descend(model: Network, windows: list[list[bytes]], truth: np.ndarray, weig
                 at[row, :n], mask[row, :n] = [number[w] for w in windows[i]], True
             _, grad = model.gradients(list(number), at, mask, truth[own], weight[own] / len(own))
             step += 1
-            rate = RATE * (1 - epoch / EPOCHS) * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
+            rate = RATE * (1 - epoch / epochs) * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
             for k, g in grad.items():
                 first[k] += 0.1 * (g - first[k])
                 second[k] += 0.001 * (g * g - second[k])

@@ -1,4 +1,6 @@
 import corpus_pipeline as cp
+from pyspark.sql import functions as F
+
 from lakesync.llm import queries
 from lakesync.llm.common import table
 
@@ -32,3 +34,14 @@ def test_ten_queries_and_the_pipeline_are_registered():
     names = list(queries.queries())
     assert [sum(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)] == [1] * 10 and "pipeline" in names
     assert set(queries.oracle_sql()) <= set(names)
+
+
+def test_planted_toxic_rows_go_and_clean_ones_stay(spark):
+    docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
+    told = "idiot|loser|moron|scum|trash|worthless|pathetic|disgusting|stupid|clown"
+    rows = docs.join(labels, "doc_id", "left").select("doc_id", F.lower("text").rlike(rf"\b({told})\b").alias("telling"), "toxic").collect()
+    kept = {r.doc_id for r in cp.reject_toxic(spark, docs, SF).collect()}
+    gone = [r.doc_id not in kept for r in rows if r.telling]
+    assert gone and sum(gone) >= 0.8 * len(gone)
+    clean = [r.doc_id in kept for r in rows if r.toxic == 0 and not r.telling]
+    assert sum(clean) >= 0.9 * len(clean)

@@ -85,3 +85,12 @@ def test_scores_are_calibrated_to_the_share_before_sampling():
         toxicity._calibrate(model, docs, share)
         mean = [model.scores([w for w, t in docs if t == kind]).mean() for kind in (0, 1)]
         assert abs((1 - share) * mean[0] + share * mean[1] - share) < 0.01
+
+
+def test_a_network_is_trained_whenever_both_kinds_are_there():
+    few = [("you are a fool and a liar", 1, 0, 1.0), ("the river is long and wide", 0, 1, 1.0), ("we walk to the old house", 0, 3, 1.0)]
+    model = toxicity.train(few)
+    assert isinstance(model, toxicity.Network)
+    score = model.scores([toxicity.words_of(t) for t, *_ in few])
+    assert score[0] > max(score[1:])
+    assert isinstance(toxicity.train(few[1:]), toxicity.Constant)
