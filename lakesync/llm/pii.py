@@ -1,13 +1,13 @@
 """Personal data: base patterns, and terms that give a protected entity away.
 
 Base kinds are found by patterns, leftmost and non-overlapping per kind, then checked (parts of an ip, check digits of a
-card, digits of a phone number). Each found value is a protected entity. Words near an entity are its context; over the whole
-corpus, n(t, e) is the number of documents with term t in a context of entity e, and n(t) of documents with t anywhere.
-A term discloses e if t leaves at most `slack_bits` of uncertainty about it, -log2(n(t, e) / n(t)), and `support` documents
-show both. Disclosing terms in a context of e become spans of kind ``term``; `sanitise` replaces spans by their kind.
+card, digits of a phone number). Each found value is a protected entity. Terms are the words of a text outside all base spans;
+over the whole corpus, n(t, e) is the number of documents that hold term t and entity e, wherever they stand, and n(t) of documents
+with t. A term discloses e if t leaves at most `slack_bits` of uncertainty about it, -log2(n(t, e) / n(t)), and `support` documents
+show both. All occurrences of disclosing terms, in all documents, become spans of kind ``term``; `sanitise` replaces spans by their kind.
 
 Null texts count as empty and have no spans. Rows are independent but for the counts; repeated rows count as often
-as they stand. Span offsets are code points, the end exclusive. Other columns are kept by `sanitise` and ignored elsewhere.
+as they stand, in n(t, e) as in n(t). Span offsets are code points, the end exclusive. Other columns are kept by `sanitise` and ignored elsewhere.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakesync.llm.common import broadcast_if_small, store, words
+from lakesync.llm.common import ascii_lower, broadcast_if_small, store, words
 
 #: Patterns that find what the plain ones in the docstrings of _KINDS find, without backing off inside runs. \G: where the last match ended.
 _LOCAL, _HOST = r"[A-Za-z0-9._%+-]", r"[A-Za-z0-9-]"
@@ -28,8 +28,11 @@ PATTERNS = {
 #: What a text must contain for a pattern to match.
 _NEEDS = {"email": "@", "ip": ".", "phone": "+"}
 KINDS = tuple(PATTERNS)
-REACH, SUPPORT, SLACK_BITS, LEAST_LETTERS = 80, 3, 1.0, 3
+SUPPORT, SLACK_BITS, LEAST_LETTERS = 3, 1.0, 3
 _BLOCK = 64
+_LETTER = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]"
+#: Stands for each character of a span while words are cut; no character of any text (Unicode keeps it free).
+_HIDDEN = "\uffff"
 
 
 def running_sums(values: Column) -> Column:
@@ -86,61 +89,79 @@ def base_spans(text: Column) -> Column:
     return F.concat(*[_find(kind, text) for kind in KINDS])
 
 
+def hide(text: Column, spans: Column) -> Column:
+    """The text with _HIDDEN for each character in a span; offsets stay."""
+    order = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+    empty = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("pos"))
+    step = lambda acc, s: F.struct(
+        F.concat(acc["out"], F.array(F.substring(text, acc["pos"] + 1, s["start"] - acc["pos"]), F.repeat(F.lit(_HIDDEN), s["end"] - F.greatest(s["start"], acc["pos"])))).alias("out"),
+        F.greatest(acc["pos"], s["end"]).alias("pos"),
+    )
+    done = F.aggregate(order, empty, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["pos"] + 1, F.length(text))))
+    return F.when(F.size(spans) > 0, done).otherwise(text)
+
+
+def terms_of(text: Column, spans: Column) -> Column:
+    """The distinct words that are clear of all spans and have letters enough."""
+    letters = lambda w: F.length(F.translate(w, "0123456789", ""))
+    return F.filter(F.array_distinct(words(hide(text, spans))), lambda w: (letters(w) >= LEAST_LETTERS) & ~F.contains(w, F.lit(_HIDDEN)))
+
+
+def places(text: Column, spans: Column, terms: Column) -> Column:
+    """Spans of kind term of all occurrences of the given terms. Terms are runs of word characters, so they need no quoting in a pattern."""
+    let = lambda value, body: F.element_at(F.transform(F.array(value), body), 1)
+    pattern = F.concat(F.lit(f"(?<!{_LETTER})(?:"), F.array_join(terms, "|"), F.lit(f")(?!{_LETTER})"))
+    return let(
+        F.struct(ascii_lower(hide(text, spans)).alias("low"), pattern.alias("pattern")),
+        lambda x: let(
+            F.struct(F.regexp_extract_all(x["low"], x["pattern"], F.lit(0)).alias("w"), F.split(x["low"], x["pattern"], -1).alias("g")),
+            lambda p: let(
+                running_sums(F.transform(p["w"], lambda h, i: F.length(F.get(p["g"], i)) + F.length(h))),
+                lambda before: F.transform(
+                    p["w"],
+                    lambda h, i: F.struct(
+                        F.lit("term").alias("kind"), (F.get(before, i) + F.length(F.get(p["g"], i))).alias("start"), (F.get(before, i) + F.length(F.get(p["g"], i)) + F.length(h)).alias("end"), h.alias("value")
+                    ),
+                ),
+            ),
+        ),
+    )
+
+
 def find_base(docs: DataFrame) -> DataFrame:
-    """doc_id, doc_key, spans, near: base spans, and for each entity the text around it with its offset."""
+    """doc_id, doc_key, spans, held: base spans, and the distinct terms of the whole text."""
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", F.xxhash64(text).alias("doc_key"), text.alias("text")).withColumn("spans", base_spans(F.col("text")))
-    low = lambda s: F.greatest(s["start"] - REACH, F.lit(0))
-    near = F.transform(
-        "spans",
-        lambda s: F.array(
-            F.struct(s["value"].alias("entity"), low(s).alias("at"), F.substring("text", low(s) + 1, s["start"] - low(s)).alias("part"), (low(s) > 0).alias("cut_left"), F.lit(False).alias("cut_right")),
-            F.struct(s["value"].alias("entity"), s["end"].alias("at"), F.substring("text", s["end"] + 1, F.lit(REACH)).alias("part"), F.lit(False).alias("cut_left"), (F.length("text") > s["end"] + REACH).alias("cut_right")),
-        ),
-    )
-    return rows.select("doc_id", "doc_key", "spans", F.flatten(near).alias("near"))
-
-
-def context_terms(found: DataFrame) -> DataFrame:
-    """doc_id, doc_key, entity, term, start, end: the whole words near entities, outside all spans."""
-    parts = found.where(F.size("near") > 0).select("doc_id", "doc_key", "spans", F.explode("near").alias("c"))
-    word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-    # blanks in place of upper case would change offsets; lower-casing A-Z keeps them
-    low = F.translate(F.col("c.part"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    parts = parts.withColumn("low", low).withColumn("w", F.regexp_extract_all("low", F.lit(word), F.lit(0))).withColumn("g", F.split("low", word, -1)).where(F.size("w") > 0)
-    parts = parts.withColumn("before", running_sums(F.transform("w", lambda h, i: F.length(F.get("g", i)) + F.length(h))))
-    begin = lambda h, i: F.get("before", i) + F.length(F.get("g", i))
-    placed = parts.select(
-        "doc_id", "doc_key", "spans", "c", F.posexplode(F.transform("w", lambda h, i: F.struct(h.alias("term"), begin(h, i).alias("from")))).alias("i", "t"), F.length("low").alias("n")
-    )
-    whole = ~(F.col("c.cut_left") & (F.col("t.from") == 0)) & ~(F.col("c.cut_right") & (F.col("t.from") + F.length("t.term") == F.col("n")))
-    start = F.col("c.at") + F.col("t.from")
-    end = start + F.length("t.term")
-    clear = ~F.exists("spans", lambda s: (s["start"] < end) & (s["end"] > start))
-    lettered = F.length(F.regexp_replace("t.term", "[0-9]", "")) >= LEAST_LETTERS
-    return placed.where(whole & lettered & clear).select("doc_id", "doc_key", F.col("c.entity").alias("entity"), F.col("t.term").alias("term"), start.alias("start"), end.alias("end"))
+    return rows.select("doc_id", "doc_key", "spans", terms_of(F.col("text"), F.col("spans")).alias("held"))
 
 
-def disclosing_pairs(docs: DataFrame, contexts: DataFrame, support: int = SUPPORT, slack_bits: float = SLACK_BITS) -> DataFrame:
+def disclosing_pairs(found: DataFrame, support: int = SUPPORT, slack_bits: float = SLACK_BITS) -> DataFrame:
     """entity, term, bits: the pairs that exceed the threshold, with the information that the term leaves open."""
-    # rows of one document and pair are few and meet on the map side; ids that repeat with other texts count apart
-    together = contexts.groupBy("entity", "term", "doc_id", "doc_key").agg(F.lit(1).alias("one")).groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= support)
-    pairs = store(together, "pairs")
-    terms = pairs.select("term").distinct()
-    tokens = docs.select(F.explode(F.array_distinct(words(F.col("text")))).alias("term"))
-    # counted before they are joined: tasks add up their own texts' terms, and the join sees each term once
-    shown = tokens.groupBy("term").agg(F.count("*").alias("n_term")).join(broadcast_if_small(terms), "term", "left_semi")
-    bits = -F.log2(F.col("n_both") / F.col("n_term"))
-    return pairs.join(shown, "term").withColumn("bits", bits).where(F.col("bits") <= slack_bits).select("entity", "term", "bits")
+    most = 2.0**slack_bits  # n(t) / n(t, e) of a disclosing pair
+    shown = found.select((F.size("spans") > 0).cast("long").alias("beside"), F.explode("held").alias("term")).groupBy("term").agg(F.count("*").alias("n_term"), F.sum("beside").alias("n_beside"))
+    # n(t, e) is at most the number of documents with t and any entity, and of those with e: no pair is lost by either bound
+    able = store(shown.where((F.col("n_beside") >= support) & (F.col("n_term") <= most * F.col("n_beside"))).select("term", "n_term"), "pii-able")
+    holders = found.where(F.size("spans") > 0)
+    entities = holders.select("doc_id", "doc_key", F.explode(F.array_distinct(F.transform("spans", lambda s: s["value"]))).alias("entity"))
+    known = store(entities.groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= support), "pii-known")
+    # repeated rows are one row with its number, on one side of the join
+    left = entities.groupBy("doc_id", "doc_key", "entity").agg(F.count("*").alias("n_rows")).join(broadcast_if_small(known), "entity")
+    right = holders.select("doc_id", "doc_key", "held").dropDuplicates(["doc_id", "doc_key"]).select(F.col("doc_id").alias("t_id"), F.col("doc_key").alias("t_key"), F.explode("held").alias("term"))
+    right = right.join(broadcast_if_small(able), "term")
+    both = left.join(right, left.doc_id.eqNullSafe(right.t_id) & (left.doc_key == right.t_key) & (right.n_term <= most * left.n_entity))
+    counted = both.groupBy("entity", "term", "n_term").agg(F.sum("n_rows").alias("n_both")).where(F.col("n_both") >= support)
+    return counted.withColumn("bits", -F.log2(F.col("n_both") / F.col("n_term"))).where(F.col("bits") <= slack_bits).select("entity", "term", "bits")
 
 
 def find_spans(docs: DataFrame, support: int = SUPPORT, slack_bits: float = SLACK_BITS) -> DataFrame:
     """doc_id, doc_key, spans (base), terms (spans of disclosing terms) of each row."""
     found = store(find_base(docs), "pii-base")
-    contexts = store(context_terms(found), "pii-contexts")
-    pairs = store(disclosing_pairs(docs, contexts, support, slack_bits), "pii-pairs")
-    given = contexts.join(broadcast_if_small(pairs), ["entity", "term"]).select("doc_id", "doc_key", F.struct(F.lit("term").alias("kind"), "start", "end", F.col("term").alias("value")).alias("t"))
-    listed = given.groupBy("doc_id", "doc_key").agg(F.array_sort(F.collect_set("t")).alias("terms")).withColumnsRenamed({"doc_id": "t_id", "doc_key": "t_key"})
+    telling = store(disclosing_pairs(found, support, slack_bits).select("term").distinct(), "pii-terms")
+    given = found.select("doc_id", "doc_key", "spans", F.explode("held").alias("term")).join(broadcast_if_small(telling), "term")
+    own = store(given.groupBy("doc_id", "doc_key").agg(F.first("spans").alias("own_spans"), F.collect_set("term").alias("own")).withColumnsRenamed({"doc_id": "t_id", "doc_key": "t_key"}), "pii-own")
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("doc_key", F.xxhash64("text")).dropDuplicates(["doc_id", "doc_key"])
+    marked = texts.join(broadcast_if_small(own, limit=20_000), texts.doc_id.eqNullSafe(own.t_id) & (texts.doc_key == own.t_key))
+    listed = marked.select("t_id", "t_key", places(F.col("text"), F.col("own_spans"), F.col("own")).alias("terms"))
     rows = found.select("doc_id", "doc_key", "spans")
     out = rows.join(listed, rows.doc_id.eqNullSafe(listed.t_id) & (rows.doc_key == listed.t_key), "left")
     return out.select("doc_id", "doc_key", "spans", F.coalesce("terms", F.array().cast(_SPANS)).alias("terms"))

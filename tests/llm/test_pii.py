@@ -1,4 +1,5 @@
 import re
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -61,3 +62,28 @@ def test_running_sums(spark):
         values = list(range(1, n + 1))
         got = spark.createDataFrame([(values,)], "v array<int>").select(pii.running_sums(F.col("v")).alias("s")).first().s
         assert got == [sum(values[:i]) for i in range(n)]
+
+
+def brute_terms(texts, support=3, most=2):
+    spans = [[(a, b, (t or "")[a:b]) for _, a, b in brute(t)] for t in texts]
+    words = [
+        [(m[0].lower(), *m.span()) for m in re.finditer(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", t or "") if len(re.sub("[0-9]", "", m[0])) >= 3 and not any(a < m.end() and b > m.start() for a, b, _ in s)]
+        for t, s in zip(texts, spans)
+    ]
+    n, both = Counter(), Counter()
+    for w, s in zip(words, spans):
+        n.update({x for x, *_ in w})
+        both.update({(x, e) for x, *_ in w for *_, e in s})
+    telling = {t for (t, _), k in both.items() if k >= support and n[t] <= most * k}
+    return [[(a, b) for x, a, b in w if x in telling] for w in words]
+
+
+def test_terms_far_from_an_entity_and_in_other_documents(spark):
+    far = "filler words " * 20
+    texts = [f"Zorblax the first {far} Quandle at zed@corp.org or 10.0.0.1" for _ in range(3)] + ["here is zorblax and quandle2 alone", f"{far} Quandle", None, ""]
+    texts += [f"the first of {far} x{i}" for i in range(9)] + TEXTS + ["card 4111111111111111abc and \u00e9t\u00e9a@b.c, Zorblax"]
+    docs = spark.createDataFrame([(None if i == 4 else min(i, 2) if i < 3 else i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    docs = docs.withColumn("doc_id", F.when(F.col("doc_id") < 3, 0).otherwise(F.col("doc_id")))  # rows 0 to 2 are repeats
+    want = sorted(zip((str(None if i == 4 else 0 if i < 3 else i) for i in range(len(texts))), brute_terms(texts)))
+    got = sorted((str(r.doc_id), [(t.start, t.end) for t in r.terms]) for r in pii.find_spans(docs).collect())
+    assert got == want and dict(want)["3"] == [(8, 15)] and dict(want)["None"]
