@@ -12,6 +12,8 @@ as they stand, in n(t, e) as in n(t). Span offsets are code points, the end excl
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,24 +31,62 @@ PATTERNS = {
 _NEEDS = {"email": "@", "ip": ".", "phone": "+"}
 KINDS = tuple(PATTERNS)
 SUPPORT, SLACK_BITS, LEAST_LETTERS = 3, 1.0, 3
-_BLOCK = 64
+_BLOCK, _CHUNK = 64, 2_048
 _LETTER = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]"
 #: Stands for each character of a span while words are cut; no character of any text (Unicode keeps it free).
 _HIDDEN = "\uffff"
 
 
-def running_sums(values: Column) -> Column:
-    """For an array of ints, the sums of all elements before each; blocks keep it near linear."""
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body over a value that is worked out once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def running(values: Column, fold: Callable[[Column, Column], Column]) -> Column:
+    """For an array of ints, the fold (from 0) of all elements before each. Blocks, and blocks' totals, keep it near linear."""
+    total = lambda x: F.aggregate(x, F.lit(0), fold)
     blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / _BLOCK).cast("int")), lambda b: F.slice(values, b * _BLOCK + 1, _BLOCK))
-    total = lambda x: F.aggregate(x, F.lit(0), lambda a, b: a + b)
-    inner = lambda x: F.transform(x, lambda _, i: total(F.slice(x, F.lit(1), i)))
-    let = lambda value, body: F.element_at(F.transform(F.array(value), body), 1)
-    return let(
+    before = lambda x: F.transform(x, lambda _, i: total(F.slice(x, F.lit(1), i)))
+    return _let(
         blocks,
-        lambda bs: let(F.transform(bs, total), lambda sums: F.flatten(F.transform(bs, lambda x, b: F.transform(inner(x), lambda v: v + total(F.slice(sums, F.lit(1), b)))))),
+        lambda bs: _let(
+            F.transform(bs, total), lambda totals: _let(before(totals), lambda starts: F.flatten(F.transform(bs, lambda x, b: F.transform(before(x), lambda v: fold(F.get(starts, b), v)))))
+        ),
     )
 
 
+def running_sums(values: Column) -> Column:
+    return running(values, lambda a, b: a + b)
+
+
+def _chunks(text: Column) -> Column:
+    """A text in pieces of _CHUNK characters: a place in a long text is found from the start of its piece, not of the text."""
+    return F.transform(F.sequence(F.lit(0), F.floor(F.length(text) / _CHUNK).cast("int")), lambda c: F.substring(text, c * _CHUNK + 1, F.lit(_CHUNK)))
+
+
+def _cut(chunks: Column, start: Column, end: Column) -> Column:
+    """The characters from start up to end."""
+    inner = lambda c: F.substring(F.get(chunks, c), F.greatest(start - c * _CHUNK, F.lit(0)) + 1, F.least(end - c * _CHUNK, F.lit(_CHUNK)) - F.greatest(start - c * _CHUNK, F.lit(0)))
+    whole = F.array_join(F.transform(F.sequence(F.floor(start / _CHUNK).cast("int"), F.floor((end - 1) / _CHUNK).cast("int")), inner), "")
+    return F.when(end > start, whole).otherwise("")
+
+
+def _rewritten(text: Column, spans: Column, put: Callable[[Column, Column], Column]) -> Column:
+    """The text with put(span, reached) in place of each span; reached: where the spans before it have ended, overlapping ones included."""
+    order = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind"))))
+    done = _let(
+        F.struct(order.alias("s"), _chunks(text).alias("c"), F.length(text).alias("n")),
+        lambda x: _let(
+            running(F.transform(x["s"], lambda s: -s["back"]), lambda a, b: F.greatest(a, b)),
+            lambda reached: F.concat(
+                F.array_join(F.transform(x["s"], lambda s, i: F.concat(_cut(x["c"], F.get(reached, i), s["start"]), put(s, F.get(reached, i)))), ""),
+                _cut(x["c"], F.array_max(F.transform(x["s"], lambda s: -s["back"])), x["n"]),
+            ),
+        ),
+    )
+    return F.when(F.size(spans) > 0, done).otherwise(text)
+
+
 def _valid(kind: str, value: Column) -> Column:
     digits = F.regexp_replace(value, "[^0-9]", "")
     if kind == "email":
@@ -70,12 +110,11 @@ def _find(kind: str, text: Column) -> Column:
     """Spans of one kind, in order."""
     pattern = F.lit(PATTERNS[kind])
     hits, gaps = F.regexp_extract_all(text, pattern, F.lit(0)), F.split(text, PATTERNS[kind], -1)
-    let = lambda value, body: F.element_at(F.transform(F.array(value), body), 1)
     span = lambda h, start: F.struct(F.lit(kind).alias("kind"), start.alias("start"), (start + F.length(h)).alias("end"), h.alias("value"))
-    found = let(
+    found = _let(
         F.struct(hits.alias("h"), gaps.alias("g")),
-        lambda p: let(
-            running_sums(F.transform(p["h"], lambda h, i: F.length(F.get(p["g"], i)) + F.length(h))),
+        lambda p: _let(
+            running_sums(F.zip_with(p["h"], F.slice(p["g"], F.lit(1), F.size(p["h"])), lambda h, g: F.length(g) + F.length(h))),
             lambda before: F.transform(p["h"], lambda h, i: span(h, F.get(before, i) + F.length(F.get(p["g"], i)))),
         ),
     )
@@ -91,37 +130,29 @@ def base_spans(text: Column) -> Column:
 
 def hide(text: Column, spans: Column) -> Column:
     """The text with _HIDDEN for each character in a span; offsets stay."""
-    order = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
-    empty = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("pos"))
-    step = lambda acc, s: F.struct(
-        F.concat(acc["out"], F.array(F.substring(text, acc["pos"] + 1, s["start"] - acc["pos"]), F.repeat(F.lit(_HIDDEN), s["end"] - F.greatest(s["start"], acc["pos"])))).alias("out"),
-        F.greatest(acc["pos"], s["end"]).alias("pos"),
-    )
-    done = F.aggregate(order, empty, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["pos"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, done).otherwise(text)
+    return _rewritten(text, spans, lambda s, reached: F.repeat(F.lit(_HIDDEN), F.greatest(-s["back"] - F.greatest(s["start"], reached), F.lit(0))))
+
+
+def _is_term(word: Column) -> Column:
+    """Clear of all spans, and with letters enough."""
+    return (F.length(F.translate(word, "0123456789", "")) >= LEAST_LETTERS) & ~F.contains(word, F.lit(_HIDDEN))
 
 
 def terms_of(text: Column, spans: Column) -> Column:
     """The distinct words that are clear of all spans and have letters enough."""
-    letters = lambda w: F.length(F.translate(w, "0123456789", ""))
-    return F.filter(F.array_distinct(words(hide(text, spans))), lambda w: (letters(w) >= LEAST_LETTERS) & ~F.contains(w, F.lit(_HIDDEN)))
-
-
-def places(text: Column, spans: Column, terms: Column) -> Column:
-    """Spans of kind term of all occurrences of the given terms. Terms are runs of word characters, so they need no quoting in a pattern."""
-    let = lambda value, body: F.element_at(F.transform(F.array(value), body), 1)
-    pattern = F.concat(F.lit(f"(?<!{_LETTER})(?:"), F.array_join(terms, "|"), F.lit(f")(?!{_LETTER})"))
-    return let(
-        F.struct(ascii_lower(hide(text, spans)).alias("low"), pattern.alias("pattern")),
-        lambda x: let(
-            F.struct(F.regexp_extract_all(x["low"], x["pattern"], F.lit(0)).alias("w"), F.split(x["low"], x["pattern"], -1).alias("g")),
-            lambda p: let(
-                running_sums(F.transform(p["w"], lambda h, i: F.length(F.get(p["g"], i)) + F.length(h))),
-                lambda before: F.transform(
-                    p["w"],
-                    lambda h, i: F.struct(
-                        F.lit("term").alias("kind"), (F.get(before, i) + F.length(F.get(p["g"], i))).alias("start"), (F.get(before, i) + F.length(F.get(p["g"], i)) + F.length(h)).alias("end"), h.alias("value")
-                    ),
+    return F.filter(F.array_distinct(words(hide(text, spans))), _is_term)
+
+
+def placed_words(text: Column, spans: Column) -> Column:
+    """(word, start) of all words that may be terms."""
+    return _let(
+        ascii_lower(hide(text, spans)),
+        lambda low: _let(
+            F.struct(F.regexp_extract_all(low, F.lit(f"{_LETTER}+"), F.lit(0)).alias("w"), F.split(low, f"{_LETTER}+", -1).alias("g")),
+            lambda p: _let(
+                running_sums(F.zip_with(p["w"], F.slice(p["g"], F.lit(1), F.size(p["w"])), lambda w, g: F.length(g) + F.length(w))),
+                lambda before: F.filter(
+                    F.transform(p["w"], lambda w, i: F.struct(w.alias("word"), (F.get(before, i) + F.length(F.get(p["g"], i))).alias("start"))), lambda x: _is_term(x["word"])
                 ),
             ),
         ),
@@ -157,11 +188,14 @@ def find_spans(docs: DataFrame, support: int = SUPPORT, slack_bits: float = SLAC
     """doc_id, doc_key, spans (base), terms (spans of disclosing terms) of each row."""
     found = store(find_base(docs), "pii-base")
     telling = store(disclosing_pairs(found, support, slack_bits).select("term").distinct(), "pii-terms")
-    given = found.select("doc_id", "doc_key", "spans", F.explode("held").alias("term")).join(broadcast_if_small(telling), "term")
-    own = store(given.groupBy("doc_id", "doc_key").agg(F.first("spans").alias("own_spans"), F.collect_set("term").alias("own")).withColumnsRenamed({"doc_id": "t_id", "doc_key": "t_key"}), "pii-own")
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("doc_key", F.xxhash64("text")).dropDuplicates(["doc_id", "doc_key"])
-    marked = texts.join(broadcast_if_small(own, limit=20_000), texts.doc_id.eqNullSafe(own.t_id) & (texts.doc_key == own.t_key))
-    listed = marked.select("t_id", "t_key", places(F.col("text"), F.col("own_spans"), F.col("own")).alias("terms"))
+    held = found.select("doc_id", "doc_key", F.explode("held").alias("term")).join(broadcast_if_small(telling), "term")
+    own = store(held.select(F.col("doc_id").alias("t_id"), F.col("doc_key").alias("t_key")).distinct(), "pii-own")
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("doc_key", F.xxhash64("text"))
+    marked = texts.join(broadcast_if_small(own), texts.doc_id.eqNullSafe(own.t_id) & (texts.doc_key == own.t_key)).dropDuplicates(["t_id", "t_key"])
+    placed = marked.select("t_id", "t_key", F.explode(placed_words(F.col("text"), base_spans(F.col("text")))).alias("x")).select("t_id", "t_key", F.col("x.word").alias("term"), F.col("x.start").alias("start"))
+    hits = placed.join(broadcast_if_small(telling), "term").groupBy("t_id", "t_key").agg(F.array_sort(F.collect_list(F.struct("start", "term"))).alias("h"))
+    span = lambda h: F.struct(F.lit("term").alias("kind"), h["start"].alias("start"), (h["start"] + F.length(h["term"])).alias("end"), h["term"].alias("value"))
+    listed = hits.select("t_id", "t_key", F.transform("h", span).alias("terms"))
     rows = found.select("doc_id", "doc_key", "spans")
     out = rows.join(listed, rows.doc_id.eqNullSafe(listed.t_id) & (rows.doc_key == listed.t_key), "left")
     return out.select("doc_id", "doc_key", "spans", F.coalesce("terms", F.array().cast(_SPANS)).alias("terms"))
@@ -174,14 +208,7 @@ def spans_text(spans: Column) -> Column:
 
 def redact(text: Column, spans: Column) -> Column:
     """The text with each span (or run of overlapping spans) replaced by its kind in brackets."""
-    order = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind"))))
-    empty = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("pos"))
-    step = lambda acc, s: F.when(
-        s["start"] >= acc["pos"],
-        F.struct(F.concat(acc["out"], F.array(F.substring(text, acc["pos"] + 1, s["start"] - acc["pos"]), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))).alias("out"), (-s["back"]).alias("pos")),
-    ).otherwise(F.struct(acc["out"].alias("out"), F.greatest(acc["pos"], -s["back"]).alias("pos")))
-    done = F.aggregate(order, empty, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["pos"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, done).otherwise(text)
+    return _rewritten(text, spans, lambda s, reached: F.when(s["start"] >= reached, F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise(""))
 
 
 def sanitise(docs: DataFrame, support: int = SUPPORT, slack_bits: float = SLACK_BITS) -> DataFrame:

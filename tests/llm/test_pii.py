@@ -1,4 +1,5 @@
 import re
+import time
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -87,3 +88,14 @@ def test_terms_far_from_an_entity_and_in_other_documents(spark):
     want = sorted(zip((str(None if i == 4 else 0 if i < 3 else i) for i in range(len(texts))), brute_terms(texts)))
     got = sorted((str(r.doc_id), [(t.start, t.end) for t in r.terms]) for r in pii.find_spans(docs).collect())
     assert got == want and dict(want)["3"] == [(8, 15)] and dict(want)["None"]
+
+
+def test_one_text_with_very_many_entities(spark):
+    text = " ".join(f"name{i % 7}x wrote user{i}@site{i % 90}.example.org and 10.0.{i % 250}.7" for i in range(6_000))
+    docs = spark.createDataFrame([(1, text), (2, "short"), (3, None)], "doc_id long, text string")
+    began = time.perf_counter()
+    row = next(r for r in pii.find_spans(docs).collect() if r.doc_id == 1)
+    clean = next(r.text for r in pii.sanitise(docs).collect() if r.doc_id == 1)
+    assert [(s.kind, s.start, s.end) for s in row.spans] == brute(text) and len(row.spans) == 12_000
+    assert clean == re.sub(r"10\.0\.[0-9]+\.7", "[IP]", re.sub(r"[a-z0-9]+@[a-z0-9.]+", "[EMAIL]", text))
+    assert time.perf_counter() - began < 60
