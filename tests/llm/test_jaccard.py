@@ -1,9 +1,11 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from lakesync.llm import jaccard
 from lakesync.llm.components import connected_components
@@ -51,11 +53,12 @@ def texts(n=140, seed=2):
     return out + [(900, None), (901, ""), (902, "?!"), (903, "Abc"), (904, "abc"), (None, "null id with some words in it"), (None, "null id, with some words in it!"), (5, "one id twice and other words here"), (5, "one id twice and other words here")]
 
 
-@pytest.mark.parametrize("block", [128, 7])
-def test_links_and_classes_against_brute_force(spark, monkeypatch, block):
+@pytest.mark.parametrize("block,sketch_block", [(65_536, 1_024), (700, 5)])
+def test_links_and_classes_against_brute_force(spark, monkeypatch, block, sketch_block):
     rows = texts()
     docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, name string, root int")
     monkeypatch.setattr(jaccard.verified_links, "__defaults__", (jaccard.SIMILARITY, block))
+    monkeypatch.setattr(jaccard.candidate_groups, "__defaults__", (*jaccard.candidate_groups.__defaults__[:-1], sketch_block))
     got = [(r.doc_id, r.class_id, r.n_links) for r in jaccard.join_classes(docs).collect()]
     assert sorted(got, key=str) == brute(rows, 0.8)
 
@@ -70,10 +73,54 @@ def test_one_of_each_class_stays(spark):
     assert jaccard.keep_first(docs.limit(0)).count() == 0 and jaccard.join_classes(docs.limit(0)).count() == 0
 
 
-def test_prefix_is_as_long_as_the_recall_allows():
-    d = jaccard.depth_for(0.8, 20, 8, 0.9999)
-    assert 1 - (1 - 0.8**d) ** 20 >= 0.9999 > 1 - (1 - 0.8 ** (d + 1)) ** 20
-    assert jaccard.depth_for(0.5, 4, 8, 0.99999) == 1
+def miss(depths, s=0.8):
+    return np.log1p(-(s**depths)).sum()
+
+
+def test_prefixes_are_shortened_until_the_recall_is_reached():
+    rng = np.random.default_rng(1)
+    members = np.sort(rng.integers(1, 50, (200, jaccard.TREES, 5)) * (rng.random((200, jaccard.TREES, 1)) < 0.6) + 1, axis=2)[:, :, ::-1]
+    depth = jaccard.chosen_depths(members)
+    for own, sizes in zip(depth, members):
+        assert miss(own) <= np.log(1 - 0.9999) + 1e-9  # enough
+        cost = [(sizes[t, d - 4], -d, t) for t, d in enumerate(own) if d < 8]
+        last = own.copy()
+        last[max(cost)[2]] += 1
+        assert miss(last) > np.log(1 - 0.9999)  # and not more than enough: without the dearest step it is not
+    crowded = np.ones((1, jaccard.TREES, 5), int)
+    crowded[0, :6] = 10**6
+    assert (jaccard.chosen_depths(crowded)[0, 6:] == 4).all() and jaccard.chosen_depths(crowded)[0, :6].sum() > 6 * 4
+    assert (jaccard.chosen_depths(members, recall=0.5) >= depth).all() and (jaccard.chosen_depths(members, recall=1 - 1e-12) == 4).all()
+
+
+def test_texts_that_share_half_make_no_group(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    common = [word() for _ in range(100)]
+    docs = spark.createDataFrame([(i, " ".join(common + [word() for _ in range(50)])) for i in range(300)], "doc_id long, text string")
+    sets = jaccard.sketches(docs).select(F.col("doc_id").alias("number"), "labels")
+    assert jaccard.forest_nodes(sets).count() > 300 and jaccard.candidate_groups(sets).count() == 0
+    assert {r.n_links for r in jaccard.join_classes(docs).collect()} == {0}
+
+
+def test_recall_of_the_candidate_search(spark):
+    """All links of every eighth text against all, by brute force, on texts of all degrees of likeness."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    rows = []
+    for i in range(60):
+        base = [word() for _ in range(rng.randint(60, 200))]
+        for k in range(12):
+            own = list(base)
+            for _ in range(rng.randint(0, 5)):
+                own[rng.randrange(len(own))] = word()
+            rows.append((12 * i + k, " ".join(own)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.n_links for r in jaccard.join_classes(docs).collect()}
+    sets = [grams(t) for _, t in rows]
+    want = {i: sum(j != i and len(sets[i] & s) >= 0.8 * len(sets[i] | s) for j, s in enumerate(sets)) for i in range(0, len(rows), 8)}
+    assert sum(want.values()) > 100 and sum(min(got[i], n) for i, n in want.items()) >= 0.99 * sum(want.values())
+    assert all(got[i] <= n for i, n in want.items())
 
 
 @settings(max_examples=5, deadline=None)
