@@ -1,14 +1,16 @@
 """Language identification by prediction by partial matching.
 
-For each language a tree of byte contexts up to `order` bytes is counted on a bounded sample of its documents. In a context,
+For each language a tree of byte contexts up to `order` bytes is counted on a bounded sample of its distinct texts. In a context,
 a byte that was seen c of n times there, among q different ones, has probability c / (n + q); the escape, q / (n + q), goes to
-the unseen bytes in proportion to their probabilities in the next shorter context, down to a uniform one. The statistics are
+the unseen bytes in proportion to their probabilities in the next shorter context, down to a uniform one. The tree holds the
+contexts that were seen `least` times or more, and of these the `contexts` most frequent (all of a frequency or none), with whole counts,
+single sightings included; in any other context the longest shorter one in the tree speaks. The statistics are
 frozen, so a context tree is an automaton: one step per byte gives the next context and the exact code length. The shortest
 code names the language.
 
 Texts are lower-cased and preceded by newlines. A null text or one without a letter is ``und`` with score 0, as is every text
 if no language was learned. Rows are independent; repeated rows repeat. Other columns are ignored, and neither language nor
-id enter a prediction. Ties go to the language that sorts first.
+id enter a prediction. Ties go to the language that sorts first. A text that stands in many rows counts once in the sample.
 """
 
 from __future__ import annotations
@@ -18,13 +20,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakesync.llm.common import broadcast_if_small, crc_bucket
+from lakesync.llm.common import broadcast_if_small, crc_bucket, store
 
 ORDER = 4
-#: Bounds of the sample and of the trees: documents (in expectation) and contexts per language.
+#: Bounds of the sample and of the trees: distinct texts (in expectation) and contexts per language, and sightings of a context.
 SAMPLE_DOCS, CONTEXTS, LEAST = 1_500, 20_000, 6
 SEGMENT, BATCH_BYTES = 256, 1 << 20
 UNKNOWN = "und"
@@ -53,16 +55,29 @@ def _gram_counts(order: int):
     return run
 
 
-def learn(docs: DataFrame, order: int = ORDER, sample_docs: int = SAMPLE_DOCS) -> list[tuple[str, list[tuple[np.ndarray, np.ndarray]]]]:
-    """For each language the (gram, count) arrays by length, over documents chosen by a hash of the text, about `sample_docs` each."""
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = docs.where(F.col("lang").isNotNull()).groupBy("lang").agg(F.count("*").alias("n"))
+def sample(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
+    """lang, text: about `sample_docs` distinct texts of each language, chosen by a hash of the text; all if there are fewer."""
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.xxhash64("text").alias("key"))
+    sizes = known.select("lang", "key").distinct().groupBy("lang").agg(F.count("*").alias("n"))
     chance = F.least(F.lit(float(sample_docs)) / F.col("n"), F.lit(1.0))
-    chosen = known.join(broadcast_if_small(sizes), "lang").where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < chance * (1 << 30))
-    grams = chosen.select("lang", "text").mapInArrow(_gram_counts(order), "lang string, length int, gram long, n long")
-    # single sightings of long grams carry no context of their own, but count in their contexts' totals
-    counted = grams.groupBy("lang", "length", "gram").agg(F.sum("n").alias("n")).where((F.col("length") <= 3) | (F.col("n") > 1))
-    table = counted.toArrow().to_pandas()
+    chosen = known.join(broadcast_if_small(sizes), "lang").where(F.pmod("key", F.lit(1 << 30)) < chance * (1 << 30))
+    return chosen.groupBy("lang", "key").agg(F.min("text").alias("text")).select("lang", "text")
+
+
+def learn(docs: DataFrame, order: int = ORDER, sample_docs: int = SAMPLE_DOCS, contexts: int = CONTEXTS, least: int = LEAST) -> list[tuple[str, list[tuple[np.ndarray, np.ndarray]]]]:
+    """For each language the (gram, count) arrays by length: all grams that follow on a context of the tree, with their whole counts.
+
+    What comes to the driver is bounded by languages x contexts x 256, whatever the sample.
+    """
+    grams = sample(docs, sample_docs).mapInArrow(_gram_counts(order), "lang string, length int, gram long, n long")
+    counted = store(grams.groupBy("lang", "length", "gram").agg(F.sum("n").alias("n")), "grams")
+    followed = counted.withColumn("context", F.shiftright("gram", 8))
+    seen = followed.groupBy("lang", "length", "context").agg(F.sum("n").alias("seen")).where((F.col("seen") >= least) | (F.col("length") == 1))
+    # the most frequent contexts, down to the number of sightings at which there are no more than `contexts` of them
+    levels = seen.groupBy("lang", F.least("seen", F.lit(100_000)).alias("level")).agg(F.count("*").alias("k"))
+    lowest = levels.withColumn("so_far", F.sum("k").over(Window.partitionBy("lang").orderBy(F.desc("level")))).where(F.col("so_far") <= contexts).groupBy("lang").agg(F.min("level").alias("lowest"))
+    held = seen.join(broadcast_if_small(lowest), "lang", "left").where((F.col("seen") >= F.col("lowest")) | (F.col("length") == 1)).select("lang", "length", "context")
+    table = followed.join(broadcast_if_small(store(held, "contexts"), limit=400_000), ["lang", "length", "context"]).select("lang", "length", "gram", "n").toArrow().to_pandas()
     out = []
     for lang, part in sorted(table.groupby("lang"), key=lambda x: x[0]):
         by_length = []
@@ -76,7 +91,7 @@ def learn(docs: DataFrame, order: int = ORDER, sample_docs: int = SAMPLE_DOCS) -
 class Tree:
     """Code lengths and transitions by context and symbol. Symbols are the bytes that the sample shows, and one for all others."""
 
-    def __init__(self, by_length: list[tuple[np.ndarray, np.ndarray]], order: int, contexts: int = CONTEXTS, least: int = LEAST):
+    def __init__(self, by_length: list[tuple[np.ndarray, np.ndarray]], order: int):
         seen = np.union1d(by_length[0][0], [ord("\n")])  # newlines precede every text, so they are contexts even where unseen
         self.symbol = np.full(256, len(seen), np.uint8 if len(seen) < 255 else np.int32)
         self.symbol[seen] = np.arange(len(seen))
@@ -84,18 +99,10 @@ class Tree:
         others = 256 - len(seen)
         base = np.full(width, 1 / 256)
         base[-1] = others / 256
-        totals = [(np.zeros(1, np.int64), np.array([by_length[0][1].sum()]))]
-        for grams, n in by_length[1:]:
-            keys, at = np.unique(grams >> 8, return_inverse=True)
-            totals.append((keys, np.bincount(at, weights=n).astype(np.int64)))
-        sizes = np.sort(np.concatenate([n for _, n in totals[1:]]))[::-1]
-        if len(sizes) > contexts:
-            least = max(least, int(sizes[contexts]) + 1)
         keys, tables, nexts, number = [], [], [], 0
         for length in range(order + 1):
-            key, n = totals[length]
+            key = np.unique(by_length[length][0] >> 8) if length else np.zeros(1, np.int64)
             if length:
-                key = key[n >= least]
                 # a context is kept only with the shorter ones that lead to it: its end, and its beginning
                 lead = [np.isin(key & ((1 << (8 * (length - 1))) - 1), keys[-1]), np.isin(key >> 8, keys[-1])]
                 key = key[lead[0] & lead[1]]

@@ -1,3 +1,4 @@
+from collections import Counter
 from math import log2
 
 import numpy as np
@@ -7,16 +8,19 @@ from lakesync.llm import langid
 from lakesync.llm.common import table
 
 
-def brute_bits(by_length, order, text, least):
-    """Code length by walking down from the longest known context, with plain dictionaries."""
-    counts = [{int(g): int(n) for g, n in zip(*pair)} for pair in by_length]
+def brute_bits(sample, order, text, least):
+    """Code length by walking down from the longest known context, with plain dictionaries counted from the sample's texts."""
+    counts = [Counter() for _ in range(order + 1)]
+    for raw in sample:
+        data = b"\n" * order + raw.lower().encode()
+        for i in range(order, len(data)):
+            for length in range(order + 1):
+                counts[length][int.from_bytes(data[i - length : i + 1], "big")] += 1
     known = {0: {0}}
-    totals = {0: {0: sum(counts[0].values())}}
     for length in range(1, order + 1):
-        t = {}
+        t = Counter()
         for g, n in counts[length].items():
-            t[g >> 8] = t.get(g >> 8, 0) + n
-        totals[length] = t
+            t[g >> 8] += n
         known[length] = {k for k, n in t.items() if n >= least and k & ((1 << (8 * (length - 1))) - 1) in known[length - 1] and k >> 8 in known[length - 1]}
 
     def dist(length, key):
@@ -40,16 +44,39 @@ def brute_bits(by_length, order, text, least):
 
 
 def test_exact_code_lengths(spark):
-    docs = spark.createDataFrame([(i, "the theory of the thing thinks " * 3 + "über alles", "en") for i in range(8)] + [(100, "le la les leçon", "fr")], "doc_id long, text string, lang string")
+    own = {"en": [f"the theory of the thing thinks {i} " * 3 + "über alles" + "xyzuvw"[i:] for i in range(6)], "fr": ["le la les leçon"]}
+    rows = [(text, lang) for lang, texts in own.items() for text in texts for _ in range(2 if lang == "en" else 1)]  # repeats count once
+    docs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, lang string")
     model = langid.learn(docs, order=3)
     assert [lang for lang, _ in model] == ["en", "fr"]
+    assert (model[0][1][3][1] == 1).any()  # single sightings are there
     trees = [langid.Tree(c, 3) for _, c in model]
     texts = ["the thing", "zzz über THE\n日本 leçon", "", "x" * 700 + " the theory " * 40]
     got = langid.code_lengths(texts, trees, 3, segment=32)
-    want = [[brute_bits(c, 3, t, langid.LEAST) for _, c in model] for t in texts]
+    want = [[brute_bits(own[lang], 3, t, langid.LEAST) for lang, _ in model] for t in texts]
     assert np.allclose(got, want, rtol=1e-4)
 
 
+def test_the_tree_is_bounded_by_the_most_frequent_contexts(spark):
+    docs = table(spark, "/root/testdata/sf0.001", "documents")
+    small, large = (langid.learn(docs, contexts=n) for n in (300, 10**6))
+    for (lang, few), (_, many) in zip(small, large):
+        contexts = lambda grams: Counter({(k, int(g) >> 8): 0 for k, (gs, _) in enumerate(grams) for g in gs})
+        total = contexts(many)
+        for k, (gs, n) in enumerate(many):
+            for g, c in zip(gs, n):
+                total[k, int(g) >> 8] += int(c)
+        kept = set(contexts(few))
+        assert len(kept) <= 301 < len(total)
+        assert min(total[c] for c in kept if c[0]) > max(n for c, n in total.items() if c not in kept)
+
+
+def test_repeated_texts_do_not_swamp_the_sample(spark):
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "one text over and over").otherwise(F.concat(F.lit("own "), "id")).alias("text"), F.lit("en").alias("lang"))
+    rows = [r.text for r in langid.sample(docs, 200).collect()]
+    assert len(rows) == len(set(rows)) and 140 < len(rows) < 260
+
+
 def test_held_out_accuracy(spark):
     docs = table(spark, "/root/testdata/sf0.01", "documents")
     model = langid.learn(docs.where(~langid.held_out(F.col("doc_id"))), sample_docs=60)
