@@ -3,7 +3,7 @@
 Tokens are runs of non-blank bytes, A-Z lower-cased, and one end per text. Counts of all training tokens are taken over
 the whole corpus. The most frequent tokens are classes of their own, the others fall in classes by their last bytes. Hidden
 states emit classes, and a class emits its tokens by their counts plus one, with one part left for tokens that were
-never seen. Baum-Welch runs over all training texts: each partition turns its texts into expected counts, Spark sums them.
+never seen. Baum-Welch runs over all training texts, each as one whole sequence: each partition turns its texts into expected counts, Spark sums them.
 A text's score is the scaled forward recursion over its whole class sequence plus the log probabilities of its tokens in their classes.
 
 Counts of frequent tokens reach the workers by broadcast, bounded by `FREQUENT` entries; the occurrences of all other tokens
@@ -27,7 +27,9 @@ from pyspark.sql import functions as F
 from lakesync.llm.common import store
 
 STATES, OWN, SHARED = 8, 256, 256
-ITERATIONS, PIECE = 6, 128
+ITERATIONS = 6
+#: Training keeps the states of this many tokens at once; of longer sequences it keeps every so many-th state and works out the others again.
+HELD, STRETCH = 400_000, 4_096
 #: Most entries of the broadcast table of frequent tokens.
 FREQUENT = 250_000
 _FLUSH, _SLICE = 500_000, 400
@@ -174,78 +176,99 @@ class Hmm:
         emit = (classes + 0.1) * np.exp(rng.normal(0, 0.7, (states, len(classes))))
         return cls(np.full(states, 1 / states), np.eye(states) * 0.5 + 0.5 / states, emit / emit.sum(1, keepdims=True))
 
-    def resting(self) -> np.ndarray:
-        """The states' long-run shares, from which a piece inside a text starts."""
-        share = np.full(len(self.start), 1 / len(self.start))
-        for _ in range(200):
-            share = share @ self.move
-        return share / share.sum()
 
-
-def expected_counts(model: Hmm, sequences: list[np.ndarray], piece: int = PIECE) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Baum-Welch's expected starts, moves and emissions, and the log likelihood, over the pieces of the sequences."""
+def _columns(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The symbols of all sequences place by place (those still running at place t, longest sequences first), where each place begins, and the order."""
+    sizes = np.fromiter(map(len, sequences), np.int64, len(sequences))
+    order = np.argsort(-sizes, kind="stable")
+    n = sizes[order]
+    running = np.searchsorted(-n, -np.arange(int(n[0]) if len(n) else 0), side="left")
+    begin = np.concatenate([[0], np.cumsum(running)])
+    out = np.empty(int(begin[-1]), np.int64)
+    for row, i in enumerate(order):
+        out[begin[: len(sequences[i])] + row] = sequences[i]
+    return out, begin, order
+
+
+def _groups(sequences: list[np.ndarray], held: int) -> Iterator[list[np.ndarray]]:
+    """Sequences of like lengths, the longest first, in groups of at most `held` symbols (or of one sequence)."""
+    group, size = [], 0
+    for seq in sorted(sequences, key=len, reverse=True):
+        if group and size + len(seq) > held:
+            yield group
+            group, size = [], 0
+        group.append(seq)
+        size += len(seq)
+    if group:
+        yield group
+
+
+def expected_counts(model: Hmm, sequences: list[np.ndarray], held: int = HELD, stretch: int = STRETCH) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Baum-Welch's expected starts, moves and emissions, and the log likelihood, over whole sequences.
+
+    States are kept for one stretch of places at a time: the way forth keeps the states at which each stretch begins, and the way back,
+    stretch by stretch from the last one, works out those inside again. Nothing is cut or guessed.
+    """
     k, n_classes = model.emit.shape
     starts, moves, emits, gained = np.zeros(k), np.zeros((k, k)), np.zeros((k, n_classes)), 0.0
-    if not sequences:
-        return starts, moves, emits, gained
-    flat = np.concatenate(sequences).astype(np.int64)
-    sizes = np.fromiter(map(len, sequences), np.int64, len(sequences))
-    n_pieces = -(-sizes // piece)
-    seq = np.repeat(np.arange(len(sizes)), n_pieces)
-    inner = np.arange(len(seq)) - np.repeat(np.cumsum(n_pieces) - n_pieces, n_pieces)
-    begin = (np.cumsum(sizes) - sizes)[seq] + inner * piece
-    length = np.minimum(piece, sizes[seq] - inner * piece)
-    order = np.argsort(-length, kind="stable")
-    resting = model.resting()
-    for low in range(0, len(order), 8192):
-        own = order[low : low + 8192]
-        b, n, first = begin[own], length[own], inner[own] == 0
-        longest = int(n[0])
-        live = [int(np.searchsorted(-n, -t, side="left")) for t in range(longest)]  # pieces longer than t
-        alphas, scales, seen, emitted = [], [], [], []
-        alpha = np.where(first, model.start[:, None], resting[:, None])
-        for t in range(longest):
-            m = live[t]
-            obs = flat[b[:m] + t]
-            e = model.emit[:, obs]
-            alpha = (alpha if t == 0 else model.move.T @ alpha[:, :m]) * e
-            scale = alpha.sum(0)
-            alpha = alpha / scale
-            alphas.append(alpha), scales.append(scale), seen.append(obs), emitted.append(e)
-            gained += float(np.log(scale).sum())
-        beta = np.ones((k, live[-1]))
-        gammas = [None] * longest
-        for t in range(longest - 1, -1, -1):
-            m = live[t]
-            if t < longest - 1:
-                later = live[t + 1]
-                ahead = emitted[t + 1] * beta / scales[t + 1]
-                moves += model.move * (alphas[t][:, :later] @ ahead.T)
-                beta = np.concatenate([model.move @ ahead, np.ones((k, m - later))], 1)
-            gammas[t] = alphas[t] * beta
-        obs, gamma = np.concatenate(seen), np.concatenate(gammas, 1)
-        for state in range(k):
-            emits[state] += np.bincount(obs, weights=gamma[state], minlength=n_classes)
-        starts += gammas[0][:, first].sum(1)
+    move, emit, start = model.move.astype(np.float32), np.ascontiguousarray(model.emit.T, np.float32), model.start.astype(np.float32)
+    back, ones = np.ascontiguousarray(move.T), np.ones((k, k), np.float32)
+    for group in _groups([q for q in sequences if len(q)], held):
+        symbols, begin, _ = _columns(group)
+        longest = len(begin) - 1
+
+        def forth(alpha: np.ndarray | None, low: int, high: int, keep: bool):
+            """States after the places low to high, from those before; and the scaled states and emissions of each place."""
+            states, shown, scales = [], [], []
+            for t in range(low, high):
+                e = emit[symbols[begin[t] : begin[t + 1]]]
+                alpha = (start if t == 0 else alpha[: len(e)] @ move) * e
+                scale = alpha @ ones  # the sum of each row, in all its places
+                alpha = alpha / scale
+                scales.append(scale)
+                if keep:
+                    states.append(alpha), shown.append(e)
+            return alpha, states, shown, scales
+
+        marks: list[np.ndarray | None] = [None]
+        whole = longest <= stretch
+        for low in range(0, 0 if whole else longest, stretch):
+            marks.append(forth(marks[-1], low, min(low + stretch, longest), False)[0])
+        beta, ahead = np.zeros((0, k), np.float32), None
+        for part in reversed(range(-(-longest // stretch))):
+            low, high = part * stretch, min((part + 1) * stretch, longest)
+            _, states, shown, scales = forth(marks[part], low, high, True)
+            gained += float(np.log(np.concatenate([x[:, 0] for x in scales])).sum(dtype=np.float64))
+            gammas = [None] * (high - low)
+            for t in range(high - 1, low - 1, -1):
+                alpha = states[t - low]
+                if ahead is not None:
+                    moves += (alpha[: len(ahead)].T @ ahead) * model.move
+                    beta = ahead @ back
+                if len(beta) < len(alpha):  # sequences that end here
+                    beta = np.concatenate([beta, np.ones((len(alpha) - len(beta), k), np.float32)])
+                gammas[t - low] = alpha * beta
+                ahead = shown[t - low] * beta / scales[t - low]
+            seen, gamma = symbols[begin[low] : begin[high]], np.concatenate(gammas).T.astype(np.float64)
+            for state in range(k):
+                emits[state] += np.bincount(seen, weights=gamma[state], minlength=n_classes)
+            if part == 0:
+                starts += gammas[0].sum(0, dtype=np.float64)
     return starts, moves, emits, gained
 
 
 def log_likelihoods(model: Hmm, sequences: list[np.ndarray]) -> np.ndarray:
     """Natural log likelihood of each whole sequence, by the scaled forward recursion."""
     out = np.zeros(len(sequences))
-    if not sequences:
-        return out
-    sizes = np.fromiter(map(len, sequences), np.int64, len(sequences))
-    order = np.argsort(-sizes, kind="stable")
-    flat, n = np.concatenate([sequences[i] for i in order]).astype(np.int64), sizes[order]
-    begin = np.cumsum(n) - n
-    alpha, total = np.repeat(model.start[:, None], len(n), 1), np.zeros(len(n))
-    for t in range(int(n[0])):
-        m = int(np.searchsorted(-n, -t, side="left"))
-        alpha = (alpha if t == 0 else model.move.T @ alpha[:, :m]) * model.emit[:, flat[begin[:m] + t]]
-        scale = alpha.sum(0)
-        alpha /= scale
-        total[:m] += np.log(scale)
+    symbols, begin, order = _columns(sequences)
+    emit = np.ascontiguousarray(model.emit.T)
+    alpha, total = None, np.zeros(len(sequences))
+    for t in range(len(begin) - 1):
+        e = emit[symbols[begin[t] : begin[t + 1]]]
+        alpha = (model.start if t == 0 else alpha[: len(e)] @ model.move) * e
+        scale = alpha.sum(1)
+        alpha /= scale[:, None]
+        total[: len(e)] += np.log(scale)
     out[order] = total
     return out
 

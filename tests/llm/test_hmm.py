@@ -30,10 +30,11 @@ def test_likelihood_is_the_sum_over_all_paths():
     assert np.allclose(got, [math.log(by_paths(model, s)) for s in seqs])
 
 
-def test_expected_counts_are_those_of_all_paths():
-    model, seqs = small_model(), [[1, 2, 3], [0, 0], [4]]
+@pytest.mark.parametrize("held,stretch", [(hmm.HELD, hmm.STRETCH), (1, 2), (5, 1)])
+def test_expected_counts_are_those_of_all_paths(held, stretch):
+    model, seqs = small_model(), [[1, 2, 3], [0, 0], [], [4], [2, 2, 1, 0, 4, 3, 1], [4, 1, 0]]
     starts, moves, emits = np.zeros(3), np.zeros((3, 3)), np.zeros((3, 5))
-    for seq in seqs:
+    for seq in filter(None, seqs):
         total = by_paths(model, seq)
         for p in product(range(3), repeat=len(seq)):
             w = model.start[p[0]] * model.emit[p[0], seq[0]] * math.prod(model.move[a, b] * model.emit[b, o] for a, b, o in zip(p, p[1:], seq[1:])) / total
@@ -42,9 +43,9 @@ def test_expected_counts_are_those_of_all_paths():
                 moves[a, b] += w
             for s, o in zip(p, seq):
                 emits[s, o] += w
-    got = hmm.expected_counts(model, [np.array(s, np.uint16) for s in seqs])
-    assert np.allclose(got[0], starts) and np.allclose(got[1], moves) and np.allclose(got[2], emits)
-    assert np.isclose(got[3], sum(math.log(by_paths(model, s)) for s in seqs))
+    got = hmm.expected_counts(model, [np.array(s, np.uint16) for s in seqs], held, stretch)
+    assert np.allclose(got[0], starts, 1e-4) and np.allclose(got[1], moves, 1e-4) and np.allclose(got[2], emits, 1e-4)
+    assert np.isclose(got[3], sum(math.log(by_paths(model, s)) for s in seqs if s), 1e-5)
 
 
 @pytest.mark.parametrize("frequent", [hmm.FREQUENT, 50])
