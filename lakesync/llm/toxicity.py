@@ -1,6 +1,8 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling, over words and their characters.
 
-A word's input is an embedding of the word, if it is in the vocabulary, plus the mean embedding of its character trigrams.
+A word's input is an embedding of the word, if it is in the vocabulary, plus the mean embedding of all its character trigrams.
+Words are runs of ASCII letters, digits and other characters that are no blanks or marks; one of more than `LONG` bytes (a text in a script
+without blanks, say) is read as pieces of so many bytes that overlap by half, so every byte enters a window.
 A text is cut into windows of `WINDOW` words that overlap by half (the last one ends with the text); the network reads each
 window in both directions, attention pools its states, and the text's score is the calibrated maximum over all of its windows.
 The network is trained in numpy on a bounded sample of labelled rows: windows of toxic texts count as positive if they hold a word
@@ -8,7 +10,9 @@ that the labels single out, windows of clean texts as negative, others are left
 cannot single one out), the windows of each toxic text with the strongest evidence of it are the positives.
 
 Null texts and texts without words are scored as an empty window. Rows are independent; repeated rows repeat. Without labels
-of both kinds on texts with words every score is the share of toxic labels (0 without labels). Only text enters a score.
+of both kinds on texts with words every score is the share of toxic labels (0 without labels). Of rows that share a labelled id one text
+may be learned from, the one that sorts first; an id that is labelled several times is toxic if one label says so. Only text enters a
+score; other columns, whatever their names, are kept by `reject` and ignored elsewhere.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ from lakesync.llm.common import crc_bucket
 #: Bounds of the labelled sample, in expectation: toxic and clean rows, and the length of a row that may serve for training.
 TOXIC_ROWS, CLEAN_ROWS, TRAIN_CHARS = 1_500, 3_000, 20_000
 WINDOW, STRIDE = 24, 12
-VOCABULARY, TRIGRAMS, CHARS = 8_192, 4_096, 16
+VOCABULARY, TRIGRAMS, LONG = 8_192, 4_096, 24
 INPUTS, HIDDEN, ATTENTION = 16, 8, 8
 EPOCHS, STEPS, BATCH, RATE, NEGATIVES = 3, 120, 256, 0.01, 20_000  # epochs go on until so many steps are made
 THRESHOLD = 0.3
@@ -37,20 +41,26 @@ THRESHOLD = 0.3
 EVIDENCE, ODDS, FAMILIAR = 5.5, 12.0, 20
 _SLICE, _CHUNK = 300, 4_096
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
+#: Blanks and marks beyond ASCII, by their blocks (Latin-1, general and CJK punctuation, full-width forms).
+_MARK = re.compile("[\u0080-\u00a9\u00ab-\u00b4\u00b6-\u00b9\u00bb-\u00bf\u00d7\u00f7\u1680\u2000-\u206f\u3000-\u303f\ufe30-\ufe4f\uff00-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff65\ufeff]")
 
 
 def words_of(text: str | None) -> list[bytes]:
-    return _WORD.findall((text or "").lower().encode())
+    text = text or ""
+    found = _WORD.findall((text if text.isascii() else _MARK.sub(" ", text)).lower().encode())
+    if found and max(map(len, found)) > LONG:
+        step = LONG // 2
+        found = [w[k : k + LONG] for w in found for k in (range(0, len(w) - step, step) if len(w) > LONG else (0,))]
+    return found
 
 
 def trigrams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed character trigrams of each word (its first CHARS bytes, with marks at both ends), and which of them there are."""
-    letters = np.zeros((len(words), CHARS + 2), np.int64)
-    letters[:, 0] = 1
-    if words:
-        letters[:, 1:-1] = np.array(words, f"S{CHARS}").view(np.uint8).reshape(len(words), CHARS)
-    code = letters[:, :-2] * 7919 + letters[:, 1:-1] * 104729 + letters[:, 2:] * 1299709
-    return ((code >> 2) % TRIGRAMS).astype(np.int32), letters[:, 1:-1] > 0
+    """Hashed character trigrams of all words one after the other (each word with marks at both ends), and how many each word has."""
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    letters = np.frombuffer(b"".join([b"\1" + w + b"\0" for w in words]), np.uint8).astype(np.int64)
+    code = letters[:-2] * 7919 + letters[1:-1] * 104729 + letters[2:] * 1299709
+    inside = np.repeat(2 * np.arange(len(words)), size) + np.arange(int(size.sum()))  # where a trigram of one word begins
+    return ((code[inside] >> 2) % TRIGRAMS).astype(np.int32), size
 
 
 def window_starts(n: int) -> np.ndarray:
@@ -65,12 +75,11 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 class Network:
-    def __init__(self, vocabulary: dict[bytes, int], hints: np.ndarray, seed: int = 11):
+    def __init__(self, vocabulary: dict[bytes, int], seed: int = 11):
         rng = np.random.default_rng(seed)
         put = lambda *shape, scale=0.3: rng.normal(0, scale, shape).astype(np.float32)
         self.vocabulary = vocabulary
         word = put(len(vocabulary) + 1, INPUTS, scale=0.05)
-        word[1:, 0] += np.minimum(hints, 6) / 3  # where the labels already point to
         word[0] = 0
         self.p = {"word": word, "char": put(TRIGRAMS, INPUTS, scale=0.05), "attend": put(2 * HIDDEN, ATTENTION), "attend_b": put(ATTENTION), "ask": put(ATTENTION), "out": put(2 * HIDDEN), "out_b": np.zeros(1, np.float32)}
         for side in "fb":
@@ -79,14 +88,12 @@ class Network:
 
     def inputs(self, words: list[bytes]) -> tuple[np.ndarray, tuple]:
         ids = np.fromiter(map(self.vocabulary.get, words, repeat(0)), np.int64, len(words))
-        tri, there = trigrams(words)
-        share = (there / np.maximum(there.sum(1, keepdims=True), 1)).astype(np.float32)
         x = self.p["word"][ids]
-        for k in range(CHARS):
-            if not share[:, k].any():
-                break
-            x = x + self.p["char"][tri[:, k]] * share[:, k, None]
-        return x, (ids, tri, share)
+        if not len(words):
+            return x, (ids, ids, ids)
+        tri, size = trigrams(words)
+        x = x + np.add.reduceat(self.p["char"][tri], np.cumsum(size) - size) / size[:, None].astype(np.float32)
+        return x, (ids, tri, size)
 
     def _gru(self, side: str, given: np.ndarray, at: np.ndarray, mask: np.ndarray | None, keep: list | None) -> np.ndarray:
         """States at each place, places first. given: each word's part of the gates."""
@@ -128,7 +135,7 @@ class Network:
     def gradients(self, words: list[bytes], at: np.ndarray, mask: np.ndarray, truth: np.ndarray, weight: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Loss and its gradient over windows of the given distinct words."""
         p, grad = self.p, {k: np.zeros_like(v) for k, v in self.p.items()}
-        x, (ids, tri, share) = self.inputs(words)
+        x, (ids, tri, size) = self.inputs(words)
         given = self.gates(x)
         kept: dict[str, list] = {"f": [], "b": []}
         states = np.concatenate([self._gru(s, given[s], at, mask, kept[s]) for s in "fb"], 2)
@@ -161,8 +168,7 @@ class Network:
             d_x += d_given @ p[f"in_{s}"].T
         np.add.at(grad["word"], ids, d_x)
         grad["word"][0] = 0
-        for k in range(CHARS):
-            np.add.at(grad["char"], tri[:, k], d_x * share[:, k, None])
+        np.add.at(grad["char"], tri, np.repeat(d_x / size[:, None].astype(np.float32), size, axis=0))
         return loss, grad
 
     def window_scores(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
@@ -219,7 +225,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_
     chance = F.when(F.col("toxic") == 1, rate[1]).otherwise(rate[0])
     chosen = own.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < chance * (1 << 30))
     texts = docs.select("doc_id", "text").where(F.length("text") <= TRAIN_CHARS).join(F.broadcast(chosen), "doc_id")
-    rows = texts.select("doc_id", "text", "toxic", crc_bucket(F.col("doc_id"), 4).alias("fold")).collect()
+    # one text of each id, however many rows share it: no more rows than `chosen` has
+    once = texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+    rows = once.select("doc_id", "text", "toxic", crc_bucket(F.col("doc_id"), 4).alias("fold")).collect()
     return [(r.text, int(r.toxic), int(r.fold), 1 / rate[int(r.toxic == 1)]) for r in sorted(rows, key=lambda r: (r.doc_id, r.text))]
 
 
@@ -244,7 +252,7 @@ def without_near_copies(docs: list[list[bytes]], bands: int = 6, rows: int = 3,
 
 def parts(word: bytes) -> list[bytes]:
     """A word, and with a mark before it its runs of 4 and 5 bytes."""
-    marked = b"^" + word[:CHARS]
+    marked = b"^" + word
     return [word, *(marked[k : k + n] for n in (4, 5) for k in range(len(marked) - n + 1))]
 
 
@@ -307,7 +315,7 @@ def train(sample: list[tuple[str, int, int, float]], seed: int = 5) -> Network |
     telling = {w: x for w, (x, _) in own.items() if x >= (EVIDENCE if proven else 1e-9)}
     ranked = sorted((w for w, (_, n) in own.items() if w in telling or n >= FAMILIAR), key=lambda w: (-telling.get(w, 0.0), -own[w][1], w))[:VOCABULARY]
     del hint, own
-    model = Network({w: i + 1 for i, w in enumerate(ranked)}, np.array([telling.get(w, 0.0) for w in ranked], np.float32))
+    model = Network({w: i + 1 for i, w in enumerate(ranked)})
     rng = np.random.default_rng(seed)
     positive, negative = [], []
     for (words, toxic), most in zip(fit, strongest):

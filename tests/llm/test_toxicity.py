@@ -9,14 +9,14 @@ SF = "/root/testdata/sf0.01"
 
 def tiny():
     rng = np.random.default_rng(0)
-    model = toxicity.Network({b"bad": 1, b"good": 2}, np.array([3.0, -1.0], np.float32))
+    model = toxicity.Network({b"bad": 1, b"good": 2})
     model.p = {k: v.astype(np.float64) + rng.normal(0, 0.1, v.shape) for k, v in model.p.items()}
     model.p["word"][0] = 0
     return model
 
 
 def test_gradients_against_differences():
-    model, words = tiny(), [b"bad", b"good", b"other", b"badly"]
+    model, words = tiny(), [b"bad", b"good", b"other", b"badly-and-longer-than-that"]
     at, mask = np.zeros((3, toxicity.WINDOW), np.int64), np.zeros((3, toxicity.WINDOW), bool)
     for row, ids in enumerate(([0, 1, 2], [3, 3, 2, 1, 0, 2], [1])):
         at[row, : len(ids)], mask[row, : len(ids)] = ids, True
@@ -51,12 +51,35 @@ def test_scores_do_not_depend_on_company():
 def test_held_out_labels(spark):
     docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
     model = toxicity.train(toxicity.labelled_sample(docs, labels))
-    told = "idiot|loser|moron|scum|trash|worthless|pathetic|disgusting|stupid|clown"
-    rows = toxicity.score(docs, model).join(docs.select("doc_id", F.lower("text").rlike(rf"\b({told})\b").alias("telling")), "doc_id").join(labels, "doc_id").where(toxicity.held_out(F.col("doc_id"))).collect()
-    hit = [r.score >= toxicity.THRESHOLD for r in rows if r.telling]
-    assert len(rows) > 50 and sum(hit) >= 0.8 * len(hit)
+    rows = toxicity.score(docs, model).join(labels, "doc_id").where(toxicity.held_out(F.col("doc_id"))).collect()
+    # about a fifth of the toxic labels of these tables are on texts without anything toxic in them
+    hit = [r.score >= toxicity.THRESHOLD for r in rows if r.toxic]
     clean = [r.score >= toxicity.THRESHOLD for r in rows if not r.toxic]
-    assert sum(clean) <= 0.1 * len(clean) and all(0 <= r.score <= 1 for r in rows)
+    assert len(rows) > 50 and sum(hit) >= 0.65 * len(hit)
+    assert sum(clean) <= 0.08 * len(clean) and all(0 <= r.score <= 1 for r in rows)
+
+
+def test_every_byte_counts():
+    model = tiny()
+    score = lambda t: model.scores([toxicity.words_of(t)])[0]
+    assert score("a" * 16 + "idiot") != score("a" * 16) != score("a" * 17)
+    long = "\u4f60\u597d\u4e16\u754c" * 30
+    assert len({score(long[:k] + "\u574f" + long[k:]) for k in range(0, 120, 7)}) > 10
+    assert b"".join(w[: toxicity.LONG // 2] for w in toxicity.words_of(long)).startswith(long.encode()[:300]) and max(map(len, toxicity.words_of(long))) <= toxicity.LONG
+    assert toxicity.words_of("a\u00a0b\u2014c\u3001d \u00e9t\u00e9") == [b"a", b"b", b"c", b"d", "\u00e9t\u00e9".encode()]
+
+
+def test_very_long_texts_and_ties():
+    model = tiny()
+    texts = [toxicity.words_of("good " * 100_000 + "bad"), toxicity.words_of("x" * 200_000), toxicity.words_of("good bad"), toxicity.words_of("good bad")]
+    got = model.scores(texts)
+    assert np.isfinite(got).all() and got[2] == got[3] and len(texts[1]) > 10_000
+
+
+def test_one_text_of_an_id_is_learned_from(spark):
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(500)] + [(3, "x"), (3, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (3, 0)], "doc_id long, toxic int")
+    assert [(r[0], r[1]) for r in toxicity.labelled_sample(docs, labels)] == [("text 0", 1), ("x", 0)]
 
 
 def test_no_labels_nulls_and_empty_tables(spark):
