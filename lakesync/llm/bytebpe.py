@@ -6,7 +6,8 @@ the pattern yields the same pre-tokens, as it looks back at nothing), and the pi
 parallel again. Only the boundaries in the overlaps are shuffled for that, never text. Decoding joins the raw bytes of the ids.
 
 Null texts count as empty (no ids, empty bytes). Empty texts have no ids. Rows are independent: repeated rows and ids
-give repeated results. Columns other than the id and the text are ignored, whatever their names.
+give repeated results. A pre-token longer than the overlap leaves no boundary on which two chunks agree: from there on the text is
+one piece, encoded by one task. An empty table gives no rows. Columns other than the id and the text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -192,12 +193,15 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, chunk: int = CHUNK, o
         "name", "at", F.substring("text", F.col("at") + 1, F.lit(chunk + overlap)).alias("text"), F.lit(overlap).alias("shared")
     )
     cuts = store(cut_points(chunks, pattern, chunk), "cuts")
-    bounded = long.join(broadcast_if_small(cuts, limit=50_000), "name").withColumn("cuts", F.concat(F.array(F.lit(0)), "cuts")).withColumn("row", F.monotonically_increasing_id())
+    # a row is named by its id and text, so that whatever is worked out again has the same name; repeated rows are encoded once and put back at the end
+    once = long.groupBy("doc_id", "name").agg(F.first("text").alias("text"), F.count("*").alias("times"))
+    bounded = once.join(broadcast_if_small(cuts, limit=50_000), "name").withColumn("cuts", F.concat(F.array(F.lit(0)), "cuts"))
     piece = F.substring("text", F.get("cuts", F.col("piece")) + 1, F.coalesce(F.get("cuts", F.col("piece") + 1), size) - F.get("cuts", F.col("piece")))
-    pieces = bounded.withColumn("piece", F.explode(F.sequence(F.lit(0), F.size("cuts") - 1))).select("row", "doc_id", "piece", piece.alias("text"))
-    coded = pieces.mapInArrow(_encode_batches(ranks_path, pattern), f"row long, doc_id {kind}, piece int, ids array<int>, decoded binary")
+    pieces = bounded.withColumn("piece", F.explode(F.sequence(F.lit(0), F.size("cuts") - 1))).select("doc_id", "name", "times", "piece", piece.alias("text"))
+    coded = pieces.mapInArrow(_encode_batches(ranks_path, pattern), f"doc_id {kind}, name string, times long, piece int, ids array<int>, decoded binary")
     whole = (
-        coded.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.struct("piece", "ids", "decoded"))).alias("p"))
-        .select("doc_id", F.flatten("p.ids").alias("ids"), F.aggregate("p.decoded", F.lit(b""), lambda acc, x: F.concat(acc, x)).alias("decoded"))
+        coded.groupBy("doc_id", "name", "times").agg(F.array_sort(F.collect_list(F.struct("piece", "ids", "decoded"))).alias("p"))
+        .select("doc_id", F.flatten("p.ids").alias("ids"), F.aggregate("p.decoded", F.lit(b""), lambda acc, x: F.concat(acc, x)).alias("decoded"), F.explode(F.sequence(F.lit(1), F.col("times"))))
+        .select("doc_id", "ids", "decoded")
     )
     return short.unionByName(whole)

@@ -43,3 +43,11 @@ def test_long_pretokens_merge_alike(library):
     ranks = bytebpe.read_ranks(PATH)
     for piece in (b"abracadabra" * 30, b"=" * 501, "süß".encode() * 90):
         assert bytebpe._merge_long(piece, ranks) == library.encode_ordinary(piece.decode())
+
+
+def test_very_long_texts_at_the_real_chunk_size(spark, library):
+    one = "z" * 90_000  # a pre-token beyond any overlap
+    texts = ["Some words, 12 more!  " * 9_000, "a b " * 10_000 + one + " c d" * 10_000, one, "x" * bytebpe.CHUNK, "y " * (bytebpe.CHUNK // 2) + "end"]
+    docs = spark.createDataFrame([(i % 4, t) for i, t in enumerate(texts + texts[:2])], "doc_id long, text string")
+    got = sorted((r.doc_id, len(r.ids), bytes(r.decoded).decode()) for r in bytebpe.encode(docs, PATH, P.PATTERN).collect())
+    assert got == sorted((i % 4, len(library.encode_ordinary(t)), t) for i, t in enumerate(texts + texts[:2]))
