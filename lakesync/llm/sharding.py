@@ -3,7 +3,7 @@
 Records are ordered by a hash of their text. Keys are sampled with a chance in proportion to the record's size, their
 quantiles split the key space into many ranges of about equal bytes, and a record's range is found by binary search over
 the splitters. The ranges' true bytes are then summed; a range that holds more than twice its share (a large group of
-equal texts, say) is subdivided by a hash of the record's id. Shards take consecutive ranges up to equal bytes; equal
+equal texts, say) is subdivided by a hash of the record's id and number, so that rows with one id can be told apart as well. Shards take consecutive ranges up to equal bytes; equal
 texts stay together unless their range was subdivided.
 
 Law: `bytes` - the shards' bytes are near equal. Null texts count as empty (8 bytes); an empty table gives no rows. Repeated
@@ -28,7 +28,7 @@ HEADER = 8
 def _sampled(total: int, wanted: int) -> Column:
     """True with a chance of size * wanted / total, decided by a hash."""
     chance = F.col("size") * (wanted / total)
-    return F.pmod(F.xxhash64("doc_id", "key", F.lit("sample")), F.lit(1 << 30)) < chance * (1 << 30)
+    return F.pmod(F.xxhash64("doc_id", "key", "row", F.lit("sample")), F.lit(1 << 30)) < chance * (1 << 30)
 
 
 def _range_of(key: Column, splitters: list[int]) -> Column:
@@ -48,7 +48,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, ranges: int = RANGES, samples:
     """doc_id, size, text_crc32, shard, slot of each row of docs (doc_id, text)."""
     text = F.coalesce("text", F.lit(""))
     records = store(
-        docs.select("doc_id", (F.octet_length(text) + HEADER).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("key")), "records"
+        docs.select("doc_id", (F.octet_length(text) + HEADER).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("key"), F.monotonically_increasing_id().alias("row")), "records"
     )
     total = records.agg(F.sum("size")).first()[0]
     if total is None:
@@ -63,7 +63,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, ranges: int = RANGES, samples:
     share = max(1, total // parts)
     split = [max(1, -(-filled.get(r, 0) // share)) if filled.get(r, 0) > 2 * share else 1 for r in range(n_ranges)]
     at = lambda values, i: F.element_at(F.lit(values), i + 1)
-    part = at(_prefix(split), F.col("range")) + F.pmod(F.xxhash64("doc_id", F.lit("part")), at(split, F.col("range"))).cast("int")
+    part = at(_prefix(split), F.col("range")) + F.pmod(F.xxhash64("doc_id", "row", F.lit("part")), at(split, F.col("range"))).cast("int")
     parted = ranged.withColumn("part", part)
 
     n_parts = sum(split)
