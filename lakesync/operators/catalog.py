@@ -32,9 +32,21 @@ def flushed_keys(before: DataFrame, now: DataFrame) -> DataFrame:
     return before.join(now, KEY, "left_anti")
 
 
+def last_flushes(sessions: DataFrame, now_us: int) -> DataFrame:
+    """For each key the session that was flushed last by a moment: its number, kind, size and time."""
+    done = sessions.where(F.col("flush_us") <= now_us)
+    last = F.max_by(F.struct("sid", "kind", "n", "flush_us"), F.struct("flush_us", "sid"))
+    return done.groupBy(*KEY).agg(last.alias("last")).select(*KEY, "last.*")
+
+
+def _quoted(value: str) -> str:
+    """A SQL string literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def _spec(partition_key: str) -> str:
     pairs = [segment.split("=", 1) for segment in partition_key.split("/")]
-    return ", ".join(f"`{k}`='{v}'" for k, v in pairs).replace("\\", "\\\\")
+    return ", ".join("`" + k.replace("`", "``") + "`=" + _quoted(v) for k, v in pairs)
 
 
 def sync_table(spark: SparkSession, table: str, results: DataFrame, location: str, batch: int = 500) -> dict[str, int]:
@@ -47,7 +59,7 @@ def sync_table(spark: SparkSession, table: str, results: DataFrame, location: st
 
     def flush(least: int) -> None:
         if len(adds) >= least:
-            spark.sql(f"ALTER TABLE {table} ADD IF NOT EXISTS " + " ".join(f"PARTITION ({_spec(k)}) LOCATION '{location.rstrip('/')}/{k}'" for k in adds))
+            spark.sql(f"ALTER TABLE {table} ADD IF NOT EXISTS " + " ".join(f"PARTITION ({_spec(k)}) LOCATION {_quoted(location.rstrip('/') + '/' + k)}" for k in adds))
             adds.clear()
         if len(drops) >= least:
             spark.sql(f"ALTER TABLE {table} DROP IF EXISTS " + ", ".join(f"PARTITION ({_spec(k)})" for k in drops))

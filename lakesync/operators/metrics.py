@@ -59,12 +59,17 @@ def coalescing(spark: SparkSession, fractions: list[float], miss_rate: float = 0
 
 
 def convergence(spark: SparkSession, windows: list[float], fraction: float = 0.01, grace: float = 1.0) -> DataFrame:
-    """Median, p95 and p99 of the latency when all events arrive at once and the flush comes a millisecond after window and grace."""
-    rows = []
-    changed = store(generator.changed_partitions(spark, fraction), "partitions").withColumn("seen_us", F.lit(generator.BASE_US))
+    """Median, p95 and p99 of the latency from a partition's first event to its commit, by window.
+
+    All events arrive at one moment; they go through sessions, verification and commit, and a buffer is flushed a millisecond after its grace.
+    """
+    events = store(generator.generate_events(spark, fraction), "events").withColumn("t_us", F.lit(generator.BASE_US))
+    own, live, rows = intents.candidate_intents(events), store(inventory.live_inventory(events), "live"), []
     for w in windows:
-        flush = F.lit(generator.BASE_US + round((w + grace) * 1e6) + 1_000)
-        lat = changed.select(((flush - F.col("seen_us")) / F.lit(1e6)).alias("latency_s"))
+        config = SyncConfig(window=w, grace=grace)
+        flushed = sessions.effective_intents(sessions.assign_sessions(own, config), config)
+        done = commit.apply(flushed, _no_catalog(spark), live).where(F.col("status") == "APPLIED")
+        lat = store(done.select(((F.col("flush_us") + config.grace_us + 1_000 - F.col("first_us")) / F.lit(1e6)).alias("latency_s")), "latencies")
         got = at_ranks(lat, "latency_s", {"p95": 0.95, "p99": 0.99})
         rows.append((float(w), lat.count(), median(lat, "latency_s"), got["p95"], got["p99"]))
     return spark.createDataFrame(rows, "window_s double, commits long, median double, p95 double, p99 double")

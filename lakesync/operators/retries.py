@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from lakesync.config import SyncConfig
 from lakesync.functions.hashing import md5_unit
+from lakesync.operators import commit
+from lakesync.operators.inventory import visible
+from lakesync.scratch import store
 
 KEY = ["tenant_id", "table_fqn", "partition_key"]
 
@@ -36,6 +39,29 @@ def dead_letters(results: DataFrame, attempts: DataFrame) -> DataFrame:
     return errors.unionByName(spent)
 
 
+def attempts_until_settled(effective: DataFrame, catalog: DataFrame, inventory: DataFrame, config: SyncConfig, miss_rate: float) -> DataFrame:
+    """Each effective intent applied up to 1 + max_retries times, while objects come into sight: attempt a sees what showed by a.
+
+    Key, kind, status (DLQ for what never settled), reason, attempts made, heads and lists of all attempts. A round takes what is
+    left to be retried; what an object's first sight is depends on the object and the attempt alone.
+    """
+    left, settled = effective, None
+    for attempt in range(1, config.max_retries + 2):
+        seen = inventory.where(visible(F.col("object_key"), F.lit(attempt), miss_rate))
+        results = store(commit.apply(left, catalog, seen, config.enable_drop).withColumn("attempts", F.lit(attempt)), "attempt")
+        last = attempt == config.max_retries + 1
+        status = F.when(F.col("status") == "RETRY", "DLQ").otherwise(F.col("status")) if last else F.col("status")
+        mine = results.where((F.col("status") != "RETRY") | F.lit(last)).withColumn("status", status)
+        rows = mine.select(*KEY, "kind", "status", "reason", "attempts", "heads", "lists")
+        spent = results.where((F.col("status") == "RETRY") & F.lit(not last)).select(*KEY, "kind", F.lit(None).cast("string").alias("status"), F.lit(None).cast("string").alias("reason"), "attempts", "heads", "lists")
+        settled = rows.unionByName(spent) if settled is None else settled.unionByName(rows).unionByName(spent)
+        left = results.where(F.col("status") == "RETRY").select(*effective.columns)
+        catalog = store(commit.catalog_after(catalog, results), "catalog")
+    return settled.groupBy(*KEY, "kind").agg(
+        F.max("status").alias("status"), F.max("reason").alias("reason"), F.max("attempts").alias("attempts"), F.sum("heads").alias("heads"), F.sum("lists").alias("lists")
+    )
+
+
 def due(queue: DataFrame, now_s: float) -> DataFrame:
     """Entries of a retry table (retry_at_s) that are to be applied again."""
     return queue.where(F.col("retry_at_s") <= now_s)

@@ -14,13 +14,14 @@ from lakesync.functions.hashing import md5_mod
 from lakesync.functions.quantiles import at_ranks, median
 from lakesync.operators import catalog, commit, intents, inventory, metrics, replay, retries, sessions
 from lakesync.plans import sql
-from lakesync.plans.streamed import streamed_sessions
+from lakesync.plans.streamed import streamed_sessions, worker_catalog
 from lakesync.scratch import store
 from lakesync.sources import envelopes, generator, log
 
 CONFIG = SyncConfig(window=3600, grace=10)
 TIGHT = SyncConfig(window=3600, grace=10, cap=7200)
-FRACTIONS = [0.001, 0.01, 0.05, 0.1]
+#: The published sweeps. Fixed values.
+FRACTIONS = [0.001, 0.01, 0.05, 0.1, 0.5, 1.0]
 DROPS = [0.01, 0.05, 0.10, 0.25, 0.50, 1.00]
 
 QUERIES: dict = {}
@@ -120,9 +121,18 @@ def recent_messages(spark, sf_dir):
 @query(sql.EVENT_FEED)
 def event_feed(spark, sf_dir):
     """The last 20 events with the number of events that their partition had before."""
-    rows = _intents(spark, sf_dir)
-    before = F.row_number().over(Window.partitionBy("partition_key").orderBy("seq")) - 1
-    return rows.withColumn("prev_count", before.cast("long")).orderBy(F.desc("seq")).limit(20).select("seq", "partition_key", "kind", "prev_count")
+    rows = _intents(spark, sf_dir).select("seq", "partition_key", "kind")
+    last = F.broadcast(rows.orderBy(F.desc("seq")).limit(20))  # twenty rows; only their keys' events are counted
+    earlier = rows.select(F.col("seq").alias("before"), F.col("partition_key").alias("key"))
+    met = earlier.join(last, (F.col("key") == F.col("partition_key")) & (F.col("before") <= F.col("seq")))
+    return met.groupBy("seq", "partition_key", "kind").agg((F.count("*") - 1).alias("prev_count"))
+
+
+@query(sql.SOUGHT_POSITIONS)
+def sought_positions(spark, sf_dir):
+    """What a reader that starts at the end of each partition has before it: nothing."""
+    rows = store(_log(spark, sf_dir, 3), "log")
+    return log.lag(rows, log.seek_to_end(rows))
 
 
 # --- inventory and catalog --------------------------------------------------------------------------------------------
@@ -211,6 +221,19 @@ def flushed_between(spark, sf_dir):
     return catalog.flushed_keys(past, present).select(*_key(), "count")
 
 
+@query(sql.FLUSH_SEQUENCE)
+def flush_sequence(spark, sf_dir):
+    """The first hundred sessions that a single buffer would flush."""
+    rows = sessions.flush_order(sessions.effective_intents(_assigned(spark, sf_dir), CONFIG)).limit(100)
+    return rows.select(*_key(), "sid", "kind", "flush_us")
+
+
+@query(sql.LAST_FLUSHES)
+def last_flushes(spark, sf_dir):
+    now = envelopes.read(spark, sf_dir).agg(F.max("t_us")).first()[0] or 0
+    return catalog.last_flushes(sessions.effective_intents(_assigned(spark, sf_dir), CONFIG), now)
+
+
 @query(sql.COVERAGE)
 def coverage(spark, sf_dir):
     return _intents(spark, sf_dir).groupBy("tenant_id").agg(F.count_distinct("partition_key").alias("partitions"), F.count_distinct("object_key").alias("objects"))
@@ -224,6 +247,14 @@ def streamed_sessions_query(spark, sf_dir):
 QUERIES["streamed_sessions"], ORACLES["streamed_sessions"] = QUERIES.pop("streamed_sessions_query"), ORACLES.pop("streamed_sessions_query")
 
 
+@query(sql.WORKER_CATALOG)
+def worker_catalog_query(spark, sf_dir):
+    return worker_catalog(spark, sf_dir, CONFIG)
+
+
+QUERIES["worker_catalog"], ORACLES["worker_catalog"] = QUERIES.pop("worker_catalog_query"), ORACLES.pop("worker_catalog_query")
+
+
 # --- verified commit --------------------------------------------------------------------------------------------------
 
 
@@ -263,6 +294,13 @@ def commit_with_faults(spark, sf_dir):
     return _results(_flush(spark, sf_dir, faults=faults))
 
 
+@query(sql.UNKNOWN_KINDS)
+def unknown_kinds(spark, sf_dir):
+    """Intents of a kind that nobody knows are errors, and change nothing."""
+    effective = sessions.reconcile(_intents(spark, sf_dir), CONFIG).withColumn("kind", F.lit("MERGE"))
+    return _results(commit.apply(effective, _stale_catalog(spark, sf_dir), _live(spark, sf_dir)))
+
+
 @query(sql.outcome_counts())
 def outcome_counts(spark, sf_dir):
     return commit.outcome_counts(_flush(spark, sf_dir)).withColumn("reason", F.coalesce("reason", F.lit("")))
@@ -324,6 +362,15 @@ def dead_letters(spark, sf_dir):
     return retries.dead_letters(rows, retries.schedule(rows, config))
 
 
+@query(sql.JITTERED_RETRIES)
+def jittered_retries(spark, sf_dir):
+    """Additions verified against a storage whose objects come into sight by and by, until they are in or the retries are spent."""
+    config = SyncConfig(window=3600, grace=10, max_retries=3)
+    effective = sessions.reconcile(_intents(spark, sf_dir), config).where(F.col("kind") == "ADD")
+    rows = retries.attempts_until_settled(effective, metrics._no_catalog(spark), _live(spark, sf_dir), config, 0.7)
+    return rows.select(*_key(), "status", F.coalesce("reason", F.lit("")).alias("reason"), "attempts")
+
+
 # --- generator and experiments ----------------------------------------------------------------------------------------
 
 
@@ -340,15 +387,18 @@ def partition_space(spark, sf_dir):
     return rows.agg(F.count_distinct("k").alias("partitions"), F.min("k").alias("first"), F.max("k").alias("last")).withColumn("scan_requests", F.lit(generator.SCAN_REQUESTS).cast("long"))
 
 
+def coalescing_columns(rows: DataFrame) -> DataFrame:
+    return rows.select("f", "delta_p", "raw_events", "coalesced", "committed", "requests", *[F.round(c, 6).alias(c) for c in ("alpha_eff", "reduction", "daily_cost")])
+
+
 @query(sql.coalescing(FRACTIONS))
 def coalescing_ratio(spark, sf_dir):
-    rows = metrics.coalescing(spark, FRACTIONS)
-    return rows.select("f", "delta_p", "raw_events", "coalesced", "committed", "requests", *[F.round(c, 6).alias(c) for c in ("alpha_eff", "reduction", "daily_cost")])
+    return coalescing_columns(metrics.coalescing(spark, FRACTIONS))
 
 
-@query()
+@query(sql.coalescing_jitter(FRACTIONS[:4], 0.5))
 def coalescing_ratio_jitter(spark, sf_dir):
-    rows = metrics.coalescing(spark, FRACTIONS[:3], miss_rate=0.5)
+    rows = metrics.coalescing(spark, FRACTIONS[:4], miss_rate=0.5)
     return rows.select("f", "delta_p", "raw_events", "committed", "requests", F.round("alpha_eff", 6).alias("alpha_eff"))
 
 
@@ -363,7 +413,12 @@ def drop_sweep(spark, sf_dir):
     return metrics.drop_sweep(spark, DROPS).withColumn("daily_cost", F.round("daily_cost", 6))
 
 
-@query()
+@query(sql.LATER_EPOCH)
+def later_epoch(spark, sf_dir):
+    return generator.later_epoch(spark).select("t_us", "op", "object_key")
+
+
+@query(sql.SCRIPTED_EPOCHS)
 def scripted_epochs(spark, sf_dir):
     """The catalog after each scripted epoch."""
     rows = generator.scripted_epochs(spark)

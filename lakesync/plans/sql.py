@@ -246,13 +246,13 @@ def _drawn(seed: int, *parts: str) -> str:
     return _unit(f"concat_ws('-', '{seed}', {', '.join(parts)})")
 
 
-def _generated(fraction: float, name: str = "gen", seed: int = 42) -> str:
+def _generated(fraction: float, name: str = "gen", seed: int = 42, files: int = 5, duplicates: float = 0.1) -> str:
     n = max(1, round(fraction * 438_000))
     return f"""{name}_parts AS (SELECT i, partition_key FROM space ORDER BY {_drawn(seed, "CAST(i AS VARCHAR)")}, i LIMIT {n}
 ), {name} AS (
   SELECT partition_key, 'warehouse/sales/' || partition_key || '/part-' || lpad(CAST(file AS VARCHAR), 4, '0') || '.parquet' AS object_key,
     1704067200000000 + CAST(trunc(({_drawn(seed, "CAST(i AS VARCHAR)", "CAST(file AS VARCHAR)", "'t'")} * 20 - 10) * 1000000) AS BIGINT) + copy * 1000 AS t_us
-  FROM (SELECT *, unnest(CASE WHEN {_drawn(seed, "CAST(i AS VARCHAR)", "CAST(file AS VARCHAR)", "'d'")} < 0.1 THEN [0, 1] ELSE [0] END) AS copy FROM (SELECT *, unnest(range(5)) AS file FROM {name}_parts)))"""
+  FROM (SELECT *, unnest(CASE WHEN {_drawn(seed, "CAST(i AS VARCHAR)", "CAST(file AS VARCHAR)", "'d'")} < {duplicates} THEN [0, 1] ELSE [0] END) AS copy FROM (SELECT *, unnest(range({files})) AS file FROM {name}_parts)))"""
 
 
 GENERATED_EVENTS = f"""WITH {_SPACE}, {_generated(0.01)}
@@ -269,7 +269,27 @@ def coalescing(fractions: list[float]) -> str:
 SELECT f, delta_p, raw_events, raw_events - committed AS coalesced, committed, requests, {_COST} FROM runs"""
 
 
-CONVERGENCE = "SELECT CAST(w AS DOUBLE) AS window_s, CAST(4380 AS BIGINT) AS commits, round(w + 1.001, 3)::DOUBLE AS median, round(w + 1.001, 3)::DOUBLE AS p95, round(w + 1.001, 3)::DOUBLE AS p99 FROM (SELECT unnest([1, 5, 10, 30, 60, 120]) AS w)"
+def coalescing_jitter(fractions: list[float], rate: float) -> str:
+    """Up to three proofs in order of arrival are asked for; where none shows, one LIST sees all objects that show."""
+    seen = _unit("object_key || '#1'") + f" >= {rate}"
+    runs = " UNION ALL ".join(
+        f"SELECT CAST({f} AS DOUBLE) AS f, CAST({max(1, round(f * 438_000))} AS BIGINT) AS delta_p, partition_key, object_key, t_us FROM g{i}" for i, f in enumerate(fractions)
+    )
+    return f"""WITH {_SPACE}, {", ".join(_generated(f, f"g{i}") for i, f in enumerate(fractions))}, ev AS (
+  SELECT *, {seen} AS seen, row_number() OVER (PARTITION BY f, partition_key ORDER BY t_us, object_key) AS place FROM ({runs})
+), tried AS (
+  SELECT f, delta_p, partition_key, count(*) AS n, bool_or(seen) AS shows, min(place) FILTER (seen AND place <= 3) AS hit FROM ev GROUP BY ALL
+)
+SELECT f, delta_p, CAST(sum(n) AS BIGINT) AS raw_events, count(*) FILTER (shows) AS committed, CAST(sum(coalesce(hit, 4)) AS BIGINT) AS requests,
+  round(sum(coalesce(hit, 4)) / greatest(count(*) FILTER (shows), 1), 6) AS alpha_eff
+FROM tried GROUP BY f, delta_p"""
+
+
+CONVERGENCE = f"""WITH {_SPACE}, {_generated(0.01)}, sess AS (
+  SELECT w, partition_key, min(t) AS first_us, least(max(t) + w * 1000000, min(t) + 5 * w * 1000000) AS flush_us
+  FROM (SELECT partition_key, 1704067200000000 AS t FROM gen), (SELECT unnest([1, 5, 10, 30, 60, 120]) AS w) GROUP BY w, partition_key
+), lat AS (SELECT w, (flush_us + 1000000 + 1000 - first_us) / 1e6 AS s FROM sess)
+SELECT CAST(w AS DOUBLE) AS window_s, count(*) AS commits, round(median(s), 3) AS median, round(quantile_disc(s, 0.95), 3) AS p95, round(quantile_disc(s, 0.99), 3) AS p99 FROM lat GROUP BY w"""
 
 
 def drop_sweep(fractions: list[float]) -> str:
@@ -280,3 +300,33 @@ def drop_sweep(fractions: list[float]) -> str:
 ), shares AS (SELECT * FROM (VALUES {", ".join(f"(CAST({f} AS DOUBLE), {max(1, round(f * 4380))})" for f in fractions)}) AS t(f, n)
 ), runs AS (SELECT f, count(*) AS drop_events, count(DISTINCT r) AS dropped FROM shares JOIN gone ON r <= n GROUP BY f)
 SELECT f, drop_events, dropped, dropped AS lists, CAST(1 AS DOUBLE) AS alpha_drop, round(dropped / 1000 * 0.005, 6) AS daily_cost FROM runs"""
+
+
+SOUGHT_POSITIONS = _with('SELECT "partition", max("offset") AS produced, max("offset") AS position, CAST(0 AS BIGINT) AS lag FROM log GROUP BY "partition"', _log(3))
+FLUSH_SEQUENCE = _with("SELECT tenant_id, table_fqn, partition_key, sid, kind, flush_us FROM sess ORDER BY flush_us, tenant_id, table_fqn, partition_key, sid LIMIT 100", _sessions(3600, 10, 18000), recursive=True)
+LAST_FLUSHES = _with("""
+SELECT tenant_id, table_fqn, partition_key, sid, kind, n, flush_us FROM sess WHERE flush_us <= (SELECT max(t_us) FROM env)
+QUALIFY row_number() OVER (PARTITION BY tenant_id, table_fqn, partition_key ORDER BY flush_us DESC, sid DESC) = 1""", _sessions(3600, 10, 18000), recursive=True)
+WORKER_CATALOG = _with("SELECT DISTINCT tenant_id, 'warehouse.sales' AS table_fqn, partition_key FROM objects WHERE live")
+UNKNOWN_KINDS = _with("""
+SELECT DISTINCT i.tenant_id, i.table_fqn, i.partition_key, 'MERGE' AS kind, 'ERROR' AS status, 'unknown_kind' AS reason, CAST(0 AS BIGINT) AS heads, CAST(0 AS BIGINT) AS lists,
+  k.location IS NOT NULL AS in_catalog, k.location IS NOT NULL AS in_catalog_after
+FROM intents i LEFT JOIN known k ON k.tenant_id = i.tenant_id AND k.partition_key = i.partition_key""", _CATALOG)
+#: Attempts at which an object shows: each misses with a chance of 0.7, and three retries follow on the first one.
+JITTERED_RETRIES = _with(f"""
+SELECT tenant_id, 'warehouse.sales' AS table_fqn, partition_key, CASE WHEN least(coalesce(first, 9), 9) <= 4 THEN 'APPLIED' ELSE 'DLQ' END AS status,
+  CASE WHEN coalesce(first, 9) <= 4 THEN '' ELSE 'not_visible_yet' END AS reason, CAST(least(coalesce(first, 9), 4) AS INTEGER) AS attempts
+FROM (SELECT DISTINCT tenant_id, partition_key FROM intents WHERE kind = 'ADD_CANDIDATE') LEFT JOIN (
+  SELECT tenant_id, partition_key, min(a) AS first FROM (SELECT *, unnest(range(1, 5)) AS a FROM objects WHERE live)
+  WHERE {_unit("object_key || '#' || CAST(a AS VARCHAR)")} >= 0.7 GROUP BY ALL) USING (tenant_id, partition_key)""")
+LATER_EPOCH = f"WITH {_SPACE}, {_generated(0.001, files=3, duplicates=0.2)} SELECT t_us, 'OBJECT_CREATED' AS op, object_key FROM gen ORDER BY t_us, object_key LIMIT 50"
+SCRIPTED_EPOCHS = """
+WITH told AS (SELECT * FROM (VALUES
+  (0, 0, 'us', 'boston', 0, true), (1, 0, 'us', 'boston', 1, true), (2, 0, 'us', 'miami', 0, true), (3, 0, 'us', 'miami', 1, true), (4, 0, 'us', 'seattle', 0, true), (5, 0, 'us', 'seattle', 1, true),
+  (6, 1, 'us', 'boston', 0, false), (7, 1, 'us', 'boston', 1, true), (8, 1, 'us', 'boston', 2, true),
+  (9, 2, 'india', 'bangalore', 0, true), (10, 2, 'india', 'bangalore', 0, true), (11, 2, 'india', 'bangalore', 1, true), (12, 2, 'india', 'bangalore', 1, true),
+  (13, 3, 'us', 'seattle', 0, false), (14, 3, 'us', 'seattle', 1, false)) AS t(seq, epoch, country, city, file, created)
+), by_then AS (
+  SELECT e.epoch, country, city, file, arg_max(created, seq) AS live FROM (SELECT unnest(range(4)) AS epoch) e JOIN told ON told.epoch <= e.epoch GROUP BY ALL
+)
+SELECT DISTINCT CAST(epoch AS INTEGER) AS epoch, 'country=' || country || '/city=' || city AS partition_key FROM by_then WHERE live"""

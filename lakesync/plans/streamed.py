@@ -1,26 +1,46 @@
-"""A replay of the events table through the streaming buffer."""
+"""Replays of the events table through the streaming buffer and the worker."""
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakesync.config import SyncConfig
-from lakesync.operators import intents
+from lakesync.operators import intents, sessions
 from lakesync.scratch import new_path
 from lakesync.sources import envelopes
+from lakesync.streaming import worker
 from lakesync.streaming.buffer import SESSION, flushed_sessions
 
 _STORE = "spark.sql.streaming.stateStore.providerClass"
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+#: Micro-batches of a replay: so many at least, and more where a batch would have more rows than this.
+BATCHES, BATCH_ROWS = 4, 2_000_000
+
+
+def _in_order(spark: SparkSession, folder: str) -> None:
+    """A file stream takes files by their time: give the files of a range-partitioned table times in the order of their ranges."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    parts = sorted(f.getPath().getName() for f in files.listStatus(path) if f.getPath().getName().startswith("part-"))
+    now = int(time.time() * 1000)
+    for i, name in enumerate(parts):
+        files.setTimes(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}"), now - 2_000 * (len(parts) - i) - 60_000, -1)
+
+
 def streamed_sessions(spark: SparkSession, sf_dir: str, config: SyncConfig) -> DataFrame:
-    """All sessions of the events, as the stateful stream flushes them. Two files: the intents, and one row from long after, whose
-    watermark flushes what is still open. The stream writes Parquet files, which are the result."""
+    """All sessions of the events, as the stateful stream flushes them. The intents are written in ranges of time, a file for each, which the
+    stream takes one a micro-batch in their order; a last file holds one row from long after, whose watermark flushes what is still open.
+    The stream writes Parquet files, which are the result."""
     folder = new_path(spark, "stream")
     own = intents.candidate_intents(envelopes.read(spark, sf_dir))
-    own.coalesce(1).write.parquet(f"{folder}/in")
+    ranges = max(BATCHES, -(-own.count() // BATCH_ROWS))
+    own.repartitionByRange(ranges, "t_us").write.parquet(f"{folder}/in")
+    _in_order(spark, f"{folder}/in")
     end = own.agg(F.max("t_us").alias("t_us")).select(
         F.lit(-1).cast("long").alias("seq"), (F.col("t_us") + 2 * (config.cap_us + config.grace_us)).alias("t_us"), *[F.lit("end").alias(c) for c in ("tenant_id", "table_fqn", "partition_key", "partition_prefix", "kind", "proof", "object_key")]
     )
@@ -35,3 +55,23 @@ def streamed_sessions(spark: SparkSession, sf_dir: str, config: SyncConfig) -> D
     finally:
         spark.conf.unset(_STORE) if before is None else spark.conf.set(_STORE, before)
     return spark.read.schema(SESSION).parquet(f"{folder}/out")
+
+
+def worker_catalog(spark: SparkSession, sf_dir: str, config: SyncConfig, batches: int = 3) -> DataFrame:
+    """The catalog that the worker leaves: batches of events one after the other, each noted, flushed by force and committed, then the drain."""
+    rows = envelopes.read(spark, sf_dir)
+    first, last = rows.agg(F.min("t_us"), F.max("t_us")).first()
+    tables, now = worker.Tables(spark, new_path(spark, "worker")), 0.0
+    if first is None:
+        return tables.latest("catalog").select("tenant_id", "table_fqn", "partition_key")
+    step = (last - first) // batches + 1
+    for i in range(batches):
+        own = rows.where(F.col("t_us").between(first + i * step, first + (i + 1) * step - 1))
+        worker.note_objects(tables, own, i)
+        mine = intents.candidate_intents(own)
+        if i < batches - 1:
+            worker.commit_batch(tables, sessions.reconcile(mine, config), config, i, now)
+        else:
+            worker.drain(tables, mine, config, i, now)
+        now += config.max_backoff / 2  # some retries are due by then, some are not
+    return tables.latest("catalog").select("tenant_id", "table_fqn", "partition_key")

@@ -12,12 +12,14 @@ _stored: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a local folder where that is unset (tests)."""
+    """spark.checkpoint.dir; where that is unset, a local folder for a session on one machine (tests), and an error on a cluster."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         if current.isDefined():
             return current.get()
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir is not set: intermediate tables need a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="lakesync-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder

@@ -75,3 +75,8 @@ def scripted_epochs(spark: SparkSession, seconds: float = 60.0) -> DataFrame:
     """The four epochs as envelopes with their epoch, `seconds` apart."""
     rows = [(n, e, BASE_US + round(e * seconds * 1e6) + n, TENANT_ID, op, f"warehouse/sales/{p}/{f}") for n, (e, op, p, f) in enumerate(EPOCHS)]
     return spark.createDataFrame(rows, "seq long, epoch int, t_us long, tenant_id string, op string, object_key string")
+
+
+def later_epoch(spark: SparkSession, fraction: float = 0.001, burst: int = 50, seed: int = 42) -> DataFrame:
+    """An epoch beyond the scripted ones: the first `burst` generated events, in order of time and path (three files a partition, a fifth told twice)."""
+    return generate_events(spark, fraction, 3, 0.20, seed).orderBy("t_us", "object_key").limit(burst)

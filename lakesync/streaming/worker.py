@@ -2,7 +2,9 @@
 
 Each micro-batch first notes its objects in the inventory, then commits the sessions that the buffer has flushed, then retries
 what is due. Tables live in a folder, one directory for each version, so a batch that is run again after a failure overwrites
-its own version and reads the one before it: repeating a batch changes nothing.
+its own version and reads the one before it. The version of the inventory that a batch first read is noted, so that a repeated
+batch reads it again: repeating a batch changes nothing. Versions that no batch can need any more are removed. `drain` is the
+shutdown: open buffers are flushed by force and retries run until the queue is empty.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from pyspark.sql import functions as F
 from lakesync.config import CREATED, SyncConfig
 from lakesync.operators import catalog as catalogs
 from lakesync.operators import commit, intents, retries
+from lakesync.operators.sessions import reconcile
 from lakesync.schema import CATALOG
 from lakesync.streaming.buffer import flushed_sessions
 
@@ -38,13 +41,34 @@ class Tables:
 
     def latest(self, name: str, before: int | None = None) -> DataFrame:
         """The highest version, or the highest below one; empty if there is none."""
-        root = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
-        files = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        versions = [int(p.getPath().getName()[1:]) for p in files.listStatus(root)] if files.exists(root) else []
-        found = [v for v in versions if before is None or v < before]
+        found = [v for v in self.versions(name) if before is None or v < before]
         schema = self.kinds[name]
         return self.spark.read.schema(schema).parquet(self.path(name, max(found))) if found else self.spark.createDataFrame([], schema)
 
+    def _files(self, name: str):
+        root = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+        return root, root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def versions(self, name: str) -> list[int]:
+        root, files = self._files(name)
+        return sorted(int(p.getPath().getName()[1:]) for p in files.listStatus(root)) if files.exists(root) else []
+
+    def pinned(self, name: str, version: int) -> DataFrame:
+        """The version of a table that a batch read first, whatever has been written since."""
+        note = f"{self.folder}/{name}-read-by/v{version}"
+        path, files = self._files(f"{name}-read-by/v{version}")
+        if not files.exists(path):
+            self.spark.createDataFrame([(max(self.versions(name), default=-1),)], "version long").write.mode("overwrite").parquet(note)
+        read = self.spark.read.schema("version long").parquet(note).first()[0]
+        return self.latest(name, read + 1)
+
+    def prune(self, name: str, below: int) -> None:
+        """Remove the versions below one, but never the highest of all."""
+        _, files = self._files(name)
+        for v in self.versions(name)[:-1]:
+            if v < below:
+                files.delete(self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name, v)), True)
+
     def write(self, name: str, df: DataFrame, version: int) -> DataFrame:
         df.write.mode("overwrite").parquet(self.path(name, version))
         return self.spark.read.schema(self.kinds[name]).parquet(self.path(name, version))
@@ -78,7 +102,7 @@ def commit_batch(tables: Tables, sessions: DataFrame, config: SyncConfig, versio
     ready = retries.due(queue, now_s).unionByName(early).select(*columns, "attempt")
     both = one_intent(fresh.unionByName(ready), config.proofs)
     known = tables.latest("catalog", version)
-    live = tables.latest("inventory").where("live")
+    live = tables.pinned("inventory", version).where("live")
     results = commit.apply(both, known, live, config.enable_drop, faults).cache()
     audit = tables.write("audit", results.select(*KEY, "kind", "status", "reason", "heads", "lists", "n", "attempt"), version)
     tables.write("catalog", commit.catalog_after(known, results), version)
@@ -87,9 +111,25 @@ def commit_batch(tables: Tables, sessions: DataFrame, config: SyncConfig, versio
     tables.write("queue", waiting.unionByName(again.select(*columns, F.col("attempt").cast("int"), "retry_at_s")), version)
     tables.write("dead", tables.latest("dead", version).unionByName(dead.select(*KEY, "kind", "reason", F.col("attempt").cast("int"))), version)
     results.unpersist()
+    for name in ("catalog", "queue", "dead"):
+        tables.prune(name, version - 1)
     return audit
 
 
+def drain(tables: Tables, open_intents: DataFrame, config: SyncConfig, version: int, now_s: float) -> int:
+    """Flush what is still buffered by force, then retry whatever waits until nothing does; returns the next free version.
+
+    A round's clock stands past every backoff, so there are max_retries + 1 rounds at most.
+    """
+    flushed = reconcile(open_intents, config)
+    while True:
+        commit_batch(tables, flushed, config, version, now_s)
+        version, now_s = version + 1, now_s + config.max_backoff + 1
+        if tables.latest("queue").isEmpty():
+            return version
+        flushed = flushed.limit(0)
+
+
 def writers(spark: SparkSession, envelopes: DataFrame, folder: str, config: SyncConfig, table: str | None = None, location: str | None = None, event_time: bool = True):
     """The job on a stream of envelopes as two writers to start, inventory and commits. With a table, Spark's catalog follows.
 
