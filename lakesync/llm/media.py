@@ -3,7 +3,11 @@
 `sniff` runs an Aho-Corasick automaton of magic bytes over each value. Every hit is put to a validator of its format,
 which walks the structure (chunks, segments, blocks) and returns the length that the format itself claims; hits whose
 structure does not hold, or whose claimed length leaves the value, are dropped. The first valid hit at offset 0 corrects
-the declared type; valid hits elsewhere, outside one another, are carved as embedded media.
+the declared type; valid hits elsewhere, outside one another, are carved as embedded media, and so are those inside the samples of the
+file at offset 0 (sound or bitmap), which are read back as its format has them.
+
+`contain` stores bytes as the samples of a WAV file or the pixels of a bitmap; which one, and the type that is declared for it, follow from
+the bytes alone. Very long values are read once by the automaton, and by a validator for each hit that is not inside media found before.
 
 Null and empty values have no type (``application/octet-stream``) and nothing embedded. Rows are independent; repeated
 rows repeat. Columns other than those named are kept out.
@@ -171,6 +175,19 @@ def wav_payload(value: bytes, at: int) -> bytes:
         i += 8 + n + (n & 1)
 
 
+def bmp_payload(value: bytes, at: int) -> bytes:
+    """The pixels of the bitmap at an offset that find_media has confirmed, in the file's order and without the rows' filling."""
+    start, width, height, bits = (*struct.unpack_from("<I", value, at + 10), *struct.unpack_from("<ii", value, at + 18), *struct.unpack_from("<H", value, at + 28))
+    row, own, low = (width * bits + 31) // 32 * 4, width * bits // 8, at + start
+    if row == own:
+        return value[low : low + row * abs(height)]
+    return b"".join(value[low + i * row : low + i * row + own] for i in range(abs(height)))
+
+
+#: Formats whose samples are read back.
+PAYLOAD = {"audio/wav": wav_payload, "image/bmp": bmp_payload}
+
+
 def le(number: Column, octets: int) -> Column:
     """A whole number as so many little-endian bytes."""
     return F.concat(*[F.unhex(F.lpad(F.hex(F.shiftrightunsigned(number, 8 * i).bitwiseAND(F.lit(255))), 2, "0")) for i in range(octets)])
@@ -183,6 +200,23 @@ def to_wav(payload: Column, rate: int = SAMPLE_RATE) -> Column:
     return F.concat(F.lit(b"RIFF"), le(n + 36, 4), F.lit(b"WAVE" + fmt + b"data"), le(n, 4), payload)
 
 
+def to_bmp(payload: Column, width: int = 8) -> Column:
+    """Bytes as the pixels of a bitmap of 24 bits, `width` pixels wide. Takes a multiple of 3 * width bytes; rows need no filling if that is one of 4."""
+    n = F.octet_length(payload).cast("long")
+    head = F.concat(F.lit(b"BM"), le(n + 54, 4), F.lit(struct.pack("<HHIIi", 0, 0, 54, 40, width)))
+    return F.concat(head, le(F.floor(n / (3 * width)), 4), F.lit(struct.pack("<HHI", 1, 24, 0)), le(n, 4), F.lit(b"\0" * 16), payload)
+
+
+def _draw(payload: Column, digit: int) -> Column:
+    """A number from 0 to 15 that the bytes decide."""
+    return F.conv(F.substring(F.md5(payload), digit, 1), 16, 10).cast("int")
+
+
+def contain(payload: Column) -> Column:
+    """Bytes (a positive multiple of 24) as a sound or a bitmap."""
+    return F.when(_draw(payload, 1) % 2 == 0, to_wav(payload)).otherwise(to_bmp(payload))
+
+
 def pad_payload(text: Column, unit: int = 192) -> Column:
     """The UTF-8 bytes of a text with spaces up to a positive multiple of `unit`."""
     raw = F.encode(F.coalesce(text, F.lit("")), "UTF-8")
@@ -202,7 +236,7 @@ def describe(samples: bytes) -> str:
 
 
 def sniff(media: DataFrame, value: str = "media", declared: str = "declared", key: str = "doc_id") -> DataFrame:
-    """key, declared type, true type, embedded [(type, offset, length)], and the samples of the first WAV with their features."""
+    """key, declared type, true type, embedded [(type, offset, length)], inside (the same within the samples), and the samples of the file at offset 0 with their features."""
     kind = media.schema[key].dataType.simpleString()
     found_type = pa.list_(pa.struct([("type", pa.string()), ("offset", pa.int64()), ("length", pa.int64())]))
 
@@ -210,27 +244,28 @@ def sniff(media: DataFrame, value: str = "media", declared: str = "declared", ke
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)
-                true, inner, samples, digest, feature = [], [], [], [], []
+                true, inner, inside, samples, digest, feature = [], [], [], [], [], []
                 for b in part.column(value).to_pylist():
                     found = find_media(b)
                     at_start = bool(found) and found[0][1] == 0
                     true.append(found[0][0] if at_start else UNKNOWN)
                     inner.append([{"type": t, "offset": o, "length": n} for t, o, n in found[at_start:]])
-                    wav = next((o for t, o, _ in found if t == "audio/wav"), None)
-                    samples.append(None if wav is None else wav_payload(b, wav))
+                    samples.append(PAYLOAD[found[0][0]](b, 0) if at_start and found[0][0] in PAYLOAD else None)
+                    # what the samples carry; offsets count from where they begin
+                    inside.append([{"type": t, "offset": o, "length": n} for t, o, n in find_media(samples[-1])])
                     digest.append(None if b is None else hashlib.sha256(b).hexdigest())
-                    feature.append(None if wav is None else describe(samples[-1]))
+                    feature.append(None if samples[-1] is None else describe(samples[-1]))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(key), part.column(declared), pa.array(true), pa.array(inner, found_type), pa.array(samples, pa.binary()), pa.array(digest, pa.string()), pa.array(feature, pa.string())],
-                    names=["key", "declared", "true_type", "embedded", "samples", "media_sha256", "feature"],
+                    [part.column(key), part.column(declared), pa.array(true), pa.array(inner, found_type), pa.array(inside, found_type), pa.array(samples, pa.binary()), pa.array(digest, pa.string()), pa.array(feature, pa.string())],
+                    names=["key", "declared", "true_type", "embedded", "inside", "samples", "media_sha256", "feature"],
                 )
 
     rows = media.select(F.col(key), F.col(declared), F.col(value))
-    out = rows.mapInArrow(run, f"key {kind}, declared string, true_type string, embedded array<struct<type:string,offset:long,length:long>>, samples binary, media_sha256 string, feature string")
+    out = rows.mapInArrow(run, f"key {kind}, declared string, true_type string, embedded array<struct<type:string,offset:long,length:long>>, inside array<struct<type:string,offset:long,length:long>>, samples binary, media_sha256 string, feature string")
     return out.withColumnRenamed("key", key)
 
 
-def declare(source: Column) -> Column:
-    """A declared type as crawls carry them: often wrong. Here it follows from the source's name alone."""
-    kinds = ["image/png", "audio/wav", "image/jpeg", "audio/ogg"]
-    return F.element_at(F.array(*map(F.lit, kinds)), (F.crc32(F.coalesce(source, F.lit("")).cast("binary")) % len(kinds)).cast("int") + 1)
+def declare(payload: Column) -> Column:
+    """A declared type as crawls carry them, often wrong: decided by the bytes."""
+    kinds = ["image/png", "audio/wav", "image/bmp", "audio/ogg"]
+    return F.element_at(F.array(*map(F.lit, kinds)), _draw(payload, 2) % len(kinds) + 1)

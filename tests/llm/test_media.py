@@ -45,11 +45,27 @@ def test_media_inside_media_is_not_carved_twice():
 
 
 def test_rows(spark):
-    rows = [(1, "image/png", WHOLE["audio/wav"], 0), (2, "audio/wav", b"xx" + png() + GIF, 0), (3, None, None, 0), (3, "image/gif", b"", 0), (None, "text", b"plain", 0)]
+    rows = [(1, "image/png", WHOLE["audio/wav"], 0), (2, "audio/wav", b"xx" + png() + GIF, 0), (3, None, None, 0), (3, "image/gif", b"", 0), (None, "text", b"plain", 0), (4, "x", wav(b"ab" + png() + b"cde"), 0), (5, "x", bmp(), 0)]
     got = {(r.doc_id, r.declared): r for r in media.sniff(spark.createDataFrame(rows, "doc_id long, declared string, media binary, feature int")).collect()}
-    assert len(got) == 5 and got[1, "image/png"].true_type == "audio/wav" and bytes(got[1, "image/png"].samples) == b"\x80" * 10
+    assert len(got) == 7 and got[1, "image/png"].true_type == "audio/wav" and bytes(got[1, "image/png"].samples) == b"\x80" * 10
     assert [(e.type, e.offset) for e in got[2, "audio/wav"].embedded] == [("image/png", 2), ("image/gif", 2 + len(png()))]
     assert all(got[k].true_type == media.UNKNOWN and got[k].samples is None for k in ((3, None), (3, "image/gif"), (None, "text")))
+    assert [(e.type, e.offset, e.length) for e in got[4, "x"].inside] == [("image/png", 2, len(png()))] and not got[4, "x"].embedded
+    assert bytes(got[5, "x"].samples) == b"\0\0\0" and media.sniff(spark.createDataFrame(rows, "doc_id long, declared string, media binary, feature int").limit(0)).count() == 0
+
+
+def test_very_long_values_of_magic_bytes():
+    for magic in (b"BM", b"RIFF", b"GIF89a", b"\xff\xd8\xff", b"\x89PNG\r\n\x1a\n"):
+        assert media.find_media(magic * 30_000) == []
+    assert media.find_media(b"BM" * 50_000 + GIF) == [("image/gif", 100_000, len(GIF))]
+
+
+def test_both_containers_give_the_payload_back(spark):
+    texts = [f"text number {i} " * (i + 1) for i in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").select("doc_id", media.pad_payload(F.col("text")).alias("payload"))
+    rows = media.sniff(docs.select("doc_id", media.declare(F.col("payload")).alias("declared"), media.contain(F.col("payload")).alias("media"))).collect()
+    assert {r.true_type for r in rows} == {"audio/wav", "image/bmp"} and len({r.declared for r in rows}) == 4
+    assert all(bytes(r.samples).rstrip().decode() == texts[r.doc_id].rstrip() and not r.embedded for r in rows)
 
 
 def test_payload_round_trip(spark):
