@@ -249,3 +249,10 @@ def test_scripted_epochs(spark):
     for r in QUERIES["scripted_epochs"](spark, "").collect():
         got.setdefault(r.epoch, set()).add(r.partition_key.rsplit("=")[-1])
     assert got == {0: {"boston", "miami", "seattle"}, 1: {"boston", "miami", "seattle"}, 2: {"boston", "miami", "seattle", "bangalore"}, 3: {"boston", "miami", "bangalore"}}
+
+
+def test_report_keeps_a_result_as_csv(spark, tmp_path):
+    from lakesync.operators import metrics
+
+    path = metrics.report(spark.createDataFrame([(0.01, 5)], "f double, n long"), str(tmp_path), "sweep")
+    assert [tuple(r) for r in spark.read.option("header", True).csv(path).collect()] == [("0.01", "5")]

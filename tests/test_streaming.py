@@ -8,7 +8,7 @@ from lakesync.config import SyncConfig
 from lakesync.operators import catalog, commit, intents, inventory, sessions
 from lakesync.plans.streamed import streamed_sessions
 from lakesync.sources import envelopes, generator
-from lakesync.streaming.worker import Tables, commit_batch, note_objects
+from lakesync.streaming.worker import Tables, commit_batch, drain, note_objects
 
 SF = "/root/testdata/sf0.001"
 COLUMNS = [*sessions.KEY, "sid", "kind", "n", "last_kind", "first_us", "last_us", "flush_us", "proof_keys", "partition_prefix"]
@@ -115,3 +115,37 @@ def test_worker_as_streams(spark, tmp_path):
     # storage was complete before the first commit, so an emptied partition never shows
     assert got.exceptAll(live).count() == 0 and live.exceptAll(got).count() == 0
     assert tables.latest("audit").count() > 0
+
+
+def test_a_repeated_batch_reads_the_inventory_that_it_read_before(spark, tmp_path):
+    config, tables = SyncConfig(max_retries=3), Tables(spark, str(tmp_path))
+    rows = generator.scripted_epochs(spark)
+    added = rows.where((F.col("epoch") == 0) & F.col("object_key").contains("seattle"))
+    flushed = sessions.reconcile(intents.candidate_intents(added), config)
+    note_objects(tables, added, 0)
+    once = {tuple(r) for r in commit_batch(tables, flushed, config, 0, now_s=0.0).collect()}
+    note_objects(tables, rows.where("epoch = 3"), 1)  # the objects are gone before the batch is run again
+    assert {tuple(r) for r in commit_batch(tables, flushed, config, 0, now_s=0.0).collect()} == once
+    assert tables.latest("catalog").count() == 1
+
+
+def test_drain_leaves_nothing_waiting_and_old_versions_go(spark, tmp_path):
+    config, tables = SyncConfig(max_retries=2), Tables(spark, str(tmp_path))
+    added = generator.scripted_epochs(spark).where("epoch = 0")
+    note_objects(tables, added.where(~F.col("object_key").contains("boston")), 0)
+    after = drain(tables, intents.candidate_intents(added), config, 0, now_s=0.0)
+    assert after == 3 and tables.latest("queue").count() == 0
+    assert {r.partition_key for r in tables.latest("catalog").collect()} == {"country=us/city=miami", "country=us/city=seattle"}
+    assert [r.partition_key for r in tables.latest("dead").collect()] == ["country=us/city=boston"] and tables.versions("catalog") == [1, 2]
+
+
+def test_partition_values_with_quotes(spark, tmp_path):
+    spark.sql("DROP TABLE IF EXISTS quoted")
+    spark.sql(f"CREATE TABLE quoted (x INT, city STRING) USING parquet PARTITIONED BY (city) LOCATION '{tmp_path}/quoted'")
+    names = ["city=o'brien", "city=a\\b", "city=x'); DROP TABLE quoted; --"]
+    results = spark.createDataFrame([(n, False, True) for n in names], "partition_key string, in_catalog boolean, in_catalog_after boolean")
+    assert catalog.sync_table(spark, "quoted", results, f"{tmp_path}/quoted") == {"added": 3}
+    assert catalog.table_partitions(spark, "quoted").count() == 3
+    gone = results.select("partition_key", F.lit(True).alias("in_catalog"), F.lit(False).alias("in_catalog_after"))
+    assert catalog.sync_table(spark, "quoted", gone, f"{tmp_path}/quoted") == {"dropped": 3} and catalog.table_partitions(spark, "quoted").count() == 0
+    spark.sql("DROP TABLE quoted")
