@@ -1,10 +1,11 @@
 """The worker as a streaming job: envelopes, sessions, verified commits, retries and dead letters.
 
 Each micro-batch first notes its objects in the inventory, then commits the sessions that the buffer has flushed, then retries
-what is due. Tables live in a folder, one directory for each version, so a batch that is run again after a failure overwrites
-its own version and reads the one before it. The version of the inventory that a batch first read is noted, so that a repeated
-batch reads it again: repeating a batch changes nothing. Versions that no batch can need any more are removed. `drain` is the
-shutdown: open buffers are flushed by force and retries run until the queue is empty.
+what is due. A batch writes only what it changes, as a version of its own of each table; every `WHOLE_EVERY`th version is also
+written whole, and older ones that no batch can need any more are removed. So a batch costs as much as its rows, a reader joins one whole
+version with few changes, and a batch that is run again after a failure overwrites its own version and reads those below it. The
+version of the inventory that a batch first read is noted, so that a repeated batch reads it again: repeating a batch changes
+nothing. `drain` is the shutdown: open buffers are flushed by force and retries run until the queue is empty.
 """
 
 from __future__ import annotations
@@ -18,68 +19,118 @@ from lakesync.config import CREATED, SyncConfig
 from lakesync.operators import catalog as catalogs
 from lakesync.operators import commit, intents, retries
 from lakesync.operators.sessions import reconcile
-from lakesync.schema import CATALOG
 from lakesync.streaming.buffer import flushed_sessions
 
 KEY = commit.KEY
 _INVENTORY = "tenant_id string, object_key string, live boolean, t_us long, seq long"
-_QUEUE = "tenant_id string, table_fqn string, partition_key string, partition_prefix string, kind string, proof_keys array<string>, n long, attempt int, retry_at_s double"
+_CATALOG = "tenant_id string, table_fqn string, partition_key string, location string, at long, gone boolean"
+_QUEUE = "tenant_id string, table_fqn string, partition_key string, partition_prefix string, kind string, proof_keys array<string>, n long, attempt int, retry_at_s double, at long, gone boolean"
 _DEAD = "tenant_id string, table_fqn string, partition_key string, kind string, reason string, attempt int"
 _AUDIT = "tenant_id string, table_fqn string, partition_key string, kind string, status string, reason string, heads long, lists long, n long, attempt int"
+#: Of so many versions of a table, one is also written whole.
+WHOLE_EVERY = 16
 
 
 @dataclass
 class Tables:
-    """Versioned Parquet tables of a job in a folder that driver and executors share."""
+    """Versioned Parquet tables of a job in a folder that driver and executors share.
+
+    States (those with a key) are read as the last row of each key, by `order`, less those that are gone; the others are logs, read as all their rows.
+    """
 
     spark: SparkSession
     folder: str
-    kinds: dict = field(default_factory=lambda: {"inventory": _INVENTORY, "catalog": CATALOG, "queue": _QUEUE, "dead": _DEAD, "audit": _AUDIT})
+    kinds: dict = field(default_factory=lambda: {"inventory": _INVENTORY, "catalog": _CATALOG, "queue": _QUEUE, "dead": _DEAD, "audit": _AUDIT})
+    keys: dict = field(default_factory=lambda: {"inventory": ["tenant_id", "object_key"], "catalog": KEY, "queue": KEY})
+    order: dict = field(default_factory=lambda: {"inventory": ["t_us", "seq"], "catalog": ["at"], "queue": ["at"]})
 
     def path(self, name: str, version: int) -> str:
         return f"{self.folder}/{name}/v{version}"
 
-    def latest(self, name: str, before: int | None = None) -> DataFrame:
-        """The highest version, or the highest below one; empty if there is none."""
-        found = [v for v in self.versions(name) if before is None or v < before]
-        schema = self.kinds[name]
-        return self.spark.read.schema(schema).parquet(self.path(name, max(found))) if found else self.spark.createDataFrame([], schema)
-
     def _files(self, name: str):
         root = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
         return root, root.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
     def versions(self, name: str) -> list[int]:
+        """The versions that have been written to their end."""
         root, files = self._files(name)
-        return sorted(int(p.getPath().getName()[1:]) for p in files.listStatus(root)) if files.exists(root) else []
-
-    def pinned(self, name: str, version: int) -> DataFrame:
-        """The version of a table that a batch read first, whatever has been written since."""
-        note = f"{self.folder}/{name}-read-by/v{version}"
-        path, files = self._files(f"{name}-read-by/v{version}")
-        if not files.exists(path):
-            self.spark.createDataFrame([(max(self.versions(name), default=-1),)], "version long").write.mode("overwrite").parquet(note)
-        read = self.spark.read.schema("version long").parquet(note).first()[0]
-        return self.latest(name, read + 1)
-
-    def prune(self, name: str, below: int) -> None:
-        """Remove the versions below one, but never the highest of all."""
+        done = files.globStatus(self.spark._jvm.org.apache.hadoop.fs.Path(root, "v*/_SUCCESS"))
+        return sorted(int(d.getPath().getParent().getName()[1:]) for d in done or [])
+
+    def _read(self, name: str, folder: str, versions: list[int]) -> DataFrame:
+        schema = self.kinds[name]
+        return self.spark.read.schema(schema).parquet(*[self.path(folder, v) for v in versions]) if versions else self.spark.createDataFrame([], schema)
+
+    def changes(self, name: str, version: int) -> DataFrame:
+        """What one version has written."""
+        return self._read(name, name, [version])
+
+    def _whole_below(self, name: str, before: int | None) -> int:
+        return max((v for v in self.versions(f"{name}-whole") if before is None or v < before), default=-1)
+
+    def _fold(self, name: str, before: int | None, whole: int) -> DataFrame:
+        """The last row of each key: those of a whole version that nothing has touched since, and the others folded with the changes."""
+        later = [v for v in self.versions(name) if v > whole and (before is None or v < before)]
+        base, key = self._read(name, f"{name}-whole", [whole] if whole >= 0 else []), self.keys[name]
+        if whole >= 0 and not later:
+            return base
+        changed = self._read(name, name, later)
+        touched = changed.select(*[F.col(k).alias(f"_{k}") for k in key]).distinct()
+        same = F.lit(True)
+        for k in key:
+            same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+        rows = base.join(touched, same, "left_semi").unionByName(changed) if whole >= 0 else changed
+        last = rows.groupBy(*key).agg(F.max_by(F.struct(*[c for c in rows.columns if c not in key]), F.struct(*self.order[name])).alias("r")).select(*key, "r.*")
+        last = last.select(*rows.columns)
+        return base.join(touched, same, "left_anti").unionByName(last) if whole >= 0 else last
+
+    def latest(self, name: str, before: int | None = None) -> DataFrame:
+        """A table as all versions leave it, or those below one; empty if there is none."""
+        if name not in self.keys:
+            return self._read(name, name, [v for v in self.versions(name) if before is None or v < before])
+        rows = self._fold(name, before, self._whole_below(name, before))
+        return rows.where(~F.col("gone")).drop("at", "gone") if "gone" in rows.columns else rows
+
+    def pinned(self, name: str, version: int) -> tuple[DataFrame, int]:
+        """A table as a batch read it first, whatever has been written since, and the version below which that was."""
+        notes = f"{name}-read-by"
+        if version not in self.versions(notes):
+            self.spark.createDataFrame([(max(self.versions(name), default=-1),)], "version long").write.mode("overwrite").parquet(self.path(notes, version))
+        below = self.spark.read.schema("version long").parquet(self.path(notes, version)).first()[0] + 1
+        return self.latest(name, below), below
+
+    def _remove(self, name: str, below: int) -> None:
         _, files = self._files(name)
-        for v in self.versions(name)[:-1]:
+        for v in self.versions(name):
             if v < below:
                 files.delete(self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name, v)), True)
 
+    def prune(self, name: str, before: int) -> None:
+        """Remove what reading the table as of below a version, or any later one, does not need."""
+        whole = self._whole_below(name, before)
+        self._remove(name, whole + 1)
+        self._remove(f"{name}-whole", whole)
+
     def write(self, name: str, df: DataFrame, version: int) -> DataFrame:
         df.write.mode("overwrite").parquet(self.path(name, version))
-        return self.spark.read.schema(self.kinds[name]).parquet(self.path(name, version))
+        return self.changes(name, version)
+
+    def write_whole(self, name: str, version: int) -> None:
+        """If it is that version's turn: the table as it is now, from the whole version before it."""
+        if version % WHOLE_EVERY == 0:
+            rows = self._fold(name, version + 1, self._whole_below(name, version))
+            rows = rows.where(~F.col("gone")) if "gone" in rows.columns else rows
+            rows.write.mode("overwrite").parquet(self.path(f"{name}-whole", version))
 
 
-def note_objects(tables: Tables, envelopes: DataFrame, version: int) -> DataFrame:
-    """The inventory with the kept events of a batch; the later event of an object holds, in order of arrival."""
-    news = intents.kept(envelopes).select("tenant_id", "object_key", (F.col("op") == CREATED).alias("live"), "t_us", "seq")
-    rows = tables.latest("inventory", version).unionByName(news)
-    folded = rows.groupBy("tenant_id", "object_key").agg(F.max_by(F.struct("live", "t_us", "seq"), F.struct("t_us", "seq")).alias("r")).select("tenant_id", "object_key", "r.*")
-    return tables.write("inventory", folded, version)
+def note_objects(tables: Tables, envelopes: DataFrame, version: int) -> None:
+    """Put the kept events of a batch into the inventory; the later event of an object holds, in order of arrival. A batch that is there is left alone."""
+    if version not in tables.versions("inventory"):
+        news = intents.kept(envelopes).select("tenant_id", "object_key", (F.col("op") == CREATED).alias("live"), "t_us", "seq")
+        folded = news.groupBy("tenant_id", "object_key").agg(F.max_by(F.struct("live", "t_us", "seq"), F.struct("t_us", "seq")).alias("r")).select("tenant_id", "object_key", "r.*")
+        tables.write("inventory", folded, version)
+    if version not in tables.versions("inventory-whole"):
+        tables.write_whole("inventory", version)
 
 
 def one_intent(rows: DataFrame, proofs: int) -> DataFrame:
@@ -102,17 +153,22 @@ def commit_batch(tables: Tables, sessions: DataFrame, config: SyncConfig, versio
     ready = retries.due(queue, now_s).unionByName(early).select(*columns, "attempt")
     both = one_intent(fresh.unionByName(ready), config.proofs)
     known = tables.latest("catalog", version)
-    live = tables.pinned("inventory", version).where("live")
-    results = commit.apply(both, known, live, config.enable_drop, faults).cache()
+    inventory, below = tables.pinned("inventory", version)
+    results = commit.apply(both, known, inventory.where("live"), config.enable_drop, faults).cache()
     audit = tables.write("audit", results.select(*KEY, "kind", "status", "reason", "heads", "lists", "n", "attempt"), version)
-    tables.write("catalog", commit.catalog_after(known, results), version)
+    at, gone = F.lit(version).cast("long").alias("at"), F.col("in_catalog") & ~F.col("in_catalog_after")
+    tables.write("catalog", results.where(F.col("in_catalog") != F.col("in_catalog_after")).select(*KEY, F.col("partition_prefix").alias("location"), at, gone.alias("gone")), version)
     again, dead = retries.requeue(results, config, now_s)
-    waiting = queue.where(F.col("retry_at_s") > now_s).join(fresh.select(*KEY), KEY, "left_anti")
-    tables.write("queue", waiting.unionByName(again.select(*columns, F.col("attempt").cast("int"), "retry_at_s")), version)
-    tables.write("dead", tables.latest("dead", version).unionByName(dead.select(*KEY, "kind", "reason", F.col("attempt").cast("int"))), version)
+    waits = again.select(*columns, F.col("attempt").cast("int"), "retry_at_s", at, F.lit(False).alias("gone"))
+    settled = ready.join(again.select(*KEY), KEY, "left_anti").select(*columns, "attempt", F.lit(None).cast("double").alias("retry_at_s"), at, F.lit(True).alias("gone"))
+    tables.write("queue", waits.unionByName(settled), version)
+    tables.write("dead", dead.select(*KEY, "kind", "reason", F.col("attempt").cast("int")), version)
     results.unpersist()
-    for name in ("catalog", "queue", "dead"):
-        tables.prune(name, version - 1)
+    for name in ("catalog", "queue"):
+        tables.write_whole(name, version)
+        tables.prune(name, version)
+    tables.prune("inventory", below)
+    tables._remove("inventory-read-by", version)
     return audit
 
 
@@ -143,11 +199,9 @@ def writers(spark: SparkSession, envelopes: DataFrame, folder: str, config: Sync
         now = own.sql("SELECT unix_micros(current_timestamp()) / 1e6 AS now").first().now
         commit_batch(tables, batch, config, batch_id, float(now))
         if table:
-            known, new = tables.latest("catalog", batch_id), tables.latest("catalog", batch_id + 1)
-            gone = known.join(new, KEY, "left_anti").select("partition_key", F.lit(True).alias("in_catalog"), F.lit(False).alias("in_catalog_after"))
-            come = new.join(known, KEY, "left_anti").select("partition_key", F.lit(False).alias("in_catalog"), F.lit(True).alias("in_catalog_after"))
-            catalogs.sync_table(own, table, gone.unionByName(come), location)
+            moved = tables.changes("catalog", batch_id).select("partition_key", F.col("gone").alias("in_catalog"), (~F.col("gone")).alias("in_catalog_after"))
+            catalogs.sync_table(own, table, moved, location)
 
-    noted = envelopes.writeStream.foreachBatch(lambda batch, i: note_objects(tables, batch, i) and None).option("checkpointLocation", f"{folder}/checkpoint-inventory").queryName("inventory")
+    noted = envelopes.writeStream.foreachBatch(lambda batch, i: note_objects(tables, batch, i)).option("checkpointLocation", f"{folder}/checkpoint-inventory").queryName("inventory")
     commits = flushed.writeStream.foreachBatch(commit_sessions).outputMode("append").option("checkpointLocation", f"{folder}/checkpoint-commit").queryName("commit")
     return noted, commits
