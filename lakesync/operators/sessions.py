@@ -11,12 +11,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakesync.config import ADD_CANDIDATE, DROP_CANDIDATE, SyncConfig
+from lakesync.scratch import store
 
 KEY = ["tenant_id", "table_fqn", "partition_key"]
+#: A key with more intents than this is shared by several tasks.
+HOT_ROWS = 5_000_000
 
 
 def quiet_sessions(intents: DataFrame, config: SyncConfig) -> DataFrame:
@@ -46,12 +49,24 @@ def session_starts(t: np.ndarray, window: int, cap: int, grace: int, last: int |
     return opens, first
 
 
-def assign_sessions(intents: DataFrame, config: SyncConfig) -> DataFrame:
-    """intents with sid (1, 2, ... within each key) and place (1, 2, ... among the session's additions).
+def quiet_runs(intents: DataFrame, gap_us: int, hot_rows: int) -> DataFrame:
+    """key, bin, run (1, 2, ...) of the keys with more than hot_rows intents: a run begins after a time of quiet that ends any session.
 
-    One shuffle by key; each partition is read in order of key and time, and only the open session's three numbers are held
-    from one batch to the next, so a key of any size takes bounded memory.
+    Counts and times of each stretch of time combine on the map side; only they are put in order.
     """
+    bins = intents.withColumn("bin", _bin(gap_us)).groupBy(*KEY, "bin").agg(F.count("*").alias("n"), F.min("t_us").alias("low"), F.max("t_us").alias("high"))
+    key = Window.partitionBy(*KEY)
+    hot = bins.withColumn("rows", F.sum("n").over(key)).where(F.col("rows") > hot_rows)
+    quiet = F.coalesce(F.col("low") - F.lag("high").over(key.orderBy("bin")) > gap_us, F.lit(True))
+    return hot.withColumn("quiet", quiet).select(*KEY, "bin", F.sum(F.col("quiet").cast("long")).over(key.orderBy("bin")).alias("run"))
+
+
+def _bin(gap_us: int) -> Column:
+    return F.floor(F.col("t_us") / max(gap_us, 60_000_000))
+
+
+def _number(rows: DataFrame, names: list[str], config: SyncConfig) -> DataFrame:
+    """rows with sid and place, numbered within each group of equal names."""
     window, cap, grace = config.window_us, config.cap_us, config.grace_us
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -60,10 +75,12 @@ def assign_sessions(intents: DataFrame, config: SyncConfig) -> DataFrame:
             if not batch.num_rows:
                 continue
             same = np.ones(batch.num_rows, bool)
-            for name in KEY:
-                column = batch.column(name).fill_null("")
+            for name in names:
+                column = batch.column(name)
+                if column.null_count:
+                    column = column.fill_null("")
                 same[1:] &= pc.equal(column[1:], column[:-1]).to_numpy(zero_copy_only=False)
-            ends = [tuple(batch.column(name)[i].as_py() for name in KEY) for i in (0, batch.num_rows - 1)]
+            ends = [tuple(batch.column(name)[i].as_py() for name in names) for i in (0, batch.num_rows - 1)]
             same[0] = key == ends[0]
             t, is_add = batch.column("t_us").to_numpy(), np.array(batch.column("kind").to_pylist(), object) == ADD_CANDIDATE
             sids, places = np.zeros(len(t), np.int64), np.zeros(len(t), np.int64)
@@ -82,11 +99,31 @@ def assign_sessions(intents: DataFrame, config: SyncConfig) -> DataFrame:
             key = ends[1]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sids), pa.array(places)], names=[*batch.schema.names, "sid", "place"])
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in intents.schema.fields)
-    ordered = intents.repartition(*KEY).sortWithinPartitions(*KEY, "t_us", "seq")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
+    ordered = rows.repartition(*names).sortWithinPartitions(*names, "t_us", "seq")
     return ordered.mapInArrow(run, f"{schema}, sid long, place long")
 
 
+def assign_sessions(intents: DataFrame, config: SyncConfig, hot_rows: int | None = HOT_ROWS) -> DataFrame:
+    """intents with sid (1, 2, ... within each key) and place (1, 2, ... among the session's additions).
+
+    One shuffle by key; each partition is read in order of key and time, and only the open session's three numbers are held
+    from one batch to the next, so a key of any size takes bounded memory. If a count shows a key with more than hot_rows
+    intents, such keys are cut where they were quiet for longer than any session waits; each run is numbered by itself, and what
+    the runs before it came to is added. A key that is never quiet stays one run. With hot_rows None keys are not counted.
+    """
+    if hot_rows is None or intents.groupBy(*KEY).count().where(F.col("count") > hot_rows).isEmpty():
+        return _number(intents, KEY, config)
+    gap = config.window_us + config.grace_us
+    runs = store(quiet_runs(intents, gap, hot_rows), "runs")
+    marked = intents.withColumn("bin", _bin(gap)).join(runs, [*KEY, "bin"], "left").withColumn("run", F.coalesce("run", F.lit(0)))
+    numbered = store(_number(marked.select(*intents.columns, "run"), [*KEY, "run"], config), "numbered")
+    sizes = numbered.where(F.col("run") > 0).groupBy(*KEY, "run").agg(F.max("sid").alias("n"))
+    before = sizes.select(*KEY, "run", (F.sum("n").over(Window.partitionBy(*KEY).orderBy("run")) - F.col("n")).alias("before"))
+    rows = numbered.join(before, [*KEY, "run"], "left").withColumn("sid", F.col("sid") + F.coalesce("before", F.lit(0)))
+    return rows.select(*intents.columns, "sid", "place")
+
+
 def effective_intents(assigned: DataFrame, config: SyncConfig) -> DataFrame:
     """One row for each session: ADD if any intent adds, else DROP; the first proofs in order of arrival, repeats and all."""
     order = F.struct("t_us", "seq")

@@ -256,3 +256,13 @@ def test_report_keeps_a_result_as_csv(spark, tmp_path):
 
     path = metrics.report(spark.createDataFrame([(0.01, 5)], "f double, n long"), str(tmp_path), "sweep")
     assert [tuple(r) for r in spark.read.option("header", True).csv(path).collect()] == [("0.01", "5")]
+
+
+def test_hot_keys_are_cut_where_they_were_quiet(spark):
+    rows = intents.candidate_intents(envelopes.read(spark, "/root/testdata/sf0.001"))
+    for config in (SyncConfig(window=900, grace=10, cap=1800), SyncConfig(window=60, grace=0), SyncConfig(window=0, grace=0)):
+        gap = config.window_us + config.grace_us
+        columns = [*sessions.KEY, "seq", "sid", "place"]
+        whole, cut = (sorted(map(tuple, sessions.assign_sessions(rows, config, hot).select(*columns).collect())) for hot in (None, 2))
+        assert len(whole) > 100 and cut == whole
+    assert sessions.quiet_runs(rows, gap, 2).agg({"run": "max"}).first()[0] > 1
