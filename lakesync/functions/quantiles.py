@@ -2,42 +2,63 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def at_ranks(df: DataFrame, value: str, quantiles: dict[str, float], buckets: int = 1_000) -> dict[str, float | None]:
-    """For each name the element at place floor(q * n), from 0, of the sorted values.
+def at_places(df: DataFrame, value: str, places: Callable[[int], dict[str, int]], buckets: int = 1_000) -> tuple[int, dict[str, float]]:
+    """The number n of values, and for each name of places(n) the element at that place, from 0, of the sorted values.
 
-    A histogram with a fixed number of buckets shows in which bucket each place is; only those buckets are ranked.
+    A histogram with a fixed number of buckets shows in which bucket each place is; only those buckets are ranked. All places
+    are found by the same three passes.
     """
     values = df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("x"))
     low, high, n = values.agg(F.min("x"), F.max("x"), F.count("*")).first()
     if not n:
-        return dict.fromkeys(quantiles)
+        return 0, {}
     width = (high - low) / buckets or 1.0
     binned = values.withColumn("b", F.least(F.floor((F.col("x") - low) / width), F.lit(buckets)).cast("int"))
     sizes = dict(binned.groupBy("b").agg(F.count("*")).collect())
     before, ends = {}, 0
     for b in sorted(sizes):
         before[b], ends = ends, ends + sizes[b]
-    places = {name: min(int(q * n), n - 1) for name, q in quantiles.items()}
-    of = {name: max(b for b in before if before[b] <= place) for name, place in places.items()}
+    asked = places(n)
+    of = {name: max(b for b in before if before[b] <= place) for name, place in asked.items()}
     # equal values are one row with their number, so ties don't gather in a task
     counted = binned.where(F.col("b").isin(sorted(set(of.values())))).groupBy("b", "x").agg(F.count("*").alias("c"))
     ranked = counted.withColumn("end", F.sum("c").over(Window.partitionBy("b").orderBy("x")))
-    wanted = {name: (of[name], places[name] - before[of[name]] + 1) for name in places}
+    wanted = {name: (of[name], asked[name] - before[of[name]] + 1) for name in asked}
     match = F.lit(False)
     for b, r in sorted(set(wanted.values())):
         match = match | ((F.col("b") == b) & (F.col("end") >= r) & (F.col("end") - F.col("c") < r))
     found = ranked.where(match).collect()
-    return {name: next(x.x for x in found if x.b == b and x.end >= r > x.end - x.c) for name, (b, r) in wanted.items()}
+    return n, {name: next(x.x for x in found if x.b == b and x.end >= r > x.end - x.c) for name, (b, r) in wanted.items()}
+
+
+def _middle(n: int) -> dict[str, int]:
+    return {"_low": (n - 1) // 2, "_high": n // 2}
+
+
+def _ranks(n: int, quantiles: dict[str, float]) -> dict[str, int]:
+    return {name: min(int(q * n), n - 1) for name, q in quantiles.items()}
+
+
+def at_ranks(df: DataFrame, value: str, quantiles: dict[str, float], buckets: int = 1_000) -> dict[str, float | None]:
+    """For each name the element at place floor(q * n), from 0, of the sorted values."""
+    n, got = at_places(df, value, lambda n: _ranks(n, quantiles), buckets)
+    return got if n else dict.fromkeys(quantiles)
 
 
 def median(df: DataFrame, value: str) -> float | None:
     """The middle value, or the mean of the two in the middle."""
-    n = df.where(F.col(value).isNotNull()).count()
+    return summary(df, value, {})[1]
+
+
+def summary(df: DataFrame, value: str, quantiles: dict[str, float]) -> tuple[int, float | None, dict[str, float | None]]:
+    """The number of values, their median, and what at_ranks gives."""
+    n, got = at_places(df, value, lambda n: _middle(n) | _ranks(n, quantiles))
     if not n:
-        return None
-    got = at_ranks(df, value, {"low": (n - 1) // 2 / n + 0.25 / n, "high": n // 2 / n + 0.25 / n})
-    return (got["low"] + got["high"]) / 2
+        return 0, None, dict.fromkeys(quantiles)
+    return n, (got.pop("_low") + got.pop("_high")) / 2, got

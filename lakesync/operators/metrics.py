@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakesync.config import SyncConfig
-from lakesync.functions.quantiles import at_ranks, median
+from lakesync.functions.quantiles import summary
 from lakesync.operators import commit, intents, inventory, sessions
 from lakesync.scratch import store
 from lakesync.sources import generator
@@ -70,8 +70,8 @@ def convergence(spark: SparkSession, windows: list[float], fraction: float = 0.0
         flushed = sessions.effective_intents(sessions.assign_sessions(own, config), config)
         done = commit.apply(flushed, _no_catalog(spark), live).where(F.col("status") == "APPLIED")
         lat = store(done.select(((F.col("flush_us") + config.grace_us + 1_000 - F.col("first_us")) / F.lit(1e6)).alias("latency_s")), "latencies")
-        got = at_ranks(lat, "latency_s", {"p95": 0.95, "p99": 0.99})
-        rows.append((float(w), lat.count(), median(lat, "latency_s"), got["p95"], got["p99"]))
+        n, middle, got = summary(lat, "latency_s", {"p95": 0.95, "p99": 0.99})
+        rows.append((float(w), n, middle, got["p95"], got["p99"]))
     return spark.createDataFrame(rows, "window_s double, commits long, median double, p95 double, p99 double")
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lakesync.config import SyncConfig
 from lakesync.functions import paths
 from lakesync.functions.hashing import md5_mod
-from lakesync.functions.quantiles import at_ranks, median
+from lakesync.functions.quantiles import summary
 from lakesync.operators import catalog, commit, intents, inventory, metrics, replay, retries, sessions
 from lakesync.plans import sql
 from lakesync.plans.streamed import streamed_sessions, worker_catalog
@@ -88,9 +88,12 @@ def object_paths(spark, sf_dir):
 # --- log --------------------------------------------------------------------------------------------------------------
 
 
+def _messages(spark, sf_dir):
+    return envelopes.read(spark, sf_dir).select("seq", paths.directory(F.col("object_key")).alias("key"), F.col("object_key").alias("value"))
+
+
 def _log(spark, sf_dir, partitions=2):
-    messages = envelopes.read(spark, sf_dir).select("seq", paths.directory(F.col("object_key")).alias("key"), F.col("object_key").alias("value"))
-    return log.produce(messages, partitions, span=1_000)
+    return log.produce(_messages(spark, sf_dir), partitions, span=1_000)
 
 
 @query(sql.ROUTE_OFFSETS)
@@ -115,7 +118,7 @@ def polled_messages(spark, sf_dir):
 
 @query(sql.RECENT_MESSAGES)
 def recent_messages(spark, sf_dir):
-    return log.recent(_log(spark, sf_dir), 20).select("partition", "offset", "value")
+    return log.last_messages(_messages(spark, sf_dir), 2, 20).select("partition", "offset", "value")
 
 
 @query(sql.EVENT_FEED)
@@ -336,8 +339,8 @@ def latency_percentiles(spark, sf_dir):
     lat = replay.latencies(replay.replay(sessions.assign_sessions(own, CONFIG), CONFIG), own, CONFIG).cache()
     out = []
     for name in ("latency_s", "session_s"):
-        got = at_ranks(lat, name, {"p95": 0.95, "p99": 0.99})
-        out.append((name, lat.count(), median(lat, name), got["p95"], got["p99"]))
+        n, middle, got = summary(lat, name, {"p95": 0.95, "p99": 0.99})
+        out.append((name, n, middle, got["p95"], got["p99"]))
     lat.unpersist()
     return spark.createDataFrame(out, "measure string, n long, median double, p95 double, p99 double").select("measure", "n", *[F.round(c, 3).alias(c) for c in ("median", "p95", "p99")])
 

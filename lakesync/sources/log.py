@@ -49,3 +49,12 @@ def lag(log: DataFrame, positions: DataFrame) -> DataFrame:
 def recent(log: DataFrame, n: int = 20) -> DataFrame:
     """The n messages with the highest (partition, offset)."""
     return log.orderBy(F.desc("partition"), F.desc("offset")).limit(n)
+
+
+def last_messages(messages: DataFrame, partitions: int, n: int = 20) -> DataFrame:
+    """What `recent` gives of the log that `produce` makes, without numbering it: n messages are picked, then placed from their partitions' ends."""
+    routed = messages.withColumn("partition", md5_mod(F.col("key"), partitions))
+    ends = routed.groupBy("partition").agg(F.count("*").alias("end"))
+    last = routed.orderBy(F.desc("partition"), F.desc("seq")).limit(n)
+    back = F.row_number().over(Window.partitionBy("partition").orderBy(F.desc("seq")))
+    return last.withColumn("back", back).join(ends, "partition").withColumn("offset", F.col("end") - F.col("back") + 1).drop("back", "end")
