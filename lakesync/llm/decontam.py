@@ -3,7 +3,8 @@
 `build_index` stores the postings (document, position, term) of the benchmark's terms, and a first row for each document.
 `phrase_matches` takes for each benchmark window its two rarest terms by collection frequency, shifts their postings by the
 terms' places in the item, so that an occurrence of the window gives both the same shift, and intersects them; the alignments
-that remain are compared word by word. `proximity_matches` intersects the same lists but allows the shifts to differ.
+that remain are compared word by word, a row for each word, so neither a long text nor many occurrences make a large row.
+`proximity_matches` intersects the same lists but allows the shifts to differ.
 
 Words are runs of ASCII letters and digits and of all non-ASCII characters, A-Z lower-cased. A window is `width`
 consecutive words of an item; an item with fewer words, but not none, is one window. Null and empty texts have no words and
@@ -13,12 +14,14 @@ are matched each by its own text. Other columns are ignored, whatever their name
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakesync.llm.common import broadcast_if_small, store, words
 
 WIDTH = 10
+#: How far, in words, the two rarest terms of a window may be from their distance in it and still be near.
+SLACK = 5
 
 
 def benchmark_items(benchmark: DataFrame) -> DataFrame:
@@ -36,6 +39,12 @@ def build_index(docs: DataFrame, terms: DataFrame) -> DataFrame:
     return postings.where(first | F.col("term").isNotNull()).select("doc_id", "doc_key", "n_words", F.coalesce("pos", F.lit(0)).alias("pos"), "term", first.alias("first"))
 
 
+def _by_row(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
+    """left joined with right by doc_id, null being a value, and doc_key."""
+    own = right.withColumnsRenamed({"doc_id": "r_id", "doc_key": "r_key"})
+    return left.join(own, left["doc_id"].eqNullSafe(own["r_id"]) & (left["doc_key"] == own["r_key"]), how).drop("r_id", "r_key")
+
+
 def rarest_pairs(items: DataFrame, frequency: DataFrame, width: int) -> DataFrame:
     """item_key, a, b: for each window whose terms all have postings, the places in the item of its two rarest terms."""
     n, starts = F.size("w"), lambda p: F.sequence(F.greatest(p - width + 1, F.lit(0)), F.least(p, F.greatest(F.size("w") - width, F.lit(0))))
@@ -71,61 +80,71 @@ def term_frequency(index: DataFrame) -> DataFrame:
     return index.where(F.col("term").isNotNull()).groupBy("term").agg(F.count("*").alias("cf"))
 
 
-def phrase_matches(docs: DataFrame, index: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, doc_key, found: per document with occurrences of windows, the array of (start, n, ids), exact."""
-    pairs = store(rarest_pairs(items, term_frequency(index), width), "pairs")
+def phrase_matches(docs: DataFrame, index: DataFrame, items: DataFrame, width: int = WIDTH, pairs: DataFrame | None = None) -> DataFrame:
+    """doc_id, doc_key, item_key, start, n: each run of n words in which a row and an item agree, of a window at least, exact."""
+    pairs = store(rarest_pairs(items, term_frequency(index), width), "pairs") if pairs is None else pairs
     candidates = store(alignments(index, pairs), "alignments")
-    ids = broadcast_if_small(candidates.select("doc_id", "doc_key").distinct())
     held = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("doc_key"), "text")
-    texts = held.join(ids, held.doc_id.eqNullSafe(ids.doc_id) & (held.doc_key == ids.doc_key), "left_semi").dropDuplicates(["doc_id", "doc_key"])
-    listed = (
-        candidates.join(broadcast_if_small(items, limit=20_000), "item_key").groupBy("doc_id", "doc_key").agg(F.collect_list(F.struct("shift", "w", "ids")).alias("c"))
-        .withColumnsRenamed({"doc_id": "c_id", "doc_key": "c_key"})
-    )
-    joined = texts.withColumn("d", words(F.col("text"))).drop("text").join(listed, texts.doc_id.eqNullSafe(F.col("c_id")) & (texts.doc_key == F.col("c_key")))
-    size = lambda c: F.least(F.size(c["w"]), F.lit(width))
-    same = lambda c, k: (c["shift"] + k >= 0) & (F.slice("d", F.greatest(c["shift"] + k, F.lit(0)) + 1, size(c)) == F.slice(c["w"], k + 1, size(c)))
-    starts = lambda c: F.filter(F.sequence(F.lit(0), F.size(c["w"]) - size(c)), lambda k: same(c, k))
-    found = F.flatten(F.transform("c", lambda c: F.transform(starts(c), lambda k: F.struct((c["shift"] + k).alias("start"), size(c).alias("n"), c["ids"].alias("ids")))))
-    return joined.select("doc_id", "doc_key", found.alias("found")).where(F.size("found") > 0)
-
-
-def proximity_matches(index: DataFrame, items: DataFrame, width: int = WIDTH, slack: int = 5) -> DataFrame:
-    """doc_id, doc_key, item_key, shift: where a window's two rarest terms lie within `slack` words of their distance in it."""
-    pairs = store(rarest_pairs(items, term_frequency(index), width), "pairs")
-    hits = shifted_postings(index, pairs)
+    texts = _by_row(held, broadcast_if_small(candidates.select("doc_id", "doc_key").distinct()), "left_semi").dropDuplicates(["doc_id", "doc_key"])
+    tokens = texts.select("doc_id", "doc_key", F.posexplode(words(F.col("text"))).alias("pos", "word"))
+    placed = items.select("item_key", F.size("w").alias("length"), F.posexplode("w").alias("p", "term"))
+    wanted = candidates.join(broadcast_if_small(placed), "item_key").withColumnsRenamed({"doc_id": "c_id", "doc_key": "c_key"}).withColumn("at", F.col("shift") + F.col("p"))
+    same_row = tokens["doc_id"].eqNullSafe(wanted["c_id"]) & (tokens["doc_key"] == wanted["c_key"])
+    agreed = tokens.join(wanted, same_row & (tokens["pos"] == wanted["at"]) & (tokens["word"] == wanted["term"]))
+    # places that follow each other have the same distance from their rank
+    rank = F.row_number().over(Window.partitionBy("doc_id", "doc_key", "item_key", "length", "shift").orderBy("p"))
+    runs = agreed.withColumn("run", F.col("p") - rank).groupBy("doc_id", "doc_key", "item_key", "length", "shift", "run").agg(F.min("pos").alias("start"), F.count("*").cast("int").alias("n"))
+    return runs.where(F.col("n") >= F.least("length", F.lit(width))).select("doc_id", "doc_key", "item_key", "start", "n")
+
+
+def proximity_matches(index: DataFrame, items: DataFrame, width: int = WIDTH, slack: int = SLACK, pairs: DataFrame | None = None) -> DataFrame:
+    """doc_id, doc_key, item_key, shift: where a window's two rarest terms lie within `slack` (30 at most) words of their distance in it."""
+    if not 0 <= slack <= 30:
+        raise ValueError("slack must be from 0 to 30")
+    pairs = store(rarest_pairs(items, term_frequency(index), width), "pairs") if pairs is None else pairs
+    side = lambda name: F.struct(F.lit(name).alias("side"), F.col(name)["p"].alias("p"), F.col(name)["term"].alias("term"))
+    sides = pairs.select("item_key", F.col("a.p").alias("pa"), F.col("b.p").alias("pb"), F.explode(F.array(side("a"), side("b"))).alias("t")).select("item_key", "pa", "pb", "t.*").distinct()
+    hits = index.where(F.col("term").isNotNull()).join(broadcast_if_small(sides), "term").withColumn("shift", F.col("pos") - F.col("p"))
     # a shift falls in its own stretch of `slack` + 1 places and reaches into the next one, so any two that are close share a stretch
     stretch = F.floor(F.col("shift") / (slack + 1))
-    spread = hits.withColumn("stretch", F.explode(F.array(stretch, stretch + 1)))
-    near = spread.groupBy("doc_id", "doc_key", "item_key", "stretch").agg(F.collect_set(F.struct("p", "shift")).alias("s"))
-    of_item = pairs.groupBy("item_key").agg(F.collect_set(F.struct(F.col("a.p").alias("a"), F.col("b.p").alias("b"))).alias("pairs"))
-    both = lambda x, y: F.exists("pairs", lambda q: (q["a"] == x["p"]) & (q["b"] == y["p"]))
-    fits = lambda x: F.exists("s", lambda y: (F.abs(x["shift"] - y["shift"]) <= slack) & both(x, y))
-    kept = near.join(broadcast_if_small(of_item), "item_key").withColumn("f", F.explode(F.filter("s", fits)))
-    return kept.select("doc_id", "doc_key", "item_key", F.col("f.shift").alias("shift")).distinct()
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
-    """Each row's doc_id, n_words, n_hit (words inside occurrences), items (sorted ids as strings), contaminated."""
+    spread = hits.withColumn("stretch", F.explode(F.array(stretch, stretch + 1))).withColumn("from", (F.col("stretch") - 1) * (slack + 1))
+    bit = _bit((F.col("shift") - F.col("from")).cast("int"))
+    of = lambda name: F.coalesce(F.bit_or(F.when(F.col("side") == name, bit)), F.lit(0)).alias(name)
+    met = spread.groupBy("doc_id", "doc_key", "item_key", "pa", "pb", "from").agg(of("a"), of("b")).where((F.col("a") != 0) & (F.col("b") != 0))
+    reach = F.col("b")
+    for d in range(1, slack + 1):
+        reach = reach.bitwiseOR(F.shiftleft("b", d)).bitwiseOR(F.shiftright("b", d))
+    near = met.withColumn("near", F.col("a").bitwiseAND(reach)).where(F.col("near") != 0)
+    places = F.filter(F.sequence(F.lit(0), F.lit(2 * slack + 1)), lambda o: F.col("near").bitwiseAND(_bit(o)) != 0)
+    return near.select("doc_id", "doc_key", "item_key", "from", F.explode(places).alias("o")).select("doc_id", "doc_key", "item_key", (F.col("from") + F.col("o")).cast("int").alias("shift")).distinct()
+
+
+def _ids_of(found: DataFrame, items: DataFrame, name: str) -> DataFrame:
+    """doc_id, doc_key and the sorted ids of the items found in the row: as many as the benchmark has at most."""
+    listed = found.select("doc_id", "doc_key", "item_key").distinct().join(broadcast_if_small(items.select("item_key", "ids")), "item_key")
+    return listed.groupBy("doc_id", "doc_key").agg(F.array_sort(F.flatten(F.collect_list("ids"))).alias(name)).withColumn(name, F.array_distinct(name))
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, slack: int = SLACK) -> DataFrame:
+    """Each row's doc_id, n_words, n_hit (words inside occurrences), items, near (sorted ids as strings: exact, in proximity), contaminated."""
     items = store(benchmark_items(benchmark), "items")
     index = store(build_index(docs, items.select(F.explode("w").alias("term")).distinct()), "postings")
-    places = lambda f: F.sequence(f["start"], f["start"] + f["n"] - 1)
-    hits = phrase_matches(docs, index, items, width).select(
-        F.col("doc_id").alias("h_id"),
-        F.col("doc_key").alias("h_key"),
-        F.size(F.array_distinct(F.flatten(F.transform("found", places)))).alias("n_hit"),
-        F.array_sort(F.array_distinct(F.flatten(F.transform("found", lambda f: f["ids"])))).alias("items"),
+    pairs = store(rarest_pairs(items, term_frequency(index), width), "pairs")
+    found = store(phrase_matches(docs, index, items, width, pairs), "phrases")
+    places = found.select("doc_id", "doc_key", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("n") - 1)).alias("pos")).distinct()
+    hits = _by_row(places.groupBy("doc_id", "doc_key").agg(F.count("*").alias("n_hit")), _ids_of(found, items, "items"), "inner")
+    out = _by_row(index.where("first").select("doc_id", "doc_key", "n_words"), hits, "left")
+    out = _by_row(out, _ids_of(proximity_matches(index, items, width, slack, pairs), items, "near"), "left")
+    n_hit, none = F.coalesce("n_hit", F.lit(0)), F.array().cast("array<string>")
+    return out.select(
+        "doc_id", F.col("n_words").cast("long").alias("n_words"), n_hit.alias("n_hit"), F.coalesce("items", none).alias("items"), F.coalesce("near", none).alias("near"), (n_hit > 0).alias("contaminated")
     )
-    rows = index.where("first").select("doc_id", "doc_key", "n_words")
-    out = rows.join(hits, rows.doc_id.eqNullSafe(hits.h_id) & (rows.doc_key == hits.h_key), "left")
-    n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
-    return out.select("doc_id", F.col("n_words").cast("long").alias("n_words"), n_hit.alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), (n_hit > 0).alias("contaminated"))
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
     """docs without the rows that hold a window of the benchmark."""
     items = store(benchmark_items(benchmark), "items")
     index = store(build_index(docs, items.select(F.explode("w").alias("term")).distinct()), "postings")
-    hits = store(phrase_matches(docs, index, items, width).select(F.col("doc_id").alias("__id"), F.col("doc_key").alias("__key")), "hits")
+    hits = store(phrase_matches(docs, index, items, width).select(F.col("doc_id").alias("__id"), F.col("doc_key").alias("__key")).distinct(), "hits")
     same = docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("__key"))
     return docs.join(broadcast_if_small(hits), same, "left_anti")

@@ -36,7 +36,7 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated", F.size("near").cast("long").alias("n_near"))
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,10 +91,11 @@ def queries() -> dict:
     return {f.__name__: f for f in (op1_toxicity, op2_byte_bpe, op3_language_id, op4_decontamination, op5_pii, op6_jaccard_join, op7_media, op8_token_counts, op9_sharding, op10_lm_scoring)} | {"pipeline": corpus_pipeline.run}
 
 
-#: The same rows as op4_decontamination: windows of ten item words, or a whole shorter item, looked up among the documents' own runs.
+#: The same rows as op4_decontamination: windows of ten item words, or a whole shorter item, looked up among the documents' own runs;
+#: n_near from all pairs of places of a window's two rarest terms.
 OP4_SQL = r"""
 WITH w AS (
-  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
 ), i AS (
   SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
 ), win AS (
@@ -105,10 +106,21 @@ WITH w AS (
   FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM w, (SELECT DISTINCT n FROM win) WHERE len(w) >= n)
 ), hit AS (SELECT doc_id, k, run.n, item_id FROM run JOIN win ON run.g = win.g AND run.n = win.n),
 items AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids FROM hit GROUP BY doc_id),
-places AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS p FROM hit) GROUP BY doc_id)
+places AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS p FROM hit) GROUP BY doc_id),
+tok AS (SELECT r, unnest(w) AS term, unnest(range(len(w))) AS pos FROM w),
+cf AS (SELECT term, count(*) AS cf FROM tok GROUP BY term),
+own AS (SELECT array_to_string(w, ' ') AS seq, unnest(w) AS term, unnest(range(len(w))) AS p FROM (SELECT DISTINCT w FROM i WHERE len(w) > 0)),
+spot AS (SELECT seq, k, least(len, 10) AS n, p, term FROM (SELECT seq, len, unnest(range(0, greatest(len - 9, 1))) AS k FROM (SELECT seq, count(*) AS len FROM own GROUP BY seq)) JOIN own USING (seq) WHERE p BETWEEN k AND k + 9),
+rare AS (SELECT seq, k, n, list({'cf': cf, 'p': p, 'term': term} ORDER BY cf, p) AS l FROM spot JOIN cf USING (term) GROUP BY seq, k, n),
+pair AS (SELECT DISTINCT seq, l[1].p AS pa, l[1].term AS ta, coalesce(l[2], l[1]).p AS pb, coalesce(l[2], l[1]).term AS tb FROM rare WHERE len(l) = n),
+close AS (
+  SELECT DISTINCT a.r, seq FROM pair JOIN tok a ON a.term = ta JOIN tok b ON b.r = a.r AND b.term = tb WHERE abs((a.pos - pa) - (b.pos - pb)) <= 5
+), near AS (
+  SELECT r, count(DISTINCT item_id) AS n_near FROM close JOIN i ON len(w) > 0 AND array_to_string(w, ' ') = seq GROUP BY r
+)
 SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
-       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM w LEFT JOIN items ON items.doc_id = w.doc_id LEFT JOIN places ON places.doc_id = w.doc_id
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near
+FROM w LEFT JOIN items ON items.doc_id = w.doc_id LEFT JOIN places ON places.doc_id = w.doc_id LEFT JOIN near ON near.r = w.r
 """
 
 

@@ -43,6 +43,42 @@ def test_against_brute_force(spark):
         assert sorted(got, key=str) == brute(DOCS, ITEMS, width)
 
 
+def near_brute(docs, items, width, slack):
+    """Per row, the ids of items with a window whose two rarest terms (by count in docs, then place) have places in the row that fit within slack."""
+    rows, cf, out = [(i, split(t)) for i, t in docs], {}, []
+    for _, words in rows:
+        for w in words:
+            cf[w] = cf.get(w, 0) + 1
+    for doc_id, words in rows:
+        ids = set()
+        for item_id, item in items:
+            w = split(item)
+            for k in range(max(1, len(w) - width + 1)) if w else []:
+                places = sorted((cf.get(w[p], 0), p) for p in range(k, min(k + width, len(w))))
+                if places[0][0]:
+                    (_, a), (_, b) = places[0], places[min(1, len(places) - 1)]
+                    at = lambda p: [j - p for j, x in enumerate(words) if x == w[p]]  # noqa: B023, E731
+                    if any(abs(x - y) <= slack for x in at(a) for y in at(b)):
+                        ids |= {str(item_id)} - {"None"}
+        out.append((doc_id, len(words), tuple(sorted(ids))))
+    return sorted(out, key=str)
+
+
+def test_proximity_against_brute_force(spark):
+    loose = [(20, "start " + " pad ".join(PASSAGE.split())), (21, " pad pad pad pad ".join(PASSAGE.split())), (22, " ".join(reversed(PASSAGE.split()))), (23, "the " * 40 + "nothing"), (24, "x one y two z three")]
+    docs, items = spark.createDataFrame(DOCS + loose, "doc_id long, text string"), spark.createDataFrame(ITEMS, "item_id long, text string")
+    for width, slack in ((10, 5), (3, 2), (10, 0), (4, 30)):
+        got = [(r.doc_id, r.n_words, tuple(r.near)) for r in decontam.contamination(docs, items, width, slack).collect()]
+        assert sorted(got, key=str) == near_brute(DOCS + loose, ITEMS, width, slack)
+
+
+def test_a_long_text_full_of_a_short_item(spark):
+    docs = [(1, "the cat " * 30_000), (2, "the " * 50_000 + PASSAGE)]
+    items = [(1, "the"), (2, "cat the"), (3, PASSAGE)]
+    got = {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in decontam.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {1: (60_000, 59_999, ["1", "2"]), 2: (50_014, 50_014, ["1", "3"])}
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame(DOCS, "doc_id long, text string")
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
