@@ -9,7 +9,7 @@ The network is trained in numpy on a bounded sample of labelled rows: windows of
 that the labels single out, windows of clean texts as negative, others are left aside. Where no window holds such a word (few labels
 cannot single one out), the windows of each toxic text with the strongest evidence of it are the positives.
 
-Null texts and texts without words are scored as an empty window. Rows are independent; repeated rows repeat. Without labels
+Null texts and texts without words give the network nothing to read: their score is the share of toxic labels. Rows are independent; repeated rows repeat. Without labels
 of both kinds on texts with words every score is the share of toxic labels (0 without labels). Of rows that share a labelled id one text
 may be learned from, the one that sorts first; an id that is labelled several times is toxic if one label says so. Only text enters a
 score; other columns, whatever their names, are kept by `reject` and ignored elsewhere.
@@ -84,7 +84,7 @@ class Network:
         self.p = {"word": word, "char": put(TRIGRAMS, INPUTS, scale=0.05), "attend": put(2 * HIDDEN, ATTENTION), "attend_b": put(ATTENTION), "ask": put(ATTENTION), "out": put(2 * HIDDEN), "out_b": np.zeros(1, np.float32)}
         for side in "fb":
             self.p |= {f"in_{side}": put(INPUTS, 3 * HIDDEN), f"bias_{side}": np.zeros(3 * HIDDEN, np.float32), f"own_{side}": put(HIDDEN, 3 * HIDDEN)}
-        self.scale, self.shift = 1.0, 0.0
+        self.scale, self.shift, self.share = 1.0, 0.0, 0.0
 
     def inputs(self, words: list[bytes]) -> tuple[np.ndarray, tuple]:
         ids = np.fromiter(map(self.vocabulary.get, words, repeat(0)), np.int64, len(words))
@@ -194,14 +194,12 @@ class Network:
         return out, doc
 
     def scores(self, texts: list[list[bytes]]) -> np.ndarray:
-        """Calibrated maximum over the windows of each text."""
-        top = np.full(len(texts), float(self.p["out_b"][0]))
+        """Calibrated maximum over the windows of each text; the share of toxic labels where there is no window."""
         logit, doc = self.window_scores(texts)
-        if len(doc):
-            held = np.full(len(texts), -np.inf)
-            np.maximum.at(held, doc, logit)
-            top = np.where(np.isfinite(held), held, top)
-        return _sigmoid(self.scale * top + self.shift)
+        top = np.full(len(texts), -np.inf)
+        np.maximum.at(top, doc, logit)
+        read = np.isfinite(top)
+        return np.where(read, _sigmoid(self.scale * np.where(read, top, 0.0) + self.shift), self.share)
 
 
 class Constant:
@@ -363,7 +361,8 @@ def _descend(model: Network, windows: list[list[bytes]], truth: np.ndarray, weig
 
 def _calibrate(model: Network, docs: list[tuple[list[bytes], int]], share: float) -> None:
     """Scale and shift of the top logit by logistic regression on texts that were not fitted, weighted to the given share of toxic ones."""
-    model.scale, model.shift = 1.0, 0.0
+    model.scale, model.shift, model.share = 1.0, 0.0, share
+    docs = [(w, t) for w, t in docs if w]
     p = np.clip(model.scores([w for w, _ in docs]), 1e-9, 1 - 1e-9)
     x, y = np.log(p / (1 - p)), np.array([t for _, t in docs], float)
     n_toxic, a, b = y.sum(), 1.0, 0.0
