@@ -1,4 +1,4 @@
-"""The queries of the ten operators and of the pipeline, and the SQL for those that SQL can express."""
+"""The queries of the thirteen operators and of the pipeline, and the SQL for those that SQL can express."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lakesync.llm import bytebpe, decontam, hmm, jaccard, langid, media, pii, sharding, tokencount, toxicity
+from lakesync.llm import bytebpe, centroids, decontam, hmm, jaccard, langid, media, packing, pii, sharding, spelling, tokencount, toxicity
 from lakesync.llm.common import crc_bucket, table
 
 
@@ -87,8 +87,28 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("doc_id", (~F.col("trains")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = centroids.cluster(table(spark, sf_dir, "embeddings"))
+    digest = F.sha2(F.concat_ws(",", F.col("centroid").cast("array<string>")), 256)
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", digest.alias("centroid_sha256"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+_OPERATORS = (
+    op1_toxicity, op2_byte_bpe, op3_language_id, op4_decontamination, op5_pii, op6_jaccard_join, op7_media, op8_token_counts, op9_sharding, op10_lm_scoring,
+    op11_packing, op12_centroids, op13_spelling,
+)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_byte_bpe, op3_language_id, op4_decontamination, op5_pii, op6_jaccard_join, op7_media, op8_token_counts, op9_sharding, op10_lm_scoring)} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in _OPERATORS} | {"pipeline": corpus_pipeline.run}
 
 
 #: The same rows as op4_decontamination: windows of ten item words, or a whole shorter item, looked up among the documents' own runs;
@@ -182,7 +202,52 @@ FROM felt
 """
 
 
+def _clusters_sql(k: int = centroids.K, rounds: int = centroids.ROUNDS, dims: int = centroids.DIMS) -> str:
+    """The same rows as op12_centroids: every vector against every centroid, round by round."""
+    steps = [
+        f"""kept AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor({centroids.SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+          FROM embeddings WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dims})""",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id), vec_id, q) - 1 AS c, q FROM kept ORDER BY c LIMIT {k})",
+    ]
+    for i in range(rounds + 1):
+        d = f"list_sum(list_transform(range(1, {dims + 1}), lambda i: (kept.q[i] - c{i}.q[i]) * (kept.q[i] - c{i}.q[i])))"
+        steps.append(f"a{i} AS MATERIALIZED (SELECT r, min({{'d': CAST({d} AS BIGINT), 'c': c}}) AS m FROM kept, c{i} GROUP BY r)")
+        if i < rounds:
+            s = "list_sum(list_transform(qs, lambda x: x[i]))"
+            steps.append(f"g{i} AS MATERIALIZED (SELECT m.c AS c, count(*) AS n, list(q) AS qs FROM a{i} JOIN kept USING (r) GROUP BY m.c)")
+            mean = f"CAST(({s} - ({s} % n + n) % n) // n AS BIGINT)"
+            steps.append(f"c{i + 1} AS MATERIALIZED (SELECT c{i}.c, coalesce(list_transform(range(1, {dims + 1}), lambda i: {mean}), c{i}.q) AS q FROM c{i} LEFT JOIN g{i} USING (c))")
+    last = f"c{rounds}"
+    return f"""WITH {", ".join(steps)}
+    SELECT vec_id, CAST(m.c AS INTEGER) AS cluster, CAST(m.d AS BIGINT) AS distance, CAST(sum(m.d) OVER (PARTITION BY m.c) AS BIGINT) AS cluster_inertia, CAST(sum(m.d) OVER () AS BIGINT) AS inertia,
+      sha256(array_to_string({last}.q, ',')) AS centroid_sha256
+    FROM a{rounds} JOIN kept USING (r) JOIN {last} ON {last}.c = m.c"""
+
+
+#: The same rows as op13_spelling: words that share what is left without one letter. crc32 by its table of 256 bytes.
+OP13_SQL = f"""
+WITH RECURSIVE crc AS MATERIALIZED (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), {_STEP}) AS v FROM range(256) x(i))
+), run AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\\x{{00C0}}-\\x{{00FF}}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w FROM documents
+), own AS MATERIALIZED (SELECT doc_id, w, count(*) AS k, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || w)) AS x FROM run GROUP BY doc_id, w
+), hashed AS (
+  SELECT w, k, CAST(xor(list_reduce(list_prepend(4294967295, list_transform(range(0, len(x) // 2), lambda i: CAST('0x' || substr(x, CAST(2 * i + 1 AS INTEGER), 2) AS BIGINT))),
+    lambda c, b: xor(c >> 8, t[CAST(xor(c & 255, b) AS INTEGER) + 1])), 4294967295) AS BIGINT) AS h FROM own, crc
+), cut AS (SELECT CASE WHEN h % 97 = 0 THEN substr(w, 1, CAST(h % length(w) AS INTEGER)) || substr(w, CAST(h % length(w) AS INTEGER) + 2) ELSE w END AS w, k FROM hashed
+), words AS MATERIALIZED (SELECT w, CAST(sum(k) AS BIGINT) AS n FROM cut WHERE length(w) >= 5 GROUP BY w HAVING sum(k) >= 3
+), less AS MATERIALIZED (SELECT w, n, i, substr(w, 1, CAST(i - 1 AS INTEGER)) || substr(w, CAST(i + 1 AS INTEGER)) AS d FROM (SELECT w, n, unnest(range(1, length(w) + 1)) AS i FROM words)
+), near AS MATERIALIZED (
+  SELECT a.w AS w, b.w AS o, b.n AS m FROM less a JOIN less b ON a.i = b.i AND a.d = b.d AND a.w <> b.w
+  UNION SELECT less.w, words.w, words.n FROM less JOIN words ON d = words.w
+  UNION SELECT words.w, less.w, less.n FROM less JOIN words ON d = words.w
+), best AS (SELECT w, count(*) AS n_near, min({{'m': -m, 'o': o}}) AS b FROM near GROUP BY w
+), forms AS MATERIALIZED (SELECT words.w, n, coalesce(n_near, 0) AS n_near, CASE WHEN -b.m >= 2 * n THEN b.o END AS form, CASE WHEN -b.m >= 2 * n THEN -b.m END AS form_n FROM words LEFT JOIN best USING (w)
+), path AS (SELECT w, w AS here, form AS next FROM forms UNION ALL SELECT path.w, path.next, forms.form FROM path JOIN forms ON forms.w = path.next)
+SELECT forms.w AS word, forms.form, here AS root, n, CAST(n_near AS BIGINT) AS n_near, form_n FROM forms JOIN path ON path.w = forms.w AND path.next IS NULL
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL for the queries that it can express; the others are tested against brute force, round trips or held-out accuracy."""
-    known = {"op4_decontamination": OP4_SQL, "op6_jaccard_join": OP6_SQL, "op7_media": OP7_SQL}
+    known = {"op4_decontamination": OP4_SQL, "op6_jaccard_join": OP6_SQL, "op7_media": OP7_SQL, "op12_centroids": _clusters_sql(), "op13_spelling": OP13_SQL}
     return known | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
