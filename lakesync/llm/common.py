@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lakesync.scratch import store
 
-__all__ = ["ascii_lower", "broadcast_if_small", "crc_bucket", "store", "table", "words"]
+__all__ = ["ascii_lower", "broadcast_if_small", "crc_bucket", "free_names", "store", "table", "words"]
 
 #: A side is broadcast only if a count has shown that it has no more rows than this.
 BROADCAST_ROWS = 200_000
@@ -21,6 +21,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as it takes to be no column of df, whatever the case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def broadcast_if_small(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it has at most `limit` rows, else as it is (Spark then shuffles the join)."""
     rows = df.count() if rows is None else rows

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakesync.llm.common import broadcast_if_small, store, words
+from lakesync.llm.common import broadcast_if_small, free_names, store, words
 
 WIDTH = 10
 #: How far, in words, the two rarest terms of a window may be from their distance in it and still be near.
@@ -145,6 +145,7 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WID
     """docs without the rows that hold a window of the benchmark."""
     items = store(benchmark_items(benchmark), "items")
     index = store(build_index(docs, items.select(F.explode("w").alias("term")).distinct()), "postings")
-    hits = store(phrase_matches(docs, index, items, width).select(F.col("doc_id").alias("__id"), F.col("doc_key").alias("__key")).distinct(), "hits")
-    same = docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("__key"))
+    own_id, own_key = free_names(docs, "own_id", "own_key")
+    hits = store(phrase_matches(docs, index, items, width).select(F.col("doc_id").alias(own_id), F.col("doc_key").alias(own_key)).distinct(), "hits")
+    same = docs["doc_id"].eqNullSafe(F.col(own_id)) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col(own_key))
     return docs.join(broadcast_if_small(hits), same, "left_anti")

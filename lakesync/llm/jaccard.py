@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakesync.llm.common import broadcast_if_small, store
+from lakesync.llm.common import broadcast_if_small, free_names, store
 from lakesync.llm.components import connected_components
 
 WIDTH, SIMILARITY = 5, 0.8
@@ -355,18 +355,20 @@ def join_classes(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILA
 def keep_first(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
     """docs with one document of each class, the one that names it; documents without words stay. Rows, columns and texts are unchanged."""
     found = store(join_classes(docs, width, similarity), "classes")
+    own_id, own_key, own_row = free_names(docs, "own_id", "own_key", "own_row")
     first = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("doc_key") == F.col("first_key"))
     worded = F.col("n_links") > 0
-    dropped = found.where(worded & ~first).select(F.col("doc_id").alias("__id"), F.col("doc_key").alias("__key")).distinct()
+    dropped = found.where(worded & ~first).select(F.col("doc_id").alias(own_id), F.col("doc_key").alias(own_key)).distinct()
     # a row that stands several times is kept once: such rows are taken out and put back without their repeats
-    again = store(found.where(worded & first).groupBy(F.col("doc_id").alias("__id"), F.col("doc_key").alias("__key")).agg(F.count("*").alias("n")).where(F.col("n") > 1).drop("n"), "again")
-    same = docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("__key"))
+    again = store(found.where(worded & first).groupBy(F.col("doc_id").alias(own_id), F.col("doc_key").alias(own_key)).agg(F.count("*").alias("n")).where(F.col("n") > 1).drop("n"), "again")
+    same = docs["doc_id"].eqNullSafe(F.col(own_id)) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col(own_key))
     repeated = again.count()
     gone = dropped.unionByName(again) if repeated else dropped
     kept = docs.join(broadcast_if_small(gone), same, "left_anti")
     if repeated:
-        # copies may differ in other columns: the row that sorts first stays
+        # copies may differ in other columns: the row whose JSON sorts first stays, as some kinds of column have no order
         names = docs.columns
-        back = docs.join(broadcast_if_small(again, repeated), same, "left_semi").groupBy("doc_id", F.xxhash64("text").alias("__key")).agg(F.min(F.struct(*[c for c in names if c != "doc_id"])).alias("__row"))
-        kept = kept.unionByName(back.select(*[F.col(c) if c == "doc_id" else F.col(f"__row.{c}").alias(c) for c in names]))
+        row = F.struct(*[docs[c] for c in names])
+        back = docs.join(broadcast_if_small(again, repeated), same, "left_semi").groupBy(docs["doc_id"], F.xxhash64(docs["text"]).alias(own_key)).agg(F.min_by(row, F.to_json(row)).alias(own_row))
+        kept = kept.unionByName(back.select(*[F.col(own_row)[c].alias(c) for c in names]))
     return kept

@@ -6,6 +6,7 @@ over the whole corpus, n(t, e) is the number of documents that hold term t and e
 with t. A term discloses e if t leaves at most `slack_bits` of uncertainty about it, -log2(n(t, e) / n(t)), and `support` documents
 show both. All occurrences of disclosing terms, in all documents, become spans of kind ``term``; `sanitise` replaces spans by their kind.
 
+A word of digits alone is no term; any other is, from `LEAST_LETTERS` = 1 letter on. Terms with equal bits count alike: the threshold decides.
 Null texts count as empty and have no spans. Rows are independent but for the counts; repeated rows count as often
 as they stand, in n(t, e) as in n(t). Span offsets are code points, the end exclusive. Other columns are kept by `sanitise` and ignored elsewhere.
 """
@@ -17,7 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakesync.llm.common import ascii_lower, broadcast_if_small, store, words
+from lakesync.llm.common import ascii_lower, broadcast_if_small, free_names, store, words
 
 #: Patterns that find what the plain ones in the docstrings of _KINDS find, without backing off inside runs. \G: where the last match ended.
 _LOCAL, _HOST = r"[A-Za-z0-9._%+-]", r"[A-Za-z0-9-]"
@@ -30,11 +31,13 @@ PATTERNS = {
 #: What a text must contain for a pattern to match.
 _NEEDS = {"email": "@", "ip": ".", "phone": "+"}
 KINDS = tuple(PATTERNS)
-SUPPORT, SLACK_BITS, LEAST_LETTERS = 3, 1.0, 3
+SUPPORT, SLACK_BITS, LEAST_LETTERS = 3, 1.0, 1
 _BLOCK, _CHUNK = 64, 2_048
 _LETTER = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]"
-#: Stands for each character of a span while words are cut; no character of any text (Unicode keeps it free).
-_HIDDEN = "\uffff"
+#: Stands for each character of a span while words are cut. It separates words, and where a text has it, a space takes its place first.
+_HIDDEN = "\x00"
+#: A word that touches no span.
+_CLEAR = rf"(?<!\x00)(?<!{_LETTER}){_LETTER}++(?!\x00)"
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -130,17 +133,19 @@ def base_spans(text: Column) -> Column:
 
 def hide(text: Column, spans: Column) -> Column:
     """The text with _HIDDEN for each character in a span; offsets stay."""
-    return _rewritten(text, spans, lambda s, reached: F.repeat(F.lit(_HIDDEN), F.greatest(-s["back"] - F.greatest(s["start"], reached), F.lit(0))))
+    free = F.when(F.contains(text, F.lit(_HIDDEN)), F.translate(text, _HIDDEN, " ")).otherwise(text)
+    return _rewritten(free, spans, lambda s, reached: F.repeat(F.lit(_HIDDEN), F.greatest(-s["back"] - F.greatest(s["start"], reached), F.lit(0))))
 
 
 def _is_term(word: Column) -> Column:
-    """Clear of all spans, and with letters enough."""
-    return (F.length(F.translate(word, "0123456789", "")) >= LEAST_LETTERS) & ~F.contains(word, F.lit(_HIDDEN))
+    """With letters enough."""
+    return F.length(F.translate(word, "0123456789", "")) >= LEAST_LETTERS
 
 
 def terms_of(text: Column, spans: Column) -> Column:
     """The distinct words that are clear of all spans and have letters enough."""
-    return F.filter(F.array_distinct(words(hide(text, spans))), _is_term)
+    clear = F.when(F.size(spans) > 0, F.regexp_extract_all(ascii_lower(hide(text, spans)), F.lit(_CLEAR), F.lit(0))).otherwise(words(text))
+    return F.filter(F.array_distinct(clear), _is_term)
 
 
 def placed_words(text: Column, spans: Column) -> Column:
@@ -148,7 +153,7 @@ def placed_words(text: Column, spans: Column) -> Column:
     return _let(
         ascii_lower(hide(text, spans)),
         lambda low: _let(
-            F.struct(F.regexp_extract_all(low, F.lit(f"{_LETTER}+"), F.lit(0)).alias("w"), F.split(low, f"{_LETTER}+", -1).alias("g")),
+            F.struct(F.regexp_extract_all(low, F.lit(_CLEAR), F.lit(0)).alias("w"), F.split(low, _CLEAR, -1).alias("g")),
             lambda p: _let(
                 running_sums(F.zip_with(p["w"], F.slice(p["g"], F.lit(1), F.size(p["w"])), lambda w, g: F.length(g) + F.length(w))),
                 lambda before: F.filter(
@@ -214,8 +219,9 @@ def redact(text: Column, spans: Column) -> Column:
 def sanitise(docs: DataFrame, support: int = SUPPORT, slack_bits: float = SLACK_BITS) -> DataFrame:
     """docs with base spans and disclosing terms replaced in text; rows, columns and their order stay."""
     spans = find_spans(docs, support, slack_bits).where((F.size("spans") > 0) | (F.size("terms") > 0))
-    marked = spans.select(F.col("doc_id").alias("__id"), F.col("doc_key").alias("__key"), F.concat("spans", "terms").alias("__spans")).dropDuplicates(["__id", "__key"])
+    own_id, own_key, own_spans = free_names(docs, "own_id", "own_key", "own_spans")
+    marked = spans.select(F.col("doc_id").alias(own_id), F.col("doc_key").alias(own_key), F.concat("spans", "terms").alias(own_spans)).dropDuplicates([own_id, own_key])
     key = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
-    joined = docs.join(broadcast_if_small(marked, limit=20_000), docs["doc_id"].eqNullSafe(F.col("__id")) & (key == F.col("__key")), "left")
-    clean = F.when(F.col("__spans").isNull(), docs["text"]).otherwise(redact(docs["text"], F.col("__spans")))
+    joined = docs.join(broadcast_if_small(marked, limit=20_000), docs["doc_id"].eqNullSafe(F.col(own_id)) & (key == F.col(own_key)), "left")
+    clean = F.when(F.col(own_spans).isNull(), docs["text"]).otherwise(redact(docs["text"], F.col(own_spans)))
     return joined.select(*[clean.alias("text") if c == "text" else docs[c] for c in docs.columns])

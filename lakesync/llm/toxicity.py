@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakesync.llm.common import crc_bucket
+from lakesync.llm.common import crc_bucket, free_names
 
 #: Bounds of the labelled sample, in expectation: toxic and clean rows, and the length of a row that may serve for training.
 TOXIC_ROWS, CLEAN_ROWS, TRAIN_CHARS = 1_500, 3_000, 20_000
@@ -402,8 +402,9 @@ def score(docs: DataFrame, model: Network | Constant, keep: tuple[str, ...] = ("
 
 def reject(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs without the rows whose score reaches the threshold, by a network trained on their labels."""
-    scored = score(docs, train(labelled_sample(docs, labels)), tuple(docs.columns), "__score")
-    return scored.where(F.col("__score") < threshold).drop("__score")
+    (name,) = free_names(docs, "own_score")
+    scored = score(docs, train(labelled_sample(docs, labels)), tuple(docs.columns), name)
+    return scored.where(F.col(name) < threshold).drop(name)
 
 
 def held_out(doc_id: Column) -> Column:

@@ -43,11 +43,11 @@ def test_terms_that_give_an_entity_away(spark):
     other = [(100 + i, f"the plan and the note about number{i}") for i in range(40)]
     docs = spark.createDataFrame([(*r, "k", "en") for r in told + other], "doc_id long, text string, kind string, lang string")
     rows = {r.doc_id: r for r in pii.find_spans(docs).collect()}
-    assert {t.value for t in rows[0].terms} == {"agent", "zorblax", "wrote"}
+    assert {t.value for t in rows[0].terms} == {"agent", "zorblax", "wrote", "to"}
     text = told[0][1]
     assert all(text[t.start : t.end].lower() == t.value for t in rows[0].terms) and not rows[100].terms
     clean = {r.doc_id: r for r in pii.sanitise(docs).collect()}
-    assert clean[0].text == "[TERM] [TERM] [TERM] to [EMAIL], note 0 about the plan" and clean[0].kind == "k"
+    assert clean[0].text == "[TERM] [TERM] [TERM] [TERM] [EMAIL], note 0 about the plan" and clean[0].kind == "k"
     assert clean[105].text == other[5][1] and len(clean) == 45
     assert pii.sanitise(docs).columns == docs.columns
 
@@ -68,7 +68,7 @@ def test_running_sums(spark):
 def brute_terms(texts, support=3, most=2):
     spans = [[(a, b, (t or "")[a:b]) for _, a, b in brute(t)] for t in texts]
     words = [
-        [(m[0].lower(), *m.span()) for m in re.finditer(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", t or "") if len(re.sub("[0-9]", "", m[0])) >= 3 and not any(a < m.end() and b > m.start() for a, b, _ in s)]
+        [(m[0].lower(), *m.span()) for m in re.finditer(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", t or "") if re.sub("[0-9]", "", m[0]) and not any(a < m.end() and b > m.start() for a, b, _ in s)]
         for t, s in zip(texts, spans)
     ]
     n, both = Counter(), Counter()
@@ -99,3 +99,12 @@ def test_one_text_with_very_many_entities(spark):
     assert [(s.kind, s.start, s.end) for s in row.spans] == brute(text) and len(row.spans) == 12_000
     assert clean == re.sub(r"10\.0\.[0-9]+\.7", "[IP]", re.sub(r"[a-z0-9]+@[a-z0-9.]+", "[EMAIL]", text))
     assert time.perf_counter() - began < 60
+
+
+def test_short_names_and_odd_characters(spark):
+    """Names of one and two characters, a word with U+FFFF, and texts with NUL are terms like any others."""
+    texts = [f"\u674e\u660e and Bo at zed@corp.org zor\uffffblax a\x00b{i} \x00zed@corp.org\x00q x{'y' * i}" for i in range(5)] + [f"and at {i} a \x00 \uffff" for i in range(20)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [(t.start, t.end) for t in r.terms] for r in pii.find_spans(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_terms(texts)
+    assert {"\u674e\u660e", "Bo", "zor\uffffblax", "q"} <= {texts[0][a:b] for a, b in got[0]}
