@@ -76,10 +76,9 @@ def _number(rows: DataFrame, names: list[str], config: SyncConfig) -> DataFrame:
                 continue
             same = np.ones(batch.num_rows, bool)
             for name in names:
-                column = batch.column(name)
-                if column.null_count:
-                    column = column.fill_null("")
-                same[1:] &= pc.equal(column[1:], column[:-1]).to_numpy(zero_copy_only=False)
+                after, before = batch.column(name)[1:], batch.column(name)[:-1]
+                alike = pc.or_(pc.fill_null(pc.equal(after, before), False), pc.and_(pc.is_null(after), pc.is_null(before)))
+                same[1:] &= alike.to_numpy(zero_copy_only=False)
             ends = [tuple(batch.column(name)[i].as_py() for name in names) for i in (0, batch.num_rows - 1)]
             same[0] = key == ends[0]
             t, is_add = batch.column("t_us").to_numpy(), np.array(batch.column("kind").to_pylist(), object) == ADD_CANDIDATE
@@ -125,15 +124,16 @@ def assign_sessions(intents: DataFrame, config: SyncConfig, hot_rows: int | None
 
 
 def effective_intents(assigned: DataFrame, config: SyncConfig) -> DataFrame:
-    """One row for each session: ADD if any intent adds, else DROP; the first proofs in order of arrival, repeats and all."""
+    """One row for each session: ADD if any intent adds, DROP if any drops, and none if all are of other kinds; the first proofs in order of arrival, repeats and all."""
     order = F.struct("t_us", "seq")
-    has_add = F.bool_or(F.col("kind") == ADD_CANDIDATE)
+    any_of = lambda kind: F.bool_or(F.col("kind").eqNullSafe(kind))
+    kind = F.when(any_of(ADD_CANDIDATE), "ADD").when(any_of(DROP_CANDIDATE), "DROP")
     proofs = F.transform(F.array_sort(F.collect_list(F.when((F.col("kind") == ADD_CANDIDATE) & (F.col("place") <= config.proofs), F.struct("t_us", "seq", "proof")))), lambda p: p["proof"])
     out = assigned.groupBy(*KEY, "sid").agg(
-        F.min_by("partition_prefix", order).alias("partition_prefix"), F.when(has_add, "ADD").otherwise("DROP").alias("kind"), proofs.alias("proof_keys"),
+        F.min_by("partition_prefix", order).alias("partition_prefix"), kind.alias("kind"), proofs.alias("proof_keys"),
         F.count("*").alias("n"), F.max_by("kind", order).alias("last_kind"), F.min("t_us").alias("first_us"), F.max("t_us").alias("last_us"),
     )
-    return out.withColumn("flush_us", F.least(F.col("last_us") + config.window_us, F.col("first_us") + config.cap_us))
+    return out.where(F.col("kind").isNotNull()).withColumn("flush_us", F.least(F.col("last_us") + config.window_us, F.col("first_us") + config.cap_us))
 
 
 def flush_order(effective: DataFrame) -> DataFrame:
@@ -145,16 +145,20 @@ def reconcile(intents: DataFrame, config: SyncConfig) -> DataFrame:
     """All intents of a key as one session, as when a buffer is flushed by force.
 
     Counts and times combine on the map side, in numbers only; the proofs are the first few additions of each key, which
-    every task cuts to that few before the shuffle.
+    every task cuts to that few before the shuffle. A key whose intents neither add nor drop gives no row.
     """
     names = [*KEY, "partition_prefix"]
     whole = intents.groupBy(*names).agg(
-        F.count("*").alias("n"), F.count_if(F.col("kind") == ADD_CANDIDATE).alias("n_add"), F.min("t_us").alias("first_us"), F.max("t_us").alias("last_us"),
-    )
+        F.count("*").alias("n"), F.count_if(F.col("kind") == ADD_CANDIDATE).alias("n_add"), F.count_if(F.col("kind") == DROP_CANDIDATE).alias("n_drop"),
+        F.min("t_us").alias("first_us"), F.max("t_us").alias("last_us"),
+    ).where((F.col("n_add") > 0) | (F.col("n_drop") > 0))
     place = F.row_number().over(Window.partitionBy(*names).orderBy("t_us", "seq"))
     first = intents.where(F.col("kind") == ADD_CANDIDATE).select(*names, "t_us", "seq", "proof").withColumn("place", place).where(F.col("place") <= config.proofs)
     proofs = first.groupBy(*names).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "proof"))), lambda p: p["proof"]).alias("proof_keys"))
-    out = whole.join(proofs, names, "left").withColumn("kind", F.when(F.col("n_add") > 0, "ADD").otherwise("DROP"))
+    same = F.lit(True)
+    for name in names:
+        same = same & whole[name].eqNullSafe(proofs[name])
+    out = whole.join(proofs, same, "left").select(whole["*"], "proof_keys").withColumn("kind", F.when(F.col("n_add") > 0, "ADD").otherwise("DROP"))
     flush = F.least(F.col("last_us") + config.window_us, F.col("first_us") + config.cap_us)
     return out.select(*KEY, "partition_prefix", "kind", F.coalesce("proof_keys", F.array().cast("array<string>")).alias("proof_keys"), "n", "first_us", "last_us", flush.alias("flush_us"))
 

@@ -50,6 +50,11 @@ def _live(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inventory.live_inventory(intents.kept(envelopes.read(spark, sf_dir)))
 
 
+def _last_us(spark: SparkSession, sf_dir: str) -> int:
+    """The time of the last event; 0 if there is none."""
+    return envelopes.read(spark, sf_dir).agg(F.max("t_us")).first()[0] or 0
+
+
 def _key() -> list:
     return [F.col(c) for c in sessions.KEY]
 
@@ -210,16 +215,14 @@ def effective_intents(spark, sf_dir):
 
 @query(sql.BUFFER_SNAPSHOT)
 def buffer_snapshot(spark, sf_dir):
-    rows = _assigned(spark, sf_dir)
-    now = envelopes.read(spark, sf_dir).agg(F.max("t_us")).first()[0]
+    rows, now = _assigned(spark, sf_dir), _last_us(spark, sf_dir)
     return sessions.buffer_snapshot(rows, now, CONFIG)
 
 
 @query(sql.FLUSHED_BETWEEN)
 def flushed_between(spark, sf_dir):
     """Keys that were buffered two hours before the end and have been flushed since."""
-    rows = _assigned(spark, sf_dir)
-    now = envelopes.read(spark, sf_dir).agg(F.max("t_us")).first()[0]
+    rows, now = _assigned(spark, sf_dir), _last_us(spark, sf_dir)
     past, present = (sessions.buffer_snapshot(rows, t, CONFIG) for t in (now - 7_200_000_000, now))
     return catalog.flushed_keys(past, present).select(*_key(), "count")
 
@@ -233,8 +236,7 @@ def flush_sequence(spark, sf_dir):
 
 @query(sql.LAST_FLUSHES)
 def last_flushes(spark, sf_dir):
-    now = envelopes.read(spark, sf_dir).agg(F.max("t_us")).first()[0] or 0
-    return catalog.last_flushes(sessions.effective_intents(_assigned(spark, sf_dir), CONFIG), now)
+    return catalog.last_flushes(sessions.effective_intents(_assigned(spark, sf_dir), CONFIG), _last_us(spark, sf_dir))
 
 
 @query(sql.COVERAGE)

@@ -15,15 +15,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from lakesync.config import ADD_CANDIDATE, SyncConfig
+from lakesync.config import ADD_CANDIDATE, DROP_CANDIDATE, SyncConfig
 
 KEY = ["tenant_id", "table_fqn", "partition_key"]
 SESSION = (
     "tenant_id string, table_fqn string, partition_key string, sid long, partition_prefix string, kind string, proof_keys array<string>, n long, last_kind string, "
     "first_us long, last_us long, flush_us long"
 )
-_STATE = "sid long, prefix string, n long, n_add long, proofs array<string>, last_kind string, first_us long, last_us long"
-_FIELDS = ["sid", "prefix", "n", "n_add", "proofs", "last_kind", "first_us", "last_us"]
+_STATE = "sid long, prefix string, n long, n_add long, n_drop long, proofs array<string>, last_kind string, first_us long, last_us long"
+_FIELDS = ["sid", "prefix", "n", "n_add", "n_drop", "proofs", "last_kind", "first_us", "last_us"]
 
 
 class SessionBuffer(StatefulProcessor):
@@ -39,11 +39,14 @@ class SessionBuffer(StatefulProcessor):
     def _flush_us(self, s: dict) -> int:
         return min(s["last_us"] + self.window, s["first_us"] + self.cap)
 
-    def _row(self, key: tuple, s: dict) -> dict:
-        return dict(zip(KEY, key)) | {
+    def _rows(self, key: tuple, s: dict) -> list[dict]:
+        """The session as a row; none if its intents neither add nor drop."""
+        if not s["n_add"] + s["n_drop"]:
+            return []
+        return [dict(zip(KEY, key)) | {
             "sid": s["sid"], "partition_prefix": s["prefix"], "kind": "ADD" if s["n_add"] else "DROP", "proof_keys": s["proofs"], "n": s["n"],
             "last_kind": s["last_kind"], "first_us": s["first_us"], "last_us": s["last_us"], "flush_us": self._flush_us(s),
-        }
+        }]
 
     def _timer(self, s: dict) -> None:
         for old in list(self.handle.listTimers()):
@@ -57,14 +60,14 @@ class SessionBuffer(StatefulProcessor):
         closed = []
         for t, kind, prefix, proof in zip(data["t_us"].tolist(), data["kind"].tolist(), data["partition_prefix"].tolist(), data["proof"].tolist()):
             if state is not None and t > self._flush_us(state) + self.grace:
-                closed.append(self._row(key, state))
+                closed += self._rows(key, state)
                 state = None
             if state is None:
                 sid += 1
-                state = {"sid": sid, "prefix": prefix, "n": 0, "n_add": 0, "proofs": [], "last_kind": kind, "first_us": t, "last_us": t}
+                state = {"sid": sid, "prefix": prefix, "n": 0, "n_add": 0, "n_drop": 0, "proofs": [], "last_kind": kind, "first_us": t, "last_us": t}
             adds = kind == ADD_CANDIDATE
             proofs = [*state["proofs"], proof] if adds and len(state["proofs"]) < self.proofs else list(state["proofs"])
-            state |= {"n": state["n"] + 1, "n_add": state["n_add"] + adds, "proofs": proofs, "last_kind": kind, "last_us": t}
+            state |= {"n": state["n"] + 1, "n_add": state["n_add"] + adds, "n_drop": state["n_drop"] + (kind == DROP_CANDIDATE), "proofs": proofs, "last_kind": kind, "last_us": t}
         self.open.update(tuple(state[f] for f in _FIELDS))
         self.count.update((sid,))
         self._timer(state)
@@ -77,7 +80,8 @@ class SessionBuffer(StatefulProcessor):
             now = timerValues.getCurrentWatermarkInMs() if self.event_time else timerValues.getCurrentProcessingTimeInMs()
             if (self._flush_us(state) + self.grace) // 1000 < now:
                 self.open.clear()
-                yield pd.DataFrame([self._row(key, state)])
+                if rows := self._rows(key, state):
+                    yield pd.DataFrame(rows)
 
     def close(self) -> None:
         pass
