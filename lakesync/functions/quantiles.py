@@ -4,37 +4,60 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def at_places(df: DataFrame, value: str, places: Callable[[int], dict[str, int]], buckets: int = 1_000) -> tuple[int, dict[str, float]]:
+#: A span of values with at most so many rows is ranked on the driver.
+SMALL = 10_000
+
+
+def at_places(df: DataFrame, value: str, places: Callable[[int], dict[str, int]], buckets: int = 1_000, small: int = SMALL) -> tuple[int, dict[str, float]]:
     """The number n of values, and for each name of places(n) the element at that place, from 0, of the sorted values.
 
-    A histogram with a fixed number of buckets shows in which bucket each place is; only those buckets are ranked. All places
-    are found by the same three passes.
+    Each place is known to lie in a span of values, at first all of them. A pass counts the span's buckets, with the least and the
+    greatest value of each, and the bucket that holds the place is the next span, so an outlier costs a pass and not a task. Spans of
+    one value are done; those of few rows are ranked. All places take the same passes. Nulls and NaN are passed over.
     """
-    values = df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("x"))
+    values = df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("x")).where(~F.isnan("x"))
     low, high, n = values.agg(F.min("x"), F.max("x"), F.count("*")).first()
     if not n:
         return 0, {}
-    width = (high - low) / buckets or 1.0
-    binned = values.withColumn("b", F.least(F.floor((F.col("x") - low) / width), F.lit(buckets)).cast("int"))
-    sizes = dict(binned.groupBy("b").agg(F.count("*")).collect())
-    before, ends = {}, 0
-    for b in sorted(sizes):
-        before[b], ends = ends, ends + sizes[b]
     asked = places(n)
-    of = {name: max(b for b in before if before[b] <= place) for name, place in asked.items()}
-    # equal values are one row with their number, so ties don't gather in a task
-    counted = binned.where(F.col("b").isin(sorted(set(of.values())))).groupBy("b", "x").agg(F.count("*").alias("c"))
-    ranked = counted.withColumn("end", F.sum("c").over(Window.partitionBy("b").orderBy("x")))
-    wanted = {name: (of[name], asked[name] - before[of[name]] + 1) for name in asked}
-    match = F.lit(False)
-    for b, r in sorted(set(wanted.values())):
-        match = match | ((F.col("b") == b) & (F.col("end") >= r) & (F.col("end") - F.col("c") < r))
-    found = ranked.where(match).collect()
-    return n, {name: next(x.x for x in found if x.b == b and x.end >= r > x.end - x.c) for name, (b, r) in wanted.items()}
+    spans = dict.fromkeys(asked, (low, high, 0, n))  # from, to, rows before it, rows in it
+    while wide := sorted({s for s in spans.values() if s[1] > s[0] and s[3] > small}):
+        bucket = F.lit(None).cast("int")
+        for low, high, *_ in reversed(wide):
+            width = (high / buckets - low / buckets) or (high - low)
+            bucket = F.when(F.col("x").between(low, high), F.least(F.floor(F.col("x") / width - low / width), F.lit(buckets - 1)).cast("int")).otherwise(bucket)
+        of = F.coalesce(*[F.when(F.col("x").between(low, high), i) for i, (low, high, *_) in enumerate(wide)])
+        held = values.select("x", of.alias("s"), bucket.alias("b")).where(F.col("s").isNotNull())
+        sizes = held.groupBy("s", "b").agg(F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high")).orderBy("s", "b").collect()  # places times buckets
+        parts: dict[tuple, list[tuple]] = {s: [] for s in wide}
+        for r in sizes:
+            own = parts[wide[r.s]]
+            before = own[-1][2] + own[-1][3] if own else wide[r.s][2]
+            own.append((r.low, r.high, before, r.n))
+        narrowed = {name: next(p for p in parts[s] if p[2] <= asked[name] < p[2] + p[3]) if s in parts else s for name, s in spans.items()}
+        if narrowed == spans:
+            break
+        spans = narrowed
+    many = {s for s in spans.values() if s[1] > s[0]}
+    inside = F.lit(False)
+    for low, high, *_ in sorted(many):
+        inside = inside | F.col("x").between(low, high)
+    counted = sorted(map(tuple, values.where(inside).groupBy("x").agg(F.count("*")).collect())) if many else []
+    return n, {name: _ranked(counted, s, asked[name]) if s in many else s[0] for name, s in spans.items()}
+
+
+def _ranked(counted: list[tuple[float, int]], span: tuple, place: int) -> float:
+    reached = span[2]
+    for x, n in counted:
+        if span[0] <= x <= span[1]:
+            reached += n
+            if reached > place:
+                return x
+    raise ValueError("no value at this place")
 
 
 def _middle(n: int) -> dict[str, int]:

@@ -6,6 +6,8 @@ flush are two joins, the proofs' join and one expression.
 
 from __future__ import annotations
 
+from typing import Protocol
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +15,18 @@ from lakesync.operators.inventory import head_proofs, list_prefixes
 from lakesync.scratch import store
 
 KEY = ["tenant_id", "table_fqn", "partition_key"]
+
+
+class Storage(Protocol):
+    """What a commit asks of storage."""
+
+    def heads(self, effective: DataFrame, key: list[str]) -> DataFrame:
+        """key, first_hit, heads."""
+
+    def listed(self, prefixes: DataFrame) -> DataFrame:
+        """prefixes with non_empty."""
+
+
 _CALLS = ("head", "list", "create", "drop")
 
 
@@ -69,18 +83,23 @@ def decide(rows: DataFrame, enable_drop: bool = True) -> DataFrame:
     return out.withColumn("in_catalog_after", F.when((kind == "ADD") & (F.col("status") == "APPLIED"), True).when(F.coalesce(gone, F.lit(False)), False).otherwise(there))
 
 
-def apply(effective: DataFrame, catalog: DataFrame, inventory: DataFrame, enable_drop: bool = True, faults: DataFrame | None = None) -> DataFrame:
+def apply(effective: DataFrame, catalog: DataFrame, inventory: DataFrame | Storage, enable_drop: bool = True, faults: DataFrame | None = None) -> DataFrame:
     """Results of a flush: effective intents with status, reason, heads, lists, in_catalog and in_catalog_after.
 
-    faults: partition_key, call (head, list, create or drop), error. Only keys of the flush meet catalog and inventory.
+    inventory: the live objects, or a storage that answers HEAD and LIST itself. faults: partition_key, call (head, list, create or
+    drop), error. Only keys of the flush meet catalog and storage.
     """
+    if isinstance(inventory, DataFrame):
+        heads_of, listed_of = lambda rows: head_proofs(rows, inventory, KEY), lambda asked: list_prefixes(asked, inventory)
+    else:
+        heads_of, listed_of = lambda rows: inventory.heads(rows, KEY), inventory.listed
     effective = store(effective, "flush")  # small next to what it comes from, and read by each of the lookups
     rows = effective.join(catalog.select(*KEY).distinct().withColumn("in_catalog", F.lit(True)), KEY, "left").withColumn("in_catalog", F.coalesce("in_catalog", F.lit(False)))
-    rows = rows.join(head_proofs(effective.where(F.col("kind") == "ADD"), inventory, KEY), KEY, "left")
+    rows = rows.join(heads_of(effective.where(F.col("kind") == "ADD")), KEY, "left")
     rows = store(rows, "lookups")
     # storage is listed only where a decision asks for it: known keys, drops, and additions without a proof that exists
     asked = rows.where(F.col("in_catalog") | (F.col("kind") != "ADD") | F.col("first_hit").isNull()).select("tenant_id", "partition_prefix").distinct()
-    listed = list_prefixes(asked, inventory).where("non_empty")
+    listed = listed_of(asked).where("non_empty")
     rows = rows.join(listed, ["tenant_id", "partition_prefix"], "left").withColumn("non_empty", F.coalesce("non_empty", F.lit(False)))
     if faults is None:
         for call in _CALLS:

@@ -36,34 +36,37 @@ def _no_catalog(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], "tenant_id string, table_fqn string, partition_key string, location string")
 
 
-def coalescing(spark: SparkSession, fractions: list[float], miss_rate: float = 0.0, duplicates: float = 0.10) -> DataFrame:
-    """For each share of changed partitions: events, what coalescing leaves, commits, requests and their cost.
+def coalescing(partitions: DataFrame, fractions: list[float], miss_rate: float = 0.0, duplicates: float = 0.10) -> DataFrame:
+    """For each share of partitions (i, partition_key) that changes: events, what coalescing leaves, commits, requests and their cost.
 
     With a miss rate, proofs and listings see an object only with a chance (first attempts count).
     """
-    config, out = SyncConfig(window=0, grace=0), None
+    config, out, spark = SyncConfig(window=0, grace=0), None, partitions.sparkSession
+    partitions = store(partitions, "space")
+    total, scan = partitions.count(), generator.scan_requests(partitions)
     for f in fractions:
-        events = store(generator.generate_events(spark, f, duplicates=duplicates), "events")
+        events = store(generator.generate_events(partitions, f, duplicates=duplicates), "events")
         own = intents.candidate_intents(events)
         stored = inventory.live_inventory(events.select("tenant_id", "object_key", "op", "t_us", "seq"))
         if miss_rate:
             stored = stored.where(inventory.visible(F.col("object_key"), F.lit(1), miss_rate))
         results = commit.apply(sessions.reconcile(own, config), _no_catalog(spark), stored)
         row = results.agg(F.sum("n").alias("raw_events"), F.count_if(F.col("status") == "APPLIED").alias("committed"), F.sum(F.col("heads") + F.col("lists")).alias("requests"))
-        row = row.select(F.lit(f).alias("f"), F.lit(generator.changed_count(f)).cast("long").alias("delta_p"), "*")
+        row = row.select(F.lit(f).alias("f"), F.lit(min(generator.changed_count(f, total), total)).cast("long").alias("delta_p"), "*")
         out = row if out is None else out.unionByName(row)
     return out.select(
         "f", "delta_p", "raw_events", (F.col("raw_events") - F.col("committed")).alias("coalesced"), "committed", "requests",
-        (F.col("requests") / F.greatest(F.col("committed"), F.lit(1))).alias("alpha_eff"), reduction(F.col("requests")).alias("reduction"), daily_cost(F.col("requests")).alias("daily_cost"),
+        (F.col("requests") / F.greatest(F.col("committed"), F.lit(1))).alias("alpha_eff"), reduction(F.col("requests"), scan).alias("reduction"), daily_cost(F.col("requests")).alias("daily_cost"),
     )
 
 
-def convergence(spark: SparkSession, windows: list[float], fraction: float = 0.01, grace: float = 1.0) -> DataFrame:
+def convergence(partitions: DataFrame, windows: list[float], fraction: float = 0.01, grace: float = 1.0) -> DataFrame:
     """Median, p95 and p99 of the latency from a partition's first event to its commit, by window.
 
     All events arrive at one moment; they go through sessions, verification and commit, and a buffer is flushed a millisecond after its grace.
     """
-    events = store(generator.generate_events(spark, fraction), "events").withColumn("t_us", F.lit(generator.BASE_US))
+    spark = partitions.sparkSession
+    events = store(generator.generate_events(partitions, fraction), "events").withColumn("t_us", F.lit(generator.BASE_US))
     own, live, rows = intents.candidate_intents(events), store(inventory.live_inventory(events), "live"), []
     for w in windows:
         config = SyncConfig(window=w, grace=grace)
@@ -75,11 +78,11 @@ def convergence(spark: SparkSession, windows: list[float], fraction: float = 0.0
     return spark.createDataFrame(rows, "window_s double, commits long, median double, p95 double, p99 double")
 
 
-def drop_sweep(spark: SparkSession, fractions: list[float], changed: float = 0.01) -> DataFrame:
+def drop_sweep(space: DataFrame, fractions: list[float], changed: float = 0.01) -> DataFrame:
     """First all changed partitions are added, then a share of them is deleted: drops, their LIST requests, requests per drop."""
-    config, out = SyncConfig(window=0, grace=0), None
-    partitions = store(generator.changed_partitions(spark, changed), "partitions")
-    added = store(generator.generate_events(spark, changed), "events")
+    config, out, spark = SyncConfig(window=0, grace=0), None, space.sparkSession
+    partitions = store(generator.changed_partitions(space, changed), "partitions")
+    added = store(generator.generate_events(partitions, 1.0), "events")
     catalog = store(commit.catalog_after(_no_catalog(spark), commit.apply(sessions.reconcile(intents.candidate_intents(added), config), _no_catalog(spark), inventory.live_inventory(added))), "catalog")
     for f in fractions:
         deleted = store(generator.generate_delete_events(partitions, f), "deletions")

@@ -1,6 +1,7 @@
 """Queries by name, and the SQL that gives the same rows.
 
-A query takes (spark, sf_dir) and reads the table `events` as envelopes, or makes its own rows with the generator.
+A query takes (spark, sf_dir) and reads the table `events`: as envelopes, as a log of notifications, or as the partitions in which the
+experiments generate theirs.
 """
 
 from __future__ import annotations
@@ -8,15 +9,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lakesync.config import SyncConfig
+from lakesync.config import TABLE_ROOT, SyncConfig
 from lakesync.functions import paths
 from lakesync.functions.hashing import md5_mod
 from lakesync.functions.quantiles import summary
 from lakesync.operators import catalog, commit, intents, inventory, metrics, replay, retries, sessions
 from lakesync.plans import sql
-from lakesync.plans.streamed import streamed_sessions, worker_catalog
-from lakesync.scratch import store
-from lakesync.sources import envelopes, generator, log
+from lakesync.plans.streamed import state_snapshot, streamed_retries, streamed_sessions, worker_catalog
+from lakesync.scratch import new_path, store
+from lakesync.sources import envelopes, eventlog, generator, objectstore
 
 CONFIG = SyncConfig(window=3600, grace=10)
 TIGHT = SyncConfig(window=3600, grace=10, cap=7200)
@@ -97,33 +98,45 @@ def _messages(spark, sf_dir):
     return envelopes.read(spark, sf_dir).select("seq", paths.directory(F.col("object_key")).alias("key"), F.col("object_key").alias("value"))
 
 
-def _log(spark, sf_dir, partitions=2):
-    return log.produce(_messages(spark, sf_dir), partitions, span=1_000)
+#: Offsets a segment of the log. Small, so that small tables have several.
+_SEGMENT = 1_000
+
+
+def _log(spark, messages, partitions):
+    """A log that holds the messages."""
+    path = new_path(spark, "log")
+    eventlog.append(messages, path, partitions, _SEGMENT, _SEGMENT)
+    return path
 
 
 @query(sql.ROUTE_OFFSETS)
 def route_offsets(spark, sf_dir):
-    return _log(spark, sf_dir).select("partition", "offset", "seq", "key")
+    """All messages as a stream reads them from the log."""
+    path = _log(spark, _messages(spark, sf_dir), 2)
+    rows, _ = eventlog.poll(spark, path, new_path(spark, "poll"), "all", 1)
+    return rows.select("partition", "offset", "seq", "key")
 
 
 @query(sql.PARTITION_LAG)
 def partition_lag(spark, sf_dir):
-    rows, at = _log(spark, sf_dir, 3), spark.createDataFrame([], "partition int, position long")
-    for _ in range(3):
-        at = log.advance(rows, at, 500)
-    return log.lag(rows, at)
+    """After three batches of 500 messages a partition at most, with a restart between them; positions are those of the query's progress."""
+    path = _log(spark, _messages(spark, sf_dir), 3)
+    _, at = eventlog.poll(spark, path, new_path(spark, "poll"), "lagging", 3, most=500)
+    return eventlog.lag(spark, path, at)
 
 
 @query(sql.POLLED_MESSAGES)
 def polled_messages(spark, sf_dir):
-    rows = _log(spark, sf_dir, 3)
-    first = log.advance(rows, spark.createDataFrame([], "partition int, position long"), 40)
-    return log.poll(rows, first, 25).select("partition", "offset", "value")
+    """One batch of 25 messages a partition from position 40 on."""
+    path = _log(spark, _messages(spark, sf_dir), 3)
+    rows, _ = eventlog.poll(spark, path, new_path(spark, "poll"), "polling", 1, start='{"0": 40, "1": 40, "2": 40}', most=25)
+    return rows.select("partition", "offset", "value")
 
 
 @query(sql.RECENT_MESSAGES)
 def recent_messages(spark, sf_dir):
-    return log.last_messages(_messages(spark, sf_dir), 2, 20).select("partition", "offset", "value")
+    rows = eventlog.read(spark, _log(spark, _messages(spark, sf_dir), 2)).select("partition", "offset", "value")
+    return rows.orderBy(F.desc("partition"), F.desc("offset")).limit(20)
 
 
 @query(sql.EVENT_FEED)
@@ -138,9 +151,13 @@ def event_feed(spark, sf_dir):
 
 @query(sql.SOUGHT_POSITIONS)
 def sought_positions(spark, sf_dir):
-    """What a reader that starts at the end of each partition has before it: nothing."""
-    rows = store(_log(spark, sf_dir, 3), "log")
-    return log.lag(rows, log.seek_to_end(rows))
+    """A reader starts at the end of a log that holds the events but for one in five, and takes one batch once those have come."""
+    messages, later = _messages(spark, sf_dir), F.col("seq") % 5 == 4
+    path, folder = _log(spark, messages.where(~later), 3), new_path(spark, "poll")
+    eventlog.poll(spark, path, folder, "late", 1, start="latest")
+    eventlog.append(messages.where(later), path, 3, _SEGMENT, _SEGMENT)
+    _, at = eventlog.poll(spark, path, folder, "late", 1, start="latest", most=100)
+    return eventlog.lag(spark, path, at)
 
 
 # --- inventory and catalog --------------------------------------------------------------------------------------------
@@ -156,11 +173,16 @@ def converged_catalog(spark, sf_dir):
     return catalog.converged(_live(spark, sf_dir))
 
 
-@query(sql.LIST_NONEMPTY)
-def list_nonempty(spark, sf_dir):
+def _prefixes(spark, sf_dir):
+    """All partitions' prefixes and the folders above them."""
     own = _intents(spark, sf_dir).select("tenant_id", "partition_prefix").distinct()
     parents = own.select("tenant_id", F.regexp_replace("partition_prefix", "[^/]+/$", "").alias("partition_prefix")).distinct()
-    return inventory.list_prefixes(own.unionByName(parents), _live(spark, sf_dir))
+    return own.unionByName(parents)
+
+
+@query(sql.LIST_NONEMPTY)
+def list_nonempty(spark, sf_dir):
+    return inventory.list_prefixes(_prefixes(spark, sf_dir), _live(spark, sf_dir))
 
 
 @query(sql.SCAN_REQUESTS)
@@ -185,6 +207,23 @@ def scan_repair_diff(spark, sf_dir):
     return catalog.repair_diff(_stale_catalog(spark, sf_dir), _live(spark, sf_dir))
 
 
+@query(sql.SCAN_REPAIR_DIFF)
+def stored_repair_diff(spark, sf_dir):
+    """scan_repair_diff against a whole listing of files, level by level."""
+    files = _stored(spark, sf_dir)
+    listed, _ = files.objects(_intents(spark, sf_dir).select("tenant_id").distinct(), TABLE_ROOT)
+    return catalog.repair_diff(_stale_catalog(spark, sf_dir), listed)
+
+
+@query(sql.LISTED_FOLDERS)
+def listed_folders(spark, sf_dir):
+    """Folders that a whole listing opens beside the LIST requests that the flush's decisions make."""
+    files = _stored(spark, sf_dir)
+    listed, requests = files.objects(_intents(spark, sf_dir).select("tenant_id").distinct(), TABLE_ROOT)
+    lists = _flush(spark, sf_dir, storage=files).agg(F.sum("lists")).first()[0] or 0
+    return listed.agg(F.count("*").alias("objects")).select("objects", F.lit(requests).cast("long").alias("folders"), F.lit(lists).cast("long").alias("lists"))
+
+
 # --- sessions ---------------------------------------------------------------------------------------------------------
 
 
@@ -219,6 +258,15 @@ def buffer_snapshot(spark, sf_dir):
     return sessions.buffer_snapshot(rows, now, CONFIG)
 
 
+@query(sql.BUFFER_SNAPSHOT)
+def state_snapshot_query(spark, sf_dir):
+    """buffer_snapshot, read from a stream's state."""
+    return state_snapshot(spark, sf_dir, CONFIG, _last_us(spark, sf_dir))
+
+
+QUERIES["state_snapshot"], ORACLES["state_snapshot"] = QUERIES.pop("state_snapshot_query"), ORACLES.pop("state_snapshot_query")
+
+
 @query(sql.FLUSHED_BETWEEN)
 def flushed_between(spark, sf_dir):
     """Keys that were buffered two hours before the end and have been flushed since."""
@@ -263,12 +311,19 @@ QUERIES["worker_catalog"], ORACLES["worker_catalog"] = QUERIES.pop("worker_catal
 # --- verified commit --------------------------------------------------------------------------------------------------
 
 
-def _flush(spark, sf_dir, enable_drop=True, faults=None):
+def _stored(spark, sf_dir):
+    """The live objects of the events, written as a tree of files."""
+    root = new_path(spark, "objects")
+    objectstore.write_objects(_live(spark, sf_dir), root)
+    return objectstore.FileStore(spark, root)
+
+
+def _flush(spark, sf_dir, enable_drop=True, faults=None, storage=None):
     effective = sessions.reconcile(_intents(spark, sf_dir), CONFIG)
     # a share of the keys only deletes: the others would all be additions
     only = F.when(md5_mod(F.concat("tenant_id", "partition_key"), 4) == 1, "DROP").otherwise(F.col("kind"))
     effective = effective.withColumn("proof_keys", F.when(only == "DROP", F.array().cast("array<string>")).otherwise(F.col("proof_keys"))).withColumn("kind", only)
-    return commit.apply(effective, _stale_catalog(spark, sf_dir), _live(spark, sf_dir), enable_drop, faults)
+    return commit.apply(effective, _stale_catalog(spark, sf_dir), storage or _live(spark, sf_dir), enable_drop, faults)
 
 
 def _results(rows):
@@ -281,11 +336,30 @@ def head_proofs(spark, sf_dir):
     return inventory.head_proofs(effective, _live(spark, sf_dir), sessions.KEY).withColumn("first_hit", F.coalesce("first_hit", F.lit(0)))
 
 
+@query(sql.HEAD_PROOFS)
+def stored_head_proofs(spark, sf_dir):
+    """head_proofs asked of files."""
+    effective = sessions.reconcile(_intents(spark, sf_dir), CONFIG).where(F.col("kind") == "ADD")
+    return _stored(spark, sf_dir).heads(effective, sessions.KEY).withColumn("first_hit", F.coalesce("first_hit", F.lit(0)))
+
+
+@query(sql.LIST_NONEMPTY)
+def stored_list_nonempty(spark, sf_dir):
+    """list_nonempty asked of files."""
+    return _stored(spark, sf_dir).listed(_prefixes(spark, sf_dir))
+
+
 @query(sql.commit_decisions(True))
 def commit_decisions(spark, sf_dir):
     return _results(_flush(spark, sf_dir))
 
 
+@query(sql.commit_decisions(True))
+def stored_commit_decisions(spark, sf_dir):
+    """commit_decisions with HEAD and LIST asked of files."""
+    return _results(_flush(spark, sf_dir, storage=_stored(spark, sf_dir)))
+
+
 @query(sql.commit_decisions(False))
 def commit_decisions_no_drop(spark, sf_dir):
     return _results(_flush(spark, sf_dir, enable_drop=False))
@@ -367,6 +441,27 @@ def dead_letters(spark, sf_dir):
     return retries.dead_letters(rows, retries.schedule(rows, config))
 
 
+def _streamed_retries(spark, sf_dir):
+    rows, config = _attempts(spark, sf_dir)
+    return streamed_retries(spark, rows, config), rows, config
+
+
+@query(sql.RETRY_SCHEDULE)
+def streamed_retry_schedule(spark, sf_dir):
+    """retry_schedule as the state's timers fire it."""
+    fired, rows, config = _streamed_retries(spark, sf_dir)
+    due = fired.where(~F.col("dead")).join(rows.select(*_key(), "visible_at"), sessions.KEY)
+    status = F.when(F.col("attempt") == F.col("visible_at"), "APPLIED").when(F.col("attempt") == config.max_retries, "DLQ").otherwise("RETRY")
+    return due.select(*_key(), "attempt", F.round(F.col("wait_us") / 1e6, 4).alias("wait_s"), F.round(F.col("due_us") / 1e6, 4).alias("at_s"), status.alias("status"))
+
+
+@query(sql.DEAD_LETTERS)
+def streamed_dead_letters(spark, sf_dir):
+    """dead_letters as the state gives them up."""
+    fired, _, _ = _streamed_retries(spark, sf_dir)
+    return fired.where("dead").select(*_key(), "kind", "reason", (F.col("attempt") - 1).alias("attempts"))
+
+
 @query(sql.JITTERED_RETRIES)
 def jittered_retries(spark, sf_dir):
     """Additions verified against a storage whose objects come into sight by and by, until they are in or the retries are spent."""
@@ -376,20 +471,25 @@ def jittered_retries(spark, sf_dir):
     return rows.select(*_key(), "status", F.coalesce("reason", F.lit("")).alias("reason"), "attempts")
 
 
+def _space(spark, sf_dir):
+    return generator.space(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
 # --- generator and experiments ----------------------------------------------------------------------------------------
 
 
 @query(sql.GENERATED_EVENTS)
 def generated_events(spark, sf_dir):
     """Totals of the generated notifications, and a checksum of their paths."""
-    rows = generator.generate_events(spark, 0.01)
+    rows = generator.generate_events(_space(spark, sf_dir), 0.1)
     return rows.agg(F.count("*").alias("events"), F.count_distinct("object_key").alias("objects"), F.sum(F.col("t_us") - generator.BASE_US).alias("sum_t_us"), F.sum(md5_mod(F.col("object_key"), 1_000_003)).alias("checksum"))
 
 
 @query(sql.PARTITION_SPACE)
 def partition_space(spark, sf_dir):
-    rows = spark.range(generator.SPACE).select(paths.hive_partition(F.col("id")).alias("k"))
-    return rows.agg(F.count_distinct("k").alias("partitions"), F.min("k").alias("first"), F.max("k").alias("last")).withColumn("scan_requests", F.lit(generator.SCAN_REQUESTS).cast("long"))
+    rows = store(_space(spark, sf_dir), "space")
+    ends = rows.agg(F.count_distinct("partition_key").alias("partitions"), F.min("partition_key").alias("first"), F.max("partition_key").alias("last"))
+    return ends.withColumn("scan_requests", F.lit(generator.scan_requests(rows)).cast("long"))
 
 
 def coalescing_columns(rows: DataFrame) -> DataFrame:
@@ -398,40 +498,46 @@ def coalescing_columns(rows: DataFrame) -> DataFrame:
 
 @query(sql.coalescing(FRACTIONS))
 def coalescing_ratio(spark, sf_dir):
-    return coalescing_columns(metrics.coalescing(spark, FRACTIONS))
+    return coalescing_columns(metrics.coalescing(_space(spark, sf_dir), FRACTIONS))
 
 
 @query(sql.coalescing_jitter(FRACTIONS[:4], 0.5))
 def coalescing_ratio_jitter(spark, sf_dir):
-    rows = metrics.coalescing(spark, FRACTIONS[:4], miss_rate=0.5)
+    rows = metrics.coalescing(_space(spark, sf_dir), FRACTIONS[:4], miss_rate=0.5)
     return rows.select("f", "delta_p", "raw_events", "committed", "requests", F.round("alpha_eff", 6).alias("alpha_eff"))
 
 
 @query(sql.CONVERGENCE)
 def convergence_latency(spark, sf_dir):
-    rows = metrics.convergence(spark, [1, 5, 10, 30, 60, 120])
+    rows = metrics.convergence(_space(spark, sf_dir), [1, 5, 10, 30, 60, 120])
     return rows.select("window_s", "commits", *[F.round(c, 3).alias(c) for c in ("median", "p95", "p99")])
 
 
 @query(sql.drop_sweep(DROPS))
 def drop_sweep(spark, sf_dir):
-    return metrics.drop_sweep(spark, DROPS).withColumn("daily_cost", F.round("daily_cost", 6))
+    return metrics.drop_sweep(_space(spark, sf_dir), DROPS, 0.1).withColumn("daily_cost", F.round("daily_cost", 6))
 
 
 @query(sql.LATER_EPOCH)
 def later_epoch(spark, sf_dir):
-    return generator.later_epoch(spark).select("t_us", "op", "object_key")
+    return generator.later_epoch(_space(spark, sf_dir)).select("t_us", "op", "object_key")
 
 
 @query(sql.SCRIPTED_EPOCHS)
 def scripted_epochs(spark, sf_dir):
-    """The catalog after each scripted epoch."""
-    rows = generator.scripted_epochs(spark)
-    known, out = metrics._no_catalog(spark), None
-    for epoch in range(4):
+    """The catalog after each quarter of the events, by number, taken as one micro-batch."""
+    rows = envelopes.read(spark, sf_dir)
+    most = rows.agg(F.max("seq")).first()[0] or 0
+    return catalog_by_epoch(rows.withColumn("epoch", F.floor(F.col("seq") * 4 / (most + 1))), 4)
+
+
+def catalog_by_epoch(rows: DataFrame, epochs: int) -> DataFrame:
+    """The catalog after each epoch of envelopes, every epoch flushed by force and committed on what the one before it left."""
+    known, out = metrics._no_catalog(rows.sparkSession), None
+    for epoch in range(epochs):
         so_far = rows.where(F.col("epoch") <= epoch)
-        results = commit.apply(sessions.reconcile(intents.candidate_intents(rows.where(F.col("epoch") == epoch)), CONFIG), known, inventory.live_inventory(so_far))
+        results = commit.apply(sessions.reconcile(intents.candidate_intents(rows.where(F.col("epoch") == epoch)), CONFIG), known, inventory.live_inventory(intents.kept(so_far)))
         known = store(commit.catalog_after(known, results), "catalog")
-        now = known.select(F.lit(epoch).alias("epoch"), "partition_key")
+        now = known.select(F.lit(epoch).alias("epoch"), "tenant_id", "partition_key")
         out = now if out is None else out.unionByName(now)
     return out

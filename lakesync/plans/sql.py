@@ -179,6 +179,12 @@ def _decided(enable_drop: bool = True, faults: bool = False) -> str:
   FROM coded)"""
 
 
+LISTED_FOLDERS = _with("""
+SELECT (SELECT count(*) FROM objects WHERE live) AS objects, CAST(sum(coalesce(below, 0) + 1) AS BIGINT) AS folders, (SELECT CAST(coalesce(sum(lists), 0) AS BIGINT) FROM results) AS lists
+FROM (SELECT DISTINCT tenant_id FROM intents) LEFT JOIN (
+  SELECT tenant_id, count(DISTINCT string_split(partition_key, '/')[1]) + count(DISTINCT partition_key) AS below FROM objects WHERE live GROUP BY tenant_id) USING (tenant_id)""", _decided())
+
+
 def commit_decisions(enable_drop: bool, faults: bool = False) -> str:
     return _with("SELECT tenant_id, table_fqn, partition_key, kind, status, reason, heads, lists, in_catalog, in_catalog_after FROM results", _decided(enable_drop, faults))
 
@@ -193,7 +199,11 @@ SELECT k.tenant_id, 'warehouse.sales' AS table_fqn, k.partition_key, k.location
 UNION ALL SELECT tenant_id, table_fqn, partition_key, partition_prefix FROM results WHERE in_catalog_after AND NOT in_catalog""", _decided())
 
 
-_COST = "round(requests / greatest(committed, 1), 6) AS alpha_eff, round(456616 / greatest(requests, 1), 6) AS reduction, round(requests / 1000 * 0.005, 6) AS daily_cost"
+def _cost(scan: str, requests: str = "requests") -> str:
+    return f"round({requests} / greatest(committed, 1), 6) AS alpha_eff, round({scan} / greatest({requests}, 1), 6) AS reduction, round({requests} / 1000 * 0.005, 6) AS daily_cost"
+
+
+_COST = _cost("456616")
 
 
 def request_cost() -> str:
@@ -239,41 +249,46 @@ FROM tries WHERE attempt <= visible_at""", _TRIES)
 DEAD_LETTERS = _with("SELECT tenant_id, table_fqn, partition_key, 'ADD' AS kind, 'not_visible_yet' AS reason, CAST(5 AS INTEGER) AS attempts FROM keys WHERE visible_at > 5", _TRIES)
 
 _SPACE = """space AS (
-  SELECT i, format('dt=2024-{:02d}-{:02d}/region=R{:03d}/hour={:02d}', (i // 1200) // 30 + 1, (i // 1200) % 30 + 1, (i % 1200) // 24, i % 24) AS partition_key FROM (SELECT unnest(range(438000)) AS i))"""
+  SELECT i, format('dt=2024-{:02d}-{:02d}/region=R{:03d}/hour={:02d}', (i // 1200) // 30 + 1, (i // 1200) % 30 + 1, (i % 1200) // 24, i % 24) AS partition_key
+  FROM (SELECT DISTINCT ((dayofyear(ts) - 1) * 50 + user_id % 50) * 24 + hour(ts) AS i FROM events)
+), scan AS (SELECT 1 + count(DISTINCT i // 1200) + count(DISTINCT i // 24) + count(*) AS requests, count(*) AS total FROM space)"""
 
 
 def _drawn(seed: int, *parts: str) -> str:
     return _unit(f"concat_ws('-', '{seed}', {', '.join(parts)})")
 
 
+def _changed(fraction: float) -> str:
+    return f"(SELECT least(greatest(1, CAST(round_even({fraction} * total, 0) AS BIGINT)), total) FROM scan)"
+
+
 def _generated(fraction: float, name: str = "gen", seed: int = 42, files: int = 5, duplicates: float = 0.1) -> str:
-    n = max(1, round(fraction * 438_000))
-    return f"""{name}_parts AS (SELECT i, partition_key FROM space ORDER BY {_drawn(seed, "CAST(i AS VARCHAR)")}, i LIMIT {n}
+    return f"""{name}_parts AS (SELECT i, partition_key FROM (SELECT *, row_number() OVER (ORDER BY {_drawn(seed, "CAST(i AS VARCHAR)")}, i) AS r FROM space) WHERE r <= {_changed(fraction)}
 ), {name} AS (
   SELECT partition_key, 'warehouse/sales/' || partition_key || '/part-' || lpad(CAST(file AS VARCHAR), 4, '0') || '.parquet' AS object_key,
     1704067200000000 + CAST(trunc(({_drawn(seed, "CAST(i AS VARCHAR)", "CAST(file AS VARCHAR)", "'t'")} * 20 - 10) * 1000000) AS BIGINT) + copy * 1000 AS t_us
   FROM (SELECT *, unnest(CASE WHEN {_drawn(seed, "CAST(i AS VARCHAR)", "CAST(file AS VARCHAR)", "'d'")} < {duplicates} THEN [0, 1] ELSE [0] END) AS copy FROM (SELECT *, unnest(range({files})) AS file FROM {name}_parts)))"""
 
 
-GENERATED_EVENTS = f"""WITH {_SPACE}, {_generated(0.01)}
+GENERATED_EVENTS = f"""WITH {_SPACE}, {_generated(0.1)}
 SELECT count(*) AS events, count(DISTINCT object_key) AS objects, CAST(sum(t_us - 1704067200000000) AS BIGINT) AS sum_t_us, CAST(sum({_limbs("object_key", 1_000_003)}) AS BIGINT) AS checksum FROM gen"""
-PARTITION_SPACE = f"WITH {_SPACE} SELECT count(DISTINCT partition_key) AS partitions, min(partition_key) AS first, max(partition_key) AS last, CAST(456616 AS BIGINT) AS scan_requests FROM space"
+PARTITION_SPACE = f"WITH {_SPACE} SELECT count(DISTINCT partition_key) AS partitions, min(partition_key) AS first, max(partition_key) AS last, (SELECT requests FROM scan) AS scan_requests FROM space"
 
 
 def coalescing(fractions: list[float]) -> str:
     """Every proof is there, so each partition takes one HEAD and is committed."""
     runs = " UNION ALL ".join(
-        f"SELECT CAST({f} AS DOUBLE) AS f, CAST({max(1, round(f * 438_000))} AS BIGINT) AS delta_p, (SELECT count(*) FROM g{i}) AS raw_events, (SELECT count(DISTINCT partition_key) FROM g{i}) AS committed" for i, f in enumerate(fractions)
+        f"SELECT CAST({f} AS DOUBLE) AS f, {_changed(f)} AS delta_p, (SELECT count(*) FROM g{i}) AS raw_events, (SELECT count(DISTINCT partition_key) FROM g{i}) AS committed" for i, f in enumerate(fractions)
     )
     return f"""WITH {_SPACE}, {", ".join(_generated(f, f"g{i}") for i, f in enumerate(fractions))}, runs AS (SELECT *, committed AS requests FROM ({runs}))
-SELECT f, delta_p, raw_events, raw_events - committed AS coalesced, committed, requests, {_COST} FROM runs"""
+SELECT f, delta_p, raw_events, raw_events - committed AS coalesced, committed, runs.requests, {_cost("scan.requests", "runs.requests")} FROM runs, scan"""
 
 
 def coalescing_jitter(fractions: list[float], rate: float) -> str:
     """Up to three proofs in order of arrival are asked for; where none shows, one LIST sees all objects that show."""
     seen = _unit("object_key || '#1'") + f" >= {rate}"
     runs = " UNION ALL ".join(
-        f"SELECT CAST({f} AS DOUBLE) AS f, CAST({max(1, round(f * 438_000))} AS BIGINT) AS delta_p, partition_key, object_key, t_us FROM g{i}" for i, f in enumerate(fractions)
+        f"SELECT CAST({f} AS DOUBLE) AS f, {_changed(f)} AS delta_p, partition_key, object_key, t_us FROM g{i}" for i, f in enumerate(fractions)
     )
     return f"""WITH {_SPACE}, {", ".join(_generated(f, f"g{i}") for i, f in enumerate(fractions))}, ev AS (
   SELECT *, {seen} AS seen, row_number() OVER (PARTITION BY f, partition_key ORDER BY t_us, object_key) AS place FROM ({runs})
@@ -292,17 +307,21 @@ CONVERGENCE = f"""WITH {_SPACE}, {_generated(0.01)}, sess AS (
 SELECT CAST(w AS DOUBLE) AS window_s, count(*) AS commits, round(median(s), 3) AS median, round(quantile_disc(s, 0.95), 3) AS p95, round(quantile_disc(s, 0.99), 3) AS p99 FROM lat GROUP BY w"""
 
 
-def drop_sweep(fractions: list[float]) -> str:
-    """Partitions that are deleted whole are dropped after one LIST each."""
+def drop_sweep(fractions: list[float], changed: float = 0.1) -> str:
+    """All objects of a share of the added partitions are deleted; a partition without live objects takes one LIST and is dropped."""
     events = f"unnest(CASE WHEN {_drawn(99, 'CAST(i AS VARCHAR)', 'CAST(file AS VARCHAR)', chr(39) + 'd' + chr(39))} < 0.1 THEN [0, 1] ELSE [0] END)"
-    return f"""WITH {_SPACE}, {_generated(0.01)}, ranked AS (SELECT i, row_number() OVER (ORDER BY {_drawn(99, "CAST(i AS VARCHAR)")}, i) AS r FROM gen_parts
-), gone AS (SELECT r, {events} AS copy FROM (SELECT *, unnest(range(5)) AS file FROM ranked)
-), shares AS (SELECT * FROM (VALUES {", ".join(f"(CAST({f} AS DOUBLE), {max(1, round(f * 4380))})" for f in fractions)}) AS t(f, n)
-), runs AS (SELECT f, count(*) AS drop_events, count(DISTINCT r) AS dropped FROM shares JOIN gone ON r <= n GROUP BY f)
-SELECT f, drop_events, dropped, dropped AS lists, CAST(1 AS DOUBLE) AS alpha_drop, round(dropped / 1000 * 0.005, 6) AS daily_cost FROM runs"""
-
-
-SOUGHT_POSITIONS = _with('SELECT "partition", max("offset") AS produced, max("offset") AS position, CAST(0 AS BIGINT) AS lag FROM log GROUP BY "partition"', _log(3))
+    return f"""WITH {_SPACE}, {_generated(changed)}, ranked AS (SELECT i, partition_key, row_number() OVER (ORDER BY {_drawn(99, "CAST(i AS VARCHAR)")}, i) AS r FROM gen_parts
+), gone AS (SELECT r, partition_key, 'warehouse/sales/' || partition_key || '/part-' || lpad(CAST(file AS VARCHAR), 4, '0') || '.parquet' AS object_key, {events} AS copy FROM (SELECT *, unnest(range(5)) AS file FROM ranked)
+), shares AS (SELECT f, least(greatest(1, CAST(round_even(f * (SELECT count(*) FROM gen_parts), 0) AS BIGINT)), (SELECT count(*) FROM gen_parts)) AS n FROM (VALUES {", ".join(f"(CAST({f} AS DOUBLE))" for f in fractions)}) AS t(f)
+), left_over AS (SELECT f, partition_key, count(*) FILTER (object_key NOT IN (SELECT object_key FROM gone WHERE r <= n)) AS live FROM shares, (SELECT DISTINCT partition_key, object_key FROM gen) GROUP BY f, partition_key
+), asked AS (SELECT f, partition_key, count(*) AS n FROM shares JOIN gone ON r <= n GROUP BY f, partition_key
+), runs AS (SELECT f, CAST(sum(n) AS BIGINT) AS drop_events, count(*) FILTER (live = 0) AS dropped, count(*) AS lists FROM asked JOIN left_over USING (f, partition_key) GROUP BY f)
+SELECT f, drop_events, dropped, lists, lists / greatest(dropped, 1) AS alpha_drop, round(lists / 1000 * 0.005, 6) AS daily_cost FROM runs"""
+
+
+SOUGHT_POSITIONS = _with("""
+SELECT "partition", count(*) AS produced, count(*) FILTER (seq % 5 <> 4) + least(count(*) FILTER (seq % 5 = 4), 100) AS position, count(*) FILTER (seq % 5 = 4) - least(count(*) FILTER (seq % 5 = 4), 100) AS lag
+FROM log GROUP BY "partition\"""", _log(3))
 FLUSH_SEQUENCE = _with("SELECT tenant_id, table_fqn, partition_key, sid, kind, flush_us FROM sess ORDER BY flush_us, tenant_id, table_fqn, partition_key, sid LIMIT 100", _sessions(3600, 10, 18000), recursive=True)
 LAST_FLUSHES = _with("""
 SELECT tenant_id, table_fqn, partition_key, sid, kind, n, flush_us FROM sess WHERE flush_us <= (SELECT max(t_us) FROM env)
@@ -320,13 +339,8 @@ FROM (SELECT DISTINCT tenant_id, partition_key FROM intents WHERE kind = 'ADD_CA
   SELECT tenant_id, partition_key, min(a) AS first FROM (SELECT *, unnest(range(1, 5)) AS a FROM objects WHERE live)
   WHERE {_unit("object_key || '#' || CAST(a AS VARCHAR)")} >= 0.7 GROUP BY ALL) USING (tenant_id, partition_key)""")
 LATER_EPOCH = f"WITH {_SPACE}, {_generated(0.001, files=3, duplicates=0.2)} SELECT t_us, 'OBJECT_CREATED' AS op, object_key FROM gen ORDER BY t_us, object_key LIMIT 50"
-SCRIPTED_EPOCHS = """
-WITH told AS (SELECT * FROM (VALUES
-  (0, 0, 'us', 'boston', 0, true), (1, 0, 'us', 'boston', 1, true), (2, 0, 'us', 'miami', 0, true), (3, 0, 'us', 'miami', 1, true), (4, 0, 'us', 'seattle', 0, true), (5, 0, 'us', 'seattle', 1, true),
-  (6, 1, 'us', 'boston', 0, false), (7, 1, 'us', 'boston', 1, true), (8, 1, 'us', 'boston', 2, true),
-  (9, 2, 'india', 'bangalore', 0, true), (10, 2, 'india', 'bangalore', 0, true), (11, 2, 'india', 'bangalore', 1, true), (12, 2, 'india', 'bangalore', 1, true),
-  (13, 3, 'us', 'seattle', 0, false), (14, 3, 'us', 'seattle', 1, false)) AS t(seq, epoch, country, city, file, created)
-), by_then AS (
-  SELECT e.epoch, country, city, file, arg_max(created, seq) AS live FROM (SELECT unnest(range(4)) AS epoch) e JOIN told ON told.epoch <= e.epoch GROUP BY ALL
-)
-SELECT DISTINCT CAST(epoch AS INTEGER) AS epoch, 'country=' || country || '/city=' || city AS partition_key FROM by_then WHERE live"""
+SCRIPTED_EPOCHS = _with("""
+SELECT DISTINCT epoch, tenant_id, partition_key FROM (
+  SELECT e.epoch, j.tenant_id, j.partition_key, j.object_key, arg_max(j.kind = 'ADD_CANDIDATE', (j.t_us, j.seq)) AS live
+  FROM (SELECT CAST(unnest(range(4)) AS INTEGER) AS epoch) e JOIN (SELECT *, seq * 4 // ((SELECT max(seq) FROM env) + 1) AS q FROM intents) j ON q <= e.epoch GROUP BY ALL)
+WHERE live""")

@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import time
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakesync.config import SyncConfig
 from lakesync.operators import intents, sessions
-from lakesync.scratch import new_path
+from lakesync.scratch import new_path, store
 from lakesync.sources import envelopes
 from lakesync.streaming import worker
-from lakesync.streaming.buffer import SESSION, flushed_sessions
+from lakesync.streaming.buffer import SESSION, flushed_sessions, open_buffers
+from lakesync.streaming.retrying import DUE, KEY, OUTCOME, due_attempts
 
 _STORE = "spark.sql.streaming.stateStore.providerClass"
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -32,28 +34,80 @@ def _in_order(spark: SparkSession, folder: str) -> None:
         files.setTimes(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}"), now - 2_000 * (len(parts) - i) - 60_000, -1)
 
 
+@contextmanager
+def rocks(spark: SparkSession):
+    """State in RocksDB, as stateful processors need it."""
+    before = spark.conf.get(_STORE, None)
+    spark.conf.set(_STORE, _ROCKS)
+    try:
+        yield
+    finally:
+        spark.conf.unset(_STORE) if before is None else spark.conf.set(_STORE, before)
+
+
+def _stream_intents(spark: SparkSession, own: DataFrame, folder: str) -> None:
+    """Intents as files for a stream: ranges of time, a file for each, in their order."""
+    ranges = max(BATCHES, -(-own.count() // BATCH_ROWS))
+    own.repartitionByRange(ranges, "t_us").write.parquet(f"{folder}/in")
+    _in_order(spark, f"{folder}/in")
+
+
+def _run_buffer(spark: SparkSession, schema, config: SyncConfig, folder: str) -> None:
+    with rocks(spark):
+        rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+        flushed = flushed_sessions(rows, config).where(F.col("tenant_id") != "end")
+        flushed.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+
+
+def state_snapshot(spark: SparkSession, sf_dir: str, config: SyncConfig, now_us: int) -> DataFrame:
+    """The open buffers, read from the state of a stopped query by the state data source: no event is read again."""
+    folder = new_path(spark, "stream")
+    own = intents.candidate_intents(envelopes.read(spark, sf_dir))
+    _stream_intents(spark, own, folder)
+    _run_buffer(spark, own.schema, config, folder)
+    return open_buffers(spark, f"{folder}/checkpoint", config, now_us)
+
+
+def streamed_retries(spark: SparkSession, failures: DataFrame, config: SyncConfig) -> DataFrame:
+    """Attempts that came due, and dead letters, of failures (key, kind, status, reason, visible_at: the retry that succeeds).
+
+    The clock is driven: each round feeds the outcomes of the attempts that came due in the round before, and then a tick long after, which
+    fires all timers. Each round is a run of its own under one checkpoint, so state and timers outlive the restarts between them.
+    """
+    folder, empty = new_path(spark, "retries"), F.lit(None)
+    failures = store(failures, "failures")
+    schema = spark.createDataFrame([], OUTCOME).schema
+    outcome = failures.select(*KEY, empty.cast("string").alias("partition_prefix"), "kind", F.array().cast("array<string>").alias("proof_keys"), "status", "reason", F.lit(1).alias("attempt"), F.lit(0).cast("long").alias("failed_us"))
+    fired = spark.createDataFrame([], DUE)
+    with rocks(spark):
+        for turn in range(config.max_retries + 1):
+            clock = lambda s: F.timestamp_seconds(F.lit(1_000_000 + 1_000 * turn + s))  # noqa: E731, B023
+            outcome.withColumn("clock", clock(0)).write.parquet(f"{folder}/in/turn={turn}a")
+            tick = spark.range(1).select(*[F.lit("tick").alias(k) for k in KEY], *[empty.cast(schema[c].dataType).alias(c) for c in ("partition_prefix", "kind", "proof_keys")], F.lit("NOOP").alias("status"), empty.cast("string").alias("reason"), F.lit(0).alias("attempt"), F.lit(0).cast("long").alias("failed_us"))
+            tick.withColumn("clock", clock(500)).write.parquet(f"{folder}/in/turn={turn}b")
+            rows = spark.readStream.schema(schema).parquet(f"{folder}/in/*")
+            due_attempts(rows, config, event_time=True).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+            fired = spark.read.schema(DUE).parquet(f"{folder}/out")
+            tried = fired.where(~F.col("dead") & (F.col("attempt") == turn + 1)).join(failures.select(*KEY, "visible_at"), KEY)
+            done = F.col("attempt") == F.col("visible_at")
+            outcome = tried.select(
+                *KEY, "partition_prefix", "kind", "proof_keys", F.when(done, "APPLIED").otherwise("RETRY").alias("status"), "reason", (F.col("attempt") + 1).alias("attempt"), F.col("due_us").alias("failed_us")
+            )
+    return fired
+
+
 def streamed_sessions(spark: SparkSession, sf_dir: str, config: SyncConfig) -> DataFrame:
     """All sessions of the events, as the stateful stream flushes them. The intents are written in ranges of time, a file for each, which the
     stream takes one a micro-batch in their order; a last file holds one row from long after, whose watermark flushes what is still open.
     The stream writes Parquet files, which are the result."""
     folder = new_path(spark, "stream")
     own = intents.candidate_intents(envelopes.read(spark, sf_dir))
-    ranges = max(BATCHES, -(-own.count() // BATCH_ROWS))
-    own.repartitionByRange(ranges, "t_us").write.parquet(f"{folder}/in")
-    _in_order(spark, f"{folder}/in")
+    _stream_intents(spark, own, folder)
     end = own.agg(F.max("t_us").alias("t_us")).select(
         F.lit(-1).cast("long").alias("seq"), (F.col("t_us") + 2 * (config.cap_us + config.grace_us)).alias("t_us"), *[F.lit("end").alias(c) for c in ("tenant_id", "table_fqn", "partition_key", "partition_prefix", "kind", "proof", "object_key")]
     )
     end.where(F.col("t_us").isNotNull()).coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    before = spark.conf.get(_STORE, None)
-    spark.conf.set(_STORE, _ROCKS)
-    try:
-        rows = spark.readStream.schema(own.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
-        flushed = flushed_sessions(rows, config).where(F.col("tenant_id") != "end")
-        query = flushed.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").outputMode("append").trigger(availableNow=True).start()
-        query.awaitTermination()
-    finally:
-        spark.conf.unset(_STORE) if before is None else spark.conf.set(_STORE, before)
+    _run_buffer(spark, own.schema, config, folder)
     return spark.read.schema(SESSION).parquet(f"{folder}/out")
 
 

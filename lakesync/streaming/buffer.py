@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -95,3 +95,15 @@ def flushed_sessions(intents: DataFrame, config: SyncConfig, event_time: bool =
     return timed.groupBy(*KEY).transformWithStateInPandas(
         SessionBuffer(config, event_time), outputStructType=SESSION, outputMode="Append", timeMode="EventTime" if event_time else "ProcessingTime"
     )
+
+
+def open_buffers(spark: SparkSession, checkpoint: str, config: SyncConfig, now_us: int) -> DataFrame:
+    """Open buffers at a moment, from the state in a query's checkpoint: count, seconds to the flush, age, kind of the last intent."""
+    state = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", "open").load()
+    rows = state.select("key.*", "value.*")
+    flush = F.least(F.col("last_us") + config.window_us, F.col("first_us") + config.cap_us)
+    still = rows.withColumn("flush_us", flush).where((F.col("flush_us") > now_us - config.grace_us) & (F.col("n_add") + F.col("n_drop") > 0))
+    seconds = lambda us: us / F.lit(1e6)
+    return still.select(
+        *KEY, F.col("n").alias("count"), seconds(F.greatest(F.col("flush_us") - now_us, F.lit(0))).alias("flush_in"), seconds(F.lit(now_us) - F.col("first_us")).alias("age_s"), F.col("last_kind").alias("kind")
+    )

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from lakesync.config import ADD_CANDIDATE, CREATED, DELETED, DROP_CANDIDATE, SyncConfig
 from lakesync.functions import hashing, paths, quantiles
 from lakesync.operators import catalog, commit, intents, inventory, replay, retries, sessions
-from lakesync.sources import envelopes, generator, log
+from lakesync.sources import envelopes, generator
 
 ROOT, TENANT, TABLE = "warehouse/sales/", "tenant-1", "warehouse.sales"
 BOSTON = "country=us/city=boston"
@@ -198,20 +198,6 @@ def test_md5_modulo(spark):
             assert r.m == int(hashlib.md5(r.t.encode()).hexdigest(), 16) % n
 
 
-def test_log(spark):
-    rows = spark.createDataFrame([(i, f"k{i % 5}", str(i)) for i in range(100)], "seq long, key string, value string")
-    out = log.produce(rows, 2, span=7)
-    got = {}
-    for r in out.orderBy("seq").collect():
-        got.setdefault(r.partition, []).append(r.offset)
-    assert all(v == list(range(1, len(v) + 1)) for v in got.values()) and sum(map(len, got.values())) == 100
-    assert out.groupBy("key").agg(F.count_distinct("partition").alias("n")).where("n > 1").count() == 0
-    none = spark.createDataFrame([], "partition int, position long")
-    at = log.advance(out, none, 10)
-    assert {r.lag for r in log.lag(out, at).collect()} == {len(v) - 10 for v in got.values()}
-    assert log.poll(out, at, 10_000).count() == 100 - 10 * len(got) and log.poll(out, log.seek_to_end(out), 10).count() == 0
-
-
 def test_retries_end_in_the_dead_letter_table(spark):
     config = SyncConfig(max_retries=3)
     rows = effective(spark).select(*commit.KEY, "kind", F.lit("RETRY").alias("status"), F.lit("not_visible_yet").alias("reason"))
@@ -232,21 +218,33 @@ def test_quantiles(spark):
     assert quantiles.median(df, "x") == (ranked[2189] + ranked[2190]) / 2 and quantiles.median(df.limit(0), "x") is None
 
 
+def test_quantiles_with_outliers_and_ties(spark):
+    rng = np.random.default_rng(5)
+    for values in (np.append(rng.uniform(1, 1e9, 30_000), 1e15), np.append(np.full(20_000, 7.0), rng.normal(0, 1, 20_000)), 10.0 ** rng.uniform(-300, 300, 30_000), np.array([-1e308, 1e308] * 9_000)):
+        df = spark.createDataFrame([(float(v),) for v in values] + [(None,), (float("nan"),)], "x double").repartition(4)
+        ranked, n = np.sort(values), len(values)
+        got, places = quantiles.at_ranks(df, "x", {str(q): q for q in (0.0, 0.25, 0.5, 0.95, 0.999)}, buckets=50), (0.0, 0.25, 0.5, 0.95, 0.999)
+        assert got == {str(q): ranked[int(q * n)] for q in places}
+        assert quantiles.at_places(df, "x", lambda n: {"last": n - 1}, small=10)[1] == {"last": ranked[-1]}
+
+
 def test_generator(spark):
-    rows = generator.generate_events(spark, 0.001)
+    space = generator.published_space(spark)
+    rows = generator.generate_events(space, 0.001)
     n, objects, partitions = rows.count(), rows.select("object_key").distinct().count(), rows.select(paths.partition_key(F.col("object_key"))).distinct().count()
     assert partitions == 438 and objects == 2190 and 2190 * 1.05 < n < 2190 * 1.15
     assert rows.select("seq").distinct().count() == n
-    gone = generator.generate_delete_events(generator.changed_partitions(spark, 0.001), 0.5)
+    gone = generator.generate_delete_events(generator.changed_partitions(space, 0.001), 0.5)
     assert gone.select("object_key").distinct().count() == 219 * 5 and {r.op for r in gone.select("op").distinct().collect()} == {DELETED}
-    assert generator.SCAN_REQUESTS == 456_616
+    assert generator.SCAN_REQUESTS == generator.scan_requests(space) == 456_616
+    assert generator.changed_partitions(space, 0.1).rdd.getNumPartitions() > 1
 
 
 def test_scripted_epochs(spark):
-    from lakesync.plans.registry import QUERIES
+    from lakesync.plans.registry import catalog_by_epoch
 
     got = {}
-    for r in QUERIES["scripted_epochs"](spark, "").collect():
+    for r in catalog_by_epoch(generator.scripted_epochs(spark), 4).collect():
         got.setdefault(r.epoch, set()).add(r.partition_key.rsplit("=")[-1])
     assert got == {0: {"boston", "miami", "seattle"}, 1: {"boston", "miami", "seattle"}, 2: {"boston", "miami", "seattle", "bangalore"}, 3: {"boston", "miami", "bangalore"}}
 
