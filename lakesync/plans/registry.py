@@ -452,7 +452,7 @@ def streamed_retry_schedule(spark, sf_dir):
     fired, rows, config = _streamed_retries(spark, sf_dir)
     due = fired.where(~F.col("dead")).join(rows.select(*_key(), "visible_at"), sessions.KEY)
     status = F.when(F.col("attempt") == F.col("visible_at"), "APPLIED").when(F.col("attempt") == config.max_retries, "DLQ").otherwise("RETRY")
-    return due.select(*_key(), "attempt", F.round(F.col("wait_us") / 1e6, 4).alias("wait_s"), F.round(F.col("due_us") / 1e6, 4).alias("at_s"), status.alias("status"))
+    return due.select(*_key(), "attempt", F.round("wait_s", 4).alias("wait_s"), F.round("due_s", 4).alias("at_s"), status.alias("status"))
 
 
 @query(sql.DEAD_LETTERS)

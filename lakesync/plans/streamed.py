@@ -77,13 +77,13 @@ def streamed_retries(spark: SparkSession, failures: DataFrame, config: SyncConfi
     folder, empty = new_path(spark, "retries"), F.lit(None)
     failures = store(failures, "failures")
     schema = spark.createDataFrame([], OUTCOME).schema
-    outcome = failures.select(*KEY, empty.cast("string").alias("partition_prefix"), "kind", F.array().cast("array<string>").alias("proof_keys"), "status", "reason", F.lit(1).alias("attempt"), F.lit(0).cast("long").alias("failed_us"))
+    outcome = failures.select(*KEY, empty.cast("string").alias("partition_prefix"), "kind", F.array().cast("array<string>").alias("proof_keys"), "status", "reason", F.lit(1).alias("attempt"), F.lit(0.0).alias("failed_s"))
     fired = spark.createDataFrame([], DUE)
     with rocks(spark):
         for turn in range(config.max_retries + 1):
             clock = lambda s: F.timestamp_seconds(F.lit(1_000_000 + 1_000 * turn + s))  # noqa: E731, B023
             outcome.withColumn("clock", clock(0)).write.parquet(f"{folder}/in/turn={turn}a")
-            tick = spark.range(1).select(*[F.lit("tick").alias(k) for k in KEY], *[empty.cast(schema[c].dataType).alias(c) for c in ("partition_prefix", "kind", "proof_keys")], F.lit("NOOP").alias("status"), empty.cast("string").alias("reason"), F.lit(0).alias("attempt"), F.lit(0).cast("long").alias("failed_us"))
+            tick = spark.range(1).select(*[F.lit("tick").alias(k) for k in KEY], *[empty.cast(schema[c].dataType).alias(c) for c in ("partition_prefix", "kind", "proof_keys")], F.lit("NOOP").alias("status"), empty.cast("string").alias("reason"), F.lit(0).alias("attempt"), F.lit(0.0).alias("failed_s"))
             tick.withColumn("clock", clock(500)).write.parquet(f"{folder}/in/turn={turn}b")
             rows = spark.readStream.schema(schema).parquet(f"{folder}/in/*")
             due_attempts(rows, config, event_time=True).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").outputMode("append").trigger(availableNow=True).start().awaitTermination()
@@ -91,7 +91,7 @@ def streamed_retries(spark: SparkSession, failures: DataFrame, config: SyncConfi
             tried = fired.where(~F.col("dead") & (F.col("attempt") == turn + 1)).join(failures.select(*KEY, "visible_at"), KEY)
             done = F.col("attempt") == F.col("visible_at")
             outcome = tried.select(
-                *KEY, "partition_prefix", "kind", "proof_keys", F.when(done, "APPLIED").otherwise("RETRY").alias("status"), "reason", (F.col("attempt") + 1).alias("attempt"), F.col("due_us").alias("failed_us")
+                *KEY, "partition_prefix", "kind", "proof_keys", F.when(done, "APPLIED").otherwise("RETRY").alias("status"), "reason", (F.col("attempt") + 1).alias("attempt"), F.col("due_s").alias("failed_s")
             )
     return fired
 

@@ -4,7 +4,7 @@ Outcomes of commits come in as a stream, those of retries too. A failure waits,
 as an attempt that is due; what has failed `max_retries` times more than once, and errors, come out as dead letters at once; a
 success or a no-op ends whatever its key waits for. State is a list for each key, of the attempts that wait; the timer is that of the
 earliest, and an attempt costs nothing before it is due. In processing time the clock fires timers with no new data; in event time the column
-`clock` is the clock, which replays drive. Due times are told in the outcomes' own time (failed_us), whatever the clock.
+`clock` is the clock, which replays drive. Due times are told in the outcomes' own time (failed_s, seconds), whatever the clock.
 """
 
 from __future__ import annotations
@@ -20,11 +20,11 @@ from lakesync.config import SyncConfig
 from lakesync.operators.retries import backoff_s
 
 KEY = ["tenant_id", "table_fqn", "partition_key"]
-#: attempt: applies that have failed, this one included; wait_us: how long it is to wait if it failed.
-OUTCOME = "tenant_id string, table_fqn string, partition_key string, partition_prefix string, kind string, proof_keys array<string>, status string, reason string, attempt int, failed_us long, clock timestamp"
-DUE = "tenant_id string, table_fqn string, partition_key string, partition_prefix string, kind string, proof_keys array<string>, reason string, attempt int, wait_us long, due_us long, dead boolean"
-_WAITS = "partition_prefix string, kind string, proof_keys array<string>, reason string, attempt int, wait_us long, due_us long, fires_ms long"
-_FIELDS = ["partition_prefix", "kind", "proof_keys", "reason", "attempt", "wait_us", "due_us", "fires_ms"]
+#: attempt: applies that have failed, this one included.
+OUTCOME = "tenant_id string, table_fqn string, partition_key string, partition_prefix string, kind string, proof_keys array<string>, status string, reason string, attempt int, failed_s double, clock timestamp"
+DUE = "tenant_id string, table_fqn string, partition_key string, partition_prefix string, kind string, proof_keys array<string>, reason string, attempt int, wait_s double, due_s double, dead boolean"
+_WAITS = "partition_prefix string, kind string, proof_keys array<string>, reason string, attempt int, wait_s double, due_s double, fires_ms long"
+_FIELDS = ["partition_prefix", "kind", "proof_keys", "reason", "attempt", "wait_s", "due_s", "fires_ms"]
 
 
 class RetryQueue(StatefulProcessor):
@@ -54,10 +54,10 @@ class RetryQueue(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         waits, out = self._held(), []
-        for r in pd.concat(list(rows)).sort_values(["failed_us", "attempt"]).to_dict("records"):
+        for r in pd.concat(list(rows)).sort_values(["failed_s", "attempt"]).to_dict("records"):
             now_ms = int(r["clock"].timestamp() * 1000) if self.event_time else timerValues.getCurrentProcessingTimeInMs()
             wait = {f: r.get(f) for f in _FIELDS} | {
-                "proof_keys": list(r["proof_keys"]) if r["proof_keys"] is not None else [], "attempt": int(r["attempt"]), "wait_us": int(r["wait_us"]), "due_us": int(r["failed_us"] + r["wait_us"]), "fires_ms": now_ms + int(r["wait_us"]) // 1000 + 1,
+                "proof_keys": list(r["proof_keys"]) if r["proof_keys"] is not None else [], "attempt": int(r["attempt"]), "wait_s": float(r["wait_s"]), "due_s": float(r["failed_s"] + r["wait_s"]), "fires_ms": now_ms + int(r["wait_s"] * 1000) + 1,
             }
             if r["status"] == "RETRY" and r["attempt"] <= self.max_retries:
                 waits.append(wait)
@@ -84,8 +84,7 @@ class RetryQueue(StatefulProcessor):
 def due_attempts(outcomes: DataFrame, config: SyncConfig, event_time: bool = False) -> DataFrame:
     """The stream of attempts that are due, and of dead letters (dead), of a stream of outcomes. attempt is the number of the retry, from 1;
     for a dead letter the retries that were made."""
-    wait = (backoff_s(F.col("partition_key"), F.col("attempt"), config) * 1_000_000).cast("long")
-    rows = outcomes.withColumn("wait_us", F.when(F.col("attempt") > 0, wait).otherwise(0))
+    rows = outcomes.withColumn("wait_s", F.when(F.col("attempt") > 0, backoff_s(F.col("partition_key"), F.col("attempt"), config)).otherwise(0.0))
     if event_time:
         rows = rows.withWatermark("clock", "0 seconds")
     return rows.groupBy(*KEY).transformWithStateInPandas(RetryQueue(config.max_retries, event_time), outputStructType=DUE, outputMode="Append", timeMode="EventTime" if event_time else "ProcessingTime")
