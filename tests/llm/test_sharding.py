@@ -40,6 +40,46 @@ def test_a_third_of_all_rows_equal(spark):
     assert max(held) <= 1.05 * min(held)
 
 
+def brute_heavy(rows, shards, ranges):
+    """Every text of more than two ranges' share, heaviest first, into the emptiest shard if it has room: {text: shard or None if dealt out}."""
+    weight = Counter()
+    for _, t in rows:
+        weight[t or ""] += len((t or "").encode()) + 8
+    total, copies = sum(weight.values()), Counter(t or "" for _, t in rows)
+    share = total // (shards * ranges)
+    out, held = {}, [0.0] * shards
+    for size, text in sorted(((w, t) for t, w in weight.items() if w > 2 * share), reverse=True):
+        low = min(held)
+        if copies[text] == 1 or low + size <= 1.01 * total / shards:
+            held[held.index(low)] += size
+            out[text] = True
+        else:
+            parts = -(-size // share)
+            for _ in range(parts):
+                held[held.index(min(held))] += size / parts
+            out[text] = False
+    return out
+
+
+def test_classes_stay_whole_wherever_a_shard_has_room(spark):
+    rng = random.Random(8)
+    rows = [(i, f"own {i} " + "y" * rng.choice([10, 200, 900])) for i in range(6000)]
+    for k, n in enumerate([700, 300, 300, 290, 40, 8, 8000]):
+        rows += [(10_000 * (k + 1) + i, f"class {k} " + "z" * 90) for i in range(n)]
+    rows += [(99_999, "v" * 400_000), (99_998, None), (99_997, "")]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), 24, 64).collect()
+    held = check(rows, got, 24)
+    rest = sorted(held)[:-1]  # one row weighs more than its shard's part
+    assert max(held) == 400_008 and max(rest) <= 1.1 * sum(rest) / 23 and min(rest) >= 0.9 * sum(rest) / 23
+    shards_of, text = defaultdict(set), dict(rows)
+    for r in got:
+        shards_of[text[r.doc_id] or ""].add(r.shard)
+    whole = brute_heavy(rows, 24, 64)
+    assert sorted(t.split()[1] for t, w in whole.items() if not w) == ["6"] and len(whole) >= 6
+    assert all((len(shards_of[t]) == 1) == w for t, w in whole.items())
+    assert all(len(s) == 1 for t, s in shards_of.items() if t not in whole)
+
+
 def test_few_and_no_rows(spark):
     docs = spark.createDataFrame([(1, "a"), (2, None)], "doc_id long, text string")
     check([(1, "a"), (2, None)], sharding.shard(docs, 24).collect(), 24)
