@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -117,3 +119,71 @@ def test_a_network_is_trained_whenever_both_kinds_are_there():
     score = model.scores([toxicity.words_of(t) for t, *_ in few])
     assert score[0] > max(score[1:])
     assert isinstance(toxicity.train(few[1:]), toxicity.Constant)
+
+
+def scalar_score(network, words):
+    """The network's score of one text, number by number in plain Python: every window, both directions, attention, calibrated maximum."""
+    import math
+
+    from lakesync.llm.toxicity import HIDDEN, TRIGRAMS, WINDOW, window_starts
+
+    p = {k: v.tolist() for k, v in network.p.items()}
+    sig = lambda x: 1 / (1 + math.exp(-x))
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b))
+    times = lambda row, matrix: [dot(row, column) for column in zip(*matrix)]
+
+    def embed(w):
+        raw = [1, *w, 0]
+        tri = [((a * 7919 + b * 104729 + c * 1299709) >> 2) % TRIGRAMS for a, b, c in zip(raw, raw[1:], raw[2:])]
+        base = p["word"][network.vocabulary.get(w, 0)]
+        return [b + sum(p["char"][t][k] for t in tri) / len(tri) for k, b in enumerate(base)]
+
+    def gru(xs, side):
+        h, out = [0.0] * HIDDEN, []
+        for x in xs:
+            g = [a + b for a, b in zip(times(x, p[f"in_{side}"]), p[f"bias_{side}"])]
+            u = times(h, p[f"own_{side}"])
+            z, r = ([sig(g[i + k] + u[i + k]) for i in range(HIDDEN)] for k in (0, HIDDEN))
+            n = [math.tanh(g[i + 2 * HIDDEN] + r[i] * u[i + 2 * HIDDEN]) for i in range(HIDDEN)]
+            h = [n[i] + z[i] * (h[i] - n[i]) for i in range(HIDDEN)]
+            out.append(h)
+        return out
+
+    logits = []
+    for start in window_starts(len(words)):
+        xs = [embed(w) for w in words[start : start + WINDOW]]
+        states = [f + b for f, b in zip(gru(xs, "f"), reversed(gru(xs[::-1], "b")))]
+        ask = [dot([math.tanh(a + b) for a, b in zip(times(s, p["attend"]), p["attend_b"])], p["ask"]) for s in states]
+        weight = [math.exp(a - max(ask)) for a in ask]
+        pooled = [sum(w * s[k] for w, s in zip(weight, states)) / sum(weight) for k in range(2 * HIDDEN)]
+        logits.append(dot(pooled, p["out"]) + p["out_b"][0])
+    return sig(network.scale * max(logits) + network.shift) if logits else network.share
+
+
+def test_scores_number_by_number():
+    rng = random.Random(3)
+    network = toxicity.Network({b"alpha": 1, b"beta": 2, b"caf\xc3\xa9": 3}, seed=5)
+    network.scale, network.shift, network.share = 1.7, -0.4, 0.12
+    texts = ["", "!?", "alpha", "alpha beta alpha café", " ".join(rng.choices(["alpha", "beta", "x", "unknown", "ÉTÉ"], k=24)), " ".join(rng.choices(["alpha", "beta", "gamma", "x1"], k=61)), "l" * 70]
+    words = [toxicity.words_of(t) for t in texts]
+    assert np.allclose(network.scores(words), [scalar_score(network, w) for w in words], atol=1e-5)
+
+
+def test_calibration_is_at_the_least_loss():
+    """The fitted scale and shift have no better neighbours under the penalised loss."""
+
+    class Given:
+        def scores(self, texts):
+            return 1 / (1 + np.exp(-np.array([x for (x,) in texts])))
+
+    rng = np.random.default_rng(2)
+    x, y = np.concatenate([rng.normal(-1, 1, 300), rng.normal(1.5, 1, 60)]), np.repeat([0, 1], [300, 60])
+    model = Given()
+    toxicity._calibrate(model, [([v], t) for v, t in zip(x, y)], 60 / 360)
+
+    def loss(a, b):
+        q = 1 / (1 + np.exp(-(a * x + b)))
+        return -(y * np.log(q) + (1 - y) * np.log(1 - q)).sum() + 0.05 * ((a - 1) ** 2 + b**2)
+
+    found = [loss(model.scale + i, model.shift + j) for i in (-0.01, 0, 0.01) for j in (-0.01, 0, 0.01)]
+    assert min(found) == found[4] and model.scale > 0.5
