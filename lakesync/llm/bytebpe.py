@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakesync.llm.common import broadcast_if_small, store
+from lakesync.llm.common import broadcast_if_small, released, store
 
 CHUNK, OVERLAP = 32_768, 1_024
 #: Pre-tokens whose ids a worker remembers; longer ones than this many characters are never kept.
@@ -174,7 +174,7 @@ def cut_points(chunks: DataFrame, pattern: str, chunk: int) -> DataFrame:
 
     A chunk counts only if all before it have met their neighbours; where two do not meet, no cut is made and the piece goes on.
     """
-    edges = chunks.mapInArrow(_edges(pattern, chunk), "name string, at int, head array<int>, tail array<int>").dropDuplicates(["name", "at"])
+    edges = chunks.mapInArrow(released(_edges(pattern, chunk)), "name string, at int, head array<int>, tail array<int>").dropDuplicates(["name", "at"])
     order = Window.partitionBy("name").orderBy("at")
     met = edges.withColumn("cut", F.array_min(F.array_intersect("head", F.lag("tail").over(order))))
     reached = met.withColumn("reached", F.min((F.col("cut").isNotNull() | (F.col("at") == 0)).cast("int")).over(order))
@@ -186,7 +186,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, chunk: int = CHUNK, o
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     size = F.length("text")
-    short = rows.where(size <= chunk).mapInArrow(_encode_batches(ranks_path, pattern), f"doc_id {kind}, ids array<int>, decoded binary")
+    short = rows.where(size <= chunk).mapInArrow(released(_encode_batches(ranks_path, pattern)), f"doc_id {kind}, ids array<int>, decoded binary")
     # cuts depend on the text alone, so they are found once for each distinct text and named by its digest
     long = rows.where(size > chunk).withColumn("name", F.sha2("text", 256))
     chunks = long.withColumn("at", F.explode(F.sequence(F.lit(0), size - 1, F.lit(chunk)))).select(
@@ -198,7 +198,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, chunk: int = CHUNK, o
     bounded = once.join(broadcast_if_small(cuts, limit=50_000), "name").withColumn("cuts", F.concat(F.array(F.lit(0)), "cuts"))
     piece = F.substring("text", F.get("cuts", F.col("piece")) + 1, F.coalesce(F.get("cuts", F.col("piece") + 1), size) - F.get("cuts", F.col("piece")))
     pieces = bounded.withColumn("piece", F.explode(F.sequence(F.lit(0), F.size("cuts") - 1))).select("doc_id", "name", "times", "piece", piece.alias("text"))
-    coded = pieces.mapInArrow(_encode_batches(ranks_path, pattern), f"doc_id {kind}, name string, times long, piece int, ids array<int>, decoded binary")
+    coded = pieces.mapInArrow(released(_encode_batches(ranks_path, pattern)), f"doc_id {kind}, name string, times long, piece int, ids array<int>, decoded binary")
     whole = (
         coded.groupBy("doc_id", "name", "times").agg(F.array_sort(F.collect_list(F.struct("piece", "ids", "decoded"))).alias("p"))
         .select("doc_id", F.flatten("p.ids").alias("ids"), F.aggregate("p.decoded", F.lit(b""), lambda acc, x: F.concat(acc, x)).alias("decoded"), F.explode(F.sequence(F.lit(1), F.col("times"))))

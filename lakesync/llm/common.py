@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakesync.scratch import store
 
-__all__ = ["ascii_lower", "broadcast_if_small", "crc_bucket", "free_names", "store", "table", "words"]
+__all__ = ["ascii_lower", "broadcast_if_small", "crc_bucket", "free_names", "released", "store", "table", "words"]
 
 #: A side is broadcast only if a count has shown that it has no more rows than this.
 BROADCAST_ROWS = 200_000
@@ -38,6 +42,19 @@ def broadcast_if_small(df: DataFrame, rows: int | None = None, limit: int = BROA
     return F.broadcast(df) if rows <= limit else df
 
 
+def released(run: Callable) -> Callable:
+    """run for mapInArrow, whose worker gives freed memory back to the system when its task is done: workers live on, idle, beside the JVM."""
+
+    def own(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+        if trim:
+            trim(0)
+
+    return own
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z and nothing else."""
     return F.translate(text, _UPPER, _LOWER)

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakesync.llm.common import broadcast_if_small, free_names, store
+from lakesync.llm.common import broadcast_if_small, free_names, released, store
 from lakesync.llm.components import connected_components
 
 WIDTH, SIMILARITY = 5, 0.8
@@ -99,7 +99,7 @@ def sketches(docs: DataFrame, width: int = WIDTH, trees: int = TREES) -> DataFra
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("doc_key"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, doc_key long, name binary, n int, labels array<long>")
+    return rows.mapInArrow(released(run), f"doc_id {kind}, doc_key long, name binary, n int, labels array<long>")
 
 
 def chosen_depths(members: np.ndarray, similarity: float = SIMILARITY, recall: float = RECALL) -> np.ndarray:
@@ -152,7 +152,7 @@ def forest_nodes(sets: DataFrame, trees: int = TREES, similarity: float = SIMILA
             where = np.nonzero(members[np.arange(len(members))[:, None], np.arange(trees), chosen - SHORTEST] > 1)
             yield pa.RecordBatch.from_arrays([batch.column("number").take(pa.array(where[0])), pa.array(where[1].astype(np.int32)), pa.array(chosen[where].astype(np.int32))], names=["number", "tree", "depth"])
 
-    chosen = store(by_set.mapInArrow(run, "number long, tree int, depth int"), "chosen")
+    chosen = store(by_set.mapInArrow(released(run), "number long, tree int, depth int"), "chosen")
     opened = met.join(chosen, ["number", "tree"]).select("tree", "depth", "high", _prefix(F.col("low"), F.col("depth")).alias("prefix")).distinct()
     # of nodes one above the other the shorter prefix holds all members of the longer one; of nodes with the same members one is enough
     on_path = paths.join(opened, node).groupBy("number", "tree").agg(F.min(F.struct("depth", "high", "prefix")).alias("p")).select("number", "tree", "p.*")
@@ -308,7 +308,7 @@ def verified_links(members: DataFrame, similarity: float = SIMILARITY, block: in
 
     # the groups are many and small: they are dealt by a hash and told apart as they come, sorted
     ordered = dealt.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
-    return ordered.mapInArrow(run, "number long, docs long, texts long, reached long")
+    return ordered.mapInArrow(released(run), "number long, docs long, texts long, reached long")
 
 
 def set_members(docs: DataFrame, wanted: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -325,7 +325,7 @@ def set_members(docs: DataFrame, wanted: DataFrame, width: int = WIDTH) -> DataF
                 grams = [g.tobytes() for g in shingle_sets(part.column("text").cast(pa.binary()).to_pylist(), width)]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(grams, pa.binary())], names=[*names, "grams"])
 
-    return joined.mapInArrow(run, ", ".join([*kinds, "grams binary"]))
+    return joined.mapInArrow(released(run), ", ".join([*kinds, "grams binary"]))
 
 
 def join_classes(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, trees: int = TREES, recall: float = RECALL) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakesync.llm.common import crc_bucket, free_names
+from lakesync.llm.common import crc_bucket, free_names, released
 
 #: Bounds of the labelled sample, in expectation: toxic and clean rows, and the length of a row that may serve for training.
 TOXIC_ROWS, CLEAN_ROWS, TRAIN_CHARS = 1_500, 3_000, 20_000
@@ -397,7 +397,7 @@ def score(docs: DataFrame, model: Network | Constant, keep: tuple[str, ...] = ("
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), pa.array(np.concatenate([np.zeros(0), *scores]), pa.float64())], names=[*kept, "score"])
 
     rows = docs.select(*[F.col(c).alias(k) for k, c in zip(kept, keep)], *([] if "text" in keep else ["text"]))
-    return rows.mapInArrow(run, ", ".join([*kinds, "score double"])).toDF(*keep, name)
+    return rows.mapInArrow(released(run), ", ".join([*kinds, "score double"])).toDF(*keep, name)
 
 
 def reject(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
