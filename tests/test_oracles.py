@@ -26,7 +26,7 @@ def rows(frame):
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_same_rows(spark, duck, name):
     got, want = QUERIES[name](spark, SF).toPandas(), duck.sql(ORACLES[name]).df()
-    assert rows(got) == rows(want) and (len(got) or name in ("buffer_snapshot", "flushed_between"))  # two hold no rows on tables this small
+    assert rows(got) == rows(want) and (len(got) or name in ("buffer_snapshot", "flushed_between", "state_snapshot"))  # three hold no rows on tables this small
 
 
 def test_every_oracle_has_a_query():
