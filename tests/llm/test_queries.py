@@ -39,7 +39,7 @@ def test_against_sql(spark, name):
     con = duckdb.connect()
     for file in os.listdir(SF):
         con.sql(f"CREATE VIEW {file.removesuffix('.parquet')} AS SELECT * FROM '{SF}/{file}'")
-    plain = lambda frame: (sorted(frame.columns), sorted(str(tuple(r)) for r in frame[sorted(frame.columns)].astype(object).itertuples(index=False, name=None)))
+    plain = lambda frame: (sorted(frame.columns), sorted(str(tuple(None if x is None or x != x else x for x in r)) for r in frame[sorted(frame.columns)].astype(object).itertuples(index=False, name=None)))
     assert plain(queries.queries()[name](spark, SF).toPandas()) == plain(con.sql(queries.oracle_sql()[name]).df())
 
 
