@@ -20,6 +20,8 @@ from lakesync.scratch import store
 KEY = ["tenant_id", "table_fqn", "partition_key"]
 #: A key with more intents than this is shared by several tasks.
 HOT_ROWS = 5_000_000
+#: Bins in the reach of a session, where times of a busy key are looked up.
+FINE_BINS = 64
 
 
 def quiet_sessions(intents: DataFrame, config: SyncConfig) -> DataFrame:
@@ -50,19 +52,73 @@ def session_starts(t: np.ndarray, window: int, cap: int, grace: int, last: int |
 
 
 def quiet_runs(intents: DataFrame, gap_us: int, hot_rows: int) -> DataFrame:
-    """key, bin, run (1, 2, ...) of the keys with more than hot_rows intents: a run begins after a time of quiet that ends any session.
+    """key, bin, n, low, quiet, run (1, 2, ...) of the keys with more than hot_rows intents: a run begins after a time of quiet that ends any session.
 
-    Counts and times of each stretch of time combine on the map side; only they are put in order.
+    Bins are as long as that quiet, so no run is quiet within one. Their counts and times combine on the map side; only they are put in order.
     """
-    bins = intents.withColumn("bin", _bin(gap_us)).groupBy(*KEY, "bin").agg(F.count("*").alias("n"), F.min("t_us").alias("low"), F.max("t_us").alias("high"))
+    bins = intents.withColumn("bin", _bin(F.col("t_us"), gap_us)).groupBy(*KEY, "bin").agg(F.count("*").alias("n"), F.min("t_us").alias("low"), F.max("t_us").alias("high"))
     key = Window.partitionBy(*KEY)
     hot = bins.withColumn("rows", F.sum("n").over(key)).where(F.col("rows") > hot_rows)
     quiet = F.coalesce(F.col("low") - F.lag("high").over(key.orderBy("bin")) > gap_us, F.lit(True))
-    return hot.withColumn("quiet", quiet).select(*KEY, "bin", F.sum(F.col("quiet").cast("long")).over(key.orderBy("bin")).alias("run"))
+    return hot.withColumn("quiet", quiet).select(*KEY, "bin", "n", "low", "quiet", F.sum(F.col("quiet").cast("long")).over(key.orderBy("bin")).alias("run"))
 
 
-def _bin(gap_us: int) -> Column:
-    return F.floor(F.col("t_us") / max(gap_us, 60_000_000))
+def _bin(time: Column, width_us: int) -> Column:
+    return F.floor(time / max(width_us, 1))
+
+
+def next_starts(times: DataFrame, reach_us: int) -> DataFrame:
+    """times (key, run, t_us, each once) with next_us: the first time of the run more than reach_us after; the last ones have none and are left out.
+
+    Times and the moments that ask for them meet in short bins; what a bin does not answer is answered by the least time of the bins after it.
+    """
+    names, width = [*KEY, "run"], reach_us // FINE_BINS
+    asked = times.select(*names, (F.col("t_us") + reach_us).alias("at"), F.lit(None).cast("long").alias("time"))
+    points = times.select(*names, F.col("t_us").alias("at"), F.col("t_us").alias("time")).unionByName(asked).withColumn("bin", _bin(F.col("at"), width))
+    before = (Window.unboundedPreceding, -1)
+    lows = points.groupBy(*names, "bin").agg(F.min("time").alias("low"))
+    later = lows.select(*names, "bin", F.min("low").over(Window.partitionBy(*names).orderBy(F.desc("bin")).rowsBetween(*before)).alias("later"))
+    # from the latest on, those that ask before the times that they equal
+    inside = F.min("time").over(Window.partitionBy(*names, "bin").orderBy(F.desc("at"), F.col("time").isNotNull()).rowsBetween(*before))
+    answers = points.withColumn("inside", inside).where(F.col("time").isNull()).join(later, [*names, "bin"])
+    return answers.select(*names, (F.col("at") - reach_us).alias("t_us"), F.coalesce("inside", "later").alias("next_us")).where(F.col("next_us").isNotNull())
+
+
+def busy_starts(intents: DataFrame, runs: DataFrame, config: SyncConfig) -> DataFrame:
+    """key, run, t_us of all sessions of runs (key, bin, run): within a run only the cap ends a session, so where the next one starts depends on the start alone.
+
+    That function of the start is composed with itself, round by round, and what has been reached is doubled, so the
+    rounds are the logarithm of a run's sessions, and every round is a join by key and time, shared by all tasks.
+    """
+    names = [*KEY, "run"]
+    times = intents.withColumn("bin", _bin(F.col("t_us"), config.window_us + config.grace_us)).join(runs.select(*names, "bin"), [*KEY, "bin"]).select(*names, "t_us").distinct()
+    times = store(times, "times")
+    jump = store(next_starts(times, config.cap_us + config.grace_us), "jump")
+    reached = store(times.groupBy(*names).agg(F.min("t_us").alias("t_us")), "starts")
+    while True:
+        more = store(reached.join(jump, [*names, "t_us"]).select(*names, F.col("next_us").alias("t_us")), "starts")
+        if more.isEmpty():
+            return reached
+        reached = reached.unionByName(more)
+        onward = jump.select(*names, F.col("t_us").alias("next_us"), F.col("next_us").alias("after_us"))
+        jump = store(jump.join(onward, [*names, "next_us"]).select(*names, "t_us", F.col("after_us").alias("next_us")), "jump")
+
+
+def cuts(intents: DataFrame, config: SyncConfig, hot_rows: int) -> DataFrame:
+    """key, bin, run, cut of the keys with more than hot_rows intents: rows of a bin are in run, those from cut on (if there is one) in the run after.
+
+    Runs are cut where the key was quiet, and those that still have more than hot_rows intents at the first session that starts in each bin.
+    """
+    gap = config.window_us + config.grace_us
+    runs = store(quiet_runs(intents, gap, hot_rows), "runs")
+    busy = runs.groupBy(*KEY, "run").agg(F.sum("n").alias("rows")).where(F.col("rows") > hot_rows).drop("rows")
+    cut = F.when(F.col("quiet"), F.col("low"))
+    if not busy.isEmpty():
+        starts = busy_starts(intents, runs.join(busy, [*KEY, "run"], "left_semi"), config)
+        first = starts.groupBy(*KEY, _bin(F.col("t_us"), gap).alias("bin")).agg(F.min("t_us").alias("start"))
+        runs, cut = runs.join(first, [*KEY, "bin"], "left"), F.least(cut, F.col("start"))
+    so_far = Window.partitionBy(*KEY).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    return runs.withColumn("cut", cut).select(*KEY, "bin", F.count("cut").over(so_far).alias("run"), "cut")
 
 
 def _number(rows: DataFrame, names: list[str], config: SyncConfig) -> DataFrame:
@@ -108,14 +164,15 @@ def assign_sessions(intents: DataFrame, config: SyncConfig, hot_rows: int | None
 
     One shuffle by key; each partition is read in order of key and time, and only the open session's three numbers are held
     from one batch to the next, so a key of any size takes bounded memory. If a count shows a key with more than hot_rows
-    intents, such keys are cut where they were quiet for longer than any session waits; each run is numbered by itself, and what
-    the runs before it came to is added. A key that is never quiet stays one run. With hot_rows None keys are not counted.
+    intents, such keys are cut where they were quiet for longer than any session waits, and if they never were, where sessions
+    start under the cap (`cuts`); each run is numbered by itself, and what the runs before it came to is added. What stays in one task is one
+    session, or a bin as long as the quiet. A hot key with a null in it is not cut. With hot_rows None keys are not counted.
     """
     if hot_rows is None or intents.groupBy(*KEY).count().where(F.col("count") > hot_rows).isEmpty():
         return _number(intents, KEY, config)
-    gap = config.window_us + config.grace_us
-    runs = store(quiet_runs(intents, gap, hot_rows), "runs")
-    marked = intents.withColumn("bin", _bin(gap)).join(runs, [*KEY, "bin"], "left").withColumn("run", F.coalesce("run", F.lit(0)))
+    parts = store(cuts(intents, config, hot_rows), "cuts")
+    run = F.coalesce(F.col("run") + F.coalesce((F.col("t_us") >= F.col("cut")).cast("long"), F.lit(0)), F.lit(0))
+    marked = intents.withColumn("bin", _bin(F.col("t_us"), config.window_us + config.grace_us)).join(parts, [*KEY, "bin"], "left").withColumn("run", run)
     numbered = store(_number(marked.select(*intents.columns, "run"), [*KEY, "run"], config), "numbered")
     sizes = numbered.where(F.col("run") > 0).groupBy(*KEY, "run").agg(F.max("sid").alias("n"))
     before = sizes.select(*KEY, "run", (F.sum("n").over(Window.partitionBy(*KEY).orderBy("run")) - F.col("n")).alias("before"))

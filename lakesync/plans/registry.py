@@ -13,7 +13,7 @@ from lakesync.config import TABLE_ROOT, SyncConfig
 from lakesync.functions import paths
 from lakesync.functions.hashing import md5_mod
 from lakesync.functions.quantiles import summary
-from lakesync.operators import catalog, commit, intents, inventory, metrics, replay, retries, sessions
+from lakesync.operators import catalog, commit, hashtree, intents, inventory, metrics, replay, retries, sessions
 from lakesync.plans import sql
 from lakesync.plans.streamed import state_snapshot, streamed_retries, streamed_sessions, worker_catalog
 from lakesync.scratch import new_path, store
@@ -224,6 +224,35 @@ def listed_folders(spark, sf_dir):
     return listed.agg(F.count("*").alias("objects")).select("objects", F.lit(requests).cast("long").alias("folders"), F.lit(lists).cast("long").alias("lists"))
 
 
+def _unequal(spark, sf_dir):
+    listed = catalog.converged(_live(spark, sf_dir))
+    return hashtree.descend(hashtree.written(hashtree.tree(_stale_catalog(spark, sf_dir))), hashtree.written(hashtree.tree(listed)))
+
+
+@query(sql.TREE_REPAIR_DIFF)
+def tree_repair_diff(spark, sf_dir):
+    """What scan_repair_diff would change, found by opening unequal folders only."""
+    return hashtree.differences(_unequal(spark, sf_dir))
+
+
+@query(sql.TREE_REQUESTS)
+def tree_requests(spark, sf_dir):
+    """Folders that a scan lists, and those that the descent opens."""
+    unequal = store(_unequal(spark, sf_dir), "unequal")
+    scan = inventory.scan_requests(_live(spark, sf_dir)).withColumnRenamed("requests", "scan")
+    changed = hashtree.differences(unequal).groupBy("tenant_id").agg(F.count("*").alias("differences"))
+    rows = scan.join(hashtree.requests(unequal), "tenant_id", "left").join(changed, "tenant_id", "left")
+    return rows.select("tenant_id", "scan", F.coalesce("requests", F.lit(0)).alias("descent"), F.coalesce("differences", F.lit(0)).alias("differences"))
+
+
+@query(sql.updated_tree())
+def updated_tree(spark, sf_dir):
+    """The catalog's tree after a flush, from its tree before and the keys that the flush changed."""
+    changes = _flush(spark, sf_dir).where(F.col("in_catalog") != F.col("in_catalog_after")).select(*_key(), F.col("in_catalog_after").alias("added"))
+    nodes = hashtree.updated(hashtree.tree(_stale_catalog(spark, sf_dir)), changes)
+    return nodes.select("tenant_id", "level", "prefix", "n")
+
+
 # --- sessions ---------------------------------------------------------------------------------------------------------
 
 
@@ -246,6 +275,12 @@ def tightly_capped_sessions(spark, sf_dir):
     return _session_columns(sessions.effective_intents(_assigned(spark, sf_dir, TIGHT), TIGHT))
 
 
+@query(sql.capped_sessions(3600, 10, 7200))
+def shared_sessions(spark, sf_dir):
+    """tightly_capped_sessions with keys of more than 16 intents shared by several tasks."""
+    return _session_columns(sessions.effective_intents(sessions.assign_sessions(_intents(spark, sf_dir), TIGHT, hot_rows=16), TIGHT))
+
+
 @query(sql.EFFECTIVE_INTENTS)
 def effective_intents(spark, sf_dir):
     rows = sessions.effective_intents(_assigned(spark, sf_dir), CONFIG)

@@ -92,6 +92,15 @@ SELECT tenant_id, 'warehouse.sales' AS table_fqn, partition_key,
   CASE WHEN known.location IS NULL THEN 'ADD' WHEN n_objects IS NULL THEN 'DROP' ELSE 'KEEP' END AS action, coalesce(n_objects, 0) AS n_objects
 FROM known FULL JOIN listed USING (tenant_id, partition_key)""", _CATALOG)
 
+_UNEQUAL = _CATALOG + """, unequal AS (
+  SELECT tenant_id, partition_key, CASE WHEN known.location IS NULL THEN 'ADD' ELSE 'DROP' END AS action
+  FROM known FULL JOIN listed USING (tenant_id, partition_key) WHERE known.location IS NULL OR n_objects IS NULL)"""
+TREE_REPAIR_DIFF = _with("SELECT tenant_id, 'warehouse.sales' AS table_fqn, partition_key, action FROM unequal", _UNEQUAL)
+TREE_REQUESTS = _with("""
+SELECT tenant_id, requests AS scan, coalesce(descent, 0) AS descent, coalesce(differences, 0) AS differences
+FROM (SELECT tenant_id, 1 + count(DISTINCT string_split(partition_key, '/')[1]) + count(DISTINCT partition_key) AS requests FROM objects WHERE live GROUP BY tenant_id)
+LEFT JOIN (SELECT tenant_id, 1 + count(DISTINCT string_split(partition_key, '/')[1]) AS descent, count(*) AS differences FROM unequal GROUP BY tenant_id) USING (tenant_id)""", _UNEQUAL)
+
 QUIET_SESSIONS = _with("""
 SELECT tenant_id, table_fqn, partition_key, min(t_us) AS first_us, max(t_us) AS last_us, count(*) AS n, count(*) FILTER (kind = 'ADD_CANDIDATE') AS n_add, count(*) FILTER (kind = 'DROP_CANDIDATE') AS n_drop
 FROM (SELECT *, sum(opens) OVER (PARTITION BY tenant_id, partition_key ORDER BY t_us, seq) AS sid
@@ -206,6 +215,12 @@ def _cost(scan: str, requests: str = "requests") -> str:
 _COST = _cost("456616")
 
 
+def updated_tree() -> str:
+    return f"""WITH after AS ({catalog_after()}), folders AS (
+  SELECT tenant_id, 0 AS level, '' AS prefix FROM after UNION ALL SELECT tenant_id, 1, string_split(partition_key, '/')[1] FROM after UNION ALL SELECT tenant_id, 2, partition_key FROM after)
+SELECT tenant_id, CAST(level AS INTEGER) AS level, prefix, count(*) AS n FROM folders GROUP BY ALL"""
+
+
 def request_cost() -> str:
     return _with(f"""
 SELECT buffered, committed, buffered - committed AS coalesced, heads, lists, {_COST}

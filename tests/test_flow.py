@@ -264,3 +264,29 @@ def test_hot_keys_are_cut_where_they_were_quiet(spark):
         whole, cut = (sorted(map(tuple, sessions.assign_sessions(rows, config, hot).select(*columns).collect())) for hot in (None, 2))
         assert len(whole) > 100 and cut == whole
     assert sessions.quiet_runs(rows, gap, 2).agg({"run": "max"}).first()[0] > 1
+
+
+@pytest.mark.parametrize("window, grace, cap", [(60, 5, 200), (10, 0, 7), (30, 1, 1000), (0.001, 0, 0.5)])
+def test_a_key_that_is_never_quiet_is_shared(spark, window, grace, cap):
+    config = SyncConfig(window=window, grace=grace, cap=cap)
+    draw = np.random.default_rng(5)
+    step = np.minimum(draw.exponential(window / 3, 1500), window)
+    step[draw.random(1500) < 0.3] = 0
+    step[700] = 3 * (window + grace)  # quiet once
+    rows = candidates(spark, [(t, ADD_CANDIDATE if draw.random() < 0.6 else DROP_CANDIDATE, "p") for t in np.cumsum(step).tolist()])
+    both = rows.unionByName(rows.withColumn("partition_key", F.lit("b=2")).where("seq < 40"))
+    got, want = (sessions.assign_sessions(both, config, hot_rows=hot) for hot in (100, None))
+    columns = ["partition_key", "seq", "sid", "place"]
+    assert sorted(map(tuple, got.select(columns).collect())) == sorted(map(tuple, want.select(columns).collect()))
+    starts = want.where(F.col("partition_key") == BOSTON).groupBy("sid").agg(F.min("t_us"), F.count("*").alias("n"))
+    cuts = sessions.cuts(both, config, 100).where("cut is not null")
+    assert {r.cut for r in cuts.collect()} <= {r[1] for r in starts.collect()} and cuts.count() > min(starts.count(), 10) / 2
+    assert {r.partition_key for r in cuts.collect()} == {BOSTON}
+
+
+def test_next_starts_are_the_least_times_beyond_reach(spark):
+    draw = np.random.default_rng(6)
+    times = sorted({int(t) for t in draw.integers(0, 5_000, 300)} | {0, 100, 200, 10_000})
+    rows = spark.createDataFrame([(TENANT, TABLE, BOSTON, 1, t) for t in times], "tenant_id string, table_fqn string, partition_key string, run long, t_us long")
+    got = {r.t_us: r.next_us for r in sessions.next_starts(rows, 100).collect()}
+    assert got == {t: min(u for u in times if u > t + 100) for t in times if times[-1] > t + 100}
