@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from lakesync.config import SyncConfig
@@ -110,3 +110,17 @@ def request_cost(results: DataFrame) -> DataFrame:
         "buffered", "committed", (F.col("buffered") - F.col("committed")).alias("coalesced"), "heads", "lists",
         (F.col("requests") / F.greatest(F.col("committed"), F.lit(1))).alias("alpha_eff"), reduction(F.col("requests")).alias("reduction"), daily_cost(F.col("requests")).alias("daily_cost"),
     )
+
+
+def outcome_counters() -> list[Column]:
+    """Counters of a commit's results, for `observe`: they are filled in while the results are written or streamed, without a pass of their own."""
+    of = lambda status: F.count_if(F.col("status") == status)
+    named = [of(status).alias(status.lower()) for status in ("APPLIED", "NOOP", "RETRY", "ERROR")]
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
+    return [F.count(F.lit(1)).alias("results"), *named, total("heads"), total("lists")]
+
+
+def observed(results: DataFrame) -> tuple[DataFrame, Observation]:
+    """results, and an observation whose `get` holds their counters once the first action over all of them has ended."""
+    seen = Observation()
+    return results.observe(seen, *outcome_counters()), seen

@@ -400,12 +400,25 @@ def commit_decisions_no_drop(spark, sf_dir):
     return _results(_flush(spark, sf_dir, enable_drop=False))
 
 
-@query(sql.commit_decisions(True, faults=True))
-def commit_with_faults(spark, sf_dir):
+def _faulty_flush(spark, sf_dir):
     keys = _intents(spark, sf_dir).select("partition_key").distinct()
     pick = lambda names, salt: F.element_at(F.array(*map(F.lit, names)), md5_mod(F.concat(F.lit(salt), "partition_key"), len(names)) + 1)
     faults = keys.where(md5_mod(F.concat(F.lit("any"), "partition_key"), 2) == 0).select("partition_key", pick(["head", "list", "create", "drop"], "call").alias("call"), pick(["transient", "fatal"], "error").alias("error"))
-    return _results(_flush(spark, sf_dir, faults=faults))
+    return _flush(spark, sf_dir, faults=faults)
+
+
+@query(sql.commit_decisions(True, faults=True))
+def commit_with_faults(spark, sf_dir):
+    return _results(_faulty_flush(spark, sf_dir))
+
+
+@query(sql.observed_counts())
+def observed_counts(spark, sf_dir):
+    """Counters of commit_with_faults, observed while its results are written."""
+    results, seen = metrics.observed(_faulty_flush(spark, sf_dir))
+    results.write.parquet(new_path(spark, "results"))
+    got = seen.get
+    return spark.createDataFrame([tuple(got.values())], ", ".join(f"{name} long" for name in got))
 
 
 @query(sql.UNKNOWN_KINDS)

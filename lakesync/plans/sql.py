@@ -215,6 +215,11 @@ def _cost(scan: str, requests: str = "requests") -> str:
 _COST = _cost("456616")
 
 
+def observed_counts() -> str:
+    return f"""SELECT count(*) AS results, count(*) FILTER (status = 'APPLIED') AS applied, count(*) FILTER (status = 'NOOP') AS noop, count(*) FILTER (status = 'RETRY') AS retry,
+  count(*) FILTER (status = 'ERROR') AS error, CAST(coalesce(sum(heads), 0) AS BIGINT) AS heads, CAST(coalesce(sum(lists), 0) AS BIGINT) AS lists FROM ({commit_decisions(True, faults=True)})"""
+
+
 def updated_tree() -> str:
     return f"""WITH after AS ({catalog_after()}), folders AS (
   SELECT tenant_id, 0 AS level, '' AS prefix FROM after UNION ALL SELECT tenant_id, 1, string_split(partition_key, '/')[1] FROM after UNION ALL SELECT tenant_id, 2, partition_key FROM after)

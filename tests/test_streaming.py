@@ -167,3 +167,22 @@ def test_changes_and_whole_versions_give_the_same_state(spark, tmp_path, monkeyp
     assert tables.versions("inventory-whole") == [2] and tables.versions("inventory") == [3]
     early = tables.latest("inventory", 3).where("live").select("tenant_id", "object_key")
     assert early.exceptAll(inventory.live_inventory(intents.kept(rows.where("seq < 375")))).count() == 0
+
+
+def test_counters_of_a_stream_are_those_of_its_results(spark, tmp_path):
+    from lakesync.operators.metrics import observed, outcome_counters
+
+    schema = "status string, heads long, lists long"
+    for i, rows in enumerate([[("APPLIED", 1, 0), ("RETRY", 3, 1)], [("NOOP", 2, 0)], [(None, 1, 0), ("ERROR", 0, 1)]]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")).observe("outcomes", *outcome_counters())
+    run = stream.writeStream.format("noop").option("checkpointLocation", str(tmp_path / "checkpoint")).trigger(availableNow=True).start()
+    run.awaitTermination()
+    batches = [p.observedMetrics["outcomes"] for p in run.recentProgress if p.numInputRows]
+    results, seen = observed(spark.read.schema(schema).parquet(str(tmp_path / "in")))
+    results.write.format("noop").mode("overwrite").save()
+    assert len(batches) == 3 and seen.get == {"results": 5, "applied": 1, "noop": 1, "retry": 1, "error": 1, "heads": 7, "lists": 2}
+    assert {name: sum(b[name] for b in batches) for name in seen.get} == seen.get
+    results, seen = observed(spark.createDataFrame([], schema))
+    results.write.format("noop").mode("overwrite").save()
+    assert set(seen.get.values()) == {0}
