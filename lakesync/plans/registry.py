@@ -15,7 +15,7 @@ from lakesync.functions.hashing import md5_mod
 from lakesync.functions.quantiles import summary
 from lakesync.operators import catalog, commit, hashtree, intents, inventory, metrics, replay, retries, sessions
 from lakesync.plans import sql
-from lakesync.plans.streamed import state_snapshot, streamed_retries, streamed_sessions, worker_catalog
+from lakesync.plans.streamed import shared_catalog, state_snapshot, streamed_latencies, streamed_retries, streamed_sessions, worker_catalog
 from lakesync.scratch import new_path, store
 from lakesync.sources import envelopes, eventlog, generator, objectstore
 
@@ -343,6 +343,11 @@ def worker_catalog_query(spark, sf_dir):
 QUERIES["worker_catalog"], ORACLES["worker_catalog"] = QUERIES.pop("worker_catalog_query"), ORACLES.pop("worker_catalog_query")
 
 
+@query(sql.WORKER_CATALOG)
+def two_writers_catalog(spark, sf_dir):
+    return shared_catalog(spark, sf_dir, CONFIG)
+
+
 # --- verified commit --------------------------------------------------------------------------------------------------
 
 
@@ -457,18 +462,26 @@ def replay_counts(spark, sf_dir):
     return rows.groupBy("kind", "status", F.coalesce("reason", F.lit("")).alias("reason")).agg(F.count("*").alias("n"))
 
 
-@query(sql.LATENCY_PERCENTILES)
-def latency_percentiles(spark, sf_dir):
-    own = _intents(spark, sf_dir)
-    lat = replay.latencies(replay.replay(sessions.assign_sessions(own, CONFIG), CONFIG), own, CONFIG).cache()
+def _percentiles(spark, lat):
+    lat = store(lat, "latencies")
     out = []
     for name in ("latency_s", "session_s"):
         n, middle, got = summary(lat, name, {"p95": 0.95, "p99": 0.99})
         out.append((name, n, middle, got["p95"], got["p99"]))
-    lat.unpersist()
     return spark.createDataFrame(out, "measure string, n long, median double, p95 double, p99 double").select("measure", "n", *[F.round(c, 3).alias(c) for c in ("median", "p95", "p99")])
 
 
+@query(sql.LATENCY_PERCENTILES)
+def latency_percentiles(spark, sf_dir):
+    own = _intents(spark, sf_dir)
+    return _percentiles(spark, replay.latencies(replay.replay(sessions.assign_sessions(own, CONFIG), CONFIG), own, CONFIG))
+
+
+@query(sql.LATENCY_PERCENTILES)
+def streamed_latency_percentiles(spark, sf_dir):
+    return _percentiles(spark, streamed_latencies(spark, sf_dir, CONFIG))
+
+
 # --- retries ----------------------------------------------------------------------------------------------------------
 
 

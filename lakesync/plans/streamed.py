@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakesync.config import SyncConfig
-from lakesync.operators import intents, sessions
+from lakesync.functions.hashing import md5_mod
+from lakesync.operators import intents, replay, sessions
 from lakesync.scratch import new_path, store
 from lakesync.sources import envelopes
-from lakesync.streaming import worker
+from lakesync.streaming import latency, worker
 from lakesync.streaming.buffer import SESSION, flushed_sessions, open_buffers
+from lakesync.streaming.commitlog import CommitLog
 from lakesync.streaming.retrying import DUE, KEY, OUTCOME, due_attempts
 
 _STORE = "spark.sql.streaming.stateStore.providerClass"
@@ -111,6 +113,61 @@ def streamed_sessions(spark: SparkSession, sf_dir: str, config: SyncConfig) -> D
     return spark.read.schema(SESSION).parquet(f"{folder}/out")
 
 
+def streamed_latencies(spark: SparkSession, sf_dir: str, config: SyncConfig) -> DataFrame:
+    """Latencies of all applied sessions, by state: arrivals and commits in the order of their times, in ranges of time, a micro-batch each."""
+    folder = new_path(spark, "latency")
+    own = intents.candidate_intents(envelopes.read(spark, sf_dir))
+    applied = replay.replay(sessions.assign_sessions(own, config), config).withColumn("at_us", F.col("flush_us") + config.grace_us)
+    news = store(latency.arrivals(own).unionByName(latency.outcomes(applied, "at_us", "sid", "first_us")), "news")
+    _stream_intents(spark, news, folder)
+    with rocks(spark):
+        rows = spark.readStream.schema(news.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+        latency.latencies(rows).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(latency.LATENCY).parquet(f"{folder}/out")
+
+
+def shared_catalog(spark: SparkSession, sf_dir: str, config: SyncConfig, batches: int = 2) -> DataFrame:
+    """The catalog that two writers leave in one log. Keys are dealt to them by md5; a third of the keys goes to both, and in each batch the
+    second writer's entry comes after one of the first that it has not seen, so those keys are decided again."""
+    rows = envelopes.read(spark, sf_dir)
+    first, last = rows.agg(F.min("t_us"), F.max("t_us")).first()
+    root = new_path(spark, "writers")
+    log = CommitLog(spark, f"{root}/catalog")
+    if first is None:
+        return log.snapshot().select(*KEY)
+    step = (last - first) // batches + 1
+    of = md5_mod(F.col("partition_key"), 2)
+    both = md5_mod(F.concat(F.lit("both"), F.col("partition_key")), 3) == 0
+    tables = [worker.Tables(spark, f"{root}/{name}") for name in ("a", "b")]
+    for i in range(batches):
+        now = i * config.max_backoff / 2
+        news = store(rows.where(F.col("t_us").between(first + i * step, first + (i + 1) * step - 1)), "batch")
+        for t in tables:
+            worker.note_objects(t, news, i)
+        flushed = store(sessions.reconcile(intents.candidate_intents(news), config), "flush")
+        mine = [flushed.where((of == w) | both) for w in (0, 1)]
+        raced = _Raced(spark, log.folder, before_put=lambda: worker.commit_batch(tables[0], mine[0], config, i, now, log=log, writer="a"))  # noqa: B023
+        worker.commit_batch(tables[1], mine[1], config, i, now, log=raced, writer="b")
+    nothing = intents.candidate_intents(rows.limit(0))
+    for t, writer in zip(tables, "ab"):
+        worker.drain(t, nothing, config, batches, now, log=log, writer=writer)
+    return log.snapshot().select(*KEY)
+
+
+class _Raced(CommitLog):
+    """A log in which something else is put first, once, just before a writer's own entry."""
+
+    def __init__(self, spark: SparkSession, folder: str, before_put):
+        super().__init__(spark, folder)
+        self.before_put = before_put
+
+    def put(self, version: int, entry: dict) -> bool:
+        rival, self.before_put = self.before_put, None
+        if rival:
+            rival()
+        return super().put(version, entry)
+
+
 def worker_catalog(spark: SparkSession, sf_dir: str, config: SyncConfig, batches: int = 3) -> DataFrame:
     """The catalog that the worker leaves: batches of events one after the other, each noted, flushed by force and committed, then the drain."""
     rows = envelopes.read(spark, sf_dir)

@@ -19,14 +19,16 @@ from lakesync.config import CREATED, SyncConfig
 from lakesync.operators import catalog as catalogs
 from lakesync.operators import commit, intents, retries
 from lakesync.operators.sessions import reconcile
+from lakesync.streaming import latency
 from lakesync.streaming.buffer import flushed_sessions
+from lakesync.streaming.commitlog import CommitLog
 
 KEY = commit.KEY
 _INVENTORY = "tenant_id string, object_key string, live boolean, t_us long, seq long"
 _CATALOG = "tenant_id string, table_fqn string, partition_key string, location string, at long, gone boolean"
 _QUEUE = "tenant_id string, table_fqn string, partition_key string, partition_prefix string, kind string, proof_keys array<string>, n long, attempt int, retry_at_s double, at long, gone boolean"
 _DEAD = "tenant_id string, table_fqn string, partition_key string, kind string, reason string, attempt int"
-_AUDIT = "tenant_id string, table_fqn string, partition_key string, kind string, status string, reason string, heads long, lists long, n long, attempt int"
+_AUDIT = "tenant_id string, table_fqn string, partition_key string, kind string, status string, reason string, heads long, lists long, n long, attempt int, at long, at_s double"
 #: Of so many versions of a table, one is also written whole.
 WHOLE_EVERY = 16
 
@@ -143,8 +145,11 @@ def one_intent(rows: DataFrame, proofs: int) -> DataFrame:
     )
 
 
-def commit_batch(tables: Tables, sessions: DataFrame, config: SyncConfig, version: int, now_s: float, faults: DataFrame | None = None) -> DataFrame:
-    """Apply flushed sessions and the retries that are due: catalog, queue, dead letters and audit of this version."""
+def commit_batch(tables: Tables, sessions: DataFrame, config: SyncConfig, version: int, now_s: float, faults: DataFrame | None = None, log: CommitLog | None = None, writer: str = "") -> DataFrame:
+    """Apply flushed sessions and the retries that are due: catalog, queue, dead letters and audit of this version.
+
+    With a log, the catalog is the log's, which several writers share: each has tables of its own for the rest, and reads its keys' buckets only.
+    """
     columns = [*KEY, "partition_prefix", "kind", "proof_keys", "n"]
     queue = tables.latest("queue", version)
     fresh = sessions.select(*columns).withColumn("attempt", F.lit(0))
@@ -152,10 +157,11 @@ def commit_batch(tables: Tables, sessions: DataFrame, config: SyncConfig, versio
     early = queue.where(F.col("retry_at_s") > now_s).join(fresh.select(*KEY).distinct(), KEY, "left_semi")
     ready = retries.due(queue, now_s).unionByName(early).select(*columns, "attempt")
     both = one_intent(fresh.unionByName(ready), config.proofs)
-    known = tables.latest("catalog", version)
     inventory, below = tables.pinned("inventory", version)
-    results = commit.apply(both, known, inventory.where("live"), config.enable_drop, faults).cache()
-    audit = tables.write("audit", results.select(*KEY, "kind", "status", "reason", "heads", "lists", "n", "attempt"), version)
+    decide = lambda rows, known: commit.apply(rows, known, inventory.where("live"), config.enable_drop, faults)
+    results = log.commit(both, decide, writer, version)[1] if log else decide(both, tables.latest("catalog", version)).cache()
+    when = [F.lit(version).cast("long").alias("at"), F.lit(now_s).cast("double").alias("at_s")]
+    audit = tables.write("audit", results.select(*KEY, "kind", "status", "reason", "heads", "lists", "n", "attempt", *when), version)
     at, gone = F.lit(version).cast("long").alias("at"), F.col("in_catalog") & ~F.col("in_catalog_after")
     tables.write("catalog", results.where(F.col("in_catalog") != F.col("in_catalog_after")).select(*KEY, F.col("partition_prefix").alias("location"), at, gone.alias("gone")), version)
     again, dead = retries.requeue(results, config, now_s)
@@ -172,14 +178,14 @@ def commit_batch(tables: Tables, sessions: DataFrame, config: SyncConfig, versio
     return audit
 
 
-def drain(tables: Tables, open_intents: DataFrame, config: SyncConfig, version: int, now_s: float) -> int:
+def drain(tables: Tables, open_intents: DataFrame, config: SyncConfig, version: int, now_s: float, log: CommitLog | None = None, writer: str = "") -> int:
     """Flush what is still buffered by force, then retry whatever waits until nothing does; returns the next free version.
 
     A round's clock stands past every backoff, so there are max_retries + 1 rounds at most.
     """
     flushed = reconcile(open_intents, config)
     while True:
-        commit_batch(tables, flushed, config, version, now_s)
+        commit_batch(tables, flushed, config, version, now_s, log=log, writer=writer)
         version, now_s = version + 1, now_s + config.max_backoff + 1
         if tables.latest("queue").isEmpty():
             return version
@@ -205,3 +211,11 @@ def writers(spark: SparkSession, envelopes: DataFrame, folder: str, config: Sync
     noted = envelopes.writeStream.foreachBatch(lambda batch, i: note_objects(tables, batch, i)).option("checkpointLocation", f"{folder}/checkpoint-inventory").queryName("inventory")
     commits = flushed.writeStream.foreachBatch(commit_sessions).outputMode("append").option("checkpointLocation", f"{folder}/checkpoint-commit").queryName("commit")
     return noted, commits
+
+
+def latency_writer(spark: SparkSession, envelopes: DataFrame, folder: str, ttl_s: float | None = None):
+    """A third writer to start, beside `writers`: latencies of what they apply, from the audit as it grows. A batch that is committed again counts once."""
+    audit = spark.readStream.schema(_AUDIT).parquet(f"{folder}/audit/v*").withColumn("at_us", (F.col("at_s") * 1e6).cast("long"))
+    news = latency.arrivals(intents.candidate_intents(envelopes)).unionByName(latency.outcomes(audit, "at_us", "at"))
+    out = latency.latencies(news, ttl_s).writeStream.format("parquet").option("path", f"{folder}/latency").outputMode("append")
+    return out.option("checkpointLocation", f"{folder}/checkpoint-latency").queryName("latency")
