@@ -123,9 +123,10 @@ class CommitLog:
         version = self.last() if version is None else version
         whole = max((v for v in self._wholes() if v <= version), default=-1)
         rows = self.changes(whole, version, buckets)
-        if whole >= 0:
-            base = self.spark.read.schema(f"{_ROW}, bucket int").parquet(f"{self.folder}/whole/version={whole}")
-            base = base if buckets is None else base.where(F.col("bucket").isin(buckets))
+        folder = f"{self.folder}/whole/version={whole}"
+        there = self._numbers(f"whole/version={whole}/bucket=*", lambda p: p.getName().removeprefix("bucket=")) if whole >= 0 else []
+        if paths := [f"{folder}/bucket={b}" for b in there if buckets is None or b in buckets]:
+            base = self.spark.read.schema(f"{_ROW}, bucket int").option("basePath", folder).parquet(*paths)
             rows = rows.unionByName(base.drop("bucket").withColumn("at", F.lit(whole).cast("long")))
         latest = rows.groupBy(*KEY).agg(F.max_by(F.struct("location", "gone"), "at").alias("r")).where(~F.col("r.gone"))
         return latest.select(*KEY, "r.location")

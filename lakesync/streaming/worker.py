@@ -214,7 +214,11 @@ def writers(spark: SparkSession, envelopes: DataFrame, folder: str, config: Sync
 
 
 def latency_writer(spark: SparkSession, envelopes: DataFrame, folder: str, ttl_s: float | None = None):
-    """A third writer to start, beside `writers`: latencies of what they apply, from the audit as it grows. A batch that is committed again counts once."""
+    """A third writer to start, beside `writers`: latencies of what they apply, from the audit as it grows. A batch that is committed again counts once.
+
+    With a time to live the state goes by the clock, and such a query has batches without data as often as its trigger says: give it an interval, or
+    `once`; it never ends by `availableNow`.
+    """
     audit = spark.readStream.schema(_AUDIT).parquet(f"{folder}/audit/v*").withColumn("at_us", (F.col("at_s") * 1e6).cast("long"))
     news = latency.arrivals(intents.candidate_intents(envelopes)).unionByName(latency.outcomes(audit, "at_us", "at"))
     out = latency.latencies(news, ttl_s).writeStream.format("parquet").option("path", f"{folder}/latency").outputMode("append")
