@@ -170,7 +170,9 @@ class CommitLog:
             if not clash.isEmpty():
                 again = decide(clash, self.snapshot(newest, self.touched(clash)))
                 results = store(_same(results, clash, "left_anti").unionByName(again), "results")
+                lost, files = self._path(f"changes/commit={written['commit']}")
                 written = self._write(results)
+                files.delete(lost, True)
             base = newest
 
     def _writers(self, version: int) -> dict[str, list[int]]:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lakesync.config import SyncConfig
 from lakesync.operators import intents, sessions
+from lakesync.plans import registry
 from lakesync.sources import generator
 from lakesync.streaming import commitlog, worker
 from lakesync.streaming.commitlog import KEY, CommitLog
@@ -59,6 +60,7 @@ def test_only_keys_that_clash_are_decided_again(spark, tmp_path):
     first.commit(flush(spark, "ADD", "p=1", "p=2"), decide, "a", 0)
     late.rival = lambda: first.commit(flush(spark, "DROP", "p=1", "p=9"), decide, "a", 1)
     version, results = late.commit(flush(spark, "ADD", "p=1", "p=2", "p=3"), noted, "b", 0)
+    assert len(list((tmp_path / "changes").iterdir())) == 3  # what lost its place is gone
     assert version == 2 and met == [{"p=1", "p=2", "p=3"}, {"p=1"}]
     # p=1 was there when it was first decided, and gone when it was put
     assert {r.partition_key: r.in_catalog for r in results.collect()} == {"p=1": False, "p=2": True, "p=3": False}
@@ -123,6 +125,12 @@ def test_two_workers_retry_on_one_log(spark, tmp_path):
     assert [(r.status, r.reason, r.at, r.at_s) for r in audit] == [("RETRY", "not_visible_yet", 0, 0.0), ("NOOP", "already_exists_verified", 1, 100.0)]
 
 
+def test_no_events(spark, tmp_path):
+    spark.read.parquet("/root/testdata/sf0.001/events.parquet").limit(0).write.parquet(str(tmp_path / "events.parquet"))
+    assert registry.QUERIES["two_writers_catalog"](spark, str(tmp_path)).count() == 0
+    assert {(r.n, r.median) for r in registry.QUERIES["streamed_latency_percentiles"](spark, str(tmp_path)).collect()} == {(0, None)}
+
+
 # --- latencies --------------------------------------------------------------------------------------------------------
 
 
