@@ -10,7 +10,7 @@ from lakesync.config import DATA_SUFFIXES, SKIPPED_SUFFIXES, TABLE_ROOT
 
 def basename(key: Column) -> Column:
     """What follows the last slash."""
-    return F.element_at(F.split(key, "/"), -1)
+    return F.substring_index(key, "/", -1)
 
 
 def is_data_file(key: Column) -> Column:
@@ -23,16 +23,21 @@ def in_root(key: Column, root: str | Column = TABLE_ROOT) -> Column:
     return F.startswith(key, F.lit(root) if isinstance(root, str) else root)
 
 
-def kv_segments(key: Column, root: str | Column = TABLE_ROOT) -> Column:
-    """The k=v directories between root and file name, in order; others are passed over."""
+def folders_below(key: Column, root: str | Column = TABLE_ROOT) -> Column:
+    """The directories between root and file name, each with its slash."""
     root = F.lit(root) if isinstance(root, str) else root
-    parts = F.split(F.substring(key, F.length(root) + 1, F.length(key)), "/")
-    return F.filter(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0))), lambda s: F.instr(s, "=") > 0)
+    return F.substring(key, F.length(root) + 1, F.length(key) - F.length(root) - F.length(basename(key)))
+
+
+def has_partition(key: Column, root: str | Column = TABLE_ROOT) -> Column:
+    """Whether any directory between root and file name is a k=v."""
+    return F.instr(folders_below(key, root), "=") > 0
 
 
 def partition_key(key: Column, root: str | Column = TABLE_ROOT) -> Column:
-    """The k=v directories joined by slashes; empty outside the root or without any."""
-    return F.when(in_root(key, root), F.array_join(kv_segments(key, root), "/")).otherwise("")
+    """The k=v directories between root and file name joined by slashes, in order, others passed over; empty outside the root or without any."""
+    pairs = F.regexp_replace(folders_below(key, root), "(?<![^/])[^/=]*/", "")
+    return F.when(in_root(key, root), F.btrim(pairs, F.lit("/"))).otherwise("")
 
 
 def partition_prefix(key: Column, root: str | Column = TABLE_ROOT) -> Column:
@@ -41,7 +46,7 @@ def partition_prefix(key: Column, root: str | Column = TABLE_ROOT) -> Column:
 
 def directory(key: Column) -> Column:
     """Up to and with the last slash; a slash if there is none."""
-    return F.when(F.instr(key, "/") > 0, F.regexp_replace(key, "[^/]*$", "")).otherwise("/")
+    return F.when(F.instr(key, "/") > 0, F.left(key, F.length(key) - F.length(basename(key)))).otherwise("/")
 
 
 def ancestor_prefixes(key: Column) -> Column:

@@ -5,14 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakesync.config import CREATED, IGNORED_PREFIXES
+from lakesync.config import CREATED, DELETED, IGNORED_PREFIXES
 from lakesync.functions import paths
 from lakesync.functions.hashing import md5_mod, md5_unit
+from lakesync.functions.moments import moment, seq_of, time_of
 
 
 def fold_objects(kept: DataFrame) -> DataFrame:
     """tenant_id, object_key, live: the last operation of each object, in order of arrival. Puts and deletes may repeat."""
-    return kept.groupBy("tenant_id", "object_key").agg((F.max_by("op", F.struct("t_us", "seq")) == CREATED).alias("live"))
+    at, puts = moment(F.col("t_us"), F.col("seq")), F.coalesce(F.col("op") == CREATED, F.lit(False))
+    last = kept.groupBy("tenant_id", "object_key").agg(F.max(F.when(puts, at)).alias("put"), F.max(F.when(~puts, at)).alias("gone"))
+    return last.select("tenant_id", "object_key", F.coalesce(F.col("put") >= F.col("gone"), F.col("put").isNotNull()).alias("live"))
+
+
+def last_operations(kept: DataFrame, *names: str) -> DataFrame:
+    """The last creation and the last deletion of each object, for each value of further columns: what fold_objects needs of the events."""
+    op = F.when(F.col("op") == CREATED, CREATED).otherwise(DELETED).alias("op")
+    last = kept.groupBy("tenant_id", "object_key", *names, op).agg(F.max(moment(F.col("t_us"), F.col("seq"))).alias("at"))
+    return last.select("tenant_id", "object_key", *names, "op", time_of(F.col("at")).alias("t_us"), seq_of(F.col("at")).alias("seq"))
 
 
 def live_inventory(kept: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ first are of the buffer; otherwise the buffer has been flushed and a new one ope
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -201,16 +203,24 @@ def flush_order(effective: DataFrame) -> DataFrame:
 def reconcile(intents: DataFrame, config: SyncConfig) -> DataFrame:
     """All intents of a key as one session, as when a buffer is flushed by force.
 
-    Counts and times combine on the map side, in numbers only; the proofs are the first few additions of each key, which
-    every task cuts to that few before the shuffle. A key whose intents neither add nor drop gives no row.
+    Counts and times combine on the map side, in numbers only. The proofs are the first few additions of each key: these are dealt into
+    that many classes by a hash, and the latest of the classes' first times bounds the times of all proofs, so that only what is not
+    after it is put in order (all of a key's additions, if a class has none). A key whose intents neither add nor drop gives no row.
     """
+    adds, classes = F.col("kind") == ADD_CANDIDATE, F.pmod(F.xxhash64("t_us", "seq"), F.lit(max(config.proofs, 1)))
+    lows = [F.min(F.when(adds & (classes == i), F.col("t_us"))).alias(f"low{i}") for i in range(max(config.proofs, 1))]
     names = [*KEY, "partition_prefix"]
     whole = intents.groupBy(*names).agg(
         F.count("*").alias("n"), F.count_if(F.col("kind") == ADD_CANDIDATE).alias("n_add"), F.count_if(F.col("kind") == DROP_CANDIDATE).alias("n_drop"),
-        F.min("t_us").alias("first_us"), F.max("t_us").alias("last_us"),
+        F.min("t_us").alias("first_us"), F.max("t_us").alias("last_us"), *lows,
     ).where((F.col("n_add") > 0) | (F.col("n_drop") > 0))
+    low = [F.col(f"low{i}") for i in range(len(lows))]
+    whole = store(whole.withColumn("bound", F.when(reduce(and_, [c.isNotNull() for c in low]), F.array_max(F.array(*low)))), "keys")
+    bounds = whole.select(*[F.col(c).alias(f"_{c}") for c in names], "bound")
+    near = F.col("bound").isNull() | F.col("t_us").isNull() | (F.col("t_us") <= F.col("bound"))
+    early = intents.where(adds).select(*names, "t_us", "seq", "proof").join(bounds, reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in names])).where(near)
     place = F.row_number().over(Window.partitionBy(*names).orderBy("t_us", "seq"))
-    first = intents.where(F.col("kind") == ADD_CANDIDATE).select(*names, "t_us", "seq", "proof").withColumn("place", place).where(F.col("place") <= config.proofs)
+    first = early.select(*names, "t_us", "seq", "proof").withColumn("place", place).where(F.col("place") <= config.proofs)
     proofs = first.groupBy(*names).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "proof"))), lambda p: p["proof"]).alias("proof_keys"))
     same = F.lit(True)
     for name in names:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lakesync.config import TABLE_ROOT, SyncConfig
+from lakesync.config import ADD_CANDIDATE, CREATED, DELETED, TABLE_ROOT, SyncConfig
 from lakesync.functions import paths
 from lakesync.functions.hashing import md5_mod
 from lakesync.functions.quantiles import summary
@@ -47,6 +47,16 @@ def _assigned(spark: SparkSession, sf_dir: str, config: SyncConfig = CONFIG) ->
     return sessions.assign_sessions(_intents(spark, sf_dir), config)
 
 
+def _noted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The intents as a table, for what reads them more than once."""
+    return store(_intents(spark, sf_dir), "intents")
+
+
+def _live_of(own: DataFrame) -> DataFrame:
+    """The live objects of intents, as a table: lookups read it more than once, and it is small next to what it comes from."""
+    return store(inventory.live_inventory(own.withColumn("op", F.when(F.col("kind") == ADD_CANDIDATE, CREATED).otherwise(DELETED))), "live")
+
+
 def _live(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inventory.live_inventory(intents.kept(envelopes.read(spark, sf_dir)))
 
@@ -195,9 +205,11 @@ def purged_inventory(spark, sf_dir):
     return inventory.purge_prefix(_live(spark, sf_dir), "warehouse/sales/dt=2024-01-0").groupBy("tenant_id").agg(F.count("*").alias("n"))
 
 
-def _stale_catalog(spark, sf_dir):
+def _stale_catalog(spark, sf_dir, own=None):
     """A third of all partitions, whatever storage holds of them, and one that never was."""
-    known = _intents(spark, sf_dir).select("tenant_id", "table_fqn", "partition_key", F.col("partition_prefix").alias("location")).distinct()
+    own = _intents(spark, sf_dir) if own is None else own
+    # written, as the hash of each key would otherwise be taken of each row
+    known = store(own.select("tenant_id", "table_fqn", "partition_key", F.col("partition_prefix").alias("location")).distinct(), "known")
     ghost = spark.createDataFrame([("tenant-1", "warehouse.sales", "dt=1999-01-01/region=R000", "warehouse/sales/dt=1999-01-01/region=R000/")], known.schema)
     return known.where(md5_mod(F.col("partition_key"), 3) == 0).unionByName(ghost)
 
@@ -248,8 +260,9 @@ def tree_requests(spark, sf_dir):
 @query(sql.updated_tree())
 def updated_tree(spark, sf_dir):
     """The catalog's tree after a flush, from its tree before and the keys that the flush changed."""
-    changes = _flush(spark, sf_dir).where(F.col("in_catalog") != F.col("in_catalog_after")).select(*_key(), F.col("in_catalog_after").alias("added"))
-    nodes = hashtree.updated(hashtree.tree(_stale_catalog(spark, sf_dir)), changes)
+    own = _noted(spark, sf_dir)
+    changes = _flush(spark, sf_dir, own=own).where(F.col("in_catalog") != F.col("in_catalog_after")).select(*_key(), F.col("in_catalog_after").alias("added"))
+    nodes = hashtree.updated(hashtree.tree(_stale_catalog(spark, sf_dir, own)), changes)
     return nodes.select("tenant_id", "level", "prefix", "n")
 
 
@@ -278,7 +291,7 @@ def tightly_capped_sessions(spark, sf_dir):
 @query(sql.capped_sessions(3600, 10, 7200))
 def shared_sessions(spark, sf_dir):
     """tightly_capped_sessions with keys of more than 16 intents shared by several tasks."""
-    return _session_columns(sessions.effective_intents(sessions.assign_sessions(_intents(spark, sf_dir), TIGHT, hot_rows=16), TIGHT))
+    return _session_columns(sessions.effective_intents(sessions.assign_sessions(_noted(spark, sf_dir), TIGHT, hot_rows=16), TIGHT))
 
 
 @query(sql.EFFECTIVE_INTENTS)
@@ -358,12 +371,13 @@ def _stored(spark, sf_dir):
     return objectstore.FileStore(spark, root)
 
 
-def _flush(spark, sf_dir, enable_drop=True, faults=None, storage=None):
-    effective = sessions.reconcile(_intents(spark, sf_dir), CONFIG)
+def _flush(spark, sf_dir, enable_drop=True, faults=None, storage=None, own=None):
+    own = _noted(spark, sf_dir) if own is None else own
+    effective = sessions.reconcile(own, CONFIG)
     # a share of the keys only deletes: the others would all be additions
     only = F.when(md5_mod(F.concat("tenant_id", "partition_key"), 4) == 1, "DROP").otherwise(F.col("kind"))
     effective = effective.withColumn("proof_keys", F.when(only == "DROP", F.array().cast("array<string>")).otherwise(F.col("proof_keys"))).withColumn("kind", only)
-    return commit.apply(effective, _stale_catalog(spark, sf_dir), storage or _live(spark, sf_dir), enable_drop, faults)
+    return commit.apply(effective, _stale_catalog(spark, sf_dir, own), storage or _live_of(own), enable_drop, faults)
 
 
 def _results(rows):
@@ -406,10 +420,11 @@ def commit_decisions_no_drop(spark, sf_dir):
 
 
 def _faulty_flush(spark, sf_dir):
-    keys = _intents(spark, sf_dir).select("partition_key").distinct()
+    own = _noted(spark, sf_dir)
+    keys = store(own.select("partition_key").distinct(), "keys")
     pick = lambda names, salt: F.element_at(F.array(*map(F.lit, names)), md5_mod(F.concat(F.lit(salt), "partition_key"), len(names)) + 1)
     faults = keys.where(md5_mod(F.concat(F.lit("any"), "partition_key"), 2) == 0).select("partition_key", pick(["head", "list", "create", "drop"], "call").alias("call"), pick(["transient", "fatal"], "error").alias("error"))
-    return _flush(spark, sf_dir, faults=faults)
+    return _flush(spark, sf_dir, faults=faults, own=own)
 
 
 @query(sql.commit_decisions(True, faults=True))
@@ -429,8 +444,9 @@ def observed_counts(spark, sf_dir):
 @query(sql.UNKNOWN_KINDS)
 def unknown_kinds(spark, sf_dir):
     """Intents of a kind that nobody knows are errors, and change nothing."""
-    effective = sessions.reconcile(_intents(spark, sf_dir), CONFIG).withColumn("kind", F.lit("MERGE"))
-    return _results(commit.apply(effective, _stale_catalog(spark, sf_dir), _live(spark, sf_dir)))
+    own = _noted(spark, sf_dir)
+    effective = sessions.reconcile(own, CONFIG).withColumn("kind", F.lit("MERGE"))
+    return _results(commit.apply(effective, _stale_catalog(spark, sf_dir, own), _live_of(own)))
 
 
 @query(sql.outcome_counts())
@@ -527,8 +543,9 @@ def streamed_dead_letters(spark, sf_dir):
 def jittered_retries(spark, sf_dir):
     """Additions verified against a storage whose objects come into sight by and by, until they are in or the retries are spent."""
     config = SyncConfig(window=3600, grace=10, max_retries=3)
-    effective = sessions.reconcile(_intents(spark, sf_dir), config).where(F.col("kind") == "ADD")
-    rows = retries.attempts_until_settled(effective, metrics._no_catalog(spark), _live(spark, sf_dir), config, 0.7)
+    own = _noted(spark, sf_dir)
+    effective = store(sessions.reconcile(own, config).where(F.col("kind") == "ADD"), "flush")
+    rows = retries.attempts_until_settled(effective, metrics._no_catalog(spark), _live_of(own), config, 0.7)
     return rows.select(*_key(), "status", F.coalesce("reason", F.lit("")).alias("reason"), "attempts")
 
 
@@ -589,15 +606,17 @@ def scripted_epochs(spark, sf_dir):
     """The catalog after each quarter of the events, by number, taken as one micro-batch."""
     rows = envelopes.read(spark, sf_dir)
     most = rows.agg(F.max("seq")).first()[0] or 0
-    return catalog_by_epoch(rows.withColumn("epoch", F.floor(F.col("seq") * 4 / (most + 1))), 4)
+    return catalog_by_epoch(store(rows.withColumn("epoch", F.floor(F.col("seq") * 4 / (most + 1))), "epochs"), 4)
 
 
 def catalog_by_epoch(rows: DataFrame, epochs: int) -> DataFrame:
     """The catalog after each epoch of envelopes, every epoch flushed by force and committed on what the one before it left."""
     known, out = metrics._no_catalog(rows.sparkSession), None
+    # the last operation on each object in each epoch, so that an epoch's storage is folded from these and not from all events before it
+    last = store(inventory.last_operations(intents.kept(rows), "epoch"), "operations")
     for epoch in range(epochs):
-        so_far = rows.where(F.col("epoch") <= epoch)
-        results = commit.apply(sessions.reconcile(intents.candidate_intents(rows.where(F.col("epoch") == epoch)), CONFIG), known, inventory.live_inventory(intents.kept(so_far)))
+        live = store(inventory.live_inventory(last.where(F.col("epoch") <= epoch)), "live")
+        results = commit.apply(sessions.reconcile(intents.candidate_intents(rows.where(F.col("epoch") == epoch)), CONFIG), known, live)
         known = store(commit.catalog_after(known, results), "catalog")
         now = known.select(F.lit(epoch).alias("epoch"), "tenant_id", "partition_key")
         out = now if out is None else out.unionByName(now)

@@ -20,7 +20,8 @@ def from_events(events: DataFrame) -> DataFrame:
         F.unix_micros(F.col("ts").cast("timestamp")).alias("t_us"),
         F.concat(F.lit("tenant-"), (user % 2 + 1).cast("string")).alias("tenant_id"),
         op.alias("op"),
-        F.concat(root, folder, F.lit("part-"), F.lpad((number % 2).cast("string"), 4, "0"), end).alias("object_key"),
+        # exploded, so that the path is put together once a row and not wherever a filter or a key names it
+        F.explode(F.array(F.concat(root, folder, F.lit("part-"), F.lpad((number % 2).cast("string"), 4, "0"), end))).alias("object_key"),
     )
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakesync.config import CREATED, SyncConfig
+from lakesync.functions.moments import moment, seq_of, time_of
 from lakesync.operators import catalog as catalogs
 from lakesync.operators import commit, intents, retries
 from lakesync.operators.sessions import reconcile
@@ -128,8 +129,10 @@ class Tables:
 def note_objects(tables: Tables, envelopes: DataFrame, version: int) -> None:
     """Put the kept events of a batch into the inventory; the later event of an object holds, in order of arrival. A batch that is there is left alone."""
     if version not in tables.versions("inventory"):
-        news = intents.kept(envelopes).select("tenant_id", "object_key", (F.col("op") == CREATED).alias("live"), "t_us", "seq")
-        folded = news.groupBy("tenant_id", "object_key").agg(F.max_by(F.struct("live", "t_us", "seq"), F.struct("t_us", "seq")).alias("r")).select("tenant_id", "object_key", "r.*")
+        news = intents.kept(envelopes).select("tenant_id", "object_key", (F.col("op") == CREATED).alias("live"), moment(F.col("t_us"), F.col("seq")).alias("at"))
+        ends = news.groupBy("tenant_id", "object_key").agg(F.max(F.when(F.col("live"), F.col("at"))).alias("put"), F.max("at").alias("last"))
+        last = F.col("last")
+        folded = ends.select("tenant_id", "object_key", F.coalesce(F.col("put") == last, F.lit(False)).alias("live"), time_of(last).alias("t_us"), seq_of(last).alias("seq"))
         tables.write("inventory", folded, version)
     if version not in tables.versions("inventory-whole"):
         tables.write_whole("inventory", version)
