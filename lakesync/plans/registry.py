@@ -108,17 +108,25 @@ def _messages(spark, sf_dir):
     return envelopes.read(spark, sf_dir).select("seq", paths.directory(F.col("object_key")).alias("key"), F.col("object_key").alias("value"))
 
 
-#: Offsets a segment of the log. Small, so that small tables have several.
+#: The least offsets a segment of the log. Small, so that small tables have several.
 _SEGMENT = 1_000
+#: About so many segments a large table has: each is a file or more, and a task of a reader.
+_SEGMENTS = 64
 
 
 def _log(spark, messages, partitions):
     """A log that holds the messages."""
     path = new_path(spark, "log")
-    eventlog.append(messages, path, partitions, _SEGMENT, _SEGMENT)
+    _append(spark, messages, path, partitions)
     return path
 
 
+def _append(spark, messages, path, partitions):
+    messages = store(messages, "messages")  # counted, and read twice by the log
+    size = min(eventlog.SEGMENT, max(_SEGMENT, -(-messages.count() // _SEGMENTS)))
+    eventlog.append(messages, path, partitions, size, size)
+
+
 @query(sql.ROUTE_OFFSETS)
 def route_offsets(spark, sf_dir):
     """All messages as a stream reads them from the log."""
@@ -165,7 +173,7 @@ def sought_positions(spark, sf_dir):
     messages, later = _messages(spark, sf_dir), F.col("seq") % 5 == 4
     path, folder = _log(spark, messages.where(~later), 3), new_path(spark, "poll")
     eventlog.poll(spark, path, folder, "late", 1, start="latest")
-    eventlog.append(messages.where(later), path, 3, _SEGMENT, _SEGMENT)
+    _append(spark, messages.where(later), path, 3)
     _, at = eventlog.poll(spark, path, folder, "late", 1, start="latest", most=100)
     return eventlog.lag(spark, path, at)
 

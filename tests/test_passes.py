@@ -8,7 +8,8 @@ from lakesync.config import ADD_CANDIDATE, CREATED, DELETED, DROP_CANDIDATE, Syn
 from lakesync.functions import paths
 from lakesync.functions.moments import moment, seq_of, time_of
 from lakesync.operators import intents, inventory, sessions
-from lakesync.sources import envelopes
+from lakesync.plans import registry
+from lakesync.sources import envelopes, eventlog
 
 SF = "/root/testdata/sf0.001"
 ENVELOPE = "seq long, t_us long, tenant_id string, op string, object_key string"
@@ -61,3 +62,12 @@ def test_proofs_are_the_first_additions(spark):
         for seq, _, _, _, key, kind in sorted(rows, key=lambda r: (r[1], r[0])):
             want.setdefault(key, []).extend([str(seq)] if kind == ADD_CANDIDATE else [])
         assert {r.partition_key: r.proof_keys for r in sessions.reconcile(frame, SyncConfig(proofs=proofs)).collect()} == {k: v[:proofs] for k, v in want.items()}
+
+
+def test_a_large_log_has_few_segments(spark):
+    rows = spark.range(200_000).select(F.col("id").alias("seq"), F.concat(F.lit("k"), (F.col("id") % 50).cast("string")).alias("key"), F.lit("v").alias("value"))
+    path = registry._log(spark, rows, 2)
+    segments = sum(-(-(e["end"] - e["first"] + 1) // e["segment"]) for e in eventlog.manifest(path))
+    assert segments <= registry._SEGMENTS + 2
+    got = eventlog.read(spark, path).groupBy("partition").agg(F.count("*").alias("n"), F.count_distinct("offset").alias("d"), F.max("offset").alias("m")).collect()
+    assert sum(r.n for r in got) == 200_000 and all(r.n == r.d == r.m for r in got)
