@@ -64,6 +64,14 @@ def test_proofs_are_the_first_additions(spark):
         assert {r.partition_key: r.proof_keys for r in sessions.reconcile(frame, SyncConfig(proofs=proofs)).collect()} == {k: v[:proofs] for k, v in want.items()}
 
 
+def test_routes_take_the_longest_root_and_keep_every_row(spark):
+    """Rows that tell the same twice stay two; a row of no route is left out."""
+    rows = spark.createDataFrame([(1, 1, "a", CREATED, "w/x/y/k=1/p.orc"), (1, 1, "a", CREATED, "w/x/y/k=1/p.orc"), (2, 1, "a", CREATED, "w/x/k=2/p.orc"), (3, 1, "a", CREATED, "v/k=2/p.orc"), (4, 1, "a", CREATED, "w/x/p.orc"), (5, 1, "a", CREATED, "p.orc")], ENVELOPE)
+    routes = spark.createDataFrame([("w/", "one"), ("w/x/y/", "three"), ("w/x/", "two")], "table_root string, table_fqn string")
+    got = sorted((r.seq, r.table_fqn, r.partition_prefix) for r in intents.routed_intents(rows, routes).collect())
+    assert got == [(1, "three", "w/x/y/k=1/"), (1, "three", "w/x/y/k=1/"), (2, "two", "w/x/k=2/")]
+
+
 def test_a_large_log_has_few_segments(spark):
     rows = spark.range(200_000).select(F.col("id").alias("seq"), F.concat(F.lit("k"), (F.col("id") % 50).cast("string")).alias("key"), F.lit("v").alias("value"))
     path = registry._log(spark, rows, 2)
