@@ -64,7 +64,7 @@ def _run_buffer(spark: SparkSession, schema, config: SyncConfig, folder: str) ->
 def state_snapshot(spark: SparkSession, sf_dir: str, config: SyncConfig, now_us: int) -> DataFrame:
     """The open buffers, read from the state of a stopped query by the state data source: no event is read again."""
     folder = new_path(spark, "stream")
-    own = intents.candidate_intents(envelopes.read(spark, sf_dir))
+    own = store(intents.candidate_intents(envelopes.read(spark, sf_dir)), "intents")
     _stream_intents(spark, own, folder)
     _run_buffer(spark, own.schema, config, folder)
     return open_buffers(spark, f"{folder}/checkpoint", config, now_us)
@@ -103,7 +103,7 @@ def streamed_sessions(spark: SparkSession, sf_dir: str, config: SyncConfig) -> D
     stream takes one a micro-batch in their order; a last file holds one row from long after, whose watermark flushes what is still open.
     The stream writes Parquet files, which are the result."""
     folder = new_path(spark, "stream")
-    own = intents.candidate_intents(envelopes.read(spark, sf_dir))
+    own = store(intents.candidate_intents(envelopes.read(spark, sf_dir)), "intents")
     _stream_intents(spark, own, folder)
     end = own.agg(F.max("t_us").alias("t_us")).select(
         F.lit(-1).cast("long").alias("seq"), (F.col("t_us") + 2 * (config.cap_us + config.grace_us)).alias("t_us"), *[F.lit("end").alias(c) for c in ("tenant_id", "table_fqn", "partition_key", "partition_prefix", "kind", "proof", "object_key")]
@@ -116,7 +116,7 @@ def streamed_sessions(spark: SparkSession, sf_dir: str, config: SyncConfig) -> D
 def streamed_latencies(spark: SparkSession, sf_dir: str, config: SyncConfig) -> DataFrame:
     """Latencies of all applied sessions, by state: arrivals and commits in the order of their times, in ranges of time, a micro-batch each."""
     folder = new_path(spark, "latency")
-    own = intents.candidate_intents(envelopes.read(spark, sf_dir))
+    own = store(intents.candidate_intents(envelopes.read(spark, sf_dir)), "intents")
     applied = replay.replay(sessions.assign_sessions(own, config), config).withColumn("at_us", F.col("flush_us") + config.grace_us)
     news = store(latency.arrivals(own).unionByName(latency.outcomes(applied, "at_us", "sid", "first_us")), "news")
     _stream_intents(spark, news, folder)
